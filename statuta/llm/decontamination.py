@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .kernel import _MUL, Slice, mix, slices
 from .shared import bounded_broadcast, free_name, staged
 
-#: Fixed masks over 9 words, 6 of which count. Any two substitutions in 9 words leave one whole.
+#: Fixed masks over 9 words, 6 of which count (5 in the last two, spread wider). One substitution
+#: anywhere in 9 words leaves at least one seed whole.
 MASKS = ("111111000", "000111111", "111000111", "110110110", "101101101", "011011011", "110101011", "101011110")
 #: Aligned words that must agree: this many, and this share of the overlap of item and text.
 LEAST_WORDS = 8

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, ngram_join, pii, quality_rules, sharding
+from . import decontamination, licenses, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, toxicity
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, files).select("doc_id", "path", "own_licence", "similarity", "licence", "inherited_from")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "shard", "shard_depth", "shard_bytes", "doc_bytes")
 
@@ -35,11 +43,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_mixing": op2_mixing, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op10_ngram_join": op10_ngram_join}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_mixing, op3_toxicity, op4_pii, op5_licenses, op6_lm_scoring, op7_sharding, op8_decontamination, op9_quality_classifier, op10_ngram_join)
+}
 
 ORACLES = {
     "op2_mixing": r"""
