@@ -1,0 +1 @@
+"""Statuta: analytics over collections of regulatory documents, as Spark DataFrame jobs."""

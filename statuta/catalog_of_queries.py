@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from . import queries
+from .queries import catalog, chunks, graph, parsing, retrieval, sources, streams, versions  # noqa: F401  (they register)
+
+QUERIES = queries.QUERIES
+ORACLES = queries.ORACLES
+FLAGSHIP = retrieval.ask_hybrid
