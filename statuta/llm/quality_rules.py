@@ -20,8 +20,6 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 ITERATIONS = 12
 KEEP_AT = 0.5
-#: A rule is never thought worse than a coin nor perfect.
-ACCURACY = (0.55, 0.99)
 
 
 def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -66,60 +64,97 @@ def _dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, 0).when(good, 1)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    v = F.when(bad, 0)
+    return v if good is None else v.when(good, 1)
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote from the columns of counts(): 1 good, 0 bad, null abstains."""
+    """Each rule's vote from the columns of counts(): 1 good, 0 bad, null abstains. Rules that know
+    one kind of junk only ever vote bad; a few speak for a text."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    share = {c: F.col(c) / n for c in ("n_symbols", "n_repeat_words", "n_distinct", "n_upper", "word_chars", "n_dup_lines")}
+    share = {c: F.col(c) / n for c in ("n_symbols", "n_repeat_words", "n_distinct", "word_chars")}
     some = F.col("n_words") >= 10
+    # speaks for a text only where neither symbols nor capitals nor repeats stand out
+    calm = (share["n_symbols"] < 0.03) & (F.col("n_upper") < 0.2 * F.col("word_chars")) & (share["n_repeat_words"] < 0.05)
     return {
-        "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 20),
-        "repeats": _vote(share["n_repeat_words"] > 0.15, some & (share["n_repeat_words"] < 0.05)),
-        "symbols": _vote(share["n_symbols"] > 0.25, some & (share["n_symbols"] < 0.03)),
-        "upper": _vote(some & (F.col("n_upper") > 0.5 * F.col("word_chars")), some & (F.col("n_upper") < 0.2 * F.col("word_chars"))),
-        "word_length": _vote((share["word_chars"] < 2) | (share["word_chars"] > 14), some & share["word_chars"].between(3, 10)),
-        "variety": _vote(some & (share["n_distinct"] < 0.15), (F.col("n_words").between(10, 400)) & (share["n_distinct"] > 0.4)),
-        "dup_lines": _vote(F.col("n_dup_lines") * 8 > F.col("n_words"), F.when(some & (F.col("n_dup_lines") == 0), True)),
+        "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 30),
+        "repeats": _vote(share["n_repeat_words"] > 0.15),
+        "symbols": _vote(share["n_symbols"] > 0.1),
+        "upper": _vote(some & (F.col("n_upper") > 0.5 * F.col("word_chars"))),
+        "word_length": _vote((share["word_chars"] < 2.5) | (share["word_chars"] > 15), some & share["word_chars"].between(3, 10)),
+        "variety": _vote(F.col("n_words").between(20, 500) & (share["n_distinct"] < 0.2), some & calm & (share["n_distinct"] > 0.2)),
+        "dup_lines": _vote(F.col("n_dup_lines") * 8 > F.col("n_words")),
     }
 
 
-def posterior(votes: list[str], prior: float, accuracy: dict[str, float]) -> Column:
+#: (P(votes bad | bad), P(votes bad | good), P(votes good | good), P(votes good | bad)) of every
+#: rule before the data are seen, and how many documents that belief weighs.
+START, BELIEF = (0.3, 0.01, 0.8, 0.5), 10.0
+#: A bad vote is at least LEAST_BAD times likelier for a bad text than for a good one; a good vote
+#: is never a bad sign. No vote counts more than MOST_RATIO.
+LEAST_BAD, LEAST_GOOD, MOST_RATIO = 10.0, 1.0, 1000.0
+Rates = dict[str, tuple[float, float, float, float]]
+
+
+def posterior(votes: list[str], prior: float, rates: Rates) -> Column:
     """P(good | votes); an abstention says nothing."""
 
-    def side(good: int) -> Column:
+    def side(good: bool) -> Column:
         p = F.lit(prior if good else 1 - prior)
         for v in votes:
-            a = accuracy[v]
-            p = p * F.when(F.col(v).isNull(), 1.0).when(F.col(v) == good, a).otherwise(1 - a)
+            bad_bad, bad_good, good_good, good_bad = rates[v]
+            p = p * F.when(F.col(v).isNull(), 1.0).when(F.col(v) == 1, good_good if good else good_bad).otherwise(bad_good if good else bad_bad)
         return p
 
-    return side(1) / (side(1) + side(0))
+    return side(True) / (side(True) + side(False))
+
 
+def _held(right: float, wrong: float, least: float) -> tuple[float, float]:
+    """The rate of right votes, and that of wrong ones within the bounds of their ratio."""
+    return right, min(right / least, max(right / MOST_RATIO, wrong))
 
-def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> tuple[float, dict[str, float]]:
-    """Share of good documents and each rule's accuracy, by expectation maximisation.
+
+def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> tuple[float, Rates]:
+    """Share of good documents and each rule's rates of right and wrong votes, by expectation
+    maximisation.
 
     Works on the histogram of vote patterns, at most 3 ** rules rows whatever the input; each
     step is one aggregation of it. No votes at all give the starting values.
     """
     hist = staged(votes.groupBy(*names).count().coalesce(1), "votes")
-    prior, accuracy = 0.8, dict.fromkeys(names, 0.8)
+    prior, rates = 0.8, dict.fromkeys(names, START)
     for _ in range(iterations):
-        p = posterior(names, prior, accuracy)
-        right = {v: F.sum(F.when(F.col(v) == 1, p * F.col("count")).when(F.col(v) == 0, (1 - p) * F.col("count"))) for v in names}
-        cast = {v: F.sum(F.when(F.col(v).isNotNull(), F.col("count"))) for v in names}
-        r = hist.agg(F.sum("count").alias("n"), F.sum(p * F.col("count")).alias("good"), *[right[v].alias(f"r_{v}") for v in names], *[cast[v].alias(f"c_{v}") for v in names]).first()
+        p = posterior(names, prior, rates) * F.col("count")
+        sums = {"n": F.sum("count"), "good": F.sum(p)}
+        for v in names:
+            for value in (0, 1):
+                sums[f"{v}_{value}_all"] = F.sum(F.when(F.col(v) == value, F.col("count")))
+                sums[f"{v}_{value}_good"] = F.sum(F.when(F.col(v) == value, p))
+        r = hist.agg(*[c.alias(k) for k, c in sums.items()]).first()
         if not r["n"]:
             break
-        was = prior
-        prior = min(0.98, max(0.02, r["good"] / r["n"]))
-        accuracy = {v: min(ACCURACY[1], max(ACCURACY[0], (r[f"r_{v}"] + 4.0) / (r[f"c_{v}"] + 5.0))) if r[f"c_{v}"] else accuracy[v] for v in names}
+        was, good, bad = prior, r["good"], r["n"] - r["good"]
+        prior = min(0.98, max(0.02, good / r["n"]))
+        for v in names:
+            n0, n1 = r[f"{v}_0_all"] or 0, r[f"{v}_1_all"] or 0
+            g0, g1 = r[f"{v}_0_good"] or 0.0, r[f"{v}_1_good"] or 0.0
+            rate = lambda x, of, start: (x + BELIEF * start) / (of + BELIEF)
+            bad_bad, bad_good = _held(rate(n0 - g0, bad, START[0]), rate(g0, good, START[1]), LEAST_BAD)
+            good_good, good_bad = _held(rate(g1, good, START[2]), rate(n1 - g1, bad, START[3]), LEAST_GOOD)
+            rates[v] = (bad_bad, bad_good, good_good, good_bad)
         if abs(was - prior) < 1e-6:
             break
-    return prior, accuracy
+    return prior, rates
+
+
+def accuracy(prior: float, rates: Rates) -> dict[str, float]:
+    """The share of each rule's votes that are right, by the model."""
+    out = {}
+    for v, (bb, bg, gg, gb) in rates.items():
+        right, wrong = (1 - prior) * bb + prior * gg, prior * bg + (1 - prior) * gb
+        out[v] = right / (right + wrong)
+    return out
 
 
 def base_failed() -> Column:
@@ -135,8 +170,7 @@ def judged(docs: DataFrame, keep: list[str], make_rules: Callable[[], dict[str,
     made = make_rules()
     df = staged(counts(docs, keep).withColumns({f"vote_{k}": v for k, v in made.items()}), "rule-counts")
     names = [f"vote_{k}" for k in made]
-    prior, accuracy = fit(df, names)
-    df = df.withColumn("quality", posterior(names, prior, accuracy)).withColumn("base_failed", base_failed())
+    df = df.withColumn("quality", posterior(names, *fit(df, names))).withColumn("base_failed", base_failed())
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
 
 
