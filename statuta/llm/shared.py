@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 _TRIM = " \t\n\x0b\x0c\r"
 
+#: Tables that staged() has written, for sweep().
+_written: list[str] = []
+
 #: Rows up to which a lookup table may be broadcast; its size is counted first.
 BROADCAST_ROWS = 500_000
 
@@ -30,6 +33,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what stands above."""
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,3 +71,11 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the tables that staged() wrote for this session; call it when results are written."""
+    jvm = spark._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
