@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries
-from .queries import catalog, chunks, graph, parsing, retrieval, sources, streams, versions  # noqa: F401  (they register)
+from .queries import admin, catalog, chunks, graph, parsing, retrieval, sources, streams, versions  # noqa: F401  (they register)
 
 QUERIES = queries.QUERIES
 ORACLES = queries.ORACLES

@@ -27,16 +27,13 @@ def tree_counts(nodes: DataFrame) -> DataFrame:
 
 
 def nested_tree(nodes: DataFrame) -> DataFrame:
-    """(root, subpart, sections): sections and articles as nested arrays, in display order.
-
-    One group holds an article, then a section, then a subpart, each bounded by the document.
-    """
+    """One row an article: root, subpart, section, the keys that order it there, and
+    its nodes as a sorted array. An article is the largest group gathered; whole documents are
+    left as rows, which a page reads in the order of the keys."""
     r = tree_rows(nodes)
     item = F.struct(type_rank(F.col("node_type")).alias("rank"), F.col("reference_code").startswith("Appendix").alias("appendix"), "reference_code", "node_id", "node_type")
-    arts = r.groupBy("root", "subpart_key", "section_key", "article").agg(F.sort_array(F.collect_list(item)).alias("nodes"))
     num = F.coalesce(F.nullif(F.regexp_replace(F.element_at(F.split("article", r"\."), -1), "[^0-9]", ""), F.lit("")).try_cast("long"), F.lit(0))
-    secs = arts.groupBy("root", "subpart_key", "section_key").agg(F.sort_array(F.collect_list(F.struct((F.col("article") == "§Appendices").alias("last"), num.alias("num"), "article", "nodes"))).alias("articles"))
-    return secs.groupBy("root", "subpart_key").agg(F.sort_array(F.collect_list(F.struct((F.col("section_key") != "").alias("named"), F.get(F.col("articles.num"), F.lit(0)).alias("first"), "section_key", "articles"))).alias("sections"))
+    return r.groupBy("root", "subpart_key", "section_key", "article").agg(F.sort_array(F.collect_list(item)).alias("nodes")).select("root", "subpart_key", "section_key", "article", (F.col("article") == "§Appendices").alias("last"), num.alias("number"), "nodes")
 
 
 def subpart_rank(name):

@@ -81,7 +81,7 @@ def tree_counts(spark, sf_dir):
 
 @query()
 def tree_nested(spark, sf_dir):
-    """The whole tree as nested arrays."""
+    """The whole tree, an article a row with its nodes."""
     return t.nested_tree(v.nodes(spark, sf_dir))
 
 

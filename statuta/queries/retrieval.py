@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
@@ -82,8 +83,10 @@ def best_per_parent(spark, sf_dir):
 
 @query()
 def source_dedup(spark, sf_dir):
-    """Per label the hits in order, without those whose parent or base reference was kept."""
-    h = v.read(spark, sf_dir, "embeddings").select("label", F.struct("vec_id", (F.col("vec_id") % 11).alias("parent"), (F.col("vec_id") * 7 % 13).alias("ref")).alias("h"))
+    """Per label the pool of the first 20 hits (the method's), without those whose parent
+    or base reference was kept."""
+    h = v.read(spark, sf_dir, "embeddings").select("label", "vec_id", F.struct("vec_id", (F.col("vec_id") % 11).alias("parent"), (F.col("vec_id") * 7 % 13).alias("ref")).alias("h"))
+    h = h.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("place <= 20")
     g = h.groupBy("label").agg(F.sort_array(F.collect_list("h")).alias("hits"))
     return g.select("label", F.explode(keep_unseen(F.col("hits"), lambda x: x["parent"], lambda x: x["ref"])).alias("k")).select("label", "k.vec_id", "k.parent", "k.ref")
 

@@ -27,6 +27,7 @@ def relation_rows(docs: DataFrame) -> DataFrame:
 
 
 def write(nodes: DataFrame, path: str) -> None:
-    """Documents as JSON lines, one a document, with their nodes."""
+    """Documents as JSON lines, one a document, with their nodes; a document's nodes meet in one
+    row, so source_doc_id must name a document and not a collection."""
     one = F.struct(F.col("node_type").alias("type"), F.col("reference_code").alias("ref"), "title", F.col("hierarchy_path").alias("hierarchy"), F.col("content_text").alias("text"))
     nodes.groupBy(F.col("source_doc_id").alias("title")).agg(F.collect_list(one).alias("nodes")).write.mode("overwrite").json(path)
