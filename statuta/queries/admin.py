@@ -21,13 +21,13 @@ grp AS (SELECT DISTINCT md5('GROUP' || chr(1) || root || chr(1) || subpart) AS g
 @query(f"WITH {_GROUPS} SELECT group_id, root, subpart FROM grp")
 def group_nodes(spark, sf_dir):
     """A11."""
-    return a.groups(v.nodes(spark, sf_dir))
+    return a.groups(v.nodes(spark, sf_dir, text=False))
 
 
 @query(f"WITH {_GROUPS} SELECT g.group_id AS source_node_id, p.node_id AS target_node_id, 'CONTAINS' AS relation FROM grp g JOIN placed p ON p.root = g.root AND starts_with(p.subpart, g.subpart)")
 def contains_edges(spark, sf_dir):
     """J12."""
-    n = v.nodes(spark, sf_dir)
+    n = v.nodes(spark, sf_dir, text=False)
     return a.contains_edges(a.groups(n), n)
 
 
@@ -90,7 +90,7 @@ def url_flags(spark, sf_dir):
 @query(f"""WITH {v.NODES} SELECT source_doc_id, ARG_MIN(node_id, (CASE WHEN node_type = 'IR' THEN 0 ELSE 1 END, pos)) AS node_id FROM nodes GROUP BY 1""")
 def default_node(spark, sf_dir):
     """The node that a document opens at, its first IR or else its first."""
-    return v.nodes(spark, sf_dir).groupBy("source_doc_id").agg(F.min_by("node_id", F.struct((F.col("node_type") != "IR").cast("int"), F.col("pos"))).alias("node_id"))
+    return v.nodes(spark, sf_dir, text=False).groupBy("source_doc_id").agg(F.min_by("node_id", F.struct((F.col("node_type") != "IR").cast("int"), F.col("pos"))).alias("node_id"))
 
 
 @query("SELECT event_type, ARG_MAX(event_id, (ts, event_id)) AS event_id, MAX(ts) AS fetched_at FROM events GROUP BY 1")
@@ -135,13 +135,13 @@ def key_remap(spark, sf_dir):
 @query(f"WITH {v.NODES} SELECT node_type, COUNT(*) AS n FROM nodes WHERE node_type IN ('IR', 'AMC', 'GM', 'CS', 'GROUP') GROUP BY 1")
 def type_counts(spark, sf_dir):
     """A20, with the closed list of types."""
-    return a.allowed(v.nodes(spark, sf_dir), "node_type", NODE_TYPES).groupBy("node_type").agg(F.count("*").alias("n"))
+    return a.allowed(v.nodes(spark, sf_dir, text=False), "node_type", NODE_TYPES).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {v.NODES} SELECT source_doc_id, bare_code AS article, string_agg(reference_code, ',' ORDER BY CASE node_type WHEN 'IR' THEN 0 WHEN 'CS' THEN 0 WHEN 'AMC' THEN 1 ELSE 2 END, reference_code, node_id) AS refs FROM nodes GROUP BY 1, 2""")
 def article_groups(spark, sf_dir):
     """An article's nodes in display order."""
-    n = v.nodes(spark, sf_dir).select("source_doc_id", article_code(F.col("reference_code")).alias("article"), F.struct(type_rank(F.col("node_type")).alias("r"), "reference_code", "node_id").alias("x"))
+    n = v.nodes(spark, sf_dir, text=False).select("source_doc_id", article_code(F.col("reference_code")).alias("article"), F.struct(type_rank(F.col("node_type")).alias("r"), "reference_code", "node_id").alias("x"))
     return n.groupBy("source_doc_id", "article").agg(F.array_join(F.sort_array(F.collect_list("x"))["reference_code"], ",").alias("refs"))
 
 

@@ -28,7 +28,7 @@ def entries(spark):
 
 
 def _keyed(spark, sf_dir):
-    n = v.nodes(spark, sf_dir)
+    n = v.nodes(spark, sf_dir, text=False)
     return n.select(F.col("source_doc_id").alias("doc_id"), "reference_code", F.concat_ws(" / ", F.get(F.split("hierarchy_path", " / "), F.lit(0)), F.get(F.split("hierarchy_path", " / "), F.lit(1))).alias("root"))
 
 
@@ -69,33 +69,33 @@ def catalog_source_status(spark, sf_dir):
 def documents_summary(spark, sf_dir):
     """A21, A3."""
     root = F.split_part("hierarchy_path", F.lit(" / "), F.lit(1))
-    return v.nodes(spark, sf_dir).where("node_type <> 'GROUP'").groupBy(doc_label(root).alias("root")).agg(F.count("*").alias("nodes"))
+    return v.nodes(spark, sf_dir, text=False).where("node_type <> 'GROUP'").groupBy(doc_label(root).alias("root")).agg(F.count("*").alias("nodes"))
 
 
 @query(f"""WITH {v.NODES}, k AS (SELECT *, split_part(hierarchy_path, ' / ', 1) AS root, upper(split_part(hierarchy_path, ' / ', 2)) AS subpart_key, split_part(hierarchy_path, ' / ', 3) AS section FROM nodes)
 SELECT root, subpart_key, upper(section) AS section_key, COUNT(*) AS nodes, COUNT(DISTINCT bare_code) AS articles, MIN(replace(bare_code, '.', '')::BIGINT) AS min_article, MIN(section) AS section_label FROM k GROUP BY 1, 2, 3""")
 def tree_counts(spark, sf_dir):
     """A22, A27."""
-    return t.tree_counts(v.nodes(spark, sf_dir))
+    return t.tree_counts(v.nodes(spark, sf_dir, text=False))
 
 
 @query()
 def tree_nested(spark, sf_dir):
     """The whole tree, an article a row with its nodes."""
-    return t.nested_tree(v.nodes(spark, sf_dir))
+    return t.nested_tree(v.nodes(spark, sf_dir, text=False))
 
 
 @query(f"""WITH {v.NODES} SELECT source_doc_id, string_agg(DISTINCT node_type, ',' ORDER BY node_type) AS types, COUNT(DISTINCT reference_code) AS refs FROM nodes GROUP BY 1""")
 def type_presence(spark, sf_dir):
     """A25."""
-    return v.nodes(spark, sf_dir).groupBy("source_doc_id").agg(F.array_join(F.sort_array(F.collect_set("node_type")), ",").alias("types"), F.count_distinct("reference_code").alias("refs"))
+    return v.nodes(spark, sf_dir, text=False).groupBy("source_doc_id").agg(F.array_join(F.sort_array(F.collect_set("node_type")), ",").alias("types"), F.count_distinct("reference_code").alias("refs"))
 
 
 @query(f"""WITH {v.NODES} SELECT node_id, split_part(bare_code, '.', 2)::BIGINT AS article_number, ROW_NUMBER() OVER (PARTITION BY source_doc_id ORDER BY split_part(bare_code, '.', 2)::BIGINT, bare_code,
 CASE node_type WHEN 'IR' THEN 0 WHEN 'CS' THEN 0 WHEN 'AMC' THEN 1 ELSE 2 END, reference_code, node_id) AS place FROM nodes""")
 def natural_sort(spark, sf_dir):
     """The display order of a document's nodes as a rank."""
-    n = v.nodes(spark, sf_dir).withColumn("article", article_code(F.col("reference_code")))
+    n = v.nodes(spark, sf_dir, text=False).withColumn("article", article_code(F.col("reference_code")))
     number = F.regexp_replace(F.element_at(F.split("article", r"\."), -1), "[^0-9]", "").cast("long")
     w = Window.partitionBy("source_doc_id").orderBy("article_number", "article", type_rank(F.col("node_type")), "reference_code", "node_id")
     return n.withColumn("article_number", number).select("node_id", "article_number", F.row_number().over(w).cast("long").alias("place"))

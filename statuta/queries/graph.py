@@ -31,7 +31,7 @@ def node_lookup(spark, sf_dir):
 FROM edges e JOIN nodes m ON m.node_id = e.target_node_id JOIN nodes s ON s.node_id = e.source_node_id AND s.node_type = 'AMC'""")
 def neighbors_out(spark, sf_dir):
     """What every AMC node points to."""
-    n = v.nodes(spark, sf_dir)
+    n = v.nodes(spark, sf_dir, text=False)
     return g.neighbours(v.edges(spark, sf_dir), n, n.where("node_type = 'AMC'"), "out")
 
 
@@ -39,7 +39,7 @@ def neighbors_out(spark, sf_dir):
 FROM edges e JOIN nodes m ON m.node_id = e.source_node_id JOIN nodes s ON s.node_id = e.target_node_id AND s.node_type IN ('IR', 'CS') WHERE e.relation <> 'REFERENCES'""")
 def neighbors_in(spark, sf_dir):
     """What explains every base article."""
-    n = v.nodes(spark, sf_dir)
+    n = v.nodes(spark, sf_dir, text=False)
     return g.neighbours(v.edges(spark, sf_dir).where("relation <> 'REFERENCES'"), n, n.where("node_type IN ('IR', 'CS')"), "in")
 
 
@@ -49,7 +49,7 @@ def neighbors_in(spark, sf_dir):
 FROM edges e JOIN nodes m ON m.node_id = e.source_node_id GROUP BY 1, 2, 3""")
 def neighbors_by_relation(spark, sf_dir):
     """Incoming neighbours by relation in the fixed order, items by type."""
-    n = v.nodes(spark, sf_dir)
+    n = v.nodes(spark, sf_dir, text=False)
     hit = g.neighbours(v.edges(spark, sf_dir), n, F.lit(True), "in")
     item = F.struct(g.type_rank(F.col("neighbour_type")).alias("r"), F.col("neighbour_ref").alias("ref"))
     return hit.groupBy("node_id", "relation").agg(F.count("*").alias("neighbours"), F.sort_array(F.collect_list(item)).alias("i")).select("node_id", "relation", g.relation_rank(F.col("relation")).alias("relation_rank"), "neighbours", F.array_join("i.ref", ",").alias("refs"))
@@ -58,7 +58,7 @@ def neighbors_by_relation(spark, sf_dir):
 @query(f"WITH {v.EDGES} SELECT source_node_id, source_ref, target_node_id, target_ref, relation FROM typed")
 def base_article_edges(spark, sf_dir):
     """J15."""
-    return g.base_article_edges(v.nodes(spark, sf_dir))
+    return g.base_article_edges(v.nodes(spark, sf_dir, text=False))
 
 
 @query(f"""WITH {v.NODES}, parsed AS (
@@ -70,7 +70,7 @@ def edge_resolve(spark, sf_dir):
     r = v.node_rows(spark, sf_dir)
     a = r.select(F.col("reference_code").alias("source_ref"), F.col("bare_code").alias("target_ref"), F.lit("IMPLEMENTS").alias("relation"))
     b = r.select(F.col("reference_code").alias("source_ref"), F.concat(F.lit("CS "), F.col("bare_code")).alias("target_ref"), F.lit("REQUIRES").alias("relation"))
-    return g.resolve(a.unionByName(b).distinct(), v.nodes(spark, sf_dir)).distinct()
+    return g.resolve(a.unionByName(b).distinct(), v.nodes(spark, sf_dir, text=False)).distinct()
 
 
 @query("""WITH t AS (SELECT 'n' || doc_id AS source_ref, text AS content_text FROM documents),
@@ -95,7 +95,7 @@ def edges_dedup(spark, sf_dir):
 SELECT a.node_id, b.node_id AS sibling_id, b.reference_code AS sibling_ref FROM k a JOIN k b ON a.bare_code = b.bare_code AND a.root = b.root AND a.node_id <> b.node_id""")
 def siblings(spark, sf_dir):
     """Other nodes of the same article and root; an article has a few nodes."""
-    n = v.nodes(spark, sf_dir).select("node_id", "reference_code", article_code(F.col("reference_code")).alias("article"), F.split_part("hierarchy_path", F.lit(" / "), F.lit(1)).alias("root"))
+    n = v.nodes(spark, sf_dir, text=False).select("node_id", "reference_code", article_code(F.col("reference_code")).alias("article"), F.split_part("hierarchy_path", F.lit(" / "), F.lit(1)).alias("root"))
     b = n.select(F.col("node_id").alias("sibling_id"), F.col("reference_code").alias("sibling_ref"), "article", "root")
     return n.join(b, ["article", "root"]).where("node_id <> sibling_id").select("node_id", "sibling_id", "sibling_ref")
 
@@ -104,7 +104,7 @@ def siblings(spark, sf_dir):
 SELECT source_node_id, target_node_id, relation FROM edges WHERE source_node_id IN (SELECT node_id FROM seen) AND target_node_id IN (SELECT node_id FROM seen)""")
 def graph_visible(spark, sf_dir):
     """Edges seen with GM hidden and the group src3 collapsed."""
-    n = v.nodes(spark, sf_dir)
+    n = v.nodes(spark, sf_dir, text=False)
     collapsed = n.where("source_doc_id = 'src3'").select(F.col("source_doc_id").alias("group_id"), "node_id")
     return g.visible(n, v.edges(spark, sf_dir), ["GM"], collapsed)[1]
 
@@ -113,7 +113,7 @@ def graph_visible(spark, sf_dir):
 SELECT DISTINCT source_node_id, target_node_id, relation FROM edges WHERE source_node_id NOT IN (SELECT node_id FROM few) OR target_node_id NOT IN (SELECT node_id FROM few)""")
 def dangling_edges(spark, sf_dir):
     """Edges left without an end when some nodes go."""
-    return g.dangling(v.edges(spark, sf_dir), v.nodes(spark, sf_dir).where("pos % 3 <> 0"))
+    return g.dangling(v.edges(spark, sf_dir), v.nodes(spark, sf_dir, text=False).where("pos % 3 <> 0"))
 
 
 @query(f"WITH {v.EDGES} SELECT (SELECT COUNT(*) FROM nodes) AS nodes, (SELECT COUNT(*) FROM edges) AS edges, (SELECT COUNT(DISTINCT relation) FROM edges) AS relations, (SELECT MAX(ts) FROM events) AS last_fetch")
@@ -121,7 +121,7 @@ def stats(spark, sf_dir):
     """A2: counts of the tables in one row."""
     one = lambda df, *a: df.agg(*a)
     e = v.edges(spark, sf_dir)
-    return one(v.nodes(spark, sf_dir), F.count("*").alias("nodes")).join(one(e, F.count("*").alias("edges"), F.count_distinct("relation").alias("relations"))).join(one(v.read(spark, sf_dir, "events"), F.max("ts").alias("last_fetch")))
+    return one(v.nodes(spark, sf_dir, text=False), F.count("*").alias("nodes")).join(one(e, F.count("*").alias("edges"), F.count_distinct("relation").alias("relations"))).join(one(v.read(spark, sf_dir, "events"), F.max("ts").alias("last_fetch")))
 
 
 @query(f"WITH {v.NODE_ROWS} SELECT node_type, reference_code, ARG_MIN(node_id, pos) AS node_id, MIN(pos) AS pos FROM node_rows GROUP BY 1, 2")

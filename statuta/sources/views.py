@@ -43,11 +43,13 @@ NODES = NODE_ROWS + """,
 nodes AS (SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_type, reference_code ORDER BY pos) AS rn FROM node_rows) WHERE rn = 1)"""
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored nodes: one a (node_type, reference_code), the first in document order."""
+def nodes(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """Stored nodes: one a (node_type, reference_code), the first in document order. Without text
+    the bodies are neither read nor shuffled."""
     from ..operators.dedup import first_wins
 
-    return first_wins(node_rows(spark, sf_dir), ["node_type", "reference_code"], "pos")
+    rows = node_rows(spark, sf_dir)
+    return first_wins(rows if text else rows.drop("content_text", "title"), ["node_type", "reference_code"], "pos")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     node to the one twenty places before it."""
     from ..operators.graph import base_article_edges
 
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, text=False)
     typed = base_article_edges(n).select("source_node_id", "target_node_id", "relation")
     back = n.select("node_id", (F.col("pos") - 20).alias("at"))
     refs = back.join(n.select(F.col("pos").alias("at"), F.col("node_id").alias("target_node_id")), "at")
