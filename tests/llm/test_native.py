@@ -238,7 +238,7 @@ def test_shards(spark, limit):
     held = {}
     for r in out:
         held.setdefault(r["_shard"], []).append(r)
-    for name, rs in held.items():
+    for rs in held.values():
         size = sum(r["doc_bytes"] for r in rs)
         assert size <= limit or len(rs) == 1
         assert {r["shard_bytes"] for r in rs} == {size}
