@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.versions import upsert
-from ..sinks import write_version
 
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
@@ -46,5 +45,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def read_table_as_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
-
-__all__ = ["event_windows", "first_seen", "harvest", "read_table_as_stream", "sessions", "write_version"]
