@@ -34,6 +34,7 @@ from .shared import bounded_broadcast, free_name, staged
 WIDTH, PERCENT = 5, 80
 ORDERS = 3
 GROUP_SETS = 256
+GROUP_ROWS = 20_000
 #: Bits of the bitmaps that step 4 carries with each prefix token.
 CARRIED_BITS = 2048
 
@@ -252,29 +253,47 @@ def _prefix_rows(percent: int):
     return run
 
 
-def _candidates(percent: int):
-    """Pairs of different components in one block pair (i, j) of a token's sets."""
+#: Blocks of up to so many sets are compared at their leaves, without a tree over them.
+SMALL_BLOCK = 32
+
+
+def _block_pairs(x: slice, y: slice, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, lost: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of row numbers of different components that the bounds leave, from x and y; x is y:
+    each pair of x once."""
+    same = x == y
+    if max(x.stop - x.start, y.stop - y.start) <= SMALL_BLOCK:
+        a, b = np.triu_indices(x.stop - x.start, 1) if same else (v.ravel() for v in np.indices((x.stop - x.start, y.stop - y.start)))
+        a, b = a + x.start, b + y.start
+        apart = comp[a] != comp[b]
+        a, b = a[apart], b[apart]
+        leaves = st.Level(bits, n, n, lost)
+        keep = st._may_link(leaves, a, leaves, b, percent)
+        return np.stack([a[keep], b[keep]], axis=1)
+    tree = st.build(bits[x], n[x])
+    pairs = st.dual_traversal(tree, tree if same else st.build(bits[y], n[y]), percent) + np.array([x.start, y.start])
+    return pairs[comp[pairs[:, 0]] != comp[pairs[:, 1]]]
 
-    def tree(rows: pa.Table):
-        n = rows.column("n").to_numpy()
-        comp = rows.column("component").to_numpy()
-        order = np.lexsort((n, comp))
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-        return rows.column("id").to_numpy()[order], comp[order], st.build(bits[order], n[order])
+
+def _candidates(percent: int):
+    """Pairs of different components over the (token, i, j) blocks of one group of blocks."""
 
     def run(key, table):
-        side = table.column("side").to_numpy()
-        ids, comp, x = tree(table.filter(pa.array(side == 0)))
-        if (side == 1).any():
-            ids2, comp2, y = tree(table.filter(pa.array(side == 1)))
-        elif key[1].as_py() != key[2].as_py():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        else:
-            ids2, comp2, y = ids, comp, x
-        pairs = st.dual_traversal(x, y, percent)
-        pairs = pairs[comp[pairs[:, 0]] != comp2[pairs[:, 1]]]
-        a, b = ids[pairs[:, 0]], ids2[pairs[:, 1]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        token, i, j, side, n, comp, ids = (table.column(c).to_numpy() for c in ("token", "i", "j", "side", "n", "component", "id"))
+        order = np.lexsort((n, comp, side, j, i, token))  # like sets stand together in a block
+        token, i, j, side, n, comp, ids = (v[order] for v in (token, i, j, side, n, comp, ids))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(order), -1)[order]
+        lost = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        cut = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            if i[a] == j[a]:
+                found.append(_block_pairs(slice(a, b), slice(a, b), ids, comp, n, bits, lost, percent))
+            elif side[a] != side[b - 1]:
+                middle = a + int(np.searchsorted(side[a:b], 1))
+                found.append(_block_pairs(slice(a, middle), slice(middle, b), ids, comp, n, bits, lost, percent))
+        pairs = ids[np.concatenate(found)]
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -305,7 +324,11 @@ def _open_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     # a set goes to every pair of blocks that its block is in
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"), (F.col("part") > q).cast("int").alias("side"))))
     rows = rows.withColumn("p", pair).select("token", "p.i", "p.j", "p.side", "id", "n", "component", "bits")
-    found = staged(rows.groupBy("token", "i", "j").applyInArrow(_candidates(percent), "a long, b long").distinct(), "candidates")
+    rows = staged(rows, "open-blocks")
+    # many small blocks a call: a block has at most two parts, a group about GROUP_ROWS rows
+    groups = max(1, rows.count() // GROUP_ROWS)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
+    found = staged(rows.groupBy("group").applyInArrow(_candidates(percent), "a long, b long").distinct(), "candidates")
     tokens = alive.select("id", "tokens")
     both = found.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")

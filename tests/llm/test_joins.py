@@ -48,6 +48,8 @@ def test_real_rows(spark, sf_dir):
 def test_small_groups_and_blocks(spark, monkeypatch):
     """Groups cut into parts give the same classes."""
     monkeypatch.setattr(nj, "GROUP_SETS", 4)
+    monkeypatch.setattr(nj, "SMALL_BLOCK", 2)
+    monkeypatch.setattr(nj, "GROUP_ROWS", 100)
     rows = family_rows(8)
     for orders in (1, 0):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.classes(docs(spark, rows), 4, 85, orders).collect()}
