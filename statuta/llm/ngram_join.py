@@ -35,6 +35,8 @@ WIDTH, PERCENT = 5, 80
 ORDERS = 3
 GROUP_SETS = 256
 GROUP_ROWS = 20_000
+#: Tokens that a task holds before it deals them out.
+DEALT_TOKENS = 500_000
 #: Bits of the bitmaps that step 4 carries with each prefix token.
 CARRIED_BITS = 2048
 
@@ -153,9 +155,14 @@ def _n_buckets(df: DataFrame) -> int:
 
 
 def _deal_texts(width: int, percent: int, buckets: int):
+    def dealt(tokens: list[np.ndarray], groups: list[np.ndarray]) -> pa.RecordBatch:
+        g = np.concatenate(groups)
+        rows = list(_deal(np.concatenate(tokens), g, g, buckets))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, groups, seen = [], [], set()
+            tokens, groups, seen, held = [], [], set(), 0
             for s in slices(batch.column(0)):
                 for t in shingle_sets(s, width):
                     n = len(t)
@@ -165,10 +172,12 @@ def _deal_texts(width: int, percent: int, buckets: int):
                         p = int(prefix_length(n, percent))
                         tokens.append(t[:p])
                         groups.append(np.full(min(p, n), g, dtype=np.uint64))
+                        held += p
+                if held > DEALT_TOKENS:
+                    yield dealt(tokens, groups)
+                    tokens, groups, held = [], [], 0
             if tokens:
-                g = np.concatenate(groups)
-                rows = list(_deal(np.concatenate(tokens), g, g, buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+                yield dealt(tokens, groups)
 
     return run
 
@@ -319,14 +328,13 @@ def _open_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         return alive.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     rows = alive.mapInArrow(_prefix_rows(percent), "token long, id long, n long, component long, bits binary")
     rows = staged(rows, "open-prefixes")
+    groups = max(1, rows.count() // GROUP_ROWS)
     sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / F.lit(4 * GROUP_SETS)).cast("int").alias("parts"), F.count_distinct("component").alias("comps")).where("comps > 1").select("token", "parts")
     rows = rows.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a set goes to every pair of blocks that its block is in
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"), (F.col("part") > q).cast("int").alias("side"))))
     rows = rows.withColumn("p", pair).select("token", "p.i", "p.j", "p.side", "id", "n", "component", "bits")
-    rows = staged(rows, "open-blocks")
     # many small blocks a call: a block has at most two parts, a group about GROUP_ROWS rows
-    groups = max(1, rows.count() // GROUP_ROWS)
     rows = rows.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
     found = staged(rows.groupBy("group").applyInArrow(_candidates(percent), "a long, b long").distinct(), "candidates")
     tokens = alive.select("id", "tokens")
