@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import signature_tree as st
 from .components import components
 from .kernel import mix, shingle_sets, slices
-from .shared import bounded_broadcast, free_name, staged
+from .shared import bounded_broadcast, free_name, join_hot, staged
 
 WIDTH, PERCENT = 5, 80
 ORDERS = 3
@@ -237,7 +237,7 @@ def _grouped_links(sets: DataFrame, percent: int, orders: int) -> DataFrame:
     light = sets.select("id", F.posexplode("keys").alias("r", "key"))
     sizes = light.groupBy("r", "key").agg(F.count("*").alias("members")).where("members > 1")
     parts = F.ceil(F.col("members") / F.lit(GROUP_SETS))
-    cut = light.join(sizes, ["r", "key"]).select("id", "r", "key", F.pmod(F.xxhash64("id", "r"), parts).cast("int").alias("part"))
+    cut = join_hot(light, sizes, ["r", "key"], orders * sets.count()).select("id", "r", "key", F.pmod(F.xxhash64("id", "r"), parts).cast("int").alias("part"))
     grouped = cut.join(sets.select("id", "tokens"), "id")
     return grouped.groupBy("r", "key", "part").applyInArrow(_link_group(percent), "a long, b long")
 
@@ -320,7 +320,7 @@ def _verify(percent: int):
 def _open_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links between different components that step 3 has not found. sets: (id, n, tokens)."""
     placed = sets.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "tokens", "n")
-    buckets = _n_buckets(placed)
+    buckets = _n_buckets(sets)
     shared = _count_shared(placed.select("id", "component", "tokens").mapInArrow(_deal_sets(percent, buckets), "bucket int, blob binary"))
     need = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(3 * (100 - percent)) * F.floor((F.lit(percent) * F.col("n") + 99) / 100) / 300))
     alive = staged(placed.join(shared, placed["id"] == shared["unit"]).where(F.col("shared") >= need).select("id", "component", "tokens"), "open")
@@ -328,9 +328,10 @@ def _open_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
         return alive.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     rows = alive.mapInArrow(_prefix_rows(percent), "token long, id long, n long, component long, bits binary")
     rows = staged(rows, "open-prefixes")
-    groups = max(1, rows.count() // GROUP_ROWS)
-    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / F.lit(4 * GROUP_SETS)).cast("int").alias("parts"), F.count_distinct("component").alias("comps")).where("comps > 1").select("token", "parts")
-    rows = rows.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    total = rows.count()
+    groups = max(1, total // GROUP_ROWS)
+    sizes = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "members", F.ceil(F.col("members") / F.lit(4 * GROUP_SETS)).cast("int").alias("parts"))
+    rows = join_hot(rows, sizes, ["token"], total).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a set goes to every pair of blocks that its block is in
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"), (F.col("part") > q).cast("int").alias("side"))))
     rows = rows.withColumn("p", pair).select("token", "p.i", "p.j", "p.side", "id", "n", "component", "bits")

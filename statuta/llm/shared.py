@@ -18,6 +18,10 @@ _written: list[str] = []
 #: Rows up to which a lookup table may be broadcast; its size is counted first.
 BROADCAST_ROWS = 500_000
 
+#: A key with more than rows / HOT_KEYS rows is joined from a broadcast table, which has fewer than
+#: HOT_KEYS rows whatever the data.
+HOT_KEYS = 1 << 16
+
 
 def stage_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
@@ -43,6 +47,17 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFr
     return (F.broadcast(df), True) if small else (df, False)
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, members: str = "members") -> DataFrame:
+    """The inner join of rows with keyed, which has one row a key and in ``members`` how many of
+    the ``total`` rows have it, or more. Hot keys are joined where their rows are; of the others
+    no key brings a task more than total / HOT_KEYS rows."""
+    if total <= HOT_KEYS:
+        return rows.join(F.broadcast(keyed), on)
+    is_hot = F.col(members) > total / HOT_KEYS
+    hot, cold = F.broadcast(keyed.where(is_hot)), keyed.where(~is_hot)
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(keyed.where(is_hot).select(*on)), on, "left_anti").join(cold, on))
+
+
 def words(text: Column | str) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     text = F.col(text) if isinstance(text, str) else text

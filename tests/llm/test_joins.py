@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from statuta.llm import decontamination as dc
 from statuta.llm import ngram_join as nj
+from statuta.llm import shared
 from statuta.llm import signature_tree as tree
 from statuta.llm.components import components
 from tests.llm.helpers import AWKWARD, DDL, PLAIN, clash, docs, lower, words
@@ -56,6 +57,24 @@ def test_small_groups_and_blocks(spark, monkeypatch):
         assert got == brute(rows, 4, 85)
 
 
+def test_hot_keys(spark, monkeypatch):
+    """Keys joined from the broadcast table, by shuffle, or both, give the same."""
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(90)] + [(99, 0)], "key long, v long")
+    keyed = rows.groupBy("key").count().withColumnRenamed("count", "members").where("members > 1")
+    want = sorted(map(tuple, rows.join(keyed, "key").collect()))
+    for most in (1 << 16, 8, 3, 1):
+        monkeypatch.setattr(shared, "HOT_KEYS", most)
+        assert sorted(map(tuple, shared.join_hot(rows, keyed, ["key"], 91).select("key", "v", "members").collect())) == want
+    monkeypatch.setattr(shared, "HOT_KEYS", 4)
+    rows = family_rows(5)
+    for orders in (1, 0):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.classes(docs(spark, rows), 4, 85, orders).collect()}
+        assert got == brute(rows, 4, 85)
+    edges = [(k, 0) for k in range(1, 40)] + [(50, 51), (51, 52)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(40), 0) | {50: 50, 51: 50, 52: 50}
+
+
 def test_join_awkward(spark):
     d = clash(docs(spark, AWKWARD))
     out = nj.one_of_each(d)
