@@ -2,13 +2,15 @@
 
 A seed is a mask over consecutive words: positions marked 0 are ignored, so a substituted
 word there does not hide a hit. Hashes of the benchmark's seeds are joined with those of the
-documents; every hit's diagonal is then compared word by word, and a document counts as
-contaminated when enough words of an item agree in place.
+documents; every hit's diagonal is then compared word by word, diagonals of one item and text are
+also joined across inserted and missing words, and a document counts as contaminated when enough
+words of an item agree in place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,16 @@ from .shared import bounded_broadcast, free_name, staged
 #: Fixed masks over 9 words, 6 of which count (5 in the last two, spread wider). One substitution
 #: anywhere in 9 words leaves at least one seed whole.
 MASKS = ("111111000", "000111111", "111000111", "110110110", "101101101", "011011011", "110101011", "101011110")
-#: Aligned words that must agree: this many, and this share of the overlap of item and text.
-LEAST_WORDS = 8
+#: A stretch of aligned words counts if this share of it agrees.
 SHARE = 0.8
-#: The overlap must hold this share of the item's words, so that a passing phrase is no leak.
+#: So many words that agree in one stretch are a leak, however long the item is.
+LEAK_WORDS = 13
+#: Fewer are one if the stretch has this share of a short item's words, and at least so many agree.
+LEAST_WORDS = 8
 COVER = 0.6
+#: What a word that agrees is worth to an alignment, and what a word skipped for it costs; more than
+#: it is worth, so that no word of the text pays twice.
+AGREES, SKIPS = 4, 5
 #: Benchmark words that one pass over the documents looks for; more are taken in blocks.
 BLOCK_WORDS = 1_000_000
 
@@ -70,7 +77,8 @@ def seed_hashes(words: np.ndarray, row: np.ndarray, mask: str, number: int) -> t
 
 
 def overlaps(words: np.ndarray, row: np.ndarray, bounds: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int]]:
-    """(row, item, matched words, overlap) of the diagonals that are contaminated."""
+    """(row, item, matched words, overlap) of the diagonals, and of the paths between diagonals of
+    one item and text, that are contaminated."""
     found: set[tuple[int, int, int]] = set()  # text row, item row, diagonal
     for m, mask in enumerate(MASKS):
         h, ok = seed_hashes(words, row, mask, m)
@@ -87,27 +95,85 @@ def overlaps(words: np.ndarray, row: np.ndarray, bounds: np.ndarray, seeds: Seed
             if np.array_equal(words[p : p + b - a], seeds.words[a:b]) and row[p] == row[p + b - a - 1]:
                 found.add((int(row[p]), i, p - int(a)))
     out = []
-    for r, i, shift in sorted(found):
-        a = max(int(seeds.bounds[i]), int(bounds[r]) - shift)
-        b = min(int(seeds.bounds[i + 1]), int(bounds[r + 1]) - shift)
-        same = words[a + shift : b + shift] == seeds.words[a:b]
-        size = int(seeds.bounds[i + 1] - seeds.bounds[i])
-        run, length = best_run(same)
-        whole = run == length == size
-        if whole or (run >= LEAST_WORDS and length >= COVER * size):
-            out.append((r, int(seeds.items[i]), run, length))
+    for (r, i), group in groupby(sorted(found), key=lambda f: f[:2]):
+        shifts = np.array([f[2] for f in group])
+        first, end = int(seeds.bounds[i]), int(seeds.bounds[i + 1])
+        item, low, high = seeds.words[first:end], int(bounds[r]), int(bounds[r + 1])
+        runs = []
+        for shift in shifts.tolist():
+            a, b = max(first, low - shift), min(end, high - shift)
+            runs.append(best_run(words[a + shift : b + shift] == seeds.words[a:b]))
+        if len(shifts) > 1 and max(runs)[0] < len(item):
+            runs.append(best_run(aligned(item, words[low:high], shifts + first - low)))
+        out += [(r, int(seeds.items[i]), run, length) for run, length in runs if leaked(run, length, len(item))]
     return out
 
 
+def leaked(run: int, length: int, size: int) -> bool:
+    """Whether ``run`` words that agree, of a stretch of ``length``, are a leak of an item of ``size``."""
+    return run == length == size or run >= LEAK_WORDS or (run >= LEAST_WORDS and length >= COVER * size)
+
+
 def best_run(same: np.ndarray) -> tuple[int, int]:
-    """(matched, length) of the stretch with the best score, a match being worth 1 - SHARE and a
-    difference costing SHARE, so that matched >= SHARE * length holds in it."""
-    score = np.where(same, 1 - SHARE, -SHARE)
-    total = np.r_[0.0, np.cumsum(score)]
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.argmin(total[: end + 1]))
-    return int(same[begin:end].sum()), end - begin
+    """(matched, length) of the longest stretch with matched >= SHARE * length, without differences
+    at its ends; of equally long ones that with the most matches."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
+    total = np.r_[0, np.cumsum(np.where(same, round(100 * (1 - SHARE)), -round(100 * SHARE)))]
+    # for every match as begin the last match at whose end the total is not lower
+    rest = np.maximum.accumulate(total[at + 1][::-1])
+    end = len(at) - 1 - np.searchsorted(rest, total[at], "left")
+    size = at[end] + 1 - at
+    begin = max(np.flatnonzero(size == size.max()).tolist(), key=lambda k: end[k] - k)
+    return int(end[begin]) - begin + 1, int(size[begin])
+
+
+def aligned(item: np.ndarray, text: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Which words agree along the best path through the item that may change between the given
+    diagonals (text position - item position, ascending); words of the text it skips disagree.
+
+    The totals of every sqrt(n)-th word are kept and those between computed again on the way
+    back, so that memory is sqrt(n) rows of a number a diagonal.
+    """
+    n, number = len(item), np.arange(len(shifts))
+
+    def step(total: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The totals after word q, and which diagonal each came from."""
+        best, source = total, number
+        for way in (1, -1):
+            v = (total + way * SKIPS * shifts)[::way]
+            top = np.maximum.accumulate(v)
+            origin = np.maximum.accumulate(np.where(np.r_[True, v[1:] > top[:-1]], number, 0))
+            top, origin = top[::way] - way * SKIPS * shifts, (origin if way == 1 else len(shifts) - 1 - origin)[::way]
+            best, source = np.maximum(best, top), np.where(top > best, origin, source)
+        p = q + shifts
+        inside = (p >= 0) & (p < len(text))
+        return best + AGREES * (inside & (text[np.clip(p, 0, len(text) - 1)] == item[q])), source
+
+    block = max(1, int(n**0.5))
+    total, kept = np.zeros(len(shifts), np.int64), []
+    for q in range(n):
+        if q % block == 0:
+            kept.append(total)
+        total, _ = step(total, q)
+    d, path = int(np.argmax(total)), np.zeros(n, np.int64)
+    for k in range(len(kept) - 1, -1, -1):
+        total, sources = kept[k], []
+        for q in range(k * block, min(n, (k + 1) * block)):
+            total, source = step(total, q)
+            sources.append(source)
+        for j in range(len(sources) - 1, -1, -1):
+            path[k * block + j] = shifts[d]
+            d = int(sources[j][d])
+    out, last = [], -1
+    for q, p in enumerate((np.arange(n) + path).tolist()):
+        if q and path[q] > path[q - 1]:
+            out += [False] * int(path[q] - path[q - 1])
+        agrees = last < p < len(text) and bool(text[p] == item[q])
+        out.append(agrees)
+        last = p if agrees else last
+    return np.array(out, dtype=bool)
 
 
 def _scan(seeds: Seeds):

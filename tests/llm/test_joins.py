@@ -165,6 +165,31 @@ def test_hits(spark):
     assert {(100, 50), (103, 3), (104, 3)} <= set(got)
 
 
+def test_hits_of_long_and_broken_items(spark):
+    """A long passage is found however long its item is, and across substituted, inserted and
+    missing words; a short phrase of a long item is not."""
+    item = [f"q{i}" for i in range(100)]
+    small = [f"s{i}" for i in range(38)]
+    short = [f"t{i}" for i in range(20)]
+    pad = [f"p{i}" for i in range(30)]
+    cases = {
+        1: item[20:79], 2: item[:13], 3: [w if k % 5 != 4 else "sub" for k, w in enumerate(small)], 4: [*small[:19], "new", *small[19:]], 5: small[:18] + small[19:],
+        6: item[:12], 7: [*short[:7], "new", *short[7:14]], 8: short[:7] + short[8:15], 9: [x for k, w in enumerate(short) for x in (w, "new", "new")], 10: short[:7],
+    }
+    rows = [(k, " ".join(pad + w + pad)) for k, w in cases.items()]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(small)), (3, " ".join(short))], "item_id long, text string")
+    got = {r["doc_id"]: (r["matched"], r["overlap"]) for r in dc.hits(docs(spark, rows), bench).collect()}
+    assert got == {1: (59, 59), 2: (13, 13), 3: (31, 38), 4: (38, 39), 5: (37, 38), 7: (14, 15), 8: (14, 15)}
+    assert {r["doc_id"] for r in dc.clean(docs(spark, rows), bench).collect()} == {6, 9, 10}
+
+
+def test_aligned_uses_no_word_twice():
+    of = lambda t: np.array([ord(c) for c in t])
+    shifts = np.arange(-3, 4)
+    assert dc.aligned(of("abbcdefgh"), of("abcdefgh"), shifts).sum() == 8
+    assert dc.aligned(of("abcdefgh"), of("abcdxyefgh"), shifts).tolist() == [True] * 4 + [False] * 2 + [True] * 4
+
+
 def test_one_substitution_leaves_a_seed():
     for at in range(len(dc.MASKS[0])):
         assert any(m[at] == "0" for m in dc.MASKS)
