@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .shared import bounded_broadcast, free_name, staged
 
 THRESHOLD = 0.6
+#: By so much a bound may miss the threshold, for rounding.
+SLACK = 1e-6
 
 # Short notices by which these licences are declared.
 TEMPLATES = {
@@ -27,8 +31,8 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A line declares a licence only if it has one of these; names that are common words or letters
-#: otherwise count in capitals. Every template has one.
+#: A document whose first line has one of these stands for a licence file; names that are common
+#: words or letters otherwise count in capitals. Lines are compared whether they have one or not.
 ANCHOR = r"(?i:licen[sc]|apache|\bgnu\b|mozilla|creative commons)|\b(?:MIT|BSD|CC)\b"
 _TOKEN = r"[a-z0-9][a-z0-9.-]*[a-z0-9]|[a-z0-9]"
 
@@ -54,15 +58,45 @@ def unknown_idf() -> float:
     return math.log(1 + len(TEMPLATES)) + 1
 
 
+def shares_enough(line: Column, threshold: float) -> Column:
+    """Whether a lower-case line has the letters of terms that can reach the threshold with one
+    template: a cosine is at most the norm of the template's weights of the terms they share."""
+    squares: dict[str, Column] = {}
+    for name, term, v in template_vectors():
+        squares[name] = squares.get(name, F.lit(0.0)) + F.when(F.contains(line, F.lit(term)), v * v).otherwise(0.0)
+    return reduce(or_, [total >= threshold * threshold - SLACK for total in squares.values()])
+
+
+def comes_near(line: Column, threshold: float) -> Column:
+    """Whether the cosine with one template may reach the threshold if no term of a lower-case line
+    came twice: the line's norm is at least that of its terms one by one."""
+    idf, unknown = _idf(), unknown_idf()
+    once = lambda e, f: F.transform(F.array(e), f)[0]  # noqa: E731, evaluates e a single time
+    values = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    total = lambda terms, d: F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(values(d), t), F.lit(0.0)))
+    dots: dict[str, dict[str, float]] = {}
+    for name, term, v in template_vectors():
+        dots.setdefault(name, {})[term] = idf[term] * v
+
+    def near(terms: Column, known: Column) -> Column:
+        square = total(known, {t: x * x for t, x in idf.items()}) + (F.size(terms) - F.size(known)) * unknown * unknown
+        return once(F.sqrt(square), lambda norm: reduce(or_, [total(known, d) >= (threshold - SLACK) * norm for d in dots.values()]))
+
+    terms = F.regexp_extract_all(line, F.lit(f"({_TOKEN})"), F.lit(1))
+    return once(terms, lambda t: once(F.filter(t, lambda x: x.isin(*idf)), lambda known: near(t, known)))
+
+
 def own_licences(spark: SparkSession, files: DataFrame, key: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, licence, similarity, line) of the best line of each file that reaches the threshold;
     line counts from 0. Ties go to the earlier line, then to the name. Null texts have no line.
+    Every line is compared unless a bound from the vectors, worked out within its row, shows that
+    it cannot reach the threshold.
     """
     at, line = "_line", "_text"
-    lines = files.where(F.col(text).rlike(ANCHOR)).select(F.col(key), F.posexplode(F.split(F.col(text), "\n", -1)).alias(at, line)).where(F.col(line).rlike(ANCHOR))
-    lines = staged(lines, "licence-lines")
+    lines = files.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(F.split(F.lower(text), "\n", -1)).alias(at, line))
+    lines = staged(lines.where(shares_enough(F.col(line), threshold) & comes_near(F.col(line), threshold)), "licence-lines")
     idf = F.create_map(*[F.lit(x) for kv in _idf().items() for x in kv])
-    terms = lines.select(key, at, F.explode(F.regexp_extract_all(F.lower(line), F.lit(f"({_TOKEN})"), F.lit(1))).alias("term")).groupBy(key, at, "term").count()
+    terms = lines.select(key, at, F.explode(F.regexp_extract_all(line, F.lit(f"({_TOKEN})"), F.lit(1))).alias("term")).groupBy(key, at, "term").count()
     terms = terms.withColumn("w", F.col("count") * F.coalesce(F.try_element_at(idf, F.col("term")), F.lit(unknown_idf())))
     # the templates' terms, a fixed table of this module
     templates = F.broadcast(spark.createDataFrame(template_vectors(), "licence string, term string, v double"))

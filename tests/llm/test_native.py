@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -206,6 +207,22 @@ def cosine(line):
     return {n: sum(w.get(t, 0) * v for m, t, v in licenses.template_vectors() if m == n) / norm for n in licenses.TEMPLATES}
 
 
+def test_candidate_bound(spark):
+    """No line that reaches the threshold is left out, with an anchor or without."""
+    rng = random.Random(4)
+    lines = ["released under the mit", "Under cc by-nc 4.0.", "cc by-nc 4.0", "Attribution 4.0 International, cc by 4.0", "Die mit der cc: bsd", "", "cc by-nc 4.0 " * 9, "mit Released mit", "the the the mit released"]
+    vocabulary = [*licenses._idf(), "other", "words", "license,"]
+    for t in licenses.TEMPLATES.values():
+        w = t.split()
+        for _ in range(40):
+            lines.append(" ".join(rng.sample(w, rng.randint(1, len(w))) + rng.choices(vocabulary, k=rng.randint(0, 4))))
+    want = {k: max(cosine(t).values()) for k, t in enumerate(lines)}
+    frame = spark.createDataFrame([(str(k), t) for k, t in enumerate(lines)], "path string, text string")
+    got = {int(r["path"]): r["similarity"] for r in licenses.own_licences(spark, frame).collect()}
+    assert set(got) == {k for k, v in want.items() if round(v, 9) >= licenses.THRESHOLD} and {0, 1, 2, 3} <= set(got)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got)
+
+
 def test_licences_and_inheritance(spark):
     mit, gpl, cc = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."
     rows = [("LICENSE", mit, True), ("a.txt", "x", False), ("d/LICENSE", gpl, True), ("d/e/f/x", None, False), ("d/y", f"prose\n{cc}\nmore", False), ("z/q", "licence unknown terms", False), (None, mit, False), ("d/e/LICENSE", "no licence here", True), ("a.txt", "x", False)]
