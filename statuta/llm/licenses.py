@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,55 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_WARRANTY = "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY"
+#: Header blocks, titles of licence files, SPDX lines and bodies, several a licence.
+BLOCKS = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        f'"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, {_WARRANTY} AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE '
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"),
+    "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        f'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING {_WARRANTY}, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT '
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+        "SPDX-License-Identifier: MIT",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+}
+#: Lines in a block; blocks begin at every line, and the whole text is one too.
+BLOCK_LINES = (1, 2, 3, 5, 8, 13, 21, 34)
 #: A document whose first line has one of these stands for a licence file; names that are common
 #: words or letters otherwise count in capitals. Lines are compared whether they have one or not.
 ANCHOR = r"(?i:licen[sc]|apache|\bgnu\b|mozilla|creative commons)|\b(?:MIT|BSD|CC)\b"
@@ -58,6 +108,58 @@ def unknown_idf() -> float:
     return math.log(1 + len(TEMPLATES)) + 1
 
 
+def block_vectors() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """((number, licence, term, weight) of every block template, idf of the terms, that of others).
+    Counts weigh 1 + ln, so that a body's common words do not outweigh its rare ones."""
+    texts = [(name, Counter(re.findall(_TOKEN, t.lower()))) for name, some in BLOCKS.items() for t in some]
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in c for _, c in texts))) + 1 for w in sorted(set().union(*(c for _, c in texts)))}
+    out = []
+    for k, (name, c) in enumerate(texts):
+        raw = {w: (1 + math.log(n)) * idf[w] for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        out += [(k, name, w, x / norm) for w, x in sorted(raw.items())]
+    return out, idf, math.log(1 + len(texts)) + 1
+
+
+def own_blocks(spark: SparkSession, files: DataFrame, key: str = "path", text: str = "text", threshold: float = THRESHOLD, found: DataFrame | None = None) -> DataFrame:
+    """(key, licence, similarity, line, lines) of the best block of each file that reaches the
+    threshold. Blocks are runs of BLOCK_LINES lines from every line on, and the whole text. Texts
+    and blocks are left out only where the terms they share with every template are too few, or
+    where their key is in ``found``."""
+    vectors, idf, unknown = block_vectors()
+    squares: dict[int, dict[str, float]] = {}
+    for k, _, term, v in vectors:
+        squares.setdefault(k, {})[term] = v * v
+    # an SPDX line needs both its terms: the name alone may be a common word, as mit is
+    enough = {k: 1 - SLACK if len(d) == 2 else threshold * threshold - SLACK for k, d in squares.items()}
+    letters = lambda c: reduce(or_, [reduce(add, [F.when(F.contains(c, F.lit(t)), x).otherwise(0.0) for t, x in d.items()]) >= enough[k] for k, d in squares.items()])
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(f"({_TOKEN})"), F.lit(1))
+    # the distinct terms of each block, each template's share of them
+    known = lambda c: F.filter(F.array_distinct(tokens(c)), lambda t: t.isin(*idf))
+    share = lambda k, d: F.aggregate(k, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), t), F.lit(0.0)))
+    exact = lambda c: F.transform(F.array(known(c)), lambda k: reduce(or_, [share(k, d) >= enough[n] for n, d in squares.items()]))[0]
+    may = files.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.lower(text).alias("t")).where(letters(F.col("t")) & exact(F.col("t")))
+    may = staged(may.distinct(), "licence-texts")
+    may = may.join(bounded_broadcast(found.select(F.col(key).alias("k")).distinct())[0], "k", "left_anti") if found is not None else may
+    may = may.withColumn("ls", F.split("t", "\n", -1)).withColumn("n", F.size("ls"))
+    sizes = F.array_distinct(F.concat(F.filter(F.array(*map(F.lit, BLOCK_LINES)), lambda b: b < F.col("n")), F.array("n")))
+    spans = may.select("k", "ls", "n", F.explode(sizes).alias("lines")).select("k", "ls", "lines", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("lines"))).alias("line"))
+    blocks = spans.select("k", "line", "lines", F.array_join(F.slice("ls", F.col("line") + 1, F.col("lines")), "\n").alias("b"))
+    blocks = staged(blocks.where(exact(F.col("b"))).distinct(), "licence-blocks")
+    unit = ["k", "line", "lines", "h"]
+    terms = blocks.select("k", "line", "lines", F.xxhash64("b").alias("h"), F.explode(tokens(F.col("b"))).alias("term")).groupBy(*unit, "term").count()
+    weights = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
+    terms = terms.withColumn("w", (1 + F.log(F.col("count"))) * F.coalesce(F.try_element_at(weights, F.col("term")), F.lit(unknown)))
+    norms = terms.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # the templates' terms, a fixed table of this module
+    templates = F.broadcast(spark.createDataFrame(vectors, "template int, licence string, term string, v double"))
+    dots = terms.join(templates, "term").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.count("*").alias("shared"))
+    dots = dots.where((F.col("shared") > 1) | ~F.col("template").isin([k for k, d in squares.items() if len(d) == 2]))
+    cosine = dots.join(norms, unit).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("similarity") >= threshold)
+    best = F.min_by(F.struct("licence", "similarity", "line", "lines"), F.struct(-F.col("similarity"), F.col("line"), F.col("lines"), F.col("licence")))
+    return cosine.groupBy(F.col("k").alias(key)).agg(best.alias("b")).select(key, "b.licence", "b.similarity", "b.line", "b.lines")
+
+
 def shares_enough(line: Column, threshold: float) -> Column:
     """Whether a lower-case line has the letters of terms that can reach the threshold with one
     template: a cosine is at most the norm of the template's weights of the terms they share."""
@@ -118,11 +220,15 @@ def scan(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) ->
     inherited_from (the directory, null where the licence is the file's own or none).
 
     Paths use '/', without one at the start. Where a directory holds several licence files the
-    most similar counts, then the first name. Null paths inherit nothing. Repeated paths share
+    most similar counts, then the first name. A file's own licence is that of its best line, or else
+    of its best block of lines. Null paths inherit nothing. Repeated paths share
     what is found in any of their rows. Extra columns stay; clashing names are prefixed.
     """
     own, sim, lic, frm, p = free_name(files, "own_licence", "similarity", "licence", "inherited_from", "scan_path")
-    found = staged(own_licences(spark, files.where(F.col("path").isNotNull()), threshold=threshold), "licences")
+    named = files.where(F.col("path").isNotNull())
+    by_line = staged(own_licences(spark, named, threshold=threshold), "licences").select("path", "licence", "similarity")
+    by_block = own_blocks(spark, named, threshold=threshold, found=by_line).select("path", "licence", "similarity")
+    found = staged(by_line.unionByName(by_block), "licences-all")
     found = found.select(F.col("path").alias(p), F.col("licence").alias(own), F.col("similarity").alias(sim))
     found_b, _ = bounded_broadcast(found)
     df = files.join(found_b, files["path"] == found_b[p], "left").drop(p)

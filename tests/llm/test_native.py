@@ -223,6 +223,23 @@ def test_candidate_bound(spark):
     assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got)
 
 
+def test_licence_blocks(spark):
+    """SPDX lines, wrapped headers, bodies and titles of licence files, within other text."""
+    wrap = lambda t, n: "\n".join("# " + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    around = lambda t: "import os\nimport sys\n" + t + "\n" + "\n".join(f"def f{k}(x): return x + {k}" for k in range(60))
+    texts = {}
+    for name, some in licenses.BLOCKS.items():
+        for k, t in enumerate(some):
+            texts[f"{name}/{k}/a"] = wrap(t, 10)
+            texts[f"{name}/{k}/b"] = around(wrap(t, 9))
+    texts["none/0/a"] = around("SPDX-License-Identifier: GPL-2.0-only")
+    texts["none/0/b"] = around("this is the form of the work in which any person may use it, with or without a copy")
+    texts["none/0/c"] = "mit\ndie"
+    f = spark.createDataFrame(list(texts.items()), "path string, text string").withColumn("is_licence_file", F.lit(False))
+    got = {r["path"]: r["own_licence"] for r in licenses.scan(spark, f).collect()}
+    assert got == {k: None if k.startswith("none") else k.split("/")[0] for k in texts}
+
+
 def test_licences_and_inheritance(spark):
     mit, gpl, cc = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."
     rows = [("LICENSE", mit, True), ("a.txt", "x", False), ("d/LICENSE", gpl, True), ("d/e/f/x", None, False), ("d/y", f"prose\n{cc}\nmore", False), ("z/q", "licence unknown terms", False), (None, mit, False), ("d/e/LICENSE", "no licence here", True), ("a.txt", "x", False)]
