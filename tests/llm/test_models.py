@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from statuta.llm import attention, kernel, lm_scoring, quality_classifier, toxicity
 from tests.llm.helpers import AWKWARD, DDL, clash, docs, lower, shingle_set, words
@@ -143,21 +144,30 @@ def test_lm_base(spark, sf_dir, monkeypatch, frequent):
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "Unseen wörd")]
     n, want = base_model(rows)
-    for r in lm_scoring.score(docs(spark, rows), sample=20).collect():
+    for r in lm_scoring.score(docs(spark, rows), sample_words=20_000).collect():
         tokens, known, base = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0 and math.isfinite(r["score"])
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
 
 
+def model_of(ids, bounds, end, v, **k):
+    counts = np.bincount(ids, minlength=v).astype(float)
+    voc = attention.Vocabulary.of(counts)
+    ranks = voc.rank[ids]
+    seq = attention.gather(ranks, bounds, *attention.windows(bounds), int(voc.rank[end]))
+    return attention.train(attention.Weights.start(voc, counts), voc, seq, **k), voc
+
+
 def test_lm_is_a_probability():
-    """For any context the next subword's probabilities sum to one."""
+    """For any context the next subword's probabilities sum to one, unseen subwords included."""
     rng = np.random.default_rng(0)
-    v = 40
-    ids, bounds = rng.integers(0, v - 1, 300), np.array([0, 100, 300])
-    m = attention.train(ids, bounds, np.bincount(ids, minlength=v).astype(float), v - 1, epochs=1)
+    v = 60
+    ids, bounds = rng.integers(0, 40, 300), np.array([0, 100, 300])
+    ids[[99, 299]] = v - 1
+    m, voc = model_of(ids, bounds, v - 1, v)
     prefix = rng.integers(0, v, 30)
-    one = lambda seq: attention.score(m, m.tables(), np.array(seq), np.array([0, len(seq)]), v - 1)[0]
+    one = lambda seq: attention.score(m, m.tables(), voc, voc.rank[np.array(seq)], np.array([0, len(seq)]), int(voc.rank[v - 1]))[0]
     for n in (0, 5, 16, 29):
         base = one(prefix[:n]) if n else 0.0
         assert sum(math.exp(one([*prefix[:n], x]) - base) for x in range(v)) == pytest.approx(1, abs=1e-3)
@@ -166,23 +176,123 @@ def test_lm_is_a_probability():
 def test_lm_learns():
     pattern = np.tile([1, 2, 3, 4, 5, 6, 7, 0], 400)
     bounds = np.arange(0, len(pattern) + 1, 80)
-    counts = np.bincount(pattern, minlength=9).astype(float)
-    m = attention.train(pattern, bounds, counts, 8, epochs=30, batch=8)
-    per = attention.score(m, m.tables(), pattern, bounds, 8).sum() / len(pattern)
+    m, voc = model_of(pattern, bounds, 8, 9, passes=30, batch=8)
+    per = attention.score(m, m.tables(), voc, voc.rank[pattern], bounds, int(voc.rank[8])).sum() / len(pattern)
     assert per > -0.5  # the uniform guess is -2.08
 
 
+def plain_score(m, voc, ids, end):
+    """ln P of one sequence of ranks, place by place and key by key."""
+    total = 0.0
+    for t, target in enumerate(ids):
+        first = t // attention.SCORED * attention.SCORED - attention.CONTEXT
+        reads = [(j - first, ids[j - 1] if j else end) for j in range(max(0, first), t + 1)]
+        e = [m.emb[x] + m.pos[p] for p, x in reads]
+        weigh = np.array([(e[-1] @ m.q) @ (x @ m.k) / attention.DIM**0.5 for x in e])
+        weigh = np.exp(weigh - weigh.max())
+        h = np.tanh(e[-1] @ m.r + sum(a * (x @ m.v) for a, x in zip(weigh / weigh.sum(), e, strict=True)) @ m.o)
+        soft = lambda z: z - np.log(np.exp(z).sum())
+        c = voc.cls[target]
+        lo, hi = voc.starts[c], voc.starts[c + 1]
+        total += soft(h @ m.c + m.cb)[c] + soft(m.w[lo:hi] @ h + m.wb[lo:hi])[target - lo]
+        total -= math.log(voc.unseen) if target == len(voc.cls) - 1 else 0
+    return total
+
+
+def test_lm_scores_as_place_by_place():
+    rng = np.random.default_rng(3)
+    ids, bounds = rng.integers(0, 50, 400), np.array([0, 1, 100, 100, 400])
+    m, voc = model_of(ids[:300], np.array([0, 300]), 59, 60)
+    got = attention.score(m, m.tables(), voc, voc.rank[ids], bounds, int(voc.rank[59]))
+    want = [plain_score(m, voc, voc.rank[ids[a:b]].tolist(), int(voc.rank[59])) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_lm_gradients():
+    rng = np.random.default_rng(1)
+    ids, bounds = rng.integers(0, 30, 120), np.array([0, 50, 120])
+    counts = np.bincount(ids, minlength=40).astype(float)
+    voc = attention.Vocabulary.of(counts)
+    m = attention.Weights.start(voc, counts)
+    for name in vars(m):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    seq = attention.gather(voc.rank[ids], bounds, *attention.windows(bounds), int(voc.rank[39]))
+    _, grads = attention.gradients(m, voc, seq)
+    for name in vars(m):
+        v, at = getattr(m, name), tuple(n // 3 for n in getattr(m, name).shape)
+        was, d = v[at], 1e-5
+        v[at] = was + d
+        up = attention.gradients(m, voc, seq)[0]
+        v[at] = was - d
+        down = attention.gradients(m, voc, seq)[0]
+        v[at] = was
+        assert grads[name][at] == pytest.approx((up - down) / (2 * d), rel=1e-3, abs=1e-7), name
+
+
+def test_subwords_keep_every_character():
+    words = ["plain", "a\u3000b", "\u0085", "\u00a0x\u2003", "wörd𝒳", "x" * 500, "\u200b"]
+    subs = lm_scoring.Subwords(lm_scoring.TOKENIZER)
+    [s] = kernel.slices(pa.array([" ".join(words)]))
+    _, at, first, n = subs.of(s, s.hashes())
+    by = [list(subs.ids[first[k] : first[k] + n[k]]) for k in at]
+    assert all(x for x in by)
+    import tiktoken
+
+    assert [subs.codec.decode(x) for x in by] == [" " + w for w in words] and isinstance(subs.codec, tiktoken.Encoding)
+
+
+def test_lm_beats_a_bigram_on_held_out_texts(spark, sf_dir):
+    """Trained in Spark as the query does; nats a subword on sf0.01's held-out texts against
+    unigrams and interpolated bigrams of the same training texts."""
+    d = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in d.select("doc_id", "text").collect()]
+    train = d.where((lm_scoring.remainder(F.col("doc_id"), 7) != 2) & F.col("text").isNotNull()).select("doc_id", "text")
+    m, voc = lm_scoring.fit_model(train, sum(len(words(t)) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2), lm_scoring.TOKENIZER)
+    subs = lm_scoring.subwords(lm_scoring.TOKENIZER)
+
+    def ids_of(held):
+        out, bounds = [], [0]
+        for s in kernel.slices(pa.array([t for i, t in rows if (zlib.crc32(str(i).encode()) % 7 == 2) == held])):
+            _, at, first, n = subs.of(s, s.hashes())
+            ids, b = subs.sequences(s, at, first, n)
+            out.append(ids)
+            bounds += (b[1:] + bounds[-1]).tolist()
+        return np.concatenate(out), np.array(bounds)
+
+    ids, bounds = ids_of(True)
+    per = attention.score(m, m.tables(), voc, voc.rank[ids], bounds, int(voc.rank[lm_scoring.END])).sum() / len(ids)
+    seen, _ = ids_of(False)
+    one = np.log((np.bincount(seen, minlength=lm_scoring.VOCABULARY) + 0.5) / (len(seen) + 0.5 * lm_scoring.VOCABULARY))
+    two, before, kinds = Counter(zip([lm_scoring.END, *seen[:-1].tolist()], seen.tolist(), strict=True)), Counter(), Counter()
+    for (a, _), n in two.items():
+        before[a] += n
+        kinds[a] += 1
+
+    def bigram(a, b):
+        n = before[a]
+        return math.log((max(two[a, b] - 0.75, 0) + 0.75 * kinds[a] * math.exp(one[b])) / n) if n else one[b]
+
+    pairs = np.mean([bigram(a, b) for a, b in zip([lm_scoring.END, *ids[:-1].tolist()], ids.tolist(), strict=True)])
+    assert per > pairs > one[ids].mean()
+
+
 def test_each_place_scored_once():
     bounds = np.array([0, 1, 17, 17, 60])
-    row, first = attention.windows(bounds)
-    inp = np.arange(60)
-    at, _, ok = attention.gather(inp, bounds, row, first)
-    scored = at[:, attention.CONTEXT :][ok[:, attention.CONTEXT :]]
-    assert sorted(scored.tolist()) == list(range(60))
+    seq = attention.gather(np.arange(60), bounds, *attention.windows(bounds), 99)
+    scored = seq[:, attention.CONTEXT + 1 :]
+    assert sorted(scored[scored >= 0].tolist()) == list(range(60))
+    assert (seq == 99).sum() == 3  # each sequence that has a place starts after an end
 
 
 def test_lm_awkward(spark):
     d = clash(docs(spark, AWKWARD))
-    out = lm_scoring.score(d, sample=5)
-    assert out.count() == len(AWKWARD)
-    assert lm_scoring.score(spark.createDataFrame([], DDL), sample=5).count() == 0
+    out = lm_scoring.score(d).collect()
+    rows = [(r[0], r[1]) for r in AWKWARD]
+    n, _ = base_model(rows)
+    count = Counter(w for i, t in rows if zlib.crc32(str(i).encode() if i is not None else b"null") % 7 != 2 for w in [*words(lower(t)), None])
+    want = Counter((i, len(words(t)) + 1, sum(count[w] > 0 for w in [*words(lower(t)), None]), n) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in out) == want
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
+    assert lm_scoring.score(spark.createDataFrame([], DDL)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        lm_scoring.score(d, path="/nowhere/vocabulary")
