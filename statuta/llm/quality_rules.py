@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WS, bounded_broadcast, free_name, staged, words
+from .shared import WS, staged, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -23,7 +23,8 @@ KEEP_AT = 0.5
 
 
 def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct, n_upper of the whole text.
+    """keep, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct, n_upper, n_other
+    (characters of words that are no letters) of the whole text.
 
     All in the row: no text and no window is shuffled. Repeated windows are looked for only in
     texts whose window hashes (64 bits) are not all different.
@@ -37,13 +38,14 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
         _symbols(F.col("_text")).alias("n_symbols"),
         _dup_lines(F.col("_text")).alias("n_dup_lines"),
         F.length(F.regexp_replace("_text", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("_text", rf"[\p{{L}}\p{{M}}{WS}]+", "")).cast("long").alias("n_other"),
     )
     window = F.transform(F.sequence(F.lit(0), F.size("_v") - WINDOW), lambda i: F.xxhash64(*[F.get("_v", i + k) for k in range(WINDOW)]))
     df = df.select(
-        *keep, F.size("_v").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.size(F.array_distinct("_v")).cast("long").alias("n_distinct"), "n_upper",
+        *keep, F.size("_v").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.size(F.array_distinct("_v")).cast("long").alias("n_distinct"), "n_upper", "n_other",
         F.when(F.size("_v") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("_h"),
     )
-    names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_distinct", "n_upper"]
+    names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_distinct", "n_upper", "n_other"]
     pairs = F.sort_array(F.arrays_zip(F.col("_h").alias("h"), F.sequence(F.lit(0), F.size("_h") - 1).alias("i")))
     df = df.select(*names, F.when(F.size(F.array_distinct("_h")) < F.size("_h"), pairs).alias("_s"))
 
@@ -70,30 +72,31 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote from the columns of counts(): 1 good, 0 bad, null abstains. Rules that know
-    one kind of junk only ever vote bad; a few speak for a text."""
+    """Each rule's vote from the columns of counts(): 1 good, 0 bad, null abstains. A rule that looks for
+    one kind of junk does not speak for the texts without it, unless it sees what junk of another
+    kind lacks."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = {c: F.col(c) / n for c in ("n_symbols", "n_repeat_words", "n_distinct", "word_chars")}
     some = F.col("n_words") >= 10
-    # speaks for a text only where neither symbols nor capitals nor repeats stand out
-    calm = (share["n_symbols"] < 0.03) & (F.col("n_upper") < 0.2 * F.col("word_chars")) & (share["n_repeat_words"] < 0.05)
+    other = F.col("n_other") / F.greatest(F.col("word_chars"), F.lit(1))
     return {
-        "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 30),
-        "repeats": _vote(share["n_repeat_words"] > 0.15),
-        "symbols": _vote(share["n_symbols"] > 0.1),
+        "length": _vote(F.col("n_words") < 10),
+        "repeats": _vote(share["n_repeat_words"] > 0.15, some & (share["n_repeat_words"] < 0.02)),
+        "symbols": _vote(share["n_symbols"] > 0.1, some & (F.col("n_symbols") == 0)),
+        "letters": _vote(some & (other > OTHER_BAD), some & (other < OTHER_GOOD)),
         "upper": _vote(some & (F.col("n_upper") > 0.5 * F.col("word_chars"))),
-        "word_length": _vote((share["word_chars"] < 2.5) | (share["word_chars"] > 15), some & share["word_chars"].between(3, 10)),
-        "variety": _vote(F.col("n_words").between(20, 500) & (share["n_distinct"] < 0.2), some & calm & (share["n_distinct"] > 0.2)),
+        "word_length": _vote((share["word_chars"] < 2.5) | (share["word_chars"] > 15)),
+        "variety": _vote(F.col("n_words").between(20, 500) & (share["n_distinct"] < 0.2), F.col("n_words").between(20, 500) & (share["n_distinct"] > 0.3)),
         "dup_lines": _vote(F.col("n_dup_lines") * 8 > F.col("n_words")),
     }
 
 
+#: Shares of characters that are no letters, above and below which a text looks poor or good.
+OTHER_BAD, OTHER_GOOD = 0.12, 0.05
 #: (P(votes bad | bad), P(votes bad | good), P(votes good | good), P(votes good | bad)) of every
-#: rule before the data are seen, and how many documents that belief weighs.
-START, BELIEF = (0.3, 0.01, 0.8, 0.5), 10.0
-#: A bad vote is at least LEAST_BAD times likelier for a bad text than for a good one; a good vote
-#: is never a bad sign. No vote counts more than MOST_RATIO.
-LEAST_BAD, LEAST_GOOD, MOST_RATIO = 10.0, 1.0, 1000.0
+#: rule before the data are seen, and how many documents that belief weighs. Nothing else bounds
+#: what the data say: a rule may turn out to be wrong more often than right.
+START, BELIEF = (0.3, 0.01, 0.8, 0.4), 10.0
 Rates = dict[str, tuple[float, float, float, float]]
 
 
@@ -110,11 +113,6 @@ def posterior(votes: list[str], prior: float, rates: Rates) -> Column:
     return side(True) / (side(True) + side(False))
 
 
-def _held(right: float, wrong: float, least: float) -> tuple[float, float]:
-    """The rate of right votes, and that of wrong ones within the bounds of their ratio."""
-    return right, min(right / least, max(right / MOST_RATIO, wrong))
-
-
 def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> tuple[float, Rates]:
     """Share of good documents and each rule's rates of right and wrong votes, by expectation
     maximisation.
@@ -140,9 +138,7 @@ def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> tup
             n0, n1 = r[f"{v}_0_all"] or 0, r[f"{v}_1_all"] or 0
             g0, g1 = r[f"{v}_0_good"] or 0.0, r[f"{v}_1_good"] or 0.0
             rate = lambda x, of, start: (x + BELIEF * start) / (of + BELIEF)
-            bad_bad, bad_good = _held(rate(n0 - g0, bad, START[0]), rate(g0, good, START[1]), LEAST_BAD)
-            good_good, good_bad = _held(rate(g1, good, START[2]), rate(n1 - g1, bad, START[3]), LEAST_GOOD)
-            rates[v] = (bad_bad, bad_good, good_good, good_bad)
+            rates[v] = (rate(n0 - g0, bad, START[0]), rate(g0, good, START[1]), rate(g1, good, START[2]), rate(n1 - g1, bad, START[3]))
         if abs(was - prior) < 1e-6:
             break
     return prior, rates
@@ -157,6 +153,14 @@ def accuracy(prior: float, rates: Rates) -> dict[str, float]:
     return out
 
 
+def report(docs: DataFrame, make_rules: Callable[[], dict[str, Column]] = rules) -> tuple[float, dict[str, float]]:
+    """The estimated share of good documents, and the accuracy of each rule: what the model found
+    about the rules themselves."""
+    made = make_rules()
+    prior, rates = fit(counts(docs.select("text"), []).select(*[v.alias(k) for k, v in made.items()]), list(made))
+    return prior, accuracy(prior, rates)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
@@ -174,14 +178,16 @@ def judged(docs: DataFrame, keep: list[str], make_rules: Callable[[], dict[str,
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns.
+def keep_good(docs: DataFrame, make_rules: Callable[[], dict[str, Column]] = rules) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns, whatever their names.
 
-    The first pass stages the counts of every row and fits the model on them; rejected texts
-    are then removed by an anti join on their 128-bit content hash, the smaller side.
+    Two passes over the texts and no join: the first fits the model on the histogram of votes,
+    the second judges every row where it is. Null and empty texts go, as they fail the base
+    rule; repeated rows share a verdict; an empty table stays empty.
     """
-    key, mark = free_name(docs, "rule_text_key", "rule_rejected")
-    content = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text")))
-    df = judged(docs.select("text", content.alias("key")), ["key"])
-    rejected, _ = bounded_broadcast(staged(df.where(~F.col("kept")).select(F.col("key").alias(mark)).distinct(), "rejected"))
-    return docs.withColumn(key, content).join(rejected, F.col(key) == F.col(mark), "left_anti").drop(key)
+    made = {f"vote_{k}": v for k, v in make_rules().items()}
+    fitted = fit(counts(docs.select("text"), []).select(*[v.alias(k) for k, v in made.items()]), list(made))
+    rows = counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), ["row"])
+    rows = rows.withColumns(made).select("row", (~base_failed() & (posterior(list(made), *fitted) >= KEEP_AT)).alias("good"))
+    # a generator, as a filter would be pushed below the counts and compute them once a mention
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("good").cast("int")))).select("row.*")

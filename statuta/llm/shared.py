@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 _TRIM = " \t\n\x0b\x0c\r"
 
-#: Tables that staged() has written, for sweep().
-_written: list[str] = []
+#: Tables that staged() has written, by session, for sweep().
+_written: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
 
-#: Rows up to which a lookup table may be broadcast; its size is counted first.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a lookup table may be broadcast; its size is measured first.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+#: Bits of the bitmap that thins rows before a shuffle: at most 8,192 rows of 4 KB, whatever the data.
+BITMAP_BITS = 1 << 28
+_BITS_A_ROW = 4096 * 8
 
 #: A key with more than rows / HOT_KEYS rows is joined from a broadcast table, which has fewer than
 #: HOT_KEYS rows whatever the data.
@@ -24,9 +29,12 @@ HOT_KEYS = 1 << 16
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. A session of one machine that has not
+    set it gets a folder of its own; a cluster must set it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="statuta-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -37,25 +45,54 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what stands above."""
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.setdefault(df.sparkSession, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df with a broadcast hint if a count proves it small; else df and False."""
-    small = df.limit(most + 1).count() <= most
+def bounded_broadcast(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if its rows and bytes are measured to be few; else df and False."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    rows, held = df.select(size.cast("long").alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES
     return (F.broadcast(df), True) if small else (df, False)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, members: str = "members") -> DataFrame:
-    """The inner join of rows with keyed, which has one row a key and in ``members`` how many of
-    the ``total`` rows have it, or more. Hot keys are joined where their rows are; of the others
-    no key brings a task more than total / HOT_KEYS rows."""
+def matched(rows: DataFrame, key: Column, side: DataFrame, how: str) -> DataFrame:
+    """rows whose key is in side, a table of one column (how: left_semi), or is not (left_anti).
+
+    A small side is broadcast. Beyond that a bitmap of fixed size, made of side's hashes, parts the
+    rows: those it does not hold are settled where they are, and only the others, side's own
+    partners and few more, are shuffled to meet side. A hot key of rows is split by AQE, which
+    may divide the left side of these joins; side has one row a key.
+    """
+    [name] = side.columns
+    small, fits = bounded_broadcast(side)
+    if fits:
+        return rows.join(small, key == small[name], how)
+    at, bits = free_name(rows, "bitmap_row", "bitmap_bits")
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(BITMAP_BITS))
+    row = lambda k: (place(k) / _BITS_A_ROW).cast("long")  # noqa: E731, below 2 ** 28, so exact
+    bitmap = side.groupBy(row(F.col(name)).alias(at)).agg(F.bitmap_construct_agg(place(F.col(name)) % _BITS_A_ROW).alias(bits))
+    near = rows.join(F.broadcast(bitmap), row(key) == bitmap[at], "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (place(key) % _BITS_A_ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (place(key) % 8).cast("int")) == 1, F.lit(False))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    met = near.where(held).select(*names).join(side, key == side[name], how)
+    return met if how == "left_semi" else near.where(~held).select(*names).unionByName(met)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, members: str = "members", how: str = "inner") -> DataFrame:
+    """The inner or left join of rows with keyed, which has one row a key and in ``members`` how many
+    of the ``total`` rows have it, or more. Hot keys are joined where their rows are; of the others
+    no key brings a task more than total / HOT_KEYS rows. Keys of rows are not null."""
     if total <= HOT_KEYS:
-        return rows.join(F.broadcast(keyed), on)
+        return rows.join(F.broadcast(keyed), on, how)
     is_hot = F.col(members) > total / HOT_KEYS
     hot, cold = F.broadcast(keyed.where(is_hot)), keyed.where(~is_hot)
-    return rows.join(hot, on).unionByName(rows.join(F.broadcast(keyed.where(is_hot).select(*on)), on, "left_anti").join(cold, on))
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(keyed.where(is_hot).select(*on)), on, "left_anti").join(cold, on, how))
 
 
 def words(text: Column | str) -> Column:
@@ -90,7 +127,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Removes the tables that staged() wrote for this session; call it when results are written."""
-    jvm = spark._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    jvm, mine = spark._jvm, _written.get(spark, [])
+    while mine:
+        path = jvm.org.apache.hadoop.fs.Path(mine.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
