@@ -10,7 +10,6 @@ words of an item agree in place.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import _MUL, Slice, mix, slices
-from .shared import bounded_broadcast, free_name, staged
 
 #: Fixed masks over 9 words, 6 of which count (5 in the last two, spread wider). One substitution
 #: anywhere in 9 words leaves at least one seed whole.
@@ -76,36 +74,76 @@ def seed_hashes(words: np.ndarray, row: np.ndarray, mask: str, number: int) -> t
     return mix(h), row[:n] == row[len(mask) - 1 :]
 
 
-def overlaps(words: np.ndarray, row: np.ndarray, bounds: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int]]:
-    """(row, item, matched words, overlap) of the diagonals, and of the paths between diagonals of
-    one item and text, that are contaminated."""
-    found: set[tuple[int, int, int]] = set()  # text row, item row, diagonal
+#: Hits of seeds that are spread out at once; more are taken in turns.
+HITS_AT_ONCE = 1 << 20
+
+
+def _diagonals(words: np.ndarray, row: np.ndarray, seeds: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text row, item row, text position - item position) of every seed that both have, each once.
+    A hot word's hits are spread in bounded turns, so what is held is the diagonals."""
+    width = len(words) + len(seeds.words) + 1
+    found = [np.zeros(0, np.int64)]
+
+    def spread(p: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        q = seeds.at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        p = np.repeat(p, n)
+        # the diagonal's offset tells text and item apart but for their rows
+        return np.unique((row[p] * np.int64(len(seeds.items)) + seeds.row[q]) * width + (p - q + len(seeds.words)))
+
     for m, mask in enumerate(MASKS):
         h, ok = seed_hashes(words, row, mask, m)
         may = np.flatnonzero(ok & seeds.filter[(h >> np.uint64(42)).astype(np.int64)])
         lo, hi = np.searchsorted(seeds.keys, h[may], "left"), np.searchsorted(seeds.keys, h[may], "right")
         hit = np.flatnonzero(hi > lo)
-        for k in hit.tolist():
-            p = int(may[k])
-            for q in seeds.at[lo[k] : hi[k]].tolist():
-                found.add((int(row[p]), int(seeds.row[q]), p - q))
+        n = (hi - lo)[hit]
+        cut = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), HITS_AT_ONCE), "right")
+        for a, b in zip(cut, np.r_[cut[1:], len(n)][: len(cut)], strict=True):
+            if b > a:
+                found = [np.unique(np.concatenate([*found, spread(may[hit[a:b]], lo[hit[a:b]], n[a:b])]))]
     for i in seeds.short:
         a, b = seeds.bounds[i], seeds.bounds[i + 1]
-        for p in np.flatnonzero(words == seeds.words[a]).tolist():
-            if np.array_equal(words[p : p + b - a], seeds.words[a:b]) and row[p] == row[p + b - a - 1]:
-                found.add((int(row[p]), i, p - int(a)))
+        at = [p for p in np.flatnonzero(words[: len(words) - (b - a) + 1] == seeds.words[a]).tolist() if np.array_equal(words[p : p + b - a], seeds.words[a:b]) and row[p] == row[p + b - a - 1]]
+        at = np.array(at, dtype=np.int64)
+        found.append((row[at] * np.int64(len(seeds.items)) + i) * width + (at - int(a) + len(seeds.words)))
+    keys = np.unique(np.concatenate(found))
+    pair = keys // width
+    return pair // len(seeds.items), pair % len(seeds.items), keys % width - len(seeds.words)
+
+
+def _agreeing(words: np.ndarray, item: np.ndarray, low: int, high: int, shifts: np.ndarray) -> np.ndarray:
+    """How many words of an item agree along each diagonal with the text words[low:high]."""
+    total, step = np.zeros(len(shifts), np.int64), max(1, HITS_AT_ONCE // len(item))
+    for a in range(0, len(shifts), step):
+        at = shifts[a : a + step, None] + np.arange(len(item))
+        total[a : a + step] = ((at >= low) & (at < high) & (words[np.clip(at, low, high - 1)] == item)).sum(axis=1)
+    return total
+
+
+def overlaps(words: np.ndarray, row: np.ndarray, bounds: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int]]:
+    """(row, item, matched words, overlap) of the best diagonal, or path between diagonals, of each
+    text and item that are contaminated."""
+    rows, items, shifts_all = _diagonals(words, row, seeds)
     out = []
-    for (r, i), group in groupby(sorted(found), key=lambda f: f[:2]):
-        shifts = np.array([f[2] for f in group])
+    cut = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (items[1:] != items[:-1])]) if len(rows) else []
+    for lo, hi in zip(cut, [*cut[1:], len(rows)][: len(cut)], strict=True):
+        r, i, shifts = int(rows[lo]), int(items[lo]), shifts_all[lo:hi]
         first, end = int(seeds.bounds[i]), int(seeds.bounds[i + 1])
         item, low, high = seeds.words[first:end], int(bounds[r]), int(bounds[r + 1])
-        runs = []
-        for shift in shifts.tolist():
+        agree = _agreeing(words, item, low, high, shifts + first)
+        best, runs = (0, 0), []
+        for d in np.argsort(-agree, kind="stable").tolist():
+            # no stretch has more agreeing words than its diagonal, nor more than the item
+            if agree[d] < max(best[0], min(LEAST_WORDS, len(item))) or best == (len(item), len(item)):
+                break
+            shift = int(shifts[d])
             a, b = max(first, low - shift), min(end, high - shift)
             runs.append(best_run(words[a + shift : b + shift] == seeds.words[a:b]))
-        if len(shifts) > 1 and max(runs)[0] < len(item):
+            best = max(best, runs[-1])
+        if len(shifts) > 1 and best[0] < len(item):
             runs.append(best_run(aligned(item, words[low:high], shifts + first - low)))
-        out += [(r, int(seeds.items[i]), run, length) for run, length in runs if leaked(run, length, len(item))]
+        good = [x for x in runs if leaked(*x, len(item))]
+        if good:
+            out.append((r, int(seeds.items[i]), *max(good)))
     return out
 
 
@@ -218,10 +256,25 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "overlap")).alias("m")).select("doc_id", "item_id", "m.matched", "m.overlap")
 
 
+def _without(seeds: Seeds, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.ones(batch.num_rows, dtype=bool)
+            for s in slices(batch.column(text)):
+                for r in {g[0] for g in overlaps(s.hashes(), s.row_of_word(), s.bounds, seeds)}:
+                    good[s.first + r] = False
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a contaminated overlap. Rows are told apart by their texts, so
-    that missing or repeated ids do no harm."""
-    at = free_name(docs, "leak_text")[0]
-    leaks = hits(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark)
-    leaks, _ = bounded_broadcast(staged(leaks.select(F.col("doc_id").alias(at)).distinct(), "leaks"))
-    return docs.join(leaks, F.xxhash64(docs["text"]) == leaks[at], "left_anti")
+    """The rows of docs without a contaminated overlap, with docs' columns.
+
+    Each row is judged where it is, by its whole text, and passed on or not: nothing is joined or
+    shuffled, and missing, repeated or clashing ids do no harm. Rows with null or blank texts stay.
+    Blocks of a large benchmark follow each other, each over what the one before has left.
+    """
+    for items in _blocks(benchmark):
+        docs = docs.mapInArrow(_without(Seeds(items), docs.columns.index("text")), docs.schema)
+    return docs
