@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import signature_tree as st
 from .components import components
 from .kernel import mix, shingle_sets, slices
-from .shared import bounded_broadcast, free_name, join_hot, staged
+from .shared import free_name, join_hot, matched, staged
 
 WIDTH, PERCENT = 5, 80
 ORDERS = 3
@@ -353,25 +353,32 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = staged(texts.mapInArrow(_set_rows(width), "doc_id long, n long, fp binary"), "sets")
-    first = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    first = staged(first, "classes")
+    known = sets.where("fp is not null and doc_id is not null")
+    first = staged(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("members")), "classes")
     dealt = texts.where("doc_id is not null").select("text").mapInArrow(_deal_texts(width, percent, _n_buckets(texts)), "bucket int, blob binary")
     shared = _count_shared(dealt)
     need = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(3 * (100 - percent)) * F.floor((F.lit(percent) * F.col("n") + 99) / 100) / 300))
     alive = first.join(shared, _short_column() == shared["unit"]).where(F.col("shared") >= need).select(F.col("rep").alias("id")).distinct()
-    alive, _ = bounded_broadcast(staged(alive, "alive"))
-    rest = texts.join(alive, texts["doc_id"] == alive["id"], "left_semi")
+    rest = matched(texts, F.col("doc_id"), staged(alive, "alive"), "left_semi")
     tokens = staged(rest.mapInArrow(_token_rows(width, orders), "id long, n long, keys array<long>, tokens binary").where("n > 0"), "tokens")
-    links = staged(_grouped_links(tokens, percent, orders), "links")
+    links = staged(_grouped_links(tokens, percent, orders).unionByName(_one_node(known, first)), "links")
     comp = staged(components(links), "components")
     more = staged(_open_links(tokens.select("id", "n", "tokens"), comp, percent), "open-links")
     if not more.isEmpty():
         comp = staged(components(links.union(more)), "components")
-    reps = first.join(comp, first["rep"] == comp["id"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    small, _ = bounded_broadcast(reps)
-    out = sets.join(small, "fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    placed = first.join(comp, first["rep"] == comp["id"], "left").select("fp", "members", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("linked"))
+    # a text of its own that links with nothing needs no partner
+    placed = placed.where("linked or members > 1").drop("linked")
+    found = join_hot(known, placed, ["fp"], known.count(), how="left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    alone = sets.where("fp is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _one_node(known: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of an id with several texts, as its rows are one node."""
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select(F.col("doc_id").alias("several"))
+    some = matched(known, F.col("doc_id"), staged(several, "several-texts"), "left_semi").select("doc_id", "fp").distinct()
+    return some.join(first.select("fp", "rep"), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def _short_column():
@@ -382,8 +389,18 @@ def _short_column():
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component; those without an id stay."""
-    at = free_name(docs, "join_other")[0]
+    """The rows of docs with the smallest doc_id of their component, one row an id; rows without an
+    id stay. Of rows that repeat an id the one with the smallest hash stays."""
     c = classes(docs, width, percent)
-    drop, _ = bounded_broadcast(staged(c.where("doc_id <> component_id").select(F.col("doc_id").alias(at)).distinct(), "copies"))
-    return docs.join(drop, docs["doc_id"] == drop[at], "left_anti")
+    c = staged(c.where("doc_id is not null"), "classes-of-rows")
+    [drop, again] = free_name(docs, "join_drop", "join_again")
+    gone = staged(c.where("doc_id <> component_id").select(F.col("doc_id").alias(drop)).distinct(), "copies")
+    key = F.col("doc_id").cast("long")
+    kept = matched(docs, key, gone, "left_anti")
+    twice = staged(c.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again)), "repeats")
+    if twice.isEmpty():
+        return kept
+    rows = matched(kept, key, twice, "left_semi").select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), key.alias("id"))
+    order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+    one = rows.groupBy("id").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return matched(kept, key, twice, "left_anti").unionByName(one)
