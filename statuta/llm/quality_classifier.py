@@ -43,6 +43,7 @@ def features(s: Slice) -> np.ndarray:
     for k in range(3):
         tail |= np.where(k < s.lens, s.data[np.maximum(s.starts + s.lens - 1 - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
     again = np.r_[False, h[1:] == h[:-1]]
+    again[s.bounds[:-1][np.diff(s.bounds) > 0]] = False  # the first word of a row has none before it
     for j, x in enumerate((h, mix(head + np.uint64(1)), mix(tail + np.uint64(2)), mix(again.astype(np.uint64) + np.uint64(3)))):
         out[:, j] = (mix(x + np.uint64(j)) % np.uint64(DIM)).astype(np.int64)
     return out
@@ -69,6 +70,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(weights: np.ndarray, steps: np.ndarray, ids: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, by: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log-likelihood of grades y, and its gradients by weights and steps. Row
+    row[j] has the value val[j] of feature ids[j]; by weighs the rows."""
+    grades, n = len(steps) + 1, len(y)
+    score = np.bincount(row, weights[ids] * val, minlength=n)
+    full = np.concatenate([np.ones((n, 1)), _sigmoid(score[:, None] - _cuts(steps)[None, :]), np.zeros((n, 1))], axis=1)
+    slope = full * (1 - full)
+    at = np.arange(n)
+    prob = np.maximum(full[at, y] - full[at, y + 1], 1e-9)
+    g_score = -by * (slope[at, y] - slope[at, y + 1]) / prob
+    # cut c + 1 bounds grades c and c + 1
+    g_cut = np.array([(by * slope[:, c + 1] / prob * ((y == c + 1).astype(float) - (y == c))).sum() for c in range(grades - 1)])
+    g_steps = np.cumsum(g_cut[::-1])[::-1].copy()
+    g_steps[1:] *= np.exp(steps[1:])
+    return float(-(by * np.log(prob)).sum()), np.bincount(ids, g_score[row] * val, minlength=len(weights)), g_steps
+
+
 def fit(sample: list[tuple[str, int]], grades: int = 3, epochs: int = 40, batch: int = 256, rate: float = 0.02, decay: float = 1e-4) -> Model:
     """Adam on the negative log-likelihood; thresholds are a first cut and positive steps."""
     rng = np.random.default_rng(7)
@@ -94,20 +112,8 @@ def fit(sample: list[tuple[str, int]], grades: int = 3, epochs: int = 40, batch:
             ids = np.concatenate([packed[i][0] for i in part])
             val = np.concatenate([packed[i][1] for i in part])
             row = np.repeat(np.arange(len(part)), [len(packed[i][0]) for i in part])
-            score = np.bincount(row, weights[ids] * val, minlength=len(part))
-            p = _sigmoid(score[:, None] - _cuts(steps)[None, :])
-            full = np.concatenate([np.ones((len(part), 1)), p, np.zeros((len(part), 1))], axis=1)
-            slope = full * (1 - full)
-            at = np.arange(len(part))
-            prob = np.maximum(full[at, y[part]] - full[at, y[part] + 1], 1e-9)
-            by = weight[part] / len(part)
-            g_score = -by * (slope[at, y[part]] - slope[at, y[part] + 1]) / prob
-            g_cut = np.zeros(grades - 1)
-            for c in range(grades - 1):  # cut c + 1 bounds grades c and c + 1
-                g_cut[c] = (by * slope[:, c + 1] / prob * ((y[part] == c + 1).astype(float) - (y[part] == c))).sum()
-            g_steps = np.cumsum(g_cut[::-1])[::-1].copy()
-            g_steps[1:] *= np.exp(steps[1:])
-            g_w = np.bincount(ids, g_score[row] * val, minlength=DIM) + decay * weights
+            _, g_w, g_steps = gradients(weights, steps, ids, val, row, y[part], weight[part] / len(part))
+            g_w = g_w + decay * weights
             t += 1
             for x, g, m, v in ((weights, g_w, state[0], state[1]), (steps, g_steps, state[2], state[3])):
                 m *= 0.9

@@ -106,7 +106,7 @@ def forward(net: Net, e: np.ndarray, ids: np.ndarray, lens: np.ndarray, keep: bo
     px = [e @ net.wx[d] + net.b[d] for d in (0, 1)]
     states = np.empty((WINDOW, b, 2 * STATE), dtype=np.float32)
     kept = []
-    steps = int(lens.max()) if b else 0
+    steps, shortest = (int(lens.max()), int(lens.min())) if b else (0, 0)
     states[steps:] = 0
     for d in (0, 1):
         h = np.zeros((b, STATE), dtype=np.float32)
@@ -114,6 +114,8 @@ def forward(net: Net, e: np.ndarray, ids: np.ndarray, lens: np.ndarray, keep: bo
             x, a = px[d][ids[:, t]], h @ net.wh[d]
             zr = _sigmoid(x[:, : 2 * STATE] + a[:, : 2 * STATE])
             z, r = zr[:, :STATE], zr[:, STATE:]
+            if t >= shortest:
+                z[lens <= t] = 1  # padding leaves the state as it is
             n = np.tanh(x[:, 2 * STATE :] + r * a[:, 2 * STATE :])
             new = n + z * (h - n)
             if keep:
