@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from statuta.llm import decontamination as dc
 from statuta.llm import ngram_join as nj
@@ -80,11 +81,39 @@ def test_join_awkward(spark):
     out = nj.one_of_each(d)
     assert out.columns == d.columns
     ids = [r["doc_id"] for r in out.collect()]
-    assert 6 not in ids and ids.count(5) == 2 and ids.count(None) == 2 and {1, 2, 3, 4, 8, 9, 10, 11} <= set(ids)
+    # one row of an id that repeats stays
+    assert 6 not in ids and ids.count(5) == 1 and ids.count(None) == 2 and {1, 2, 3, 4, 8, 9, 10, 11} <= set(ids)
     assert {r["component_id"] for r in nj.classes(d).where("doc_id IS NULL").collect()} == {None}
     assert nj.classes(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """An id is one node: its texts' classes are one component, of which one row stays."""
+    a, b = PLAIN % (1, 1), " ".join(f"w{k}" for k in range(30))
+    rows = [(2, b), (5, a), (5, b), (5, a), (9, a), (11, "alone here now")]
+    d = clash(docs(spark, rows))
+    assert {(r["doc_id"], r["component_id"]) for r in nj.classes(d).collect()} == {(2, 2), (5, 2), (9, 2), (11, 11)}
+    assert sorted(r["doc_id"] for r in nj.one_of_each(d).collect()) == [2, 11]
+    twice = clash(docs(spark, [(3, a), (3, a), (3, b)]))
+    assert nj.one_of_each(twice).count() == 1
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    """Operators that join, with no table small enough to broadcast and every second key hot."""
+    from statuta.llm import licenses, mixing, sharding
+
+    rows = family_rows(9)[::3] + [(r[0], r[1]) for r in AWKWARD] + [(7000 + k, PLAIN % (k, k)) for k in range(20)] + [(7100, "Released under the MIT License.\nmore")]
+    d = clash(docs(spark, rows))
+    f = d.select(F.concat_ws("/", "source", "doc_id").alias("path"), "text", (F.col("doc_id") == 7100).alias("is_licence_file"))
+    every = {"one": lambda: nj.one_of_each(d), "mix": lambda: mixing.mix(d), "shard": lambda: sharding.shard(d, 3000), "licences": lambda: licenses.scan(spark, f)}
+    want = {k: sorted(map(repr, q().collect())) for k, q in every.items()}
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_KEYS", 4)
+    monkeypatch.setattr(shared, "BITMAP_BITS", 1 << 8)  # with false hits
+    for k, q in every.items():
+        assert sorted(map(repr, q().collect())) == want[k], k
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(50, 40), (41, 50), (7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -183,6 +212,37 @@ def test_hits_of_long_and_broken_items(spark):
     assert {r["doc_id"] for r in dc.clean(docs(spark, rows), bench).collect()} == {6, 9, 10}
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_with_many_substitutions(spark, share):
+    """Against every diagonal of every pair: of overlaps with three substitutions and more nearly
+    all are found, whatever their number."""
+    rng = random.Random(int(share * 100))
+    v = [f"v{i}" for i in range(5000)]
+    items = [(k, " ".join(rng.choices(v, k=40))) for k in range(60)]
+    rows = []
+    for k, t in items:
+        w = [x if rng.random() >= share else "sub" for x in t.split()]
+        rows.append((k, " ".join(rng.choices(v, k=10) + w + rng.choices(v, k=10))))
+    want = {k: n for k, n in hits_brute(rows, items).items() if n[1] - n[0] >= (3 if share > 0.05 else 0)}
+    got = {(r["doc_id"], r["item_id"]) for r in dc.hits(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) >= 20 and len(want.keys() & got) >= 0.97 * len(want)
+
+
+def test_repetitive_texts_and_items():
+    """Thousands of diagonals of one word: the same answer, without looking at each."""
+    import time
+
+    import pyarrow as pa
+
+    from statuta.llm.kernel import slices
+
+    texts = ["la " * 20_000 + "end", "la lo " * 3000, "la " * 11]
+    [s] = slices(pa.array(texts), most=1 << 30)
+    start = time.perf_counter()
+    got = dc.overlaps(s.hashes(), s.row_of_word(), s.bounds, dc.Seeds([(1, "la " * 200), (2, "la lo " * 10 + "le")]))
+    assert sorted(got) == [(0, 1, 200, 200), (1, 2, 20, 20)] and time.perf_counter() - start < 10
+
+
 def test_aligned_uses_no_word_twice():
     of = lambda t: np.array([ord(c) for c in t])
     shifts = np.arange(-3, 4)

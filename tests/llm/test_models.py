@@ -54,6 +54,80 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out.values())
 
 
+def plain_toxicity(net, text):
+    """A text's score word by word: windows, two recurrences and attention as loops of numbers."""
+    [s] = kernel.slices(pa.array([text]), most=1 << 30)
+    low = lambda w: bytes(x + 32 if 65 <= x <= 90 else x for x in w)
+    raw = [low(bytes(s.data[a : a + n])) for a, n in zip(s.starts, s.lens, strict=True)]
+    if not raw:
+        return 0.0
+    vectors = []
+    for w, h in zip(raw, s.hashes().tolist(), strict=True):
+        v = net.word[h % toxicity.WORDS].astype(float)
+        marked = bytes([1]) + w + bytes([2])
+        for k in range(len(w)):
+            tri = np.array([marked[k] | marked[k + 1] << 8 | marked[k + 2] << 16], dtype=np.uint64)
+            v = v + net.gram[int(kernel.mix(tri)[0]) % toxicity.GRAMS]
+        vectors.append(v)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n, size, best, first = len(vectors), toxicity.STATE, -np.inf, 0
+    while True:
+        x = vectors[first : first + toxicity.WINDOW]
+        states = np.zeros((len(x), 2 * size))
+        for d in (0, 1):
+            h = np.zeros(size)
+            for t in range(len(x)) if d == 0 else reversed(range(len(x))):
+                i, a = x[t] @ net.wx[d] + net.b[d], h @ net.wh[d]
+                z, r = sig(i[:size] + a[:size]), sig(i[size : 2 * size] + a[size : 2 * size])
+                h = (1 - z) * np.tanh(i[2 * size :] + r * a[2 * size :]) + z * h
+                states[t, d * size : (d + 1) * size] = h
+        weigh = np.exp(states @ net.att - (states @ net.att).max())
+        best = max(best, float((weigh / weigh.sum()) @ states @ net.out + net.bias[0]))
+        if first + toxicity.WINDOW >= n:
+            return float(sig(net.scale[0] * best + net.scale[1]))
+        first += toxicity.STRIDE
+
+
+def test_toxicity_as_word_by_word(spark, sf_dir):
+    """Real rows and awkward ones against the plain recurrence, and real held-out labels."""
+    d, y = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = toxicity.train(*toxicity.labelled_sample(d, y, F.col("toxic"), toxicity.SAMPLE, toxicity.HELD))
+    some = d.where("doc_id % 7 = 0").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "One"), (-4, "ÄÖ ß " * 50), (-5, "la " * 57)], "doc_id long, text string"))
+    text = {r["doc_id"]: r["text"] for r in some.collect()}
+    [batch] = pa.table({"doc_id": pa.array(list(text), pa.int64()), "text": pa.array(list(text.values()))}).to_batches()
+    for out in toxicity._score(net)(iter([batch])):
+        for i, score in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            assert score == pytest.approx(plain_toxicity(net, text[i] or ""), abs=2e-4), i
+    d, y = (spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in toxicity.score(d, y).collect()}
+    held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in y.collect() if got[r["doc_id"]]["held_out"] and r["toxic"] is not None]
+    assert sum(p == t for p, t in held) >= 0.9 * len(held)
+
+
+def test_network_adds_to_word_odds():
+    """Order decides: both labels have the same words, so that log-odds of words say nothing."""
+    rng = random.Random(4)
+    names = [f"n{k}" for k in range(12)]
+    sample = []
+    for k in range(900):
+        w = rng.choices(names, k=8)
+        at = rng.randrange(1, 7)
+        w[at : at + 2] = ["not", "bad"] if k % 2 else ["bad", "not"]
+        sample.append((" ".join(w), k % 2))
+    net = toxicity.train(sample[:700], {0: 350, 1: 350}, rounds=6, epochs=8)
+    right = [(plain_toxicity(net, t) >= 0.5) == bool(y) for t, y in sample[700:]]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_conflicting_and_repeated_labels(spark):
+    rows = [(k, f"text number {k}") for k in range(40)] + [(3, "a other text")] * 5 + [(4, None)]
+    labels = [(k, 1, k % 2) for k in range(40)] + [(k, 0, 1 - k % 2) for k in range(0, 40, 3)]
+    both = [toxicity.labelled_sample(docs(spark, r), spark.createDataFrame(y, LABELS), F.col("toxic"), {0: 30, 1: 30}, (4, 2)) for r, y in ((rows, labels), (rows[::-1], labels[::-1]))]
+    assert both[0] == both[1]
+    texts = [t for t, _ in both[0][0]]
+    assert len(texts) == len(set(texts)) <= 40 and {y for t, y in both[0][0] if t in ("text number 0", "text number 6")} <= {1}
+
+
 def test_toxicity_long_text_is_read_to_its_end(spark):
     rows, labels = toxic_rows()
     clean = " ".join(rows[1][1] for _ in range(40))
@@ -115,6 +189,46 @@ def test_classifier(spark, sf_dir):
     assert mean(0) < mean(1) < mean(2)
 
 
+def test_ordinal_gradients():
+    rng = np.random.default_rng(2)
+    weights, steps = rng.standard_normal(20), np.array([-0.7, 0.2, -0.4])
+    ids, row = rng.integers(0, 20, 60), np.sort(rng.integers(0, 12, 60))
+    val, y, by = rng.standard_normal(60), rng.integers(0, 4, 12), rng.random(12)
+    loss = lambda: quality_classifier.gradients(weights, steps, ids, val, row, y, by)[0]
+    _, g_w, g_s = quality_classifier.gradients(weights, steps, ids, val, row, y, by)
+    for v, g in ((weights, g_w), (steps, g_s)):
+        for k in range(len(v)):
+            was, d = v[k], 1e-6
+            v[k] = was + d
+            up = loss()
+            v[k] = was - d
+            down = loss()
+            v[k] = was
+            assert g[k] == pytest.approx((up - down) / (2 * d), rel=1e-4, abs=1e-8)
+
+
+def test_classifier_as_word_by_word(spark, sf_dir):
+    """Real rows against a plain sum over words."""
+    d, y = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows, _ = quality_classifier.labelled_sample(d, y, quality_classifier.grade(F.col("quality"), F.col("toxic")), quality_classifier.SAMPLE, quality_classifier.HELD)
+    model = quality_classifier.fit(rows)
+    texts = [r["text"] or "" for r in d.collect()] + ["", "One", "one one ONE", "é"]
+    parts = list(kernel.slices(pa.array(texts)))
+    got = np.concatenate([model.scores(s) for s in parts])
+    u = lambda x: np.array([x], dtype=np.uint64)
+    for text, score in zip(texts, got, strict=True):
+        [s] = kernel.slices(pa.array([text]), most=1 << 30)
+        total, last = 0.0, None
+        for a, n, h in zip(s.starts, s.lens, s.hashes(), strict=True):
+            w = bytes(s.data[a : a + n])
+            head = int.from_bytes(w[:4], "little")
+            tail = int.from_bytes(w[::-1][:3], "little")
+            for j, x in enumerate((u(h), kernel.mix(u(head + 1)), kernel.mix(u(tail + 2)), kernel.mix(u(int(h == last) + 3)))):
+                total += model.weights[int(kernel.mix(x + np.uint64(j))[0]) % quality_classifier.DIM]
+            last = h
+        assert score == pytest.approx(total / math.sqrt(max(1, len(s.starts))), rel=1e-9, abs=1e-9)
+
+
 def test_ordinal_gradient_orders_the_cuts():
     m = quality_classifier.fit([("a b", 0), ("a c", 1), ("c d", 2)] * 20)
     assert m.cuts[0] < m.cuts[1]

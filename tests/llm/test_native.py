@@ -73,9 +73,31 @@ def test_em_follows_the_formula(spark):
             on = lambda value, side: sum((x if side else 1 - x) for r, x in zip(rows, post, strict=True) if r[k] == value)
             bb, bg = (on(0, 0) + weigh * quality_rules.START[0]) / (bad + weigh), (on(0, 1) + weigh * quality_rules.START[1]) / (good + weigh)
             gg, gb = (on(1, 1) + weigh * quality_rules.START[2]) / (good + weigh), (on(1, 0) + weigh * quality_rules.START[3]) / (bad + weigh)
-            q[k] = (bb, min(bb / 10, max(bb / 1000, bg)), gg, min(gg, max(gg / 1000, gb)))
+            q[k] = (bb, bg, gg, gb)
     assert prior == pytest.approx(p) and all(rates[n] == pytest.approx(q[k]) for k, n in enumerate(names))
-    assert all(0.5 < a <= 1 for a in quality_rules.accuracy(prior, rates).values())
+
+
+def test_em_finds_a_wrong_rule(spark):
+    """Three rules that mostly know the truth and one that mostly says the opposite."""
+    rng = random.Random(6)
+    truth = [int(rng.random() < 0.8) for _ in range(3000)]
+    say = lambda t, right: t if rng.random() < right else 1 - t
+    rows = [(say(t, 0.9), say(t, 0.85), say(t, 0.8) if rng.random() < 0.7 else None, say(t, 0.15)) for t in truth]
+    names = ["a", "b", "c", "wrong"]
+    prior, rates = quality_rules.fit(spark.createDataFrame(rows, "a int, b int, c int, wrong int"), names, iterations=40)
+    got = quality_rules.accuracy(prior, rates)
+    assert prior == pytest.approx(0.8, abs=0.06)
+    assert got == {"a": pytest.approx(0.9, abs=0.05), "b": pytest.approx(0.85, abs=0.05), "c": pytest.approx(0.8, abs=0.05), "wrong": pytest.approx(0.15, abs=0.05)}
+
+
+def test_verdicts_agree(spark, sf_dir):
+    """The pass without a join keeps what judged() keeps, and the rules are found to be right."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(r["doc_id"] for r in quality_rules.judged(d, ["doc_id"]).where("kept").collect())
+    kept = quality_rules.keep_good(d)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want and "Join" not in kept._jdf.queryExecution().toString()
+    prior, right = quality_rules.report(d)
+    assert 0.6 < prior < 0.98 and right["symbols"] > 0.7 and right["repeats"] > 0.7
 
 
 def test_rules_awkward(spark):
@@ -129,7 +151,6 @@ def test_mix_awkward(spark, monkeypatch):
     import statuta.llm.shared as shared
 
     monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)  # the salted way gives the same rows
-    monkeypatch.setattr(mixing, "bounded_broadcast", lambda df, most=0: (df, False))
     assert Counter((r["doc_id"], r["source"]) for r in mixing.mix(d).collect()) == got
 
 
@@ -280,6 +301,23 @@ def test_shards(spark, limit):
     assert sharding.shard(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_hot_ids(spark):
+    """Ids that alone pass the limit: by content, and equal rows by number; the same again, however
+    the rows are dealt."""
+    rows = [(7, f"text {k}") for k in range(300)] + [(8, "the same")] * 500 + [(8, "x" * 900)] * 3 + [(k, "other") for k in range(100, 150)]
+    outs = []
+    for d in (docs(spark, rows), docs(spark, rows[::-1]).repartition(7)):
+        held = {}
+        for r in sharding.shard(d, 400).collect():
+            held.setdefault(r["shard"], []).append((r["doc_id"], r["text"], r["shard_bytes"]))
+        assert sum(map(len, held.values())) == len(rows)
+        for some in held.values():
+            size = sum(len(t) for _, t, _ in some)
+            assert (size <= 400 or len(some) == 1) and {b for *_, b in some} == {size}
+        outs.append(sorted((k, sorted(v)) for k, v in held.items()))
+    assert outs[0] == outs[1]
+
+
 def test_split_no_further_than_needed(spark):
     d = docs(spark, [(k, "t" * 50) for k in range(300)])
     leaves = {}
