@@ -253,7 +253,9 @@ def test_licence_blocks(spark):
         for k, t in enumerate(some):
             texts[f"{name}/{k}/a"] = wrap(t, 10)
             texts[f"{name}/{k}/b"] = around(wrap(t, 9))
-    texts["none/0/a"] = around("SPDX-License-Identifier: GPL-2.0-only")
+        texts[f"{name}/spdx/a"] = around(f"// SPDX-License-Identifier: {name}")
+    texts["GPL-3.0/spdx/b"] = around("# SPDX-License-Identifier: GPL-3.0-or-later")
+    texts["none/0/a"] = around("SPDX-License-Identifier: Own-1.0")
     texts["none/0/b"] = around("this is the form of the work in which any person may use it, with or without a copy")
     texts["none/0/c"] = "mit\ndie"
     f = spark.createDataFrame(list(texts.items()), "path string, text string").withColumn("is_licence_file", F.lit(False))
@@ -280,6 +282,33 @@ def test_licences_real_rows(spark, sf_dir):
             assert r["similarity"] == pytest.approx(best, abs=1e-8)
 
 
+def test_inheritance_on_real_rows(spark, sf_dir):
+    """Every row against its ancestors one by one, nearest first."""
+    files = licenses.corpus_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = licenses.scan(spark, files).collect()
+    held = {}
+    for r in rows:
+        if r["is_licence_file"] and r["own_licence"]:
+            held.setdefault(r["path"].rpartition("/")[0], []).append((-r["similarity"], r["own_licence"]))
+    assert held
+    for r in rows:
+        up, want = r["path"].rpartition("/")[0], (r["own_licence"], None)
+        while r["own_licence"] is None:
+            if up in held:
+                want = (min(held[up])[1], up)
+            if up in held or not up:
+                break
+            up = up.rpartition("/")[0]
+        assert (r["licence"], r["inherited_from"]) == want, r["path"]
+
+
+def test_licences_awkward(spark):
+    d = clash(docs(spark, [*AWKWARD, (50, "Released under the MIT License.\nx", None), (51, "a", None)]))
+    out = licenses.scan(spark, licenses.corpus_files(d)).collect()
+    assert len(out) == len(AWKWARD) + 2 and {r["doc_id"]: r["licence"] for r in out}[51] == "MIT"
+    assert licenses.scan(spark, licenses.corpus_files(d.limit(0))).count() == 0
+
+
 # --- sharding
 
 
