@@ -284,7 +284,7 @@ def test_licences_real_rows(spark, sf_dir):
 
 def test_inheritance_on_real_rows(spark, sf_dir):
     """Every row against its ancestors one by one, nearest first."""
-    files = licenses.corpus_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    files = licenses.corpus_files(spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet"))
     rows = licenses.scan(spark, files).collect()
     held = {}
     for r in rows:
