@@ -4,58 +4,67 @@ by the wrappers in columns.py."""
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import html
+import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+
+#: Runs of a diff that are kept unless more are asked for.
 DIFF_OPS = 500
 CHUNK, OVERLAP = 1200, 150
 # Where a long text may be cut, in this order.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
-def diff_words(old: str, new: str, most: int = DIFF_OPS) -> list[dict]:
-    """runs of equal, deleted and inserted words that turn old into new."""
-    a, b = (old or "").split(), (new or "").split()
-    out: list[dict] = []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out.append({"op": "equal", "text": " ".join(a[i:j])})
-            continue
-        if j > i:
-            out.append({"op": "delete", "text": " ".join(a[i:j])})
-        if m > k:
-            out.append({"op": "insert", "text": " ".join(b[k:m])})
+def diff_words(old: str, new: str, most: int | None = DIFF_OPS) -> list[dict]:
+    """runs of equal, deleted and inserted words that turn old into new: what lies between the
+    stretches both have, and then the stretch. most: None for all."""
+    sides = (old or "").split(), (new or "").split()
+    at, out = [0, 0], []
+    for *begins, n in difflib.SequenceMatcher(None, *sides, autojunk=False).get_matching_blocks():
+        gaps = [(op, side[p:q]) for op, side, p, q in zip(("delete", "insert"), sides, at, begins, strict=True)]
+        for op, run in [*gaps, ("equal", sides[0][begins[0] : begins[0] + n])]:
+            if run:
+                out.append({"op": op, "text": " ".join(run)})
+        at = [p + n for p in begins]
     return out[:most]
 
 
-def _packed(pieces: list[str], sep: str, size: int) -> Iterator[str]:
-    """Consecutive pieces joined by sep while they fit."""
-    held = ""
-    for p in pieces:
-        longer = f"{held}{sep}{p}" if held else p
-        if len(longer) <= size:
-            held = longer
+def _cuts(text: str, begin: int, end: int, size: int, overlap: int, level: int = 0) -> Iterator[tuple[int, int]]:
+    """Stretches (begin, end) of the text: from each place the furthest one that ends before a separator
+    of this level and still fits; what has none is cut at the next level, at last anywhere."""
+    if end - begin <= size:
+        yield begin, end
+        return
+    if level == len(SEPARATORS):
+        yield from ((k, min(k + size, end)) for k in range(begin, end, size - overlap))
+        return
+    width = len(SEPARATORS[level])
+    marks = [m.start() for m in re.finditer(re.escape(SEPARATORS[level]), text[begin:end])]
+    stops = [begin + m for m in marks] + [end]
+    starts = [begin, *(begin + m + width for m in marks)]
+    k = 0
+    while k < len(starts):
+        last = max(k, bisect.bisect_right(stops, starts[k] + size) - 1)
+        if stops[k] > starts[k]:  # nothing begins at a separator
+            yield from _cuts(text, starts[k], stops[last], size, overlap, level + 1)
+            k = last + 1
         else:
-            if held:
-                yield held
-            held = p
-    if held:
-        yield held
+            k += 1
 
 
 def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """Chunks of about size characters, cut at the coarsest separator that will do; each
     but the first starts with the end of the one before."""
-    parts = [text or ""]
-    for sep in SEPARATORS:
-        if all(len(p) <= size for p in parts):
-            break
-        parts = [q for p in parts for q in ([p] if len(p) <= size else _packed(p.split(sep), sep, size))]
-    parts = [q for p in parts for q in ([p] if len(p) <= size else [p[i : i + size] for i in range(0, len(p), size - overlap)])]
-    tails = [""] + [p[-overlap:] if overlap else "" for p in parts[:-1]]
-    return [c for c in ((t + p).strip() for t, p in zip(tails, parts, strict=True)) if c]
+    text = text or ""
+    spans = list(_cuts(text, 0, len(text), size, overlap))
+    before = [(0, 0), *((max(a, b - overlap), b) for a, b in spans)]
+    chunks = ((text[c:d] + text[a:b]).strip() for (a, b), (c, d) in zip(spans, before, strict=False))
+    return [c for c in chunks if c]
 
 
 def chunk_markdown(text: str, target: int = 10_000) -> list[dict]:
@@ -86,38 +95,49 @@ def chunk_markdown(text: str, target: int = 10_000) -> list[dict]:
 SNAP, GAP = 2.0, 30.0
 
 
+def _anchored(n: int, last: Callable[[int], int]) -> list[slice]:
+    """Stretches of 0..n: each begins where the one before ended, and last(k) says where one that
+    begins at k ends."""
+    out, k = [], 0
+    while k < n:
+        out.append(slice(k, last(k)))
+        k = out[-1].stop
+    return out
+
+
+def _line(x: np.ndarray, size: np.ndarray, bold: np.ndarray, text: list[str]) -> tuple[str, float, bool]:
+    order = np.argsort(x, kind="stable")
+    text = [text[k] for k in order]
+    ends = x[order] + size[order] * 0.55 * np.array([len(t) for t in text])
+    wide = np.r_[False, x[order][1:] - ends[:-1] > GAP]
+    value = [t[:1].isdigit() or t.lower().startswith("not applicable") for t in text]
+    marks = ["\t" if w and v else " " for w, v in zip(wide, value, strict=True)]
+    joined = "".join(m + t for m, t in zip(marks, text, strict=True)).removeprefix(" ")
+    return joined, round(float(size.sum()) / len(size), 1), bool(2 * bold.sum() > len(bold))
+
+
 def page_lines(spans: list[dict]) -> list[tuple[str, float, bool]]:
     """The spans (y, x, size, bold, text) of one page as lines (text, size, bold): a span
     belongs to a line while it is within SNAP of the line's first span. A wide gap before a value
     makes a tab."""
-    lines: list[list[dict]] = []
-    for s in sorted(spans, key=lambda s: (s["y"], s["x"])):
-        if not lines or abs(s["y"] - lines[-1][0]["y"]) > SNAP:
-            lines.append([])
-        lines[-1].append(s)
-    out = []
-    for line in lines:
-        line = sorted(line, key=lambda s: s["x"])
-        text, end = "", line[0]["x"]
-        for s in line:
-            value = s["text"][:1].isdigit() or s["text"].lower().startswith("not applicable")
-            text += ("\t" if s["x"] - end > GAP and value else " " if text else "") + s["text"]
-            end = s["x"] + s["size"] * 0.55 * len(s["text"])
-        out.append((text, round(sum(s["size"] for s in line) / len(line), 1), sum(bool(s["bold"]) for s in line) * 2 > len(line)))
-    return out
+    y, x, size, bold = (np.array([float(s[c] or 0) for s in spans]) for c in ("y", "x", "size", "bold"))
+    order = np.lexsort((x, y))
+    y, x, size, bold, text = y[order], x[order], size[order], bold[order] > 0, [spans[k]["text"] or "" for k in order]
+    parts = _anchored(len(y), lambda k: int(np.searchsorted(y, y[k] + SNAP, "right")))
+    return [_line(x[p], size[p], bold[p], text[p]) for p in parts]
 
 
 def page_blocks(spans: list[dict]) -> list[dict]:
     """Lines of one page merged while size (within half a point of the block's first line) and
     boldness hold; lines with a tab stand alone."""
-    blocks: list[tuple[list[str], float, bool, bool]] = []
-    for text, size, bold in page_lines(list(spans)):
-        tab = "\t" in text
-        if not tab and blocks and not blocks[-1][3] and abs(size - blocks[-1][1]) < 0.5 and bold == blocks[-1][2]:
-            blocks[-1][0].append(text)
-        else:
-            blocks.append(([text], size, bold, tab))
-    rows = [{"text": "\n".join(t).strip(), "size": size, "bold": bold} for t, size, bold, _ in blocks]
+    lines = page_lines(list(spans))
+    size, bold, tab = (np.array(v) for v in ([s for _, s, _ in lines], [b for *_, b in lines], ["\t" in t for t, *_ in lines]))
+
+    def last(k: int) -> int:
+        unlike = tab[k:] | (bold[k:] != bold[k]) | (np.abs(size[k:] - size[k]) >= 0.5)
+        return k + max(1, int(np.argmax(unlike[1:])) + 1 if not tab[k] and unlike[1:].any() else 1 if tab[k] else len(unlike))
+
+    rows = [{"text": "\n".join(t for t, *_ in lines[p]).strip(), "size": lines[p.start][1], "bold": lines[p.start][2]} for p in _anchored(len(lines), last)]
     return [r for r in rows if r["text"]]
 
 

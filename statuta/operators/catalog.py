@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries up to which the pattern table is broadcast; beyond it is joined in blocks of as many.
+#: Entries of which a block of the pattern table has about so many.
 PATTERN_ROWS = 10_000
 
 
 def pattern_join(entries: DataFrame, docs: DataFrame, condition) -> DataFrame:
-    """Entries and docs that a pattern of the entry matches. Patterns are data, so the
-    join is a nested loop over the broadcast pattern table; its size is checked first."""
-    if entries.limit(PATTERN_ROWS + 1).count() > PATTERN_ROWS:
-        raise ValueError(f"more than {PATTERN_ROWS} patterns; give them in blocks")
-    return docs.join(F.broadcast(entries), condition(entries, docs))
+    """Entries (id, ...) and docs that a pattern of the entry matches. Patterns are data,
+    so each document's title is tried against them: a nested loop over a broadcast block of the
+    pattern table. A larger table is taken in several blocks, each of which meets all documents."""
+    blocks = -(-entries.count() // PATTERN_ROWS)
+    if blocks <= 1:
+        return docs.join(F.broadcast(entries), condition(entries, docs))
+    parts = [entries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(p), condition(p, docs)) for p in parts])
 
 
 def entry_counts(entries: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per entry the number of nodes that its patterns reach and their most frequent
     root (ties to the smaller). entries: (id, title_pat, ref_pat); docs: (doc_id, title); nodes:
-    (doc_id, reference_code, root). Nodes are counted by (document, root, match) before the join."""
+    (doc_id, reference_code, root). Titles come first: a node is tried only against the patterns of
+    entries that name its document."""
     hit = pattern_join(entries, docs, lambda e, d: F.ilike(d["title"], e["title_pat"])).select("id", "ref_pat", "doc_id")
-    by_root = nodes.join(F.broadcast(entries.select("ref_pat").distinct()), F.expr("ref_pat IS NULL OR reference_code RLIKE ref_pat")).groupBy("doc_id", "ref_pat", "root").agg(F.count("*").alias("n"))
+    asked = hit.select("doc_id", "ref_pat").distinct()
+    by_root = nodes.join(asked, "doc_id").where("ref_pat IS NULL OR reference_code RLIKE ref_pat").groupBy("doc_id", "ref_pat", "root").agg(F.count("*").alias("n"))
     per = hit.join(by_root, (hit["doc_id"] == by_root["doc_id"]) & hit["ref_pat"].eqNullSafe(by_root["ref_pat"])).groupBy("id", "root").agg(F.sum("n").alias("n"))
     agg = per.groupBy("id").agg(F.sum("n").alias("node_count"), F.min_by("root", F.struct(-F.col("n"), F.col("root"))).alias("root"))
     return entries.select("id").join(agg, "id", "left").select("id", F.coalesce("node_count", F.lit(0)).alias("node_count"), "root")

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Of the rows of a key the first by pos. One aggregation with a map-side combine: the
-    row travels as a struct beside its position, so nothing is sorted."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), pos).alias("_r")).select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    """Of the rows of a key the first by pos, which no two rows share. Only keys and positions
+    are aggregated, by hash with a map-side combine; rows then stay by their position."""
+    first = df.groupBy(*keys).agg(F.min(pos).alias("_first")).select("_first")
+    return df.join(first, df[pos] == first["_first"], "left_semi")
 
 
 def last_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """The last row of a key, at the place where the key was first seen (first_pos)."""
-    rest = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), pos).alias("_r"), F.min(pos).alias("first_pos"))
-    return g.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns], "first_pos")
+    ends = df.groupBy(*keys).agg(F.max(pos).alias("_last"), F.min(pos).alias("first_pos")).select("_last", "first_pos")
+    return df.join(ends, df[pos] == ends["_last"]).drop("_last")
 
 
 def numbered(df: DataFrame, key: str, pos: str, out: str) -> DataFrame:

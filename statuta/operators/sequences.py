@@ -47,10 +47,18 @@ def runs(df: DataFrame, group: list[str], pos: str, value: str) -> DataFrame:
 
 def ancestor_paths(sections: DataFrame, doc: str, pos: str, code: str, title: str) -> DataFrame:
     """Df with ancestors, the ``code title`` of each prefix of a dotted code (``4.1.2`` has 4 and
-    4.1), the last one before the row; a prefix that never came is its code alone."""
-    ids = sections.select(doc, pos, F.col(code).alias("_code"), F.posexplode(F.filter(F.transform(F.split(code, r"\."), lambda x, i: F.array_join(F.slice(F.split(code, r"\."), F.lit(1), i), ".")), lambda x: x != "")).alias("_k", "_prefix"))
-    known = sections.select(doc, F.col(pos).alias("_p"), F.col(code).alias("_prefix"), F.col(title).alias("_t"))
-    up = ids.join(known, [doc, "_prefix"], "left").withColumn("_t", F.when(F.col("_p") < F.col(pos), F.col("_t"))).withColumn("_p", F.when(F.col("_p") < F.col(pos), F.col("_p")))
-    best = up.groupBy(doc, pos, "_k", "_prefix").agg(F.max_by("_t", "_p").alias("_t"))
-    path = best.groupBy(doc, pos).agg(F.sort_array(F.collect_list(F.struct("_k", F.concat_ws(" ", "_prefix", "_t").alias("n")))).alias("_a"))
-    return sections.join(path, [doc, pos], "left").withColumn("ancestors", F.coalesce(F.array_join(F.col("_a.n"), " / "), F.lit(""))).drop("_a")
+    4.1), the last one before the row; a prefix that never came is its code alone.
+
+    Sections and the prefixes that are asked for stand in one table, ordered by place: the last
+    title before an ask is a window's, so no section meets all earlier ones of its code.
+    """
+    parts = F.split(code, r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.lit(1), k), ".").alias("prefix")))
+    asks = sections.where(F.size(parts) > 1).select(F.col(doc).alias("d"), F.col(pos).alias("p"), F.explode(prefixes).alias("x")).select("d", "p", "x.k", "x.prefix", F.lit(None).cast("string").alias("t"))
+    known = sections.select(F.col(doc).alias("d"), F.col(pos).alias("p"), F.lit(0).alias("k"), F.col(code).alias("prefix"), F.col(title).alias("t"))
+    # an ask comes before the section at its own place
+    w = Window.partitionBy("d", "prefix").orderBy("p", F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = asks.unionByName(known).withColumn("t", F.last("t", ignorenulls=True).over(w)).where("k > 0")
+    path = found.groupBy("d", "p").agg(F.sort_array(F.collect_list(F.struct("k", F.concat_ws(" ", "prefix", "t").alias("n")))).alias("a"))  # as many as a code has parts
+    joined = sections.join(path, (sections[doc] == path["d"]) & (sections[pos] == path["p"]), "left")
+    return joined.withColumn("ancestors", F.coalesce(F.array_join("a.n", " / "), F.lit(""))).drop("d", "p", "a")

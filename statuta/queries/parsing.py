@@ -155,10 +155,17 @@ def role_runs(spark, sf_dir):
     return s.runs(v.read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role").groupBy("conv_id", "run").agg(F.min("role").alias("role"), F.count("*").alias("turns"))
 
 
-@query()
+@query("""WITH s AS (SELECT l_orderkey // 4 AS doc, l_orderkey * 10 + l_linenumber AS pos, 'Part ' || l_partkey AS title,
+  concat_ws('.', (l_orderkey % 4 + 1)::VARCHAR, CASE WHEN l_linenumber >= 2 THEN (l_partkey % 4 + 1)::VARCHAR END, CASE WHEN l_linenumber >= 3 THEN (l_partkey % 5 + 1)::VARCHAR END) AS code
+  FROM (SELECT l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)),
+a AS (SELECT doc, pos, k, array_to_string(string_split(code, '.')[1:k], '.') AS prefix FROM (SELECT *, UNNEST(range(1, len(string_split(code, '.')))) AS k FROM s)),
+f AS (SELECT a.doc, a.pos, a.k, a.prefix, (SELECT ARG_MAX(s.title, s.pos) FROM s WHERE s.doc = a.doc AND s.code = a.prefix AND s.pos < a.pos) AS title FROM a),
+p AS (SELECT doc, pos, string_agg(concat_ws(' ', prefix, title), ' / ' ORDER BY k) AS ancestors FROM f GROUP BY 1, 2)
+SELECT s.doc, s.pos, s.code, s.title, COALESCE(p.ancestors, '') AS ancestors FROM s LEFT JOIN p ON p.doc = s.doc AND p.pos = s.pos""")
 def ancestor_stack(spark, sf_dir):
-    """Dotted section codes to the path of their ancestors, missing ones synthesised."""
-    li = v.read(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    """Dotted section codes to the path of their ancestors, missing ones synthesised. Lines of one
+    number of an order are one section."""
+    li = v.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     code = F.concat_ws(".", (F.col("l_orderkey") % 4 + 1).cast("string"), *[F.when(F.col("l_linenumber") >= k, (F.col("l_partkey") % (k + 2) + 1).cast("string")) for k in (2, 3)])
     sections = li.select(F.expr("l_orderkey div 4").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), code.alias("code"), F.concat(F.lit("Part "), F.col("l_partkey")).alias("title"))
     return s.ancestor_paths(sections, "doc", "pos", "code", "title")

@@ -48,7 +48,7 @@ def _questions(spark, sf_dir):
     return v.read(spark, sf_dir, "conversations").select("conv_id", "turn", q.alias("question"))
 
 
-@query(f"""WITH {_QUESTIONS} SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '25.' || (1300 + conv_id % 50) WHEN 2 THEN 'A.91,A.101' ELSE '' END AS codes, CASE turn % 4 WHEN 0 THEN 'cs25,part21' WHEN 1 THEN 'airworthiness,ops' WHEN 2 THEN 'csacns' ELSE '' END AS docs,
+@query(f"""WITH {_QUESTIONS} SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '25.' || (1300 + conv_id % 50) WHEN 2 THEN 'A.91,A.101' ELSE '' END AS codes, CASE turn % 4 WHEN 0 THEN 'easa-cs25,easa-part21' WHEN 1 THEN 'easa-airworthiness,easa-ops' WHEN 2 THEN 'easa-csacns' ELSE '' END AS docs,
 CASE turn % 4 WHEN 0 THEN 'is 25.' || (1300 + conv_id % 50) || ' met by ?' WHEN 1 THEN 'rules' WHEN 2 THEN '21.A.91 A.101 CS ACNS' ELSE 'the and for' END AS cleaned FROM q""")
 def doc_mentions(spark, sf_dir):
     """Codes, documents and the cleaned text of every question."""
