@@ -1,63 +1,67 @@
 """Asking: codes, full text and vectors, fused; reranked; answered from context; sources deduplicated.
 
-The parts backed by models have deterministic offline stand-ins: a hash embedding, a lexical
-reranker and an extractive answer. Candidate pools are bounded by their definition, so the
-later steps work on a few rows.
+The parts backed by models have deterministic offline stand-ins: the caller gives the question's
+vector, the reranker counts words, the answer is extractive. Candidate pools are bounded by their
+definition, so the later steps work on a few rows.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.references import ASKED_CODE, base_ref
 from ..operators import retrieval as r
 from ..operators.dedup import keep_unseen
 
-DIM = 64
 
+def named_documents(question: str) -> list[str]:
+    """F17 of one question, on the driver: the ids of the documents that it names."""
+    names = [re.sub(r"[\s-]", "", n).lower() for n in re.findall(r.DOC_NAME.removeprefix("(?i)"), question, re.IGNORECASE)]
+    return list(dict.fromkeys(r.DOC_IDS[n] for n in names if n in r.DOC_IDS))
 
-def hash_embedding(text: Column, dim: int = DIM) -> Column:
-    """A bag of hashed words as a vector: the offline stand-in for an embedder."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9.]+)"), F.lit(1))
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.aggregate(slots, F.create_map().cast("map<bigint,double>"), lambda m, s: F.map_concat(F.map_filter(m, lambda k, v: k != s), F.create_map(s, F.coalesce(F.try_element_at(m, s), F.lit(0.0)) + 1.0)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(counts, i.cast("bigint")), F.lit(0.0)))
 
+def cleaned(question: str) -> str:
+    """F18 of one question, on the driver."""
+    return " ".join(re.sub(r.STRIPPED.removeprefix("(?i)"), " ", question, flags=re.IGNORECASE).split()) or question
 
-def sparse_cosine_distance(text: Column, question: str) -> Column:
-    """Cosine distance of word counts between a text and a question, over the question's words: what
-    hash_embedding approximates, without a vector per row."""
-    asked = sorted(set(re.findall(r"[a-z0-9.]+", question.lower())))
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9.]+)"), F.lit(1))
-    dot = F.size(F.filter(words, lambda w: w.isin(asked))).cast("double")
-    return 1 - dot / F.sqrt(F.lit(float(max(1, len(asked)))) * F.greatest(F.size(words), F.lit(1)) * F.lit(8.0))
 
-
-def ask(nodes: DataFrame, question: str, terms: list[str], n: int = 6, text_limit: int = 8) -> DataFrame:
+def ask(nodes: DataFrame, vectors: DataFrame, question: str, vector: list[float], sources: dict[str, list[str]], n: int = 6, text_limit: int = 8) -> DataFrame:
     """(place, node_id, reference_code, node_type, hierarchy_path, score, cited, answer).
 
-    1 exact and pattern code hits at distance 0; 2 full-text hits at 0.05, without those; 3 the
-    nearest by vector, without both; 4 best per parent and reciprocal ranks, code hits first;
-    5 rerank of the pool; 6 an answer from the context and its citations; 7 sources without
-    repeats. The limits are the method's own.
+    nodes: with source_doc_id; vectors: (node_id, vec_id, source_doc_id, embedding), stored; sources:
+    the source_doc_ids of a document id. A document that the question names restricts all that
+    follows. 1 exact and pattern code hits at distance 0; 2 full-text hits of the cleaned question
+    at 0.05, without those; 3 the nearest parents by vector, without both; 4 reciprocal ranks, code
+    hits first; 5 rerank of the pool with its threshold; 6 an answer from the context and its
+    citations; 7 sources without repeats. The limits are the method's own. Nodes are scanned once
+    for codes and text, and once for the few that only vectors find.
     """
-    codes = sorted(set(re.findall(ASKED_CODE, question)))
+    codes, search = sorted(set(re.findall(ASKED_CODE, question))), cleaned(question)
+    named = [s for d in named_documents(question) for s in sources.get(d, [])]
+    within = F.col("source_doc_id").isin(named) if named else F.lit(True)
     cols = ["node_id", "reference_code", "node_type", "hierarchy_path", "content_text"]
-    hits = r.code_matches(nodes, codes).orderBy("reference_code", "node_id").limit(n).select(*cols, F.lit(0.0).alias("distance"), F.lit(0).alias("stage"))
-    found = hits.select("node_id")
-    text = r.full_text(nodes, terms).join(found, "node_id", "left_anti").orderBy(F.col("rank").desc(), "node_id").limit(text_limit).select(*cols, F.lit(0.05).alias("distance"), F.lit(1).alias("stage"))
-    near = nodes.join(found, "node_id", "left_anti").join(text.select("node_id"), "node_id", "left_anti").withColumn("distance", sparse_cosine_distance(F.col("content_text"), question))
-    near = near.orderBy("distance", "node_id").limit(max(2 * n, 20)).select(*cols, "distance", F.lit(2).alias("stage"))
-    every = hits.unionByName(text).unionByName(near)
-    # all below is over at most n + text_limit + max(2n, 20) rows
+    wide = [*cols, "title", "source_doc_id"]
+    inside = nodes.where(within).select(*wide)
+    coded = r.code_matches(inside, codes).orderBy("reference_code", "node_id").limit(n).select(*cols, F.lit(0.0).alias("distance"), F.lit(0).alias("stage"))
+    texts = r.full_text(inside, search).orderBy(F.col("rank").desc(), "node_id").limit(text_limit + n)
+    both = coded.unionByName(texts.select(*cols, F.lit(0.05).alias("distance"), F.lit(1).alias("stage"), "rank"), allowMissingColumns=True)
+    # at most 2 n + text_limit rows from here on: a hit counts in its first list
+    once = Window.partitionBy("node_id").orderBy("stage")
+    both = both.withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    text_place = Window.partitionBy("stage").orderBy(F.col("rank").desc_nulls_first(), "node_id")
+    both = both.withColumn("k", F.row_number().over(text_place)).where(f"stage = 0 OR k <= {text_limit}").select(*cols, "distance", "stage").persist()
+    near = r.nearest_parents(vectors.where(within).join(F.broadcast(both.select("node_id")), "node_id", "left_anti"), vector, max(2 * n, 20))
+    near = nodes.select(*cols).join(F.broadcast(near), "node_id").select(*cols, "distance", F.lit(2).alias("stage"))
+    every = both.unionByName(near)
     rank = F.row_number().over(Window.partitionBy("stage").orderBy("distance", "node_id")) - 1
     fused = every.withColumn("rrf", F.when(F.col("stage") == 0, F.lit(1.0)).otherwise(1.0 / (F.lit(float(r.RRF_K)) + rank)))
     one = Window.partitionBy(F.lit(0)).orderBy(F.col("rrf").desc(), "stage", "node_id")
     pool = fused.withColumn("pos", F.row_number().over(one)).where(F.col("pos") <= max(2 * n, 12))
-    kept = r.rerank(pool, r.lexical_score(F.concat_ws(" ", "reference_code", "content_text"), [t.lower() for t in terms] + codes), top=max(n, r.RERANK_TOP), least=0)
+    wanted = [w for g in r.web_terms(search) for yes, p in g if yes for w in p]
+    kept = r.rerank(pool, r.lexical_score(F.concat_ws(" ", "reference_code", "content_text"), wanted), top=max(n, r.RERANK_TOP))
     item = F.struct("place", "node_id", base_ref(F.col("reference_code")).alias("ref"), "node_type", "hierarchy_path", F.round(1 - F.col("distance"), 3).alias("score"), F.substring("content_text", 1, 200).alias("snippet"))
     row = kept.groupBy().agg(F.sort_array(F.collect_list(item)).alias("h"))
     row = row.select(keep_unseen(F.slice("h", 1, n), lambda x: x["node_id"], lambda x: x["ref"]).alias("s"))

@@ -62,7 +62,7 @@ f AS (SELECT node_id, len(list_filter(lx, lambda w: w = 'ther')) AS a, len(list_
 SELECT node_id, ROUND(GREATEST(CASE WHEN a > 0 AND b > 0 THEN 2 + ln(a) + ln(b) END, CASE WHEN c > 0 AND d > 0 THEN 2 + ln(c) + ln(d) END), 6) AS rank FROM f WHERE (a > 0 AND b > 0) OR (c > 0 AND d > 0)""")
 def fts_and_match(spark, sf_dir):
     """every node with both terms, and its rank."""
-    return r.full_text(v.nodes(spark, sf_dir), ["ther", "erth"]).select("node_id", F.round("rank", 6).alias("rank"))
+    return r.full_text(v.nodes(spark, sf_dir), "ther erth").select("node_id", F.round("rank", 6).alias("rank"))
 
 
 @query("""WITH h AS (SELECT vec_id, 'p' || (vec_id % 40) AS parent_id, embedding[1]::DOUBLE AS distance, embedding[2]::DOUBLE AS d2, 'q' || label AS list FROM embeddings),
@@ -123,7 +123,31 @@ def vector_similarity(spark, sf_dir):
     return e.join(b, ["vec_id", "label"]).select("vec_id", "other_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@query()
+_ASKED = "25.101 or CS 26.102 or therer erth in Part 21"
+_INSIDE = {"easa-part21": [f"src{k}" for k in range(12)]}
+
+
+@query(f"""WITH {v.NODES}, inside AS (SELECT * FROM nodes WHERE substring(source_doc_id, 4)::INTEGER < 12),
+coded AS (SELECT node_id FROM inside WHERE reference_code IN ('25.101', '26.102') OR regexp_matches(reference_code, '25\\.101|26\\.102', 'i') ORDER BY reference_code, node_id LIMIT 6),
+lx AS (SELECT node_id, [' ' || array_to_string(list_transform(regexp_extract_all(lower(x), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN substring(w, 1, length(w) - 1) ELSE w END), '  ') || ' ' FOR x IN [content_text, title]] AS l FROM inside),
+tf AS (SELECT node_id, [[(length(x) - length(replace(x, t, ''))) / length(t) FOR t IN [' 25  101 ', ' 102 ', ' therer ', ' erth ']] FOR x IN l] AS f FROM lx),
+ranked AS (SELECT node_id, list_max([greatest(CASE WHEN x[1] > 0 THEN 1 + ln(x[1]) END, CASE WHEN x[2] > 0 THEN 1 + ln(x[2]) END, CASE WHEN x[3] > 0 AND x[4] > 0 THEN 2 + ln(x[3]) + ln(x[4]) END) FOR x IN f]) AS rank FROM tf),
+texts AS (SELECT node_id FROM ranked WHERE rank IS NOT NULL AND node_id NOT IN (FROM coded) ORDER BY rank DESC, node_id LIMIT 8),
+q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+near AS (SELECT 'n' || (vec_id // 2) AS node_id, MIN(1 - list_cosine_similarity(embedding::DOUBLE[], q)) AS distance FROM embeddings, q WHERE vec_id // 2 % 20 < 12
+  AND 'n' || (vec_id // 2) NOT IN (FROM coded) AND 'n' || (vec_id // 2) NOT IN (FROM texts) GROUP BY 1 ORDER BY 2, 1 LIMIT 20),
+every AS (SELECT node_id, 0.0::DOUBLE AS distance, 0 AS stage FROM coded UNION ALL SELECT node_id, 0.05::DOUBLE, 1 FROM texts UNION ALL SELECT node_id, distance, 2 FROM near),
+fused AS (SELECT e.*, n.reference_code, n.node_type, n.hierarchy_path, n.content_text, CASE WHEN stage = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (60.0::DOUBLE + ROW_NUMBER() OVER (PARTITION BY stage ORDER BY distance, e.node_id) - 1) END AS rrf FROM every e JOIN nodes n ON n.node_id = e.node_id),
+pool AS (SELECT *, FLOOR(list_sum([contains(lower(reference_code || ' ' || content_text), t)::INTEGER FOR t IN ['25', '101', '102', 'therer', 'erth']]) * 10 / 5.0)::INTEGER AS score FROM fused QUALIFY ROW_NUMBER() OVER (ORDER BY rrf DESC, stage, node_id) <= 12),
+placed AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, rrf DESC, stage, node_id) AS place FROM pool),
+kept AS (SELECT *, trim(regexp_replace(reference_code, '\\s*\\([^)]*\\)\\s*$', '')) AS ref FROM placed WHERE place = 1 OR (score >= 6 AND place <= 6)),
+sources AS (SELECT * FROM kept WHERE place <= 6 QUALIFY ROW_NUMBER() OVER (PARTITION BY ref ORDER BY place) = 1),
+a AS (SELECT string_agg('[' || ref || '] ' || substring(content_text, 1, 200), chr(10) || chr(10) ORDER BY place) AS answer FROM (SELECT * FROM sources ORDER BY place LIMIT 2))
+SELECT place::INTEGER AS place, node_id, ref AS reference_code, node_type, hierarchy_path, ROUND(1 - distance, 3) AS score, contains(lower(answer), lower(ref)) AS cited, answer FROM sources, a""".replace("\\\\", "\\"))
 def ask_hybrid(spark, sf_dir):
-    """The flagship: codes, full text and vectors fused, reranked and deduplicated."""
-    return plan.ask(v.nodes(spark, sf_dir), "What do 25.101 and CS 26.102 require of the therer and erth?", terms=["ther", "erth"])
+    """The flagship: codes, full text and vectors within the named document, fused, reranked and
+    deduplicated. Two vectors a node; a vector's source is its number's."""
+    e = v.read(spark, sf_dir, "embeddings")
+    parent = F.expr("vec_id div 2")
+    vectors = e.select(F.concat(F.lit("n"), parent).alias("node_id"), "vec_id", F.concat(F.lit("src"), parent % 20).alias("source_doc_id"), "embedding")
+    return plan.ask(v.nodes(spark, sf_dir), vectors, _ASKED, _vector(spark, sf_dir), _INSIDE)
