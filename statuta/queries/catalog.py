@@ -79,10 +79,13 @@ def tree_counts(spark, sf_dir):
     return t.tree_counts(v.nodes(spark, sf_dir, text=False))
 
 
-@query()
+@query(f"""WITH {v.NODES}, r AS (SELECT *, string_split(hierarchy_path, ' / ') AS p FROM nodes)
+SELECT p[1] AS root, upper(p[2]) AS subpart_key, upper(p[3]) AS section_key, bare_code AS article, FALSE AS last, split_part(bare_code, '.', 2)::BIGINT AS number,
+  string_agg(node_id, ',' ORDER BY CASE node_type WHEN 'AMC' THEN 1 WHEN 'GM' THEN 2 ELSE 0 END, reference_code, node_id) AS nodes FROM r GROUP BY ALL""")
 def tree_nested(spark, sf_dir):
-    """The whole tree, an article a row with its nodes."""
-    return t.nested_tree(v.nodes(spark, sf_dir, text=False))
+    """The whole tree, an article a row with its nodes in order."""
+    r = t.nested_tree(v.nodes(spark, sf_dir, text=False))
+    return r.withColumn("nodes", F.array_join(F.transform("nodes", lambda n: n["node_id"]), ","))
 
 
 @query(f"""WITH {v.NODES} SELECT source_doc_id, string_agg(DISTINCT node_type, ',' ORDER BY node_type) AS types, COUNT(DISTINCT reference_code) AS refs FROM nodes GROUP BY 1""")

@@ -104,7 +104,7 @@ def classify_titles(spark, sf_dir):
     return d.select("doc_id", "title", F.col("c.node_type").alias("node_type"), F.col("c.code").alias("code"), r.reference_code(F.col("c.node_type"), F.col("c.code"), F.col("title")).alias("reference_code"), F.col("c.title").alias("clean_title"))
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ANNEX I / ' ELSE 'Easy Rules / ' END || upper(lang) || ' / ' || source AS path FROM documents""")
 def hierarchy_paths(spark, sf_dir):
     """F8: paths from heading stacks with gaps and repeats."""
     stack = F.array(F.when(F.col("doc_id") % 3 == 0, "ANNEX I").otherwise(F.lit("")), F.upper("lang"), F.upper("lang"), F.lit(None).cast("string"), F.col("source"))

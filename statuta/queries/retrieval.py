@@ -81,7 +81,11 @@ def best_per_parent(spark, sf_dir):
     return r.best_per_parent(h).select("parent_id", "pos", "vec_id", "distance")
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT label, vec_id, vec_id % 11 AS parent, vec_id * 7 % 13 AS ref, ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings),
+k AS (SELECT label, 0::BIGINT AS place, []::BIGINT[] AS ids, []::BIGINT[] AS refs, FALSE AS kept, NULL::BIGINT AS vec_id FROM (SELECT DISTINCT label FROM h)
+  UNION ALL SELECT label, place, CASE WHEN new THEN list_append(ids, parent) ELSE ids END, CASE WHEN new THEN list_append(refs, ref) ELSE refs END, new, vec_id FROM (
+    SELECT h.label, h.place, h.parent, h.ref, k.ids, k.refs, h.vec_id, NOT list_contains(k.ids, h.parent) AND NOT list_contains(k.refs, h.ref) AS new FROM k JOIN h ON h.label = k.label AND h.place = k.place + 1 WHERE h.place <= 20))
+SELECT k.label, k.vec_id, k.vec_id % 11 AS parent, k.vec_id * 7 % 13 AS ref FROM k WHERE kept""")
 def source_dedup(spark, sf_dir):
     """Per label the pool of the first 20 hits (the method's), without those whose parent
     or base reference was kept."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import outdated
 from ..functions.columns import word_diff as diff_udf
 from ..operators import versions as o
+from ..plans import harvest
 from ..sources import views as v
 from . import query
 
@@ -163,3 +164,29 @@ def version_check(spark, sf_dir):
     k = F.substring("doc_id", 4, 9).cast("int")
     d = d.withColumn("remote_version", F.when(k % 2 == 0, F.upper("version_label")).when(k % 3 == 0, "Amendment 99"))
     return d.select("doc_id", "title", F.col("n").alias("node_count"), F.col("version_label").alias("local_version"), "remote_version", outdated(F.col("version_label"), F.col("remote_version")).alias("outdated"))
+
+
+@query(f"""WITH {v.OLD_NEW}, o AS (SELECT * FROM old_nodes), j AS (SELECT COALESCE(o.reference_code, n.reference_code) AS reference_code,
+  CASE WHEN o.reference_code IS NULL THEN 'added' WHEN n.reference_code IS NULL THEN 'deleted' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'modified' END AS change_type,
+  COALESCE(n.content_text, o.content_text) AS content_text, COALESCE(n.content_hash, o.content_hash) AS content_hash
+  FROM o FULL JOIN new_nodes n ON n.reference_code = o.reference_code WHERE n.reference_code IS NOT NULL OR o.doc_key IN (SELECT doc_key FROM new_nodes))
+SELECT reference_code, change_type, 'v2' AS version_label, content_hash, md5(content_text) AS text_md5 FROM j WHERE change_type <> 'unchanged'""")
+def harvest_snapshots(spark, sf_dir):
+    """K5: the snapshots that a harvest run appends: added, modified and deleted nodes with content."""
+    return _run(spark, sf_dir)["versions"].select(F.split_part("k", F.lit("\u0001"), F.lit(2)).alias("reference_code"), "change_type", "version_label", "content_hash", F.md5("content_text").alias("text_md5"))
+
+
+@query(f"""WITH {v.OLD_NEW}, j AS (SELECT o.reference_code AS a, n.reference_code AS b, o.content_hash = n.content_hash AS same FROM old_nodes o FULL JOIN new_nodes n ON n.reference_code = o.reference_code
+  WHERE n.reference_code IS NOT NULL OR o.doc_key IN (SELECT doc_key FROM new_nodes))
+SELECT COUNT(*) FILTER (a IS NULL) AS nodes_added, COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND NOT same) AS nodes_modified, COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND same) AS nodes_unchanged,
+  COUNT(*) FILTER (b IS NULL) AS nodes_deleted, COUNT(*) AS nodes_total FROM j""")
+def harvest_run(spark, sf_dir):
+    """K7: the counters of a harvest run."""
+    return _run(spark, sf_dir)["run"]
+
+
+def _run(spark, sf_dir):
+    shape = lambda d: d.select(F.lit("IR").alias("node_type"), "reference_code", F.col("doc_key").alias("source_doc_id"), "content_text", "content_hash")
+    old, new = v.old_and_new(spark, sf_dir)
+    # the position of a row is the number in its code
+    return harvest.ingest(shape(old), shape(new).withColumn("pos", F.split_part("reference_code", F.lit("."), F.lit(2)).cast("long")), "v2")

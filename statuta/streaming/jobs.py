@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.versions import upsert
-
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, late: str = "1 day") -> DataFrame:
     """Each key once; keys are forgotten when the watermark has passed them."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def harvest(stream: DataFrame, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Every micro-batch replaces the rows of its keys. A batch's state goes to a path named by
-    its number, so a batch that runs again after a failure writes the same state."""
-    spark = stream.sparkSession
+def harvest(stream: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Every micro-batch leaves the last row of each of its keys, by ``order``, as a delta under the
+    batch's number; a batch that runs again after a failure writes the same. current() reads the
+    state, compact() folds old deltas into a base."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = batch.dropDuplicates(keys)
-        path = f"{table.rstrip('/')}/v={number:08d}"
-        if number:
-            last = upsert(spark.read.parquet(f"{table.rstrip('/')}/v={number - 1:08d}"), last, keys)
-        last.write.mode("overwrite").parquet(path)
+        rest = F.struct(*[c for c in batch.columns if c not in keys])
+        last = batch.groupBy(*keys).agg(F.max_by(rest, F.struct(*order)).alias("r")).select(*keys, "r.*").select(*batch.columns)
+        last.write.mode("overwrite").parquet(f"{table.rstrip('/')}/delta/batch_no={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the finished parts of a table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.split("=")[1]) for n in names if "=" in n and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The state: of each key the row of the latest delta, else that of the base."""
+    table = table.rstrip("/")
+    base = _numbers(spark, f"{table}/base")[-1:]
+    parts = [(n, f"{table}/base/batch_no={n}") for n in base] + [(n, f"{table}/delta/batch_no={n}") for n in _numbers(spark, f"{table}/delta") if not base or n > base[0]]
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(p).withColumn("_batch", F.lit(n)) for n, p in parts])
+    rest = F.struct(*[c for c in rows.columns if c not in (*keys, "_batch")])
+    return rows.groupBy(*keys).agg(F.max_by(rest, "_batch").alias("r")).select(*keys, "r.*")
+
+
+def compact(spark: SparkSession, table: str, keys: list[str]) -> None:
+    """Writes the state as the base of the latest delta's number; older parts may then be removed."""
+    last = _numbers(spark, f"{table.rstrip('/')}/delta")[-1]
+    current(spark, table, keys).write.mode("overwrite").parquet(f"{table.rstrip('/')}/base/batch_no={last}")
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events by type and window of event time; works on streams and tables."""
     df = events.withWatermark("ts", late) if events.isStreaming else events

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from statuta.operators import catalog, graph, sequences, versions
@@ -55,20 +54,24 @@ def test_fold_keeps_unseen(spark):
     assert [tuple(x) for x in got] == [(1, "a"), (2, "b")]
 
 
-def test_pattern_table_is_checked(spark, monkeypatch):
+def test_pattern_table_in_blocks(spark, monkeypatch):
+    """A table above the bound is joined in blocks, and finds the same."""
+    e = spark.createDataFrame([("a", "%x%"), ("b", "%y%"), ("c", "%"), ("d", "none")], "id string, title_pat string")
+    d = spark.createDataFrame([("d", "x", 1), ("e", "xy", 5), ("f", None, 9)], "doc_id string, title string, n int")
+    want = {("a", "e", 5), ("b", "e", 5), ("c", "e", 5)}
+    assert {tuple(r) for r in catalog.best_documents(e, d).collect()} == want
     monkeypatch.setattr(catalog, "PATTERN_ROWS", 1)
-    e = spark.createDataFrame([("a", "%x%"), ("b", "%y%")], "id string, title_pat string")
-    with pytest.raises(ValueError):
-        catalog.best_documents(e, spark.createDataFrame([("d", "x", 1)], "doc_id string, title string, n int"))
+    assert {tuple(r) for r in catalog.best_documents(e, d).collect()} == want
 
 
 def test_harvest(spark):
     ddl = "node_type string, reference_code string, source_doc_id string, content_text string, content_hash string"
     stored = spark.createDataFrame([("IR", "1", "d", "a b", "h1"), ("IR", "2", "d", "x", "h2"), ("IR", "9", "other", "k", "h9")], ddl)
-    batch = spark.createDataFrame([("IR", "1", "d", "a c", "h3"), ("IR", "3", "d", "n", "h4"), ("IR", "3", "d", "again", "h5")], ddl)
+    batch = spark.createDataFrame([("IR", "1", "d", "a c", "h3", 0), ("IR", "3", "d", "again", "h5", 2), ("IR", "3", "d", "n", "h4", 1)], ddl + ", pos int").repartition(3)
     got = harvest.ingest(stored, batch, "v2")
     assert {r["reference_code"] for r in got["nodes"].collect()} == {"1", "3", "9"}
     assert got["run"].first().asDict() == {"nodes_added": 1, "nodes_modified": 1, "nodes_unchanged": 0, "nodes_deleted": 1, "nodes_total": 3}
+    assert {(r["change_type"], r["content_text"]) for r in got["versions"].collect()} == {("modified", "a c"), ("added", "n"), ("deleted", "x")}
     diff = got["versions"].where("change_type = 'modified'").first()["diff_prev"]
     assert [(d["op"], d["text"]) for d in diff] == [("equal", "a"), ("delete", "b"), ("insert", "c")]
 
@@ -115,9 +118,14 @@ def test_streams(spark, sf_dir, tmp_path):
     land = str(tmp_path / "land")
     shape = src.select("doc_id", F.md5("text").alias("hash"), F.lit(1).alias("v"))
     shape.where("doc_id < 50").write.parquet(land)
-    run = lambda: jobs.harvest(jobs.read_table_as_stream(spark, land, shape.schema), str(tmp_path / "state"), ["doc_id"], str(tmp_path / "cp")).awaitTermination()
+    run = lambda: jobs.harvest(jobs.read_table_as_stream(spark, land, shape.schema), str(tmp_path / "state"), ["doc_id"], ["v"], str(tmp_path / "cp")).awaitTermination()
     run()
     shape.where("doc_id BETWEEN 40 AND 59").withColumn("v", F.lit(2)).write.mode("append").parquet(land)
     run()
-    state = spark.read.parquet(str(tmp_path / "state" / "v=00000001"))
-    assert state.count() == 60 and state.where("v = 2").count() == 20
+    for _ in range(2):  # from deltas, then from a base
+        state = jobs.current(spark, str(tmp_path / "state"), ["doc_id"])
+        assert state.count() == 60 and state.where("v = 2").count() == 20
+        jobs.compact(spark, str(tmp_path / "state"), ["doc_id"])
+    shape.where("doc_id = 1").select("doc_id", F.lit("x").alias("hash"), F.explode(F.array(F.lit(4), F.lit(9), F.lit(5))).alias("v")).coalesce(1).write.mode("append").parquet(land)
+    run()
+    assert [r["v"] for r in jobs.current(spark, str(tmp_path / "state"), ["doc_id"]).where("doc_id = 1").collect()] == [9]
