@@ -135,7 +135,7 @@ BLOCKS = {
 SPDX = r"(?i)spdx-license-identifier:\s*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 #: Lines in a block; blocks overlap by three quarters, and the whole text is one too.
 BLOCK_LINES = (1, 2, 3, 5, 8, 13, 21, 34, 55)
-#: A document whose first line has one of these stands for a licence file; names that are common
+#: A document whose first or last line has one of these stands for a licence file; names that are common
 #: words or letters otherwise count in capitals. Lines are compared whether they have one or not.
 ANCHOR = r"(?i:licen[sc]|apache|\bgnu\b|mozilla|creative commons)|\b(?:MIT|BSD|CC)\b"
 _TOKEN = r"[a-z0-9][a-z0-9.-]*[a-z0-9]|[a-z0-9]"
@@ -352,9 +352,11 @@ def scan(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def corpus_files(docs: DataFrame) -> DataFrame:
-    """documents as files: source/lang/hundred/doc_id; a document whose first line declares a
-    licence stands for the licence file of its directory."""
+    """documents as files: source/lang/hundred/doc_id; a document whose first or last line declares a
+    licence stands for the licence file of its directory. Null parts of a path are ``_``; null and
+    empty texts declare nothing; repeated ids share a path; an empty table gives no files."""
     part = lambda c: F.coalesce(c.cast("string"), F.lit("_"))
     path = F.concat_ws("/", part(F.col("source")), part(F.col("lang")), part(F.floor(F.col("doc_id") / 100)), part(F.col("doc_id")))
-    first = F.split(F.coalesce("text", F.lit("")), "\n", 2)[0]
-    return docs.select("doc_id", path.alias("path"), "text", first.rlike(ANCHOR).alias("is_licence_file"))
+    text = F.coalesce("text", F.lit(""))
+    declares = F.substring_index(text, "\n", 1).rlike(ANCHOR) | F.substring_index(text, "\n", -1).rlike(ANCHOR)
+    return docs.select("doc_id", path.alias("path"), "text", declares.alias("is_licence_file"))
