@@ -45,14 +45,12 @@ def ask(nodes: DataFrame, vectors: DataFrame, question: str, vector: list[float]
     cols = ["node_id", "reference_code", "node_type", "hierarchy_path", "content_text"]
     wide = [*cols, "title", "source_doc_id"]
     inside = nodes.where(within).select(*wide)
-    coded = r.code_matches(inside, codes).orderBy("reference_code", "node_id").limit(n).select(*cols, F.lit(0.0).alias("distance"), F.lit(0).alias("stage"))
-    texts = r.full_text(inside, search).orderBy(F.col("rank").desc(), "node_id").limit(text_limit + n)
-    both = coded.unionByName(texts.select(*cols, F.lit(0.05).alias("distance"), F.lit(1).alias("stage"), "rank"), allowMissingColumns=True)
-    # at most 2 n + text_limit rows from here on: a hit counts in its first list
-    once = Window.partitionBy("node_id").orderBy("stage")
-    both = both.withColumn("nth", F.row_number().over(once)).where("nth = 1")
-    text_place = Window.partitionBy("stage").orderBy(F.col("rank").desc_nulls_first(), "node_id")
-    both = both.withColumn("k", F.row_number().over(text_place)).where(f"stage = 0 OR k <= {text_limit}").select(*cols, "distance", "stage").persist()
+    is_coded = r.is_coded(codes)
+    found = r.ranked(inside.withColumn("coded", is_coded), search, F.col("coded")).where("coded OR rank IS NOT NULL").select(*cols, "coded", "rank").persist()
+    coded = found.where("coded").orderBy("reference_code", "node_id").limit(n).select(*cols, F.lit(0.0).alias("distance"), F.lit(0).alias("stage"))
+    texts = found.where("rank IS NOT NULL").join(F.broadcast(coded.select("node_id")), "node_id", "left_anti").orderBy(F.col("rank").desc(), "node_id").limit(text_limit)
+    # at most n + text_limit rows, and 20 or 2 n more below
+    both = coded.unionByName(texts.select(*cols, F.lit(0.05).alias("distance"), F.lit(1).alias("stage"))).persist()
     near = r.nearest_parents(vectors.where(within).join(F.broadcast(both.select("node_id")), "node_id", "left_anti"), vector, max(2 * n, 20))
     near = nodes.select(*cols).join(F.broadcast(near), "node_id").select(*cols, "distance", F.lit(2).alias("stage"))
     every = both.unionByName(near)
