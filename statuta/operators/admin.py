@@ -98,3 +98,31 @@ def short_label(ref: Column) -> Column:
 def allowed(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
     """Rows whose value is in a closed list, as the enumerations of the tables ask."""
     return df.where(F.col(column).isin(list(values)))
+
+
+def placed_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes that have a path."""
+    return nodes.where(F.coalesce(F.col("hierarchy_path"), F.lit("")) != "")
+
+
+def enabled_sources(sources: DataFrame) -> DataFrame:
+    """The sources to harvest (external_id, name, urls, smart, narrative) of (external_id, name, urls
+    map, enabled): flags kept among the urls become columns, the first true where it is not given."""
+    urls, _ = split_flags(F.coalesce(F.col("urls"), F.create_map().cast("map<string,string>")))
+    flag = lambda name, usual: F.coalesce(F.lower(F.try_element_at("urls", F.lit(name))) == "true", F.lit(usual))
+    return sources.where("enabled").select("external_id", "name", urls.alias("urls"), flag("use_smart_parser", True).alias("smart"), flag("use_narrative_parser", False).alias("narrative"))
+
+
+def created(catalog: DataFrame, entry: dict, required: tuple[str, ...] = ("id", "name", "short", "category_id", "domain_id")) -> DataFrame:
+    """The catalogue with a new active entry at its end. A missing field and an id that exists are
+    refused; empty keys and patterns become null, other absent texts empty."""
+    missing = sorted(set(required) - set(entry))
+    if missing:
+        raise ValueError(f"missing: {missing}")
+    if not catalog.where(F.col("id") == F.lit(entry["id"])).isEmpty():
+        raise ValueError(f"exists: {entry['id']}")
+    filled = {"description": "", "easa_url": ""} | entry | {k: entry.get(k) or None for k in ("harvest_key", "doc_title_pattern")} | {"is_active": True}
+    row = catalog.agg((F.coalesce(F.max("sort_order"), F.lit(0)) + 1).alias("sort_order"))
+    types = {f.name: f.dataType for f in catalog.schema.fields}
+    row = row.select(*[F.col(c).cast(t).alias(c) if c == "sort_order" else F.lit(filled.get(c)).cast(t).alias(c) for c, t in types.items()])
+    return catalog.unionByName(row)

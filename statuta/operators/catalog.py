@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of which a block of the pattern table has about so many.
@@ -45,3 +45,19 @@ def best_documents(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the documents that an entry's title pattern names the one with most nodes."""
     hit = pattern_join(entries, docs, lambda e, d: F.ilike(d["title"], e["title_pat"]))
     return hit.groupBy("id").agg(F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id"))).alias("doc_id"), F.max("n").alias("node_count"))
+
+# Categories in the order in which they are shown.
+CATEGORIES = ("basic", "ir", "cs", "amcgm", "other")
+
+
+def category_order(category: Column) -> list[Column]:
+    """Sort keys of categories: the known ones in their order, then the others by name."""
+    at = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), category)
+    return [at == 0, at, category]
+
+
+def with_checks(entries: DataFrame, checks: DataFrame) -> DataFrame:
+    """Entries and what the version check of their source_root found, if there was one; a
+    root's last check counts (checked_at)."""
+    last = checks.groupBy("source_root").agg(F.max_by(F.struct("latest_version", "outdated"), "checked_at").alias("_c"))
+    return entries.join(last, "source_root", "left").select(*entries.columns, "_c.latest_version", F.coalesce("_c.outdated", F.lit(False)).alias("outdated"))

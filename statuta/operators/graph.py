@@ -88,3 +88,24 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     no_source = edges.join(ids.withColumnRenamed("node_id", "source_node_id"), "source_node_id", "left_anti")
     no_target = edges.join(ids.withColumnRenamed("node_id", "target_node_id"), "target_node_id", "left_anti")
     return no_source.unionByName(no_target).distinct()
+
+
+def text_references(nodes: DataFrame, pattern: str = r"(?iU)\b((?:CS|AMC|GM|IR)\s+[\w.\-]+(?:\([^)]*\))*)\b") -> DataFrame:
+    """(source_ref, target_ref, relation): references that texts name, one row a pair, whether a
+    node has them or not; a node's own goes."""
+    named = nodes.select(F.col("reference_code").alias("source_ref"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content_text", F.lit(pattern), F.lit(1)), lambda x: F.trim(x)))).alias("target_ref"))
+    return named.where("target_ref <> source_ref").distinct().withColumn("relation", F.lit("REFERS_TO"))
+
+
+def confident(relations: DataFrame, least: float = 0.7) -> DataFrame:
+    """Relations without a confidence or with one of at least so much (an optional step)."""
+    return relations.where(F.col("confidence").isNull() | (F.col("confidence") >= least))
+
+
+def linked(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between all nodes of two references: (source_ref, target_ref, relation) asked for, by
+    two equi-joins instead of a product with a filter."""
+    ids = nodes.select("reference_code", "node_id")
+    source = ids.select(F.col("reference_code").alias("source_ref"), F.col("node_id").alias("source_node_id"))
+    target = ids.select(F.col("reference_code").alias("target_ref"), F.col("node_id").alias("target_node_id"))
+    return wanted.join(source, "source_ref").join(target, "target_ref").select("source_node_id", "target_node_id", "relation")

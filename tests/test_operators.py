@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from statuta.operators import catalog, graph, sequences, versions
+from statuta.operators import admin, catalog, graph, sequences, versions
 from statuta.operators.dedup import keep_unseen
 from statuta.plans import chunking, harvest
 from statuta.schemas import TABLES
@@ -129,3 +129,36 @@ def test_streams(spark, sf_dir, tmp_path):
     shape.where("doc_id = 1").select("doc_id", F.lit("x").alias("hash"), F.explode(F.array(F.lit(4), F.lit(9), F.lit(5))).alias("v")).coalesce(1).write.mode("append").parquet(land)
     run()
     assert [r["v"] for r in jobs.current(spark, str(tmp_path / "state"), ["doc_id"]).where("doc_id = 1").collect()] == [9]
+
+
+def test_headings_of_pages(spark):
+    from statuta.functions import headings as h
+
+    rows = [("AMC to Appendix S, S25.30(a) Seats\nmore", "AMC to Appendix S, S25.30(a) Seats", "more"), ("CS 25.581(b)(1) Lightning", "CS 25.581(b)(1)", "Lightning"), ("GM 25-1", "GM 25-1", "GM 25-1"), ("Plain words\nnext", "Plain words", "next")]
+    got = spark.createDataFrame([(r[0],) for r in rows], "t string").select("t", h.heading_parts(F.col("t")).alias("p")).collect()
+    assert {(r.t, r.p.reference_code, r.p.title) for r in got} == set(rows)
+    lines = [("4.1 Aim", True, "4.1"), ("4.1 Aim", False, None), ("199 ft", True, None), ("51", True, None), ("50", True, "50"), ("3.2 KM", True, None), ("7 Aim ..... 3", True, None), ("9" * 50, True, None), (None, True, None)]
+    got = spark.createDataFrame(lines, "t string, b boolean, n string").select("n", h.numbered_heading(F.col("t"), F.col("b")).alias("got")).collect()
+    assert [r.got for r in got] == [r.n for r in got]
+    noise = [("Page 3 of 9", True), ("BOOK 1", True), ("© 2020 X", True), ("Scope ..... 4", True), ("The page 3 of 9", False), ("CS 25.1 Scope", False)]
+    got = spark.createDataFrame(noise, "t string, n boolean").select("n", h.is_noise(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.n for r in got]
+
+
+def test_catalogue_refuses(spark):
+    import pytest
+
+    old = spark.createDataFrame([("a", "A", True, 4)], "id string, name string, is_active boolean, sort_order int")
+    with pytest.raises(ValueError, match="missing"):
+        admin.created(old, {"id": "b"}, ("id", "name"))
+    with pytest.raises(ValueError, match="exists"):
+        admin.created(old, {"id": "a", "name": "B"}, ("id", "name"))
+    assert [tuple(r) for r in admin.created(old.limit(0), {"id": "b", "name": "B"}, ("id", "name")).collect()] == [("b", "B", True, 1)]
+
+
+def test_scores_of_a_model(spark):
+    from statuta.functions import headings as h
+
+    rows = [('```json\n{"1": 9}\n```', 9), ('{"1": 8.9}', 8), ('{"2": 3}', 5), ('{"1": null}', 5), ('{"1": "many", "2": 3}', 5), ("", 5), (None, 5), ("[1]", 5)]
+    got = spark.createDataFrame(rows, "a string, n int").select("n", h.score_of(h.model_scores(F.col("a")), F.lit(1)).alias("got")).collect()
+    assert [r.got for r in got] == [r.n for r in got]
