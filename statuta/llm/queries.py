@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, toxicity
+from . import decontamination, divergence, fill_middle, licenses, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, token_ids, toxicity
 from .shared import table
 
 
@@ -51,9 +51,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.encode(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op3_toxicity, op4_pii, op5_licenses, op6_lm_scoring, op7_sharding, op8_decontamination, op9_quality_classifier, op10_ngram_join)
+    for f in (
+        op1_quality_rules, op2_mixing, op3_toxicity, op4_pii, op5_licenses, op6_lm_scoring, op7_sharding, op8_decontamination, op9_quality_classifier, op10_ngram_join,
+        op11_fill_middle, op12_token_ids, op13_divergence,
+    )
 }
 
 ORACLES = {
@@ -80,4 +95,32 @@ f AS (SELECT doc_id, doc_bytes, MIN(e.depth) AS shard_depth, ARG_MIN(shard_bytes
       FROM e JOIN b ON e.depth = b.depth AND e.prefix = b.prefix GROUP BY doc_id, doc_bytes)
 SELECT doc_id, CASE WHEN shard_depth = 0 THEN '' ELSE lpad(bin(h >> (60 - shard_depth)), shard_depth, '0') END AS shard, shard_depth, shard_bytes, doc_bytes
 FROM f""",
+    "op11_fill_middle": r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, sha256('7:' || COALESCE(doc_id::VARCHAR, 'null')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+             [('0x' || substr(h, 1, 8))::BIGINT, ('0x' || substr(h, 9, 8))::BIGINT, ('0x' || substr(h, 17, 8))::BIGINT, ('0x' || substr(h, 25, 8))::BIGINT] AS r FROM d),
+c AS (SELECT *, len(lines)::BIGINT AS n, LEAST(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS lo, GREATEST(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS hi,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, COALESCE(array_to_string(lines[1:lo], ''), '') AS prefix, COALESCE(array_to_string(lines[lo + 1:hi], ''), '') AS middle, COALESCE(array_to_string(lines[hi + 1:n], ''), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""",
+    "op13_divergence": r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS rid, COALESCE(text, '') AS text, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source FROM documents),
+t AS (SELECT rid, lang, source, UNNEST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, COUNT(*) AS total FROM t GROUP BY lang, term HAVING COUNT(DISTINCT rid) >= 30),
+v AS (SELECT lang, COUNT(*) AS v, SUM(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, COUNT(*) AS n FROM t GROUP BY lang, source, term),
+gk AS (SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n, k.total FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gn AS (SELECT lang, source, SUM(n) AS n FROM gk GROUP BY lang, source),
+p AS (SELECT gk.lang, gk.source, gk.term, gk.n, (1 + (1000000000::HUGEINT * (gk.n + 5)) // (gn.n + 5 * v.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (gk.total + 5)) // (v.n + 5 * v.v))::BIGINT AS q
+      FROM gk JOIN gn ON gk.lang = gn.lang AND gk.source = gn.source JOIN v ON gk.lang = v.lang),
+pairs AS (SELECT a.lang, a.source, b.source AS item, COALESCE(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT a.lang, a.source, b.source AS item, SUM(ABS(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+          ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }

@@ -49,6 +49,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> tuple[str, DataFrame]:
+    """(table, df read back from it): df written once to the shared folder, in buckets by keys. A join
+    on these keys leaves the table where it is and shuffles the other side alone. The caller
+    drops the table; its files go with sweep()."""
+    spark = df.sparkSession
+    at, path = f"statuta_{name}_{uuid.uuid4().hex}", f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(at, format="parquet")
+    _written.setdefault(spark, []).append(path)
+    return at, spark.table(at)
+
+
 def bounded_broadcast(df: DataFrame) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if its rows and bytes are measured to be few; else df and False."""
     size = F.lit(8 * len(df.columns))
