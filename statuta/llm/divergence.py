@@ -29,11 +29,11 @@ LEAST_DOCS = 30
 SCALE, PRIOR = 10**9, 5
 TOP_TERMS = 50
 #: Counts in a slice on average, groups in a block, and blocks of a ring at least.
-SLICE_COUNTS, BLOCK_GROUPS, LEAST_BLOCKS = 1 << 14, 256, 8
+SLICE_COUNTS, BLOCK_GROUPS, LEAST_BLOCKS = 1 << 16, 256, 8
 #: Partitions in which a ring's rows stay, at most.
 MOST_BUCKETS = 8192
-#: Bytes of text cut into terms at a time; counts a task gathers before it hands them on.
-SLICE_BYTES, HELD_COUNTS = 4 << 20, 400_000
+#: Bytes of text cut into terms at a time; terms and counts a task gathers before it hands them on.
+SLICE_BYTES, HELD_TERMS, HELD_COUNTS = 4 << 20, 300_000, 1_000_000
 #: Terms compared at a time.
 _LOT = 1024
 
@@ -46,14 +46,59 @@ _COUNTS = "lang string, source string, term string, n long, docs long"
 _SLICES = "lang string, slice int, block int, v long, sources array<string>, ns array<long>, terms array<string>, totals array<long>, counts binary"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of the rows (lang, source, text) of a task, summed where they fit its memory."""
-    held: list[pa.Table] = []
+class _Tally:
+    """Occurrences and documents of terms by group, under numbers; the terms are remembered once a task."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms: dict[str, int] = {}
+        self.key = self.n = self.docs = np.zeros(0, dtype=np.int64)
+
+    def add(self, lang: list[str], source: list[str], data: np.ndarray, off: np.ndarray) -> None:
+        """Text i of a slice is data[off[i]:off[i + 1]]."""
+        letter = _LETTER[data]
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[off] = True
+        begins, ends = letter.copy(), letter.copy()
+        begins[1:] &= ~letter[:-1] | edge[1:-1]
+        ends[:-1] &= ~letter[1:] | edge[1:-1]
+        starts = np.flatnonzero(begins)
+        lens = np.flatnonzero(ends) + 1 - starts
+        inside = np.ascontiguousarray(_LOWER[data[letter]])
+        cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[0, np.cumsum(lens)].astype(np.int64)), pa.py_buffer(inside)).dictionary_encode()
+        known = self.terms
+        number = np.fromiter((known.setdefault(t, len(known)) for t in cut.dictionary.to_pylist()), dtype=np.int64, count=len(cut.dictionary))
+        group = np.fromiter((self.groups.setdefault(g, len(self.groups)) for g in zip(lang, source, strict=True)), dtype=np.int64, count=len(lang))
+        row = np.repeat(np.arange(len(lang)), np.diff(np.searchsorted(starts, off)))
+        kinds = max(1, len(number))
+        pair, n = np.unique(row * kinds + cut.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(pair, kinds)
+        self._sum(np.r_[self.key, group[row] << 32 | number[term]], np.r_[self.n, n], np.r_[self.docs, np.ones_like(n)])
+
+    def _sum(self, key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+        self.key = key[first]
+        self.n, self.docs = (np.add.reduceat(x[order], first) if len(first) else x for x in (n, docs))
+
+    def full(self) -> bool:
+        return len(self.terms) > HELD_TERMS or len(self.key) > HELD_COUNTS
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        """(lang, source, term, n, docs) of what is held, then nothing is."""
+        terms = pa.array(list(self.terms), pa.string())
+        lang, source = (pa.array([g[i] for g in self.groups], pa.string()) for i in range(2))
+        for a in range(0, len(self.key), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            group = pa.array(self.key[part] >> 32)
+            yield pa.record_batch([lang.take(group), source.take(group), terms.take(pa.array(self.key[part] & 0xFFFFFFFF)), pa.array(self.n[part]), pa.array(self.docs[part])], ["lang", "source", "term", "n", "docs"])
+        self.__init__()
 
-    def merged() -> pa.Table:
-        t = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-        return t.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of a task's rows (lang, source, text), in bounded memory."""
+    tally = _Tally()
     for batch in batches:
         texts = pa.concat_arrays([batch.column(2).cast(pa.large_string())])
         _, off, data = texts.buffers()
@@ -62,37 +107,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = 0
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE_BYTES, "right")) - 1)
-            held.append(_slice_counts(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]))
+            tally.add(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), data[off[a] : off[b]], off[a : b + 1] - off[a])
             a = b
-            if sum(map(len, held)) > HELD_COUNTS:
-                held[:] = [merged()]
-                if len(held[0]) > HELD_COUNTS // 2:
-                    yield from held.pop().to_batches()
-    if held:
-        yield from merged().to_batches()
-
-
-def _slice_counts(lang: pa.Array, source: pa.Array, data: np.ndarray, off: np.ndarray) -> pa.Table:
-    letter = _LETTER[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[off] = True
-    begins, ends = letter.copy(), letter.copy()
-    begins[1:] &= ~letter[:-1] | edge[1:-1]
-    ends[:-1] &= ~letter[1:] | edge[1:-1]
-    starts = np.flatnonzero(begins)
-    lens = np.flatnonzero(ends) + 1 - starts
-    inside = np.ascontiguousarray(_LOWER[data[letter]])
-    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[0, np.cumsum(lens)].astype(np.int64)), pa.py_buffer(inside)).dictionary_encode()
-    kinds = max(1, len(terms.dictionary))
-    row = np.repeat(np.arange(len(lang)), np.diff(np.searchsorted(starts, off)))
-    pair, n = np.unique(row * kinds + terms.indices.to_numpy(), return_counts=True)
-    la, so = lang.dictionary_encode(), source.dictionary_encode()
-    group = la.indices.to_numpy().astype(np.int64) * max(1, len(so.dictionary)) + so.indices.to_numpy()
-    key, of = np.unique(group[pair // kinds] * kinds + pair % kinds, return_inverse=True)
-    group, term = np.divmod(key, kinds)
-    in_lang, in_source = np.divmod(group, max(1, len(so.dictionary)))
-    total = np.bincount(of, weights=n, minlength=len(key)).astype(np.int64)  # below 2 ** 53: a slice's words
-    return pa.table({"lang": la.dictionary.take(pa.array(in_lang)), "source": so.dictionary.take(pa.array(in_source)), "term": terms.dictionary.take(pa.array(term)).cast(pa.string()), "n": total, "docs": np.bincount(of, minlength=len(key)).astype(np.int64)})
+            if tally.full():
+                yield from tally.drain()
+    yield from tally.drain()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -107,42 +126,33 @@ def _unpack(blob: bytes | None) -> list[np.ndarray]:
     return np.split(raw[3:], np.cumsum(raw[:2]))
 
 
-def _cut(least_docs: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One slice of a language: its kept terms, numbered in UTF-8 order, and a row for each block."""
-        t = pa.Table.from_batches(batches)
-        terms = t["term"].combine_chunks().dictionary_encode()
-        at = terms.indices.to_numpy()
-        docs, totals = (np.zeros(len(terms.dictionary), dtype=np.int64) for _ in range(2))
-        np.add.at(docs, at, t["docs"].to_numpy())
-        np.add.at(totals, at, t["n"].to_numpy())
-        keep = np.flatnonzero(docs >= least_docs)
-        names = terms.dictionary.take(pa.array(keep))
-        order = pc.sort_indices(names.cast(pa.binary())).to_numpy()
-        names, totals = names.take(pa.array(order)), totals[keep[order]]
-        number = np.full(len(docs), -1, dtype=np.int64)
-        number[keep[order]] = np.arange(len(order))
-        held = number[at] >= 0
-        t, term = t.filter(pa.array(held)), number[at[held]]
-        block, n = t["block"].to_numpy(), t["n"].to_numpy()
-        source = t["source"].combine_chunks().dictionary_encode()
-        place = source.indices.to_numpy()
-        for b in np.unique(block).tolist():
-            i = np.flatnonzero(block == b)
-            mine, local = np.unique(place[i], return_inverse=True)
-            ns = np.zeros(len(mine), dtype=np.int64)
-            np.add.at(ns, local, n[i])
-            own, _ = np.unique(term[i], return_inverse=True)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.record_batch(
-                [
-                    pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([b], pa.int32()), pa.array([len(order)], pa.int64()), one(source.dictionary.take(pa.array(mine))), one(pa.array(ns)),
-                    one(names.take(pa.array(own))), one(pa.array(totals[own])), pa.array([_pack(local, term[i], n[i])], pa.binary()),
-                ],
-                ["lang", "slice", "block", "v", "sources", "ns", "terms", "totals", "counts"],
-            )
-
-    return run
+def _cut(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One slice of a language's kept terms, numbered in UTF-8 order: a row for each block."""
+    t = pa.Table.from_batches(batches)
+    terms = t["term"].combine_chunks().dictionary_encode()
+    order = pc.sort_indices(terms.dictionary.cast(pa.binary())).to_numpy()
+    names = terms.dictionary.take(pa.array(order))
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    term, block, n = number[terms.indices.to_numpy()], t["block"].to_numpy(), t["n"].to_numpy()
+    totals = np.empty(len(order), dtype=np.int64)
+    totals[term] = t["total"].to_numpy()
+    source = t["source"].combine_chunks().dictionary_encode()
+    place = source.indices.to_numpy()
+    for b in np.unique(block).tolist():
+        i = np.flatnonzero(block == b)
+        mine, local = np.unique(place[i], return_inverse=True)
+        ns = np.zeros(len(mine), dtype=np.int64)
+        np.add.at(ns, local, n[i])
+        own = np.unique(term[i])
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        yield pa.record_batch(
+            [
+                pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([b], pa.int32()), pa.array([len(order)], pa.int64()), one(source.dictionary.take(pa.array(mine))), one(pa.array(ns)),
+                one(names.take(pa.array(own))), one(pa.array(totals[own])), pa.array([_pack(local, term[i], n[i])], pa.binary()),
+            ],
+            ["lang", "slice", "block", "v", "sources", "ns", "terms", "totals", "counts"],
+        )
 
 
 def shares(count: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
@@ -238,16 +248,19 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, s
     spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").alias("text"))
-    counts = rows.mapInArrow(_counted, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = staged(counts, "term-counts")
+    # dealt by term, so that groups, and then languages, are summed where their rows are
+    counts = rows.mapInArrow(_counted, _COUNTS).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    counts = counts.select("lang", "source", "term", "n", F.sum("n").over(term).alias("total"), F.sum("docs").over(term).alias("docs")).where(F.col("docs") >= least_docs)
+    counts = staged(counts.drop("docs"), "term-counts")
     groups = staged(rows.groupBy("lang", "source").count(), "term-groups")
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-most // block_groups))
     n_slices = max(1, -(-counts.count() // slice_counts))
     block = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int").alias("block")
     # 1. slices of a language's terms, cut into blocks of groups
-    dealt = counts.select("lang", F.pmod(F.xxhash64("term"), F.lit(n_slices)).cast("int").alias("slice"), block, "source", "term", "n", "docs")
-    cut = staged(dealt.groupBy("lang", "slice").applyInArrow(_cut(least_docs), _SLICES), "term-slices")
+    dealt = counts.select("lang", F.pmod(F.xxhash64("term"), F.lit(n_slices)).cast("int").alias("slice"), block, "source", "term", "n", "total")
+    cut = staged(dealt.groupBy("lang", "slice").applyInArrow(_cut, _SLICES), "term-slices")
     # 2. sizes of groups and languages; one row a group, one a block
     slices = cut.groupBy("lang", "slice").agg(F.max("v").alias("v"))
     kept = slices.groupBy("lang").agg(F.sum("v").alias("kept"))
