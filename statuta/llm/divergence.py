@@ -64,7 +64,7 @@ class _Tally:
         ends[:-1] &= ~letter[1:] | edge[1:-1]
         starts = np.flatnonzero(begins)
         lens = np.flatnonzero(ends) + 1 - starts
-        inside = np.ascontiguousarray(_LOWER[data[letter]])
+        inside = _LOWER[np.compress(letter, data)]
         cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[0, np.cumsum(lens)].astype(np.int64)), pa.py_buffer(inside)).dictionary_encode()
         known = self.terms
         number = np.fromiter((known.setdefault(t, len(known)) for t in cut.dictionary.to_pylist()), dtype=np.int64, count=len(cut.dictionary))

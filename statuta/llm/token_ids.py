@@ -9,6 +9,7 @@ documents back, single tokens, counts or occurrences without encoding anything a
 from __future__ import annotations
 
 import math
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,9 +29,9 @@ END = 2
 #: Planes of a shard: ids are below 2^BITS.
 BITS = 16
 #: Bytes of text that a task gets on average, and tokens after which it closes a shard.
-TASK_BYTES, SHARD_TOKENS = 32 << 20, 1 << 24
-#: Bytes of text encoded at a time, and pieces of text whose ids a task remembers.
-SLICE_BYTES, CACHED = 4 << 20, 200_000
+TASK_BYTES, SHARD_TOKENS = 32 << 20, 1 << 21
+#: Bytes of text encoded at a time; characters of a string of pieces, and strings in a call.
+SLICE_BYTES, STRING_CHARS, STRINGS = 16 << 20, 4096, 64
 #: Shards are summed by groups of so many first, then by group.
 GROUP = 1024
 _TASK = 1 << 24
@@ -38,6 +39,9 @@ _TASK = 1 << 24
 # A byte that a single blank may stand beside to be a safe cut: neither white space nor control.
 _SOLID = np.ones(256, dtype=bool)
 _SOLID[:0x21] = _SOLID[0x7F] = False
+_LETTER, _POINT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_POINT[[ord(c) for c in ",.;:!?"]] = True
 
 
 def default_path() -> str:
@@ -47,62 +51,87 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts, by pieces that are encoded once and remembered.
+    """Ids of texts, by distinct pieces that are encoded once a slice.
 
     A byte-level BPE splits text before it merges, and no split reaches across a single blank
-    between two characters that are no white space: the piece that starts with the blank has the
-    same ids wherever it stands.
+    between two characters that are no white space, nor from a letter to a point or comma: what
+    starts there has the same ids wherever it stands. So pieces of a slice are encoded once each, many in one string,
+    and told apart by the bytes of their tokens.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
 
         self.codec = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known.clear()
-        self.ids, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Number of each distinct piece among the remembered ones."""
-        if len(self.known) > CACHED:
-            self._clear()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            got = [e.ids for e in self.codec.encode_batch(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.start) - 1, len(self.start) - 1 + len(new)), strict=True))
-            lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(lens.sum()))])
-        return np.fromiter((self.known[p] for p in pieces), dtype=np.int64, count=len(pieces))
+        special = {i: len(t.content.encode()) for i, t in self.codec.get_added_tokens_decoder().items()}
+        names = self.codec.get_vocab()
+        self.bytes = np.zeros(max(names.values(), default=0) + 1, dtype=np.int64)
+        for name, i in names.items():
+            self.bytes[i] = special.get(i, len(name))  # a name has a character for each byte
+
+    def _joined(self, pieces: list[str]) -> Iterator[np.ndarray]:
+        """Ids of consecutive pieces that start with a blank, some strings at a time."""
+        strings, held, size = [], [], 0
+        for p in pieces:
+            if size > STRING_CHARS:
+                strings.append("".join(held))
+                held, size = [], 0
+                if len(strings) >= STRINGS:
+                    yield self._ids(strings)
+                    strings = []
+            held.append(p)
+            size += len(p)
+        yield self._ids([*strings, "".join(held)])
+
+    def _ids(self, strings: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.codec.encode_batch_fast(strings, add_special_tokens=False)])
 
     def encode(self, data: np.ndarray, off: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with ``end`` after each, where each text's ids stop). Text i is data[off[i]:off[i + 1]]."""
         cut = cuts(data)
-        begins = np.union1d(np.flatnonzero(cut), off[:-1][np.diff(off) > 0])
+        first = off[:-1][np.diff(off) > 0]
+        fresh = first[~cut[first]]
+        cut[first] = True
+        begins = np.flatnonzero(cut)
         edges = np.r_[begins, len(data)].astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
-        number = self._numbers(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()] if len(begins) else np.zeros(0, dtype=np.int64)
-        per = np.diff(self.start)[number]
+        # pieces that may not stand behind others, or others behind them, are encoded by themselves
+        names = pieces.dictionary.to_pylist()
+        alone = np.fromiter((not p.startswith(" ") for p in names), dtype=bool, count=len(names))
+        number = pieces.indices.to_numpy() if len(begins) else np.zeros(0, dtype=np.int64)
+        alone[number[np.searchsorted(begins, fresh)]] = True
+        alone[number[np.r_[np.searchsorted(begins, first[1:]) - 1, len(begins) - 1]] if len(begins) else number] = True
+        order = np.r_[np.flatnonzero(~alone), np.flatnonzero(alone)]
+        safe = int((~alone).sum())
+        parts = list(self._joined([names[i] for i in order[:safe].tolist()])) if safe else []
+        for a in range(safe, len(order), STRINGS):
+            parts.append(self._ids([names[i] for i in order[a : a + STRINGS].tolist()]))
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        # ids of each distinct piece, by the bytes they stand for
+        size = np.fromiter((len(names[i].encode()) for i in order.tolist()), dtype=np.int64, count=len(order))
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1
+        start, per_piece = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+        start[order], per_piece[order] = np.r_[0, ends[:-1]][: len(order)], np.diff(ends, prepend=0)
+        per = per_piece[number]
         # one more piece, the end, behind the last piece of every text
-        after = np.searchsorted(begins, off[1:])
         total = np.r_[0, np.cumsum(per)]
-        stops = total[after] + np.arange(1, len(off))
+        stops = total[np.searchsorted(begins, off[1:])] + np.arange(1, len(off))
         out = np.empty(int(total[-1]) + len(off) - 1, dtype=np.uint32)
+        out[stops - 1] = end
         inner = np.ones(len(out), dtype=bool)
         inner[stops - 1] = False
-        out[inner] = self.ids[np.repeat(self.start[number] - total[:-1], per) + np.arange(total[-1])]
-        out[~inner] = end
+        shift = (start[number] - total[:-1]).astype(np.int32)  # a slice has fewer ids than 2 ** 31
+        out[np.flatnonzero(inner)] = ids.take(np.repeat(shift, per) + np.arange(total[-1], dtype=np.int32))
         return out, stops
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Mask of the bytes before which a text may be cut without a change of its ids: a blank
-    between two bytes that belong to no white space. Characters of three bytes that start as
+    """Mask of the bytes before which a text may be cut without a change of its ids: a point or comma
+    after a letter, a blank between two bytes that belong to no white space. Characters of three bytes that start as
     Unicode's blanks do, and those that start as the no-break space does, count as white space."""
     out = np.zeros(len(data), dtype=bool)
+    out[1:] = _LETTER[data[:-1]] & _POINT[data[1:]]
     at = np.flatnonzero(data[1:-1] == 0x20) + 1 if len(data) > 2 else np.zeros(0, dtype=np.int64)
     before, after = data[at - 1], data[at + 1]
     odd = lambda b: (b >= 0xE1) & (b <= 0xE3)
@@ -149,12 +178,16 @@ def _shards(path: str, bits: int, shard_tokens: int, end: int):
                 got, stops = encoder.encode(data[off[a] : off[b]], off[a : b + 1] - off[a], end)
                 if len(got) and int(got.max()) >= 1 << bits:
                     raise ValueError(f"an id of {int(got.max())} does not fit {bits} bits")
-                ids.append(got.astype(np.uint16 if bits <= 16 else np.uint32))
-                keys.append(batch.column(0).slice(a, b - a))
-                lens.append(np.diff(stops, prepend=0))
-                held, a = held + len(got), b
-                if held >= shard_tokens:
-                    yield row()
+                got, lower, at = got.astype(np.uint16 if bits <= 16 else np.uint32), 0, 0
+                while at < len(stops):  # as many documents as close the shard, or all
+                    to = min(len(stops), int(np.searchsorted(stops, lower + shard_tokens - held)) + 1)
+                    ids.append(got[lower : stops[to - 1]])
+                    keys.append(batch.column(0).slice(a + at, to - at))
+                    lens.append(np.diff(stops[at:to], prepend=lower))
+                    held, lower, at = held + int(stops[to - 1]) - lower, int(stops[to - 1]), to
+                    if held >= shard_tokens:
+                        yield row()
+                a = b
         if held:
             yield row()
 
