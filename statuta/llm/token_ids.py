@@ -30,8 +30,8 @@ END = 2
 BITS = 16
 #: Bytes of text that a task gets on average, and tokens after which it closes a shard.
 TASK_BYTES, SHARD_TOKENS = 32 << 20, 1 << 21
-#: Bytes of text encoded at a time; characters of a string of pieces, and strings in a call.
-SLICE_BYTES, STRING_CHARS, STRINGS = 16 << 20, 4096, 64
+#: Bytes of text encoded at a time; bytes of a string of pieces, and strings in a call.
+SLICE_BYTES, STRING_BYTES, STRINGS = 16 << 20, 4096, 64
 #: Shards are summed by groups of so many first, then by group.
 GROUP = 1024
 _TASK = 1 << 24
@@ -70,19 +70,14 @@ class Encoder:
         for name, i in names.items():
             self.bytes[i] = special.get(i, len(name))  # a name has a character for each byte
 
-    def _joined(self, pieces: list[str]) -> Iterator[np.ndarray]:
-        """Ids of consecutive pieces that start with a blank, some strings at a time."""
-        strings, held, size = [], [], 0
-        for p in pieces:
-            if size > STRING_CHARS:
-                strings.append("".join(held))
-                held, size = [], 0
-                if len(strings) >= STRINGS:
-                    yield self._ids(strings)
-                    strings = []
-            held.append(p)
-            size += len(p)
-        yield self._ids([*strings, "".join(held)])
+    def _joined(self, pieces: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of consecutive pieces, some strings at a time."""
+        off, data = _buffers(pieces)
+        at = np.unique(off[np.searchsorted(off, np.arange(off[0], off[-1], STRING_BYTES))])
+        at = np.r_[at, off[-1]].tolist()
+        for k in range(0, len(at) - 1, STRINGS):
+            some = at[k : k + STRINGS + 1]
+            yield self._ids([data[i:j].tobytes().decode() for i, j in zip(some[:-1], some[1:], strict=True)])
 
     def _ids(self, strings: list[str]) -> np.ndarray:
         return np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.codec.encode_batch_fast(strings, add_special_tokens=False)])
@@ -97,19 +92,19 @@ class Encoder:
         edges = np.r_[begins, len(data)].astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
         # pieces that may not stand behind others, or others behind them, are encoded by themselves
-        names = pieces.dictionary.to_pylist()
-        alone = np.fromiter((not p.startswith(" ") for p in names), dtype=bool, count=len(names))
+        names = pieces.dictionary
+        alone = ~pc.starts_with(names, " ").to_numpy(zero_copy_only=False)
         number = pieces.indices.to_numpy() if len(begins) else np.zeros(0, dtype=np.int64)
         alone[number[np.searchsorted(begins, fresh)]] = True
         alone[number[np.r_[np.searchsorted(begins, first[1:]) - 1, len(begins) - 1]] if len(begins) else number] = True
         order = np.r_[np.flatnonzero(~alone), np.flatnonzero(alone)]
         safe = int((~alone).sum())
-        parts = list(self._joined([names[i] for i in order[:safe].tolist()])) if safe else []
+        parts = list(self._joined(names.take(pa.array(order[:safe])))) if safe else []
         for a in range(safe, len(order), STRINGS):
-            parts.append(self._ids([names[i] for i in order[a : a + STRINGS].tolist()]))
+            parts.append(self._ids(names.take(pa.array(order[a : a + STRINGS])).to_pylist()))
         ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
         # ids of each distinct piece, by the bytes they stand for
-        size = np.fromiter((len(names[i].encode()) for i in order.tolist()), dtype=np.int64, count=len(order))
+        size = pc.binary_length(names).to_numpy()[order]
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1
         start, per_piece = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
         start[order], per_piece[order] = np.r_[0, ends[:-1]][: len(order)], np.diff(ends, prepend=0)
