@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.references import ASKED_CODE, base_ref
+from ..operators import fulltext as ft
 from ..operators import retrieval as r
 from ..operators.dedup import keep_unseen
 
@@ -28,37 +29,39 @@ def cleaned(question: str) -> str:
     return " ".join(re.sub(r.STRIPPED.removeprefix("(?i)"), " ", question, flags=re.IGNORECASE).split()) or question
 
 
-def ask(nodes: DataFrame, vectors: DataFrame, question: str, vector: list[float], sources: dict[str, list[str]], n: int = 6, text_limit: int = 8) -> DataFrame:
+def ask(nodes: DataFrame, vectors: DataFrame, question: str, vector: list[float], sources: dict[str, list[str]], n: int = 6, text_limit: int = 8, index: DataFrame | None = None) -> DataFrame:
     """(place, node_id, reference_code, node_type, hierarchy_path, score, cited, answer).
 
     nodes: with source_doc_id; vectors: (node_id, vec_id, source_doc_id, embedding), stored; sources:
-    the source_doc_ids of a document id. A document that the question names restricts all that
-    follows. 1 exact and pattern code hits at distance 0; 2 full-text hits of the cleaned question
-    at 0.05, without those; 3 the nearest parents by vector, without both; 4 reciprocal ranks, code
-    hits first; 5 rerank of the pool with its threshold; 6 an answer from the context and its
-    citations; 7 sources without repeats. The limits are the method's own. Nodes are scanned once
-    for codes and text, and once for the few that only vectors find.
+    the source_doc_ids of a document id; index: postings of the nodes, such as read_postings() of the
+    question's terms, else made of the nodes that may be meant. A document that the question names
+    restricts all that follows. 1 exact and pattern code hits at distance 0; 2 full-text hits of the
+    cleaned question at 0.05, without those; 3 the nearest parents by vector, without both; 4
+    reciprocal ranks, code hits first; 5 rerank of the pool with its threshold; 6 an answer from the
+    context and its citations; 7 sources without repeats. The limits are the method's own: the
+    ids of steps 1 and 2, at most n + text_limit, are known before the vectors are read, and texts are
+    fetched once, for the pool alone.
     """
     codes, search = sorted(set(re.findall(ASKED_CODE, question))), cleaned(question)
     named = [s for d in named_documents(question) for s in sources.get(d, [])]
     within = F.col("source_doc_id").isin(named) if named else F.lit(True)
+    inside = nodes.where(within)
+    coded = inside.where(r.is_coded(codes)).orderBy("reference_code", "node_id").limit(n).select("node_id", F.lit(0.0).alias("distance"), F.lit(0).alias("stage"))
+    first = [x["node_id"] for x in coded.collect()]
+    words = ft.postings(inside) if index is None else index.join(inside.select("node_id"), "node_id", "left_semi") if named else index
+    texts = ft.search(words, search).where(~F.col("node_id").isin(first)).orderBy(F.col("rank").desc(), "node_id").limit(text_limit)
+    second = [x["node_id"] for x in texts.select("node_id").collect()]
+    near = r.nearest_parents(vectors.where(within & ~F.col("node_id").isin([*first, *second])), vector, max(2 * n, 20))
+    spark = nodes.sparkSession
+    known = spark.createDataFrame([*((i, 0.0, 0) for i in first), *((i, 0.05, 1) for i in second)], "node_id string, distance double, stage int")
+    pool = known.unionByName(near.select("node_id", "distance", F.lit(2).alias("stage")))
     cols = ["node_id", "reference_code", "node_type", "hierarchy_path", "content_text"]
-    wide = [*cols, "title", "source_doc_id"]
-    inside = nodes.where(within).select(*wide)
-    is_coded = r.is_coded(codes)
-    found = r.ranked(inside.withColumn("coded", is_coded), search, F.col("coded")).where("coded OR rank IS NOT NULL").select(*cols, "coded", "rank").persist()
-    coded = found.where("coded").orderBy("reference_code", "node_id").limit(n).select(*cols, F.lit(0.0).alias("distance"), F.lit(0).alias("stage"))
-    texts = found.where("rank IS NOT NULL").join(F.broadcast(coded.select("node_id")), "node_id", "left_anti").orderBy(F.col("rank").desc(), "node_id").limit(text_limit)
-    # at most n + text_limit rows, and 20 or 2 n more below
-    both = coded.unionByName(texts.select(*cols, F.lit(0.05).alias("distance"), F.lit(1).alias("stage"))).persist()
-    near = r.nearest_parents(vectors.where(within).join(F.broadcast(both.select("node_id")), "node_id", "left_anti"), vector, max(2 * n, 20))
-    near = nodes.select(*cols).join(F.broadcast(near), "node_id").select(*cols, "distance", F.lit(2).alias("stage"))
-    every = both.unionByName(near)
+    every = nodes.select(*cols).join(F.broadcast(pool), "node_id")
     rank = F.row_number().over(Window.partitionBy("stage").orderBy("distance", "node_id")) - 1
     fused = every.withColumn("rrf", F.when(F.col("stage") == 0, F.lit(1.0)).otherwise(1.0 / (F.lit(float(r.RRF_K)) + rank)))
     one = Window.partitionBy(F.lit(0)).orderBy(F.col("rrf").desc(), "stage", "node_id")
     pool = fused.withColumn("pos", F.row_number().over(one)).where(F.col("pos") <= max(2 * n, 12))
-    wanted = [w for g in r.web_terms(search) for yes, p in g if yes for w in p]
+    wanted = [w for g in ft.parsed(search) for yes, o in g if yes for w, _ in o.terms]
     kept = r.rerank(pool, r.lexical_score(F.concat_ws(" ", "reference_code", "content_text"), wanted), top=max(n, r.RERANK_TOP))
     item = F.struct("place", "node_id", base_ref(F.col("reference_code")).alias("ref"), "node_type", "hierarchy_path", F.round(1 - F.col("distance"), 3).alias("score"), F.substring("content_text", 1, 200).alias("snippet"))
     row = kept.groupBy().agg(F.sort_array(F.collect_list(item)).alias("h"))

@@ -11,6 +11,7 @@ from ..operators.dedup import keep_unseen
 from ..plans import ask as plan
 from ..sources import views as v
 from . import query
+from .fulltext import POSTINGS, ranks
 
 
 def _vector(spark, sf_dir, vec_id=0):
@@ -56,15 +57,6 @@ def doc_mentions(spark, sf_dir):
     return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(r.asked_codes(q), ",").alias("codes"), F.array_join(r.asked_documents(q), ",").alias("docs"), r.cleaned_question(q).alias("cleaned"))
 
 
-@query(f"""WITH {v.NODES}, l AS (SELECT node_id, list_transform(regexp_extract_all(lower(content_text), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN substring(w, 1, length(w) - 1) ELSE w END) AS lx,
-  list_transform(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN substring(w, 1, length(w) - 1) ELSE w END) AS lt FROM nodes),
-f AS (SELECT node_id, len(list_filter(lx, lambda w: w = 'ther')) AS a, len(list_filter(lx, lambda w: w = 'erth')) AS b, len(list_filter(lt, lambda w: w = 'ther')) AS c, len(list_filter(lt, lambda w: w = 'erth')) AS d FROM l)
-SELECT node_id, ROUND(GREATEST(CASE WHEN a > 0 AND b > 0 THEN 2 + ln(a) + ln(b) END, CASE WHEN c > 0 AND d > 0 THEN 2 + ln(c) + ln(d) END), 6) AS rank FROM f WHERE (a > 0 AND b > 0) OR (c > 0 AND d > 0)""")
-def fts_and_match(spark, sf_dir):
-    """every node with both terms, and its rank."""
-    return r.full_text(v.nodes(spark, sf_dir), "ther erth").select("node_id", F.round("rank", 6).alias("rank"))
-
-
 @query("""WITH h AS (SELECT vec_id, 'p' || (vec_id % 40) AS parent_id, embedding[1]::DOUBLE AS distance, embedding[2]::DOUBLE AS d2, 'q' || label AS list FROM embeddings),
 b AS (SELECT list, parent_id, MIN(distance) AS place FROM h GROUP BY 1, 2), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY list ORDER BY place, parent_id) - 1 AS r FROM b)
 SELECT parent_id, ROUND(SUM(1.0::DOUBLE / (60.0::DOUBLE + r)), 9) AS rrf_score, COUNT(*) AS n_lists FROM k GROUP BY parent_id""")
@@ -133,9 +125,7 @@ _INSIDE = {"easa-part21": [f"src{k}" for k in range(12)]}
 
 @query(f"""WITH {v.NODES}, inside AS (SELECT * FROM nodes WHERE substring(source_doc_id, 4)::INTEGER < 12),
 coded AS (SELECT node_id FROM inside WHERE reference_code IN ('25.101', '26.102') OR regexp_matches(reference_code, '25\\.101|26\\.102', 'i') ORDER BY reference_code, node_id LIMIT 6),
-lx AS (SELECT node_id, [' ' || array_to_string(list_transform(regexp_extract_all(lower(x), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN substring(w, 1, length(w) - 1) ELSE w END), '  ') || ' ' FOR x IN [content_text, title]] AS l FROM inside),
-tf AS (SELECT node_id, [[(length(x) - length(replace(x, t, ''))) / length(t) FOR t IN [' 25  101 ', ' 102 ', ' therer ', ' erth ']] FOR x IN l] AS f FROM lx),
-ranked AS (SELECT node_id, list_max([greatest(CASE WHEN x[1] > 0 THEN 1 + ln(x[1]) END, CASE WHEN x[2] > 0 THEN 1 + ln(x[2]) END, CASE WHEN x[3] > 0 AND x[4] > 0 THEN 2 + ln(x[3]) + ln(x[4]) END) FOR x IN f]) AS rank FROM tf),
+{POSTINGS.replace("@nodes", "inside")},{ranks([([[("25", 0), ("101", 1)]], []), ([[("102", 0)]], []), ([[("therer", 0)], [("erth", 0)]], [])])},
 texts AS (SELECT node_id FROM ranked WHERE rank IS NOT NULL AND node_id NOT IN (FROM coded) ORDER BY rank DESC, node_id LIMIT 8),
 q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 near AS (SELECT 'n' || (vec_id // 2) AS node_id, MIN(1 - list_cosine_similarity(embedding::DOUBLE[], q)) AS distance FROM embeddings, q WHERE vec_id // 2 % 20 < 12

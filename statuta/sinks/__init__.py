@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder's name below spark.checkpoint.dir, which the driver and all executors share;
+    a session of one machine that has not set it gets a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="statuta-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_version(df: DataFrame, table: str, version: int) -> str:
     """A table's new state at a path of its own; readers move to it when it is whole."""
     path = f"{table.rstrip('/')}/v={version:08d}"
