@@ -54,8 +54,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of equal length as rows; zero where one is null."""
     whole = column.is_valid().to_numpy(zero_copy_only=False)
     flat = column.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(column), len(flat) // max(1, whole.sum())))
-    out[whole] = flat.reshape(int(whole.sum()), -1)
+    width = len(flat) // max(1, int(whole.sum()))
+    out = np.zeros((len(column), width))
+    out[whole] = flat.reshape(-1, width) if width else 0
     return out
 
 

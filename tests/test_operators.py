@@ -113,24 +113,6 @@ def test_json_round_trip(spark, tmp_path):
     assert write_version(n, str(tmp_path / "t"), 3).endswith("v=00000003")
 
 
-def test_streams(spark, sf_dir, tmp_path):
-    src = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    land = str(tmp_path / "land")
-    shape = src.select("doc_id", F.md5("text").alias("hash"), F.lit(1).alias("v"))
-    shape.where("doc_id < 50").write.parquet(land)
-    run = lambda: jobs.harvest(jobs.read_table_as_stream(spark, land, shape.schema), str(tmp_path / "state"), ["doc_id"], ["v"], str(tmp_path / "cp")).awaitTermination()
-    run()
-    shape.where("doc_id BETWEEN 40 AND 59").withColumn("v", F.lit(2)).write.mode("append").parquet(land)
-    run()
-    for _ in range(2):  # from deltas, then from a base
-        state = jobs.current(spark, str(tmp_path / "state"), ["doc_id"])
-        assert state.count() == 60 and state.where("v = 2").count() == 20
-        jobs.compact(spark, str(tmp_path / "state"), ["doc_id"])
-    shape.where("doc_id = 1").select("doc_id", F.lit("x").alias("hash"), F.explode(F.array(F.lit(4), F.lit(9), F.lit(5))).alias("v")).coalesce(1).write.mode("append").parquet(land)
-    run()
-    assert [r["v"] for r in jobs.current(spark, str(tmp_path / "state"), ["doc_id"]).where("doc_id = 1").collect()] == [9]
-
-
 def test_headings_of_pages(spark):
     from statuta.functions import headings as h
 
