@@ -17,14 +17,6 @@ def _mapped(f, kind: str):
     return F.pandas_udf(run, kind)
 
 
-def word_diff(old: Column | str, new: Column | str) -> Column:
-    def run(a, b):
-        return pd.Series([udfs.diff_words(x, y) for x, y in zip(a, b, strict=True)])
-
-    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<struct<op:string,text:string>>")(old, new)
-
-
 def recursive_split(text: Column | str) -> Column:
     return _mapped(udfs.split_text, "array<string>")(text)
 

@@ -1,11 +1,10 @@
-"""The few functions that built-ins cannot say: word diff, recursive splitter, Markdown chunks,
+"""The few functions that built-ins cannot say: recursive splitter, Markdown chunks,
 line grouping, WordprocessingML to HTML. All work on one row or one page; Spark deals them out
 by the wrappers in columns.py."""
 
 from __future__ import annotations
 
 import bisect
-import difflib
 import html
 import re
 import xml.etree.ElementTree as ET
@@ -13,27 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Runs of a diff that are kept unless more are asked for.
-DIFF_OPS = 500
 CHUNK, OVERLAP = 1200, 150
 # Where a long text may be cut, in this order.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
-def diff_words(old: str, new: str, most: int | None = DIFF_OPS) -> list[dict]:
-    """runs of equal, deleted and inserted words that turn old into new: what lies between the
-    stretches both have, and then the stretch. most: None for all."""
-    sides = (old or "").split(), (new or "").split()
-    at, out = [0, 0], []
-    for *begins, n in difflib.SequenceMatcher(None, *sides, autojunk=False).get_matching_blocks():
-        gaps = [(op, side[p:q]) for op, side, p, q in zip(("delete", "insert"), sides, at, begins, strict=True)]
-        for op, run in [*gaps, ("equal", sides[0][begins[0] : begins[0] + n])]:
-            if run:
-                out.append({"op": op, "text": " ".join(run)})
-        at = [p + n for p in begins]
-    return out[:most]
-
-
 def _cuts(text: str, begin: int, end: int, size: int, overlap: int, level: int = 0) -> Iterator[tuple[int, int]]:
     """Stretches (begin, end) of the text: from each place the furthest one that ends before a separator
     of this level and still fits; what has none is cut at the next level, at last anywhere."""

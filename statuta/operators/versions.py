@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.diff import word_diff
+
 
 def changes(old: DataFrame, new: DataFrame, key: str = "reference_code", digest: str = "content_hash") -> DataFrame:
     """(key, change_type) for every key of either side: added, modified, deleted,
@@ -21,6 +23,13 @@ def counters(changed: DataFrame, by: list[str] | None = None) -> DataFrame:
     return changed.groupBy(*(by or [])).agg(*[F.count_if(F.col("change_type") == k).alias(f"nodes_{k}") for k in kinds], F.count("*").alias("nodes_total"))
 
 
+def history_diffs(versions: DataFrame, key: list[str], order: str, text: str = "content_text", most: int | None = None) -> DataFrame:
+    """Versions with diff, the words that changed since the version before it of the same key; the
+    first one is inserted whole. One key's versions meet in one task, two texts at a time."""
+    before = F.lag(text).over(Window.partitionBy(*key).orderBy(order))
+    return versions.withColumn("_before", before).withColumn("diff", word_diff("_before", text, most)).drop("_before")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> DataFrame:
     """The table after new rows replace old ones of their key.
 
@@ -45,7 +54,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str,
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """K6: old rows, and the new ones of keys that old has not (conflict: do nothing)."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    rest = [c for c in old.columns if c not in keys]
+    if not rest:
+        one = new.select(*keys).distinct()
+    else:  # of rows with one key the smallest, so that reruns agree
+        one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
+    return old.unionByName(one.join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
 def stale(stored: DataFrame, batch: DataFrame, doc: str, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import word_diff
+from ..functions.diff import word_diff
 from ..operators.dedup import first_wins
 from ..operators.versions import changes, counters, insert_missing, stale, upsert
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.diff import word_diff as diff_words
 from ..functions.text import outdated
-from ..functions.columns import word_diff as diff_udf
 from ..operators import versions as o
 from ..plans import harvest
 from ..sources import views as v
@@ -147,12 +147,42 @@ def upsert_coalesce(spark, sf_dir):
     return o.upsert(a, b, ["k"], fill=("link",))
 
 
-@query()
+#: SQL: words of a text x as the diff sees them.
+_WORDS = r"regexp_extract_all({x}, '\S+')"
+
+
+def _replayed(df, *names):
+    """names, and of the column diff its sizes in words and what its runs replay on either side."""
+    size = lambda op: F.aggregate(F.filter("diff", lambda d: d["op"] == op), F.lit(0), lambda n, d: n + F.regexp_count(d["text"], F.lit(r"(?U)\S+"))).cast("long")
+    side = lambda skip: F.md5(F.array_join(F.transform(F.filter("diff", lambda d: d["op"] != skip), lambda d: d["text"]), " "))
+    return df.select(*names, size("equal").alias("n_equal"), size("delete").alias("n_deleted"), size("insert").alias("n_inserted"), side("insert").alias("old_md5"), side("delete").alias("new_md5"))
+
+
+@query(f"""WITH {v.OLD_NEW} SELECT o.reference_code, len(w.n)::BIGINT AS n_equal, 1::BIGINT AS n_deleted, 0::BIGINT AS n_inserted, md5(array_to_string(list_prepend('Prior.', w.n), ' ')) AS old_md5, md5(array_to_string(w.n, ' ')) AS new_md5
+FROM old_nodes o JOIN new_nodes n ON o.reference_code = n.reference_code AND o.content_hash <> n.content_hash, LATERAL (SELECT {_WORDS.format(x='n.content_text')} AS n) w""")
 def word_diff(spark, sf_dir):
-    """the diff of every modified node's two texts."""
+    """the whole diff of every modified node's two texts, by what its runs replay and how long they are."""
     a, b = v.old_and_new(spark, sf_dir)
     j = a.select("reference_code", F.col("content_text").alias("old_text"), F.col("content_hash").alias("h")).join(b.select("reference_code", "content_text", "content_hash"), "reference_code").where("h <> content_hash")
-    return j.select("reference_code", diff_udf("old_text", "content_text").alias("diff"))
+    return _replayed(j.select("reference_code", diff_words("old_text", "content_text").alias("diff")), "reference_code")
+
+
+_EDITIONS_OF = f"""
+w AS (SELECT doc_id, {_WORDS.format(x='text')} AS w FROM documents),
+versions AS (SELECT doc_id, 1 AS version_num, w FROM w UNION ALL SELECT doc_id, 2, list_transform(w, lambda x, i: CASE WHEN i % 17 = 0 THEN '@@' ELSE x END) FROM w
+  UNION ALL SELECT doc_id, 3, list_filter(list_transform(w, lambda x, i: CASE WHEN i % 17 = 0 THEN '@@' ELSE x END), lambda x, i: i % 23 <> 0) FROM w)"""
+
+
+@query(f"""WITH {_EDITIONS_OF}, s AS (SELECT *, LAG(w) OVER (PARTITION BY doc_id ORDER BY version_num) AS o FROM versions)
+SELECT doc_id, version_num, CASE version_num WHEN 1 THEN 0 WHEN 2 THEN len(w) - len(w) // 17 ELSE len(w) END AS n_equal, CASE version_num WHEN 1 THEN 0 WHEN 2 THEN len(w) // 17 ELSE len(o) - len(w) END AS n_deleted,
+CASE version_num WHEN 1 THEN len(w) WHEN 2 THEN len(w) // 17 ELSE 0 END AS n_inserted, md5(COALESCE(array_to_string(o, ' '), '')) AS old_md5, md5(COALESCE(array_to_string(w, ' '), '')) AS new_md5 FROM s""")
+def history_diffs(spark, sf_dir):
+    """Of every text's three versions the diff against the version before it."""
+    d = v.read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"(?U)(\S+)"), F.lit(1)).alias("w"))
+    second = F.transform("w", lambda x, i: F.when((i + 1) % 17 == 0, "@@").otherwise(x))
+    third = F.filter(second, lambda x, i: (i + 1) % 23 != 0)
+    text = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("version_num"), F.array_join(x, " ").alias("content_text")) for k, x in enumerate((F.col("w"), second, third))])).alias("v")
+    return _replayed(o.history_diffs(d.select("doc_id", text).select("doc_id", "v.*"), ["doc_id"], "version_num"), "doc_id", "version_num")
 
 
 @query(f"""WITH {v.HARVEST_DOCS} SELECT d.doc_id, d.title, d.n AS node_count, d.version_label AS local_version, CASE WHEN k % 2 = 0 THEN upper(d.version_label) WHEN k % 3 = 0 THEN 'Amendment 99' END AS remote_version,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from statuta.functions import diff
 from statuta.functions import references as r
 from statuta.functions import text as t
 from statuta.functions import udfs
@@ -67,11 +69,49 @@ words = st.text(alphabet="ab c\n.", max_size=400)
 @settings(max_examples=60, deadline=None)
 @given(words, words)
 def test_diff_replays(old, new):
-    ops = udfs.diff_words(old, new, most=10_000)
+    ops = diff.diff_words(old.split(), new.split())
     side = lambda skip: " ".join(o["text"] for o in ops if o["op"] != skip)
     assert side("insert") == " ".join(old.split()) and side("delete") == " ".join(new.split())
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = [0]
+        for j, y in enumerate(b):
+            left.append(row[j] + 1 if x == y else max(row[j + 1], left[j]))
+        row = left
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), max_size=40))
+def test_diff_is_shortest(a, b):
+    runs = diff.script(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+    assert [x for op, i, j in runs if op != "insert" for x in a[i:j]] == a
+    assert [x for op, i, j in runs if op != "delete" for x in (b if op == "insert" else a)[i:j]] == b
+    assert sum(j - i for op, i, j in runs if op == "equal") == longest_common(a, b)
+    assert all(p != q for (p, *_), (q, *_) in zip(runs, runs[1:], strict=False))
+
+
+def test_diff_of_real_texts_is_shortest(spark, sf_dir):
+    texts = [r["text"].split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(24).collect()]
+    for old, new in zip(texts[::2], texts[1::2], strict=False):
+        old, new = old[:400], new[:400]
+        ops = diff.diff_words(old, new)
+        assert sum(len(o["text"].split()) for o in ops if o["op"] == "equal") == longest_common(old, new)
+
+
+def test_diff_columns(spark):
+    rows = [("a b c", "a c"), (None, "x"), ("x", None), (None, None), ("", " \t"), ("same\u00a0text  here", "same text here"), ("w " * 3000, "w " * 2999 + "v"), ("a b " * 700, "b a " * 700)]
+    got = [r.d for r in spark.createDataFrame(rows, "o string, n string").coalesce(1).select(diff.word_diff("o", "n").alias("d")).collect()]
+    assert [[(d.op, d.text) for d in g] for g in got[:6]] == [[("equal", "a"), ("delete", "b"), ("equal", "c")], [("insert", "x")], [("delete", "x")], [], [], [("equal", "same text here")]]
+    assert [(d.op, len(d.text)) for d in got[6]] == [("equal", 5997), ("delete", 1), ("insert", 1)]
+    assert sum(len(d.text.split()) for d in got[7] if d.op == "equal") == 1399
+    capped = spark.createDataFrame(rows[:1], "o string, n string").select(diff.word_diff("o", "n", most=2).alias("d")).first().d
+    assert len(capped) == 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc. \n", max_size=900))
 def test_splitter(text):
