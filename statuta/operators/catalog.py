@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of which a block of the pattern table has about so many.
+#: Entries without an anchor of which a block of the pattern table has about so many.
 PATTERN_ROWS = 10_000
 
 
-def pattern_join(entries: DataFrame, docs: DataFrame, condition) -> DataFrame:
-    """Entries (id, ...) and docs that a pattern of the entry matches. Patterns are data,
-    so each document's title is tried against them: a nested loop over a broadcast block of the
-    pattern table. A larger table is taken in several blocks, each of which meets all documents."""
-    blocks = -(-entries.count() // PATTERN_ROWS)
-    if blocks <= 1:
-        return docs.join(F.broadcast(entries), condition(entries, docs))
-    parts = [entries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(p), condition(p, docs)) for p in parts])
+def grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text, lower case; none of a shorter one."""
+    low = F.lower(text)
+    runs = F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    return F.when(F.char_length(low) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def like_grams(pattern: Column) -> Column:
+    """Runs of three characters that every text must have which a LIKE pattern names: those of its
+    parts between wildcards and escapes."""
+    return F.array_distinct(F.flatten(F.transform(F.split(pattern, r"\\.|[%_]"), grams)))
+
+
+def pattern_join(entries: DataFrame, docs: DataFrame, pattern: str = "title_pat", text: str = "title") -> DataFrame:
+    """Docs and the entries (id, ...) whose LIKE pattern names their text, whatever the case.
+
+    Patterns are data. Each gets an anchor: of the runs of three characters that it asks for the one in
+    the fewest texts. Texts meet the patterns of their own runs by an equi-join, and are then tried;
+    a pattern meets a text once. Patterns without three characters in a row are tried against
+    every text, in blocks that are broadcast. Null patterns and texts name nothing.
+    """
+    tried = lambda e, d: F.ilike(d[text], e[pattern])
+    asked = entries.withColumn("_grams", like_grams(F.col(pattern)))
+    wanted = asked.select(F.explode("_grams").alias("_gram")).distinct()
+    known = docs.select(F.explode(grams(F.col(text))).alias("_gram")).join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_texts"))
+    anchor = asked.select("id", F.explode("_grams").alias("_gram")).distinct().join(known, "_gram", "left")
+    anchor = anchor.groupBy("id").agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), F.col("_gram"))).alias("_gram"))
+    anchored = entries.join(anchor, "id")
+    near = docs.select("*", F.explode(grams(F.col(text))).alias("_gram")).join(anchored, "_gram")
+    out = near.where(F.ilike(F.col(text), F.col(pattern))).select(*docs.columns, *entries.columns)
+    loose = asked.where(F.size("_grams") == 0).drop("_grams")
+    blocks = -(-loose.count() // PATTERN_ROWS)
+    for k in range(blocks):
+        part = loose.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        out = out.unionByName(docs.join(F.broadcast(part), tried(part, docs)))
+    return out
 
 
 def entry_counts(entries: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -27,7 +52,7 @@ def entry_counts(entries: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
     root (ties to the smaller). entries: (id, title_pat, ref_pat); docs: (doc_id, title); nodes:
     (doc_id, reference_code, root). Titles come first: a node is tried only against the patterns of
     entries that name its document."""
-    hit = pattern_join(entries, docs, lambda e, d: F.ilike(d["title"], e["title_pat"])).select("id", "ref_pat", "doc_id")
+    hit = pattern_join(entries, docs).select("id", "ref_pat", "doc_id")
     asked = hit.select("doc_id", "ref_pat").distinct()
     by_root = nodes.join(asked, "doc_id").where("ref_pat IS NULL OR reference_code RLIKE ref_pat").groupBy("doc_id", "ref_pat", "root").agg(F.count("*").alias("n"))
     per = hit.join(by_root, (hit["doc_id"] == by_root["doc_id"]) & hit["ref_pat"].eqNullSafe(by_root["ref_pat"])).groupBy("id", "root").agg(F.sum("n").alias("n"))
@@ -43,7 +68,7 @@ def mode_root(nodes: DataFrame) -> DataFrame:
 
 def best_documents(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the documents that an entry's title pattern names the one with most nodes."""
-    hit = pattern_join(entries, docs, lambda e, d: F.ilike(d["title"], e["title_pat"]))
+    hit = pattern_join(entries, docs)
     return hit.groupBy("id").agg(F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id"))).alias("doc_id"), F.max("n").alias("node_count"))
 
 # Categories in the order in which they are shown.

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from statuta.operators import admin, catalog, graph, sequences, versions
@@ -13,7 +15,6 @@ from statuta.plans import chunking, harvest
 from statuta.schemas import TABLES
 from statuta.sinks import document_tree, write_version
 from statuta.sources import json_docs, landed
-from statuta.streaming import jobs
 
 
 def test_schemas(spark):
@@ -54,14 +55,37 @@ def test_fold_keeps_unseen(spark):
     assert [tuple(x) for x in got] == [(1, "a"), (2, "b")]
 
 
-def test_pattern_table_in_blocks(spark, monkeypatch):
-    """A table above the bound is joined in blocks, and finds the same."""
-    e = spark.createDataFrame([("a", "%x%"), ("b", "%y%"), ("c", "%"), ("d", "none")], "id string, title_pat string")
-    d = spark.createDataFrame([("d", "x", 1), ("e", "xy", 5), ("f", None, 9)], "doc_id string, title string, n int")
-    want = {("a", "e", 5), ("b", "e", 5), ("c", "e", 5)}
-    assert {tuple(r) for r in catalog.best_documents(e, d).collect()} == want
-    monkeypatch.setattr(catalog, "PATTERN_ROWS", 1)
-    assert {tuple(r) for r in catalog.best_documents(e, d).collect()} == want
+PATTERNS = ["%x%", "%Amendment 1%", "easy%rules", "%ru_es%", "%50\\\\%%", "%", "none", None, "", "a_c", "Éa%", "%a\\_b%", "___", "%ules%ules%"]
+TITLES = ["x", "xy", None, "", "Easy Rules", "easy access RULES", "Amendment 12", "rubles", "rules", "50% off", "50 off", "abc", "ÉAB", "a_b", "axb", "rules and rules"]
+
+
+def like(pattern, text):
+    out, k = "", 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+            out += re.escape(pattern[k])
+        else:
+            out += {"%": ".*", "_": "."}.get(c, re.escape(c))
+        k += 1
+    return re.fullmatch(out.lower(), text.lower(), re.S) is not None
+
+
+@pytest.mark.parametrize("rows_a_block", [10_000, 1])
+def test_patterns_against_a_plain_model(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(catalog, "PATTERN_ROWS", rows_a_block)
+    e = spark.createDataFrame([(f"e{k}", p) for k, p in enumerate(PATTERNS)], "id string, title_pat string")
+    d = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(TITLES)], "doc_id string, title string")
+    got = sorted((r["id"], r["doc_id"]) for r in catalog.pattern_join(e, d).collect())
+    assert got == sorted((f"e{i}", f"d{j}") for i, p in enumerate(PATTERNS) for j, t in enumerate(TITLES) if p is not None and t is not None and like(p, t))
+
+
+def test_patterns_with_an_anchor_need_no_loop(spark):
+    e = spark.createDataFrame([("a", "%rules%"), ("b", "easy%")], "id string, title_pat string")
+    d = spark.createDataFrame([("d", "Easy Rules")], "doc_id string, title string")
+    hit = catalog.pattern_join(e, d)
+    assert "NestedLoop" not in hit._jdf.queryExecution().executedPlan().toString() and hit.count() == 2
 
 
 def test_harvest(spark):
