@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import headings as h
+from .sequences import RANGE_ROWS, carried, counted
 
 # Sizes in points from which on a bold block is a subpart, a section, an article's heading;
 # up to which a block belongs to the page; from which on it is an article's text.
@@ -16,17 +17,15 @@ PARAGRAPH_START = r"(?:^\d+(?:\.\d+)*\s+\S)|(?:^[a-z]\.\s)|(?:^\([a-z0-9]{1,4}\)
 SECTION_LINE = r"^\d+\s+[A-Z][^.]{2,60}$"
 
 
-def structured(blocks: DataFrame, doc: str, pos: str) -> DataFrame:
+def structured(blocks: DataFrame, doc: str, pos: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Blocks (doc, pos, text, size, bold) without page noise, each with its role (structure,
     article, body or null) and with what is in force there: subpart, section, in_toc and article,
     the place of the article's heading.
 
     Articles count from the first heading that opens a part; a subpart ends the section before it.
-    A small-print heading is an article by its form, and lets small text be body. Windows by document
-    share one sort; they carry places and labels, no texts.
+    A small-print heading is an article by its form, and lets small text be body. Places and labels are
+    carried through a document by ranges of ``rows`` positions, so a long one is several tasks' work.
     """
-    w = Window.partitionBy(doc).orderBy(pos)
-    before, here = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     text, printed = F.trim("text"), F.col("size") > PAGE_SIZE
     large = F.col("bold") & (F.col("size") >= SECTION_SIZE)
     b = blocks.where(~h.is_page_head(F.col("text"))).withColumns(
@@ -36,26 +35,26 @@ def structured(blocks: DataFrame, doc: str, pos: str) -> DataFrame:
             "_named": F.col("bold") & printed & ~large & (F.col("size") >= ARTICLE_SIZE) & h.heading_type(h.typed_line(text)).isNotNull(),
         }
     )
-    b = b.withColumn("in_toc", ~F.coalesce(F.bool_or("_opens").over(before), F.lit(False)))
+    b = carried(b, [doc], pos, {"_opened": F.when(F.col("_opens"), F.lit(True))}, here=False, rows=rows)
+    b = b.withColumn("in_toc", F.col("_opened").isNull())
     small = F.col("_small") & ~F.col("in_toc")
     b = b.withColumn("role", F.when(small, "article").when(large, "structure").when(~F.col("in_toc") & F.col("_named"), "article"))
     b = b.withColumn("_label", F.when(F.col("role") == "structure", F.struct(F.col(pos).alias("p"), h.label(text).alias("t"))))
     state = F.when(F.col("role").isNotNull(), F.struct(F.when(F.col("role") == "article", F.col(pos)).alias("article"), small.alias("small")))
-    last = lambda c: F.last(c, ignorenulls=True).over(here)
     top = F.col("size") >= SUBPART_SIZE
-    b = b.withColumns({"_state": last(state), "_sub": last(F.when(top, F.col("_label"))), "_sec": last(F.when(~top, F.col("_label")))})
+    b = carried(b, [doc], pos, {"_state": state, "_sub": F.when(top, F.col("_label")), "_sec": F.when(~top, F.col("_label"))}, rows=rows)
     section = F.when(F.col("_sub").isNull() | (F.col("_sec.p") > F.col("_sub.p")), F.col("_sec.t"))
     body = F.col("role").isNull() & F.col("_state.article").isNotNull() & printed & (F.col("_state.small") | (F.col("size") >= BODY_SIZE))
     b = b.withColumns({"role": F.when(body, "body").otherwise(F.col("role")), "article": F.col("_state.article"), "subpart": F.col("_sub.t"), "section": section, "small": F.col("_small")})
-    return b.drop("_opens", "_small", "_named", "_label", "_state", "_sub", "_sec")
+    return b.drop("_opens", "_opened", "_small", "_named", "_label", "_state", "_sub", "_sec")
 
 
-def articles(blocks: DataFrame, doc: str, pos: str, title: str) -> DataFrame:
+def articles(blocks: DataFrame, doc: str, pos: str, title: str, rows: int = RANGE_ROWS) -> DataFrame:
     """(doc, pos, node_type, reference_code, title, hierarchy_path, content_text): one row an
     article heading with its body. Those whose reference has no digit, or that have no text, go; of
     a type and reference the last of a document stays. title: the column with the document's title.
     """
-    s = structured(blocks, doc, pos).where("role IN ('article', 'body')")
+    s = structured(blocks, doc, pos, rows).where("role IN ('article', 'body')")
     head = F.regexp_replace(F.when(F.col("small"), F.trim("text")).otherwise(h.typed_line(F.trim("text"))), "\n", " ")
     at = lambda c: F.max(F.when(F.col("role") == "article", c))
     path = F.array_join(F.filter(F.array(title, "subpart", "section"), lambda x: x.isNotNull() & (x != "")), " / ")
@@ -68,16 +67,15 @@ def articles(blocks: DataFrame, doc: str, pos: str, title: str) -> DataFrame:
     return good.withColumn("_last", last).where("pos = _last").drop("_last")
 
 
-def paragraphs(lines: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
+def paragraphs(lines: DataFrame, doc: str, pos: str, text: str, rows: int = RANGE_ROWS) -> DataFrame:
     """(doc, element, kind, body) of plain lines: wrapped lines joined with blanks, neighbouring
     lines with tabs as one table (rows stay lines), short numbered lines as headings. Blank lines
     and starts of paragraphs part elements; footers of the publisher go."""
-    w = Window.partitionBy(doc).orderBy(pos)
     line = lines.select(doc, pos, F.trim(text).alias("line")).where(~F.col("line").rlike(r"(?i)^Powered by EASA\b"))
     kind = F.when(F.col("line") == "", "blank").when(F.col("line").contains("\t"), "table").otherwise("text")
-    marked = line.withColumn("kind", kind).withColumn("_was", F.lag("kind").over(w))
+    marked = carried(line.withColumn("kind", kind), [doc], pos, {"_was": F.col("kind")}, here=False, rows=rows)
     begins = ~F.col("_was").eqNullSafe(F.col("kind")) | ((F.col("kind") == "text") & F.col("line").rlike(PARAGRAPH_START))
-    numbered = marked.withColumn("element", F.sum(begins.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind <> 'blank'")
+    numbered = counted(marked, [doc], pos, begins, "element", rows).where("kind <> 'blank'")
     g = numbered.groupBy(doc, "element", "kind").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("line").alias("t")))).alias("_l"))
     body = F.when(F.col("kind") == "table", F.array_join("_l.t", "\n")).otherwise(F.array_join("_l.t", " "))
     shown = F.when((F.col("kind") == "text") & body.rlike(SECTION_LINE), "heading").otherwise(F.col("kind"))

@@ -6,12 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carried_headings(df: DataFrame, doc: str, pos: str, level: Column, title: str, levels: int = 4) -> DataFrame:
+#: Positions that one task walks through; a longer document is several tasks' work.
+RANGE_ROWS = 1 << 16
+
+
+def _ranged(df: DataFrame, pos: str, rows: int) -> DataFrame:
+    return df.withColumn("_range", F.floor(F.col(pos) / rows))
+
+
+def _handed(df: DataFrame, ends: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """df, whose rows know their _range, with what ends (group, _range, names) tells of the range."""
+    keys = [*group, "_range"]
+    ends = ends.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(keys)], *names)
+    on = [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(keys)]
+    return df.join(ends, on, "left").drop(*[f"_e{i}" for i in range(len(keys))])
+
+
+def carried(df: DataFrame, group: list[str], pos: str, values: dict[str, Column], here: bool = True, rows: int = RANGE_ROWS) -> DataFrame:
+    """df with, under each name, the last value of its group that is not null, up to the row (here) or
+    before it.
+
+    A scan in two levels: windows within ranges of ``rows`` positions, the last values of each
+    range handed on to the later ranges of the group, one row a range. Positions are numbers, one
+    row a position of a group. A group of any length is many tasks' work.
+    """
+    names = list(values)
+    df = _ranged(df, pos, rows).withColumns({f"_v_{n}": c for n, c in values.items()})
+    within = Window.partitionBy(*group, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if here else -1)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*group, "_range").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(pos))).alias(n) for n in names])
+    ends = ends.select(*group, "_range", *[F.last(n, ignorenulls=True).over(earlier).alias(f"_h_{n}") for n in names])
+    df = df.withColumns({f"_w_{n}": F.last(f"_v_{n}", ignorenulls=True).over(within) for n in names})
+    df = _handed(df, ends, group, [f"_h_{n}" for n in names])
+    df = df.withColumns({n: F.coalesce(f"_w_{n}", f"_h_{n}") for n in names})
+    return df.drop("_range", *[f"_{k}_{n}" for k in "vwh" for n in names])
+
+
+def counted(df: DataFrame, group: list[str], pos: str, flag: Column, out: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """df with how many rows of the group, up to this one, have the flag; in two levels like carried()."""
+    df = _ranged(df, pos, rows).withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
+    within = Window.partitionBy(*group, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*group, "_range").agg(F.sum("_flag").alias("_n")).select(*group, "_range", F.sum("_n").over(earlier).alias("_before"))
+    df = _handed(df.withColumn(out, F.sum("_flag").over(within)), ends, group, ["_before"])
+    return df.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_range", "_flag", "_before")
+
+
+def carried_headings(df: DataFrame, doc: str, pos: str, level: Column, title: str, levels: int = 4, rows: int = RANGE_ROWS) -> DataFrame:
     """Df with h1..hN, the headings in force at each row: the last of a level, unless a
-    shallower one came after it. Partitioned by document; one sort for all levels."""
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.max_by(F.struct(F.col(pos).alias("p"), F.col(title).alias("t")), F.when(level == k, F.col(pos))).over(w) for k in range(1, levels + 1)]
-    df = df.withColumns({f"_l{k + 1}": x for k, x in enumerate(last)})
+    shallower one came after it."""
+    here = F.struct(F.col(pos).alias("p"), F.col(title).alias("t"))
+    df = carried(df, [doc], pos, {f"_l{k}": F.when(level == k, here) for k in range(1, levels + 1)}, rows=rows)
     out = {}
     for k in range(1, levels + 1):
         stale = F.lit(False)
@@ -21,28 +66,27 @@ def carried_headings(df: DataFrame, doc: str, pos: str, level: Column, title: st
     return df.withColumns(out).drop(*[f"_l{k}" for k in range(1, levels + 1)])
 
 
-def nearest_before(df: DataFrame, group: list[str], pos: str, eligible: Column, value: Column, out: str) -> DataFrame:
+def nearest_before(df: DataFrame, group: list[str], pos: str, eligible: Column, value: Column, out: str, rows: int = RANGE_ROWS) -> DataFrame:
     """The value of the nearest eligible row before each row of its group (a backward as-of)."""
-    w = Window.partitionBy(*group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.last(F.when(eligible, value), ignorenulls=True).over(w))
+    return carried(df, group, pos, {out: F.when(eligible, value)}, here=False, rows=rows)
 
 
-def segments(lines: DataFrame, doc: str, pos: str, starts: Column, text: str) -> DataFrame:
+def segments(lines: DataFrame, doc: str, pos: str, starts: Column, text: str, rows: int = RANGE_ROWS) -> DataFrame:
     """(doc, segment, first_pos, heading, body, n_lines): a heading and the lines up to the next.
 
-    Lines before the first heading are segment 0 without a heading.
+    Lines before the first heading are segment 0 without a heading. One segment's lines are one
+    row, as its body is one text.
     """
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    df = lines.withColumn("_start", starts).withColumn("segment", F.sum(F.col("_start").cast("int")).over(w))
+    df = counted(lines.withColumn("_start", F.coalesce(starts, F.lit(False))), [doc], pos, F.col("_start"), "segment", rows)
     g = df.groupBy(doc, "segment").agg(F.min(pos).alias("first_pos"), F.max(F.when(F.col("_start"), F.col(text))).alias("heading"), F.sort_array(F.collect_list(F.when(~F.col("_start"), F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))).alias("_b"))
     return g.select(doc, "segment", "first_pos", "heading", F.array_join(F.col("_b.t"), "\n").alias("body"), F.size("_b").cast("long").alias("n_lines"))
 
 
-def runs(df: DataFrame, group: list[str], pos: str, value: str) -> DataFrame:
+def runs(df: DataFrame, group: list[str], pos: str, value: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Df with run, the number of the stretch of equal neighbouring values (gaps and islands)."""
-    w = Window.partitionBy(*group).orderBy(pos)
-    change = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
-    return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    df = carried(df, group, pos, {"_was": F.struct(F.col(value).alias("v"))}, here=False, rows=rows)
+    same = F.col("_was").isNotNull() & F.col("_was.v").eqNullSafe(F.col(value))
+    return counted(df, group, pos, ~same, "run", rows).drop("_was")
 
 
 def ancestor_paths(sections: DataFrame, doc: str, pos: str, code: str, title: str) -> DataFrame:
