@@ -12,8 +12,16 @@ from .sequences import RANGE_ROWS, carried, counted
 # up to which a block belongs to the page; from which on it is an article's text.
 SUBPART_SIZE, SECTION_SIZE, ARTICLE_SIZE = 19.5, 17.5, 13.0
 PAGE_SIZE, BODY_SIZE = 9.5, 9.5
-#: Starts of paragraphs: numbers, lettered and bracketed items, notes, dashes.
-PARAGRAPH_START = r"(?:^\d+(?:\.\d+)*\s+\S)|(?:^[a-z]\.\s)|(?:^\([a-z0-9]{1,4}\)\s)|(?:^[a-z]\))|(?:^[Nn][Oo][Tt][Ee]\b)|(?:^[—–\-•]\s)"
+# Starts of paragraphs (numbers, lettered and bracketed items, notes, dashes), the note's
+# whatever its case; and a short numbered line.
+PARAGRAPH_START = (
+    r"^\d+(\.\d+)*\s+\S",
+    r"^[a-z]\.\s",
+    r"^\([a-z0-9]{1,4}\)\s",
+    r"^[a-z]\)",
+    r"^[—–\-•]\s",
+)
+NOTE_START = r"^Note\b"
 SECTION_LINE = r"^\d+\s+[A-Z][^.]{2,60}$"
 
 
@@ -31,7 +39,7 @@ def structured(blocks: DataFrame, doc: str, pos: str, rows: int = RANGE_ROWS) ->
     b = blocks.where(~h.is_page_head(F.col("text"))).withColumns(
         {
             "_opens": large & h.label(text).rlike(h.OPENING),
-            "_small": F.col("bold") & text.rlike(h.SMALL_PRINT) & h.heading_type(text).isNotNull(),
+            "_small": F.col("bold") & h.like_any(text, h.SMALL_PRINT, "(?iU)") & h.heading_type(text).isNotNull(),
             "_named": F.col("bold") & printed & ~large & (F.col("size") >= ARTICLE_SIZE) & h.heading_type(h.typed_line(text)).isNotNull(),
         }
     )
@@ -74,7 +82,7 @@ def paragraphs(lines: DataFrame, doc: str, pos: str, text: str, rows: int = RANG
     line = lines.select(doc, pos, F.trim(text).alias("line")).where(~F.col("line").rlike(r"(?i)^Powered by EASA\b"))
     kind = F.when(F.col("line") == "", "blank").when(F.col("line").contains("\t"), "table").otherwise("text")
     marked = carried(line.withColumn("kind", kind), [doc], pos, {"_was": F.col("kind")}, here=False, rows=rows)
-    begins = ~F.col("_was").eqNullSafe(F.col("kind")) | ((F.col("kind") == "text") & F.col("line").rlike(PARAGRAPH_START))
+    begins = ~F.col("_was").eqNullSafe(F.col("kind")) | ((F.col("kind") == "text") & (h.like_any(F.col("line"), PARAGRAPH_START) | F.col("line").rlike("(?i)" + NOTE_START)))
     numbered = counted(marked, [doc], pos, begins, "element", rows).where("kind <> 'blank'")
     g = numbered.groupBy(doc, "element", "kind").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("line").alias("t")))).alias("_l"))
     body = F.when(F.col("kind") == "table", F.array_join("_l.t", "\n")).otherwise(F.array_join("_l.t", " "))

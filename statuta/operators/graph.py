@@ -90,7 +90,11 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return no_source.unionByName(no_target).distinct()
 
 
-def text_references(nodes: DataFrame, pattern: str = r"(?iU)\b((?:CS|AMC|GM|IR)\s+[\w.\-]+(?:\([^)]*\))*)\b") -> DataFrame:
+# Fixed value: a reference in running text.
+MENTION = r"(?iU)\b((?:CS|AMC|GM|IR)\s+[\w.\-]+(?:\([^)]*\))*)\b"
+
+
+def text_references(nodes: DataFrame, pattern: str = MENTION) -> DataFrame:
     """(source_ref, target_ref, relation): references that texts name, one row a pair, whether a
     node has them or not; a node's own goes."""
     named = nodes.select(F.col("reference_code").alias("source_ref"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content_text", F.lit(pattern), F.lit(1)), lambda x: F.trim(x)))).alias("target_ref"))

@@ -78,7 +78,7 @@ def numbered_headings(spark, sf_dir):
 @query(rf"""WITH l AS (SELECT doc_id, i - 1 AS i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, UNNEST(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 t AS (SELECT doc_id, i, trim(CASE WHEN i % 7 = 6 THEN '' WHEN i % 5 IN (2, 3) THEN replace(line, ' ', chr(9)) WHEN i % 4 = 1 THEN '(a) ' || line WHEN i % 11 = 8 THEN (i % 3) || ' General aims' ELSE line END) AS line FROM l),
 k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN contains(line, chr(9)) THEN 'table' ELSE 'text' END AS kind FROM t),
-e AS (SELECT *, SUM((was IS DISTINCT FROM kind OR (kind = 'text' AND regexp_matches(line, '{b.PARAGRAPH_START}')))::BIGINT) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS element FROM (SELECT *, LAG(kind) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM k)),
+e AS (SELECT *, SUM((was IS DISTINCT FROM kind OR (kind = 'text' AND (regexp_matches(line, '{'|'.join(b.PARAGRAPH_START)}') OR regexp_matches(line, '{b.NOTE_START}', 'i'))))::BIGINT) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS element FROM (SELECT *, LAG(kind) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM k)),
 p AS (SELECT doc_id, element, kind, CASE kind WHEN 'table' THEN string_agg(line, chr(10) ORDER BY i) ELSE string_agg(line, ' ' ORDER BY i) END AS body FROM e WHERE kind <> 'blank' GROUP BY 1, 2, 3)
 SELECT doc_id, element, CASE WHEN kind = 'text' AND regexp_matches(body, '{b.SECTION_LINE}') THEN 'heading' ELSE kind END AS kind, md5(body) AS body_md5 FROM p""")
 def plain_paragraphs(spark, sf_dir):
