@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries
-from .queries import admin, catalog, chunks, fulltext, graph, pages, parsing, retrieval, sources, streams, upkeep, vectors, versions  # noqa: F401
+from .queries import admin, catalog, chunks, fulltext, graph, keyed, pages, parsing, retrieval, sources, streams, upkeep, vectors, versions  # noqa: F401
 
 QUERIES = queries.QUERIES
 ORACLES = queries.ORACLES
