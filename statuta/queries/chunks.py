@@ -18,6 +18,22 @@ def chunk_split(spark, sf_dir):
     return chunking.chunks(v.nodes(spark, sf_dir))
 
 
+@query(f"""WITH {v.OLD_NEW}, n AS (SELECT reference_code AS id, CASE WHEN doc_key = 'src2' THEN '' ELSE content_text END AS x FROM new_nodes)
+SELECT COALESCE(o.reference_code, n.id) AS node_id, CASE WHEN COALESCE(n.x, '') = '' THEN 'removed' WHEN o.content_text IS NULL OR o.content_text <> n.x THEN 'made' ELSE 'kept' END AS what
+FROM old_nodes o FULL JOIN n ON o.reference_code = n.id WHERE o.reference_code IS NOT NULL OR n.x <> ''""")
+def rechunk(spark, sf_dir):
+    """The nodes whose chunks are made, removed and kept when new versions meet the chunks of old ones."""
+    shape = lambda df: df.select(F.col("reference_code").alias("node_id"), F.lit("CS").alias("node_type"), "reference_code", F.lit("t").alias("title"), F.col("doc_key").alias("hierarchy_path"), "content_text")
+    old, new = map(shape, v.old_and_new(spark, sf_dir))
+    new = new.withColumn("content_text", F.when(F.col("hierarchy_path") == "src2", "").otherwise(F.col("content_text")))
+    stored = chunking.chunks(old)
+    fresh, removed = chunking.rechunked(new, stored)
+    made = fresh.select("parent_node_id", F.lit("made").alias("what"))
+    left = stored.join(removed, "chunk_id", "left_anti").join(fresh, "parent_node_id", "left_anti").select("parent_node_id", F.lit("kept").alias("what"))
+    emptied = stored.join(removed, "chunk_id", "left_semi").join(fresh, "parent_node_id", "left_anti").select("parent_node_id", F.lit("removed").alias("what"))
+    return made.unionByName(left).unionByName(emptied).distinct().withColumnRenamed("parent_node_id", "node_id")
+
+
 @query()
 def markdown_chunks(spark, sf_dir):
     """Documents with a heading at every third line."""

@@ -8,6 +8,7 @@ from ..functions.references import article_code
 from ..operators import graph as g
 from ..operators.dedup import first_wins, last_wins, numbered
 from ..sources import views as v
+from ..sources.landed import table_sizes
 from . import query
 
 
@@ -124,6 +125,12 @@ def stats(spark, sf_dir):
     return one(v.nodes(spark, sf_dir, text=False), F.count("*").alias("nodes")).join(one(e, F.count("*").alias("edges"), F.count_distinct("relation").alias("relations"))).join(one(v.read(spark, sf_dir, "events"), F.max("ts").alias("last_fetch")))
 
 
+@query()
+def relation_sizes(spark, sf_dir):
+    """A2: files and bytes of every table."""
+    return table_sizes({t: v.read(spark, sf_dir, t) for t in ("documents", "embeddings", "events", "pages", "conversations", "labels", "benchmark")})
+
+
 @query(f"WITH {v.NODE_ROWS} SELECT node_type, reference_code, ARG_MIN(node_id, pos) AS node_id, MIN(pos) AS pos FROM node_rows GROUP BY 1, 2")
 def dedup_first(spark, sf_dir):
     """A12."""

@@ -100,14 +100,54 @@ def test_harvest(spark):
     assert [(d["op"], d["text"]) for d in diff] == [("equal", "a"), ("delete", "b"), ("insert", "c")]
 
 
+NODE = "node_id string, node_type string, reference_code string, title string, hierarchy_path string, content_text string"
+
+
 def test_chunks(spark):
-    n = spark.createDataFrame([("1", "IR", "r", "t", "A / B", "short"), ("2", "IR", "q", None, "A", "x " * 1500), ("3", "IR", "e", "t", "A", ""), ("4", "GROUP", "g", "t", "A", "z")], "node_id string, node_type string, reference_code string, title string, hierarchy_path string, content_text string")
+    n = spark.createDataFrame([("1", "IR", "r", "t", "A / B", "short"), ("2", "IR", "q", None, "A", "x " * 1500), ("3", "IR", "e", "t", "A", ""), ("4", "GROUP", "g", "t", "A", "z")], NODE)
     got = {r["chunk_id"]: r["document"] for r in chunking.chunks(n).collect()}
-    assert got["1"] == "A > A / B > r — t\n\nshort" and {k for k in got if k[0] == "2"} == {"2__c0", "2__c1", "2__c2"} and not {k for k in got if k[0] in "34"}
-    fresh = spark.createDataFrame([("2__c0", "2")], "chunk_id string, parent_node_id string")
+    assert got["1"] == "A > A / B > r — t\n\nshort" and {k for k in got if k[0] == "2"} == {"2", "2__c1", "2__c2"} and not {k for k in got if k[0] in "34"}
+    fresh = spark.createDataFrame([("2", "2")], "chunk_id string, parent_node_id string")
     assert {r["chunk_id"] for r in chunking.surplus(chunking.chunks(n), fresh).collect()} == {"2__c1", "2__c2"}
 
 
+def test_only_changed_nodes_are_chunked_and_embedded(spark):
+    long = "word " * 900
+    old = spark.createDataFrame([(str(k), "IR", f"r{k}", "t", "A", long if k < 3 else f"text {k}") for k in range(12)], NODE)
+    new = [(str(k), "IR", f"r{k}", "t", "A" if k != 5 else "B", "now short" if k == 0 else long if k < 3 else "" if k == 7 else f"text {k}") for k in range(11)] + [("new", "IR", "n", None, "A", "more")]
+    stored = chunking.chunks(old).cache()
+    fresh, removed = chunking.rechunked(spark.createDataFrame(new, NODE), stored)
+    assert {r["parent_node_id"] for r in fresh.collect()} == {"0", "5", "new"}
+    parts = {r["chunk_id"] for r in stored.where("parent_node_id = '0'").collect()}
+    assert {r["chunk_id"] for r in removed.collect()} == (parts - {"0"}) | {"7", "11"}
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        if any("more" in t for t in texts):
+            raise RuntimeError("too long")
+        return chunking.hashed_embedding(texts)
+
+    got = chunking.embedded(fresh.coalesce(1), embed).collect()
+    assert {r["parent_node_id"] for r in got} == {"0", "5"} and all(len(r["embedding"]) == 64 for r in got)
+    assert calls.value == 6  # three in a request that fails, then one by one
+    stored.unpersist()
+
+
+def test_fingerprints_in_blocks_and_sizes(spark, tmp_path):
+    import hashlib
+
+    body = {"a b.bin": bytes(range(256)) * 9000, "empty": b"", "sub/c": b"x" * (1 << 20)}
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, data in body.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    got = {r["path"].rsplit("/in/")[-1].replace("%20", " "): (r["length"], r["content_hash"]) for r in landed.fingerprints(spark, str(tmp_path / "in"), block=100_000).collect()}
+    assert got == {k: (len(d), hashlib.md5(d).hexdigest()) for k, d in body.items() if d}
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "t"))
+    [r] = landed.table_sizes({"t": spark.read.parquet(str(tmp_path / "t"))}).collect()
+    assert (r["files"], r["bytes"]) == (3, sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet")))
+
+
 def test_archives_and_packages(spark, tmp_path):
     w, er = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://www.easa.europa.eu/erules-export"
     sdt = lambda i, t: f'<w:sdt><w:sdtPr><w:id w:val="{i}"/></w:sdtPr><w:sdtContent><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:sdtContent></w:sdt>'
