@@ -107,13 +107,15 @@ def lexeme(word: str) -> str | None:
     return None if word in _STOP else stem(word)
 
 
-def lexemes(words: Column) -> Column:
+def lexemes(words: Column, only: list[str] | None = None) -> Column:
     """Arrays of lexeme(), nulls at stop words, from arrays of lower-case words: each distinct word of
-    an Arrow batch is worked out once."""
+    an Arrow batch is worked out once. only: terms beside which all are null."""
+    some = None if only is None else frozenset(only)
 
     def run(arrays: pa.Array) -> pa.Array:
         flat = arrays.flatten().dictionary_encode()
-        terms = pa.array([lexeme(w) for w in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+        found = [lexeme(w) for w in flat.dictionary.to_pylist()]
+        terms = pa.array(found if some is None else [t if t in some else None for t in found], pa.string()).take(flat.indices)
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), pa.array(arrays.value_lengths().to_numpy(zero_copy_only=False).cumsum(), pa.int32())])
         return pa.ListArray.from_arrays(offsets, terms)
 

@@ -25,12 +25,13 @@ WEIGHT = 0.1
 _SHIFT = 1 << 31
 
 
-def postings(nodes: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "node_id") -> DataFrame:
-    """(term, node_id, field, pos) of every word of the fields that is no stop word. Rows without
-    text have none; a text of any length is one row's work."""
+def postings(nodes: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "node_id", only: list[str] | None = None) -> DataFrame:
+    """(term, node_id, field, pos) of every word of the fields that is no stop word, or of some terms
+    ``only``. Rows without text have none; a text of any length is one row's work."""
     of = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f")
-    terms = nodes.select(F.col(key).alias("node_id"), of).select("node_id", "f.field", lexemes(words_of(F.col("f.text"))).alias("terms"))
-    return terms.select("node_id", "field", F.posexplode("terms").alias("pos", "term")).where("term IS NOT NULL").select("term", "node_id", "field", (F.col("pos") + 1).alias("pos"))
+    terms = nodes.select(F.col(key).alias("node_id"), of).select("node_id", "f.field", lexemes(words_of(F.col("f.text")), only).alias("terms"))
+    placed = F.filter(F.transform("terms", lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos"))), lambda x: x["term"].isNotNull())
+    return terms.select("node_id", "field", F.explode(placed).alias("p")).select("p.term", "node_id", "field", "p.pos")
 
 
 def _bucket(term: Column, buckets: int) -> Column:

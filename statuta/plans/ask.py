@@ -48,7 +48,7 @@ def ask(nodes: DataFrame, vectors: DataFrame, question: str, vector: list[float]
     inside = nodes.where(within)
     coded = inside.where(r.is_coded(codes)).orderBy("reference_code", "node_id").limit(n).select("node_id", F.lit(0.0).alias("distance"), F.lit(0).alias("stage"))
     first = [x["node_id"] for x in coded.collect()]
-    words = ft.postings(inside) if index is None else index.join(inside.select("node_id"), "node_id", "left_semi") if named else index
+    words = ft.postings(inside, only=ft.asked_terms(search)) if index is None else index.join(inside.select("node_id"), "node_id", "left_semi") if named else index
     texts = ft.search(words, search).where(~F.col("node_id").isin(first)).orderBy(F.col("rank").desc(), "node_id").limit(text_limit)
     second = [x["node_id"] for x in texts.select("node_id").collect()]
     near = r.nearest_parents(vectors.where(within & ~F.col("node_id").isin([*first, *second])), vector, max(2 * n, 20))

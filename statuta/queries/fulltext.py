@@ -88,7 +88,8 @@ def word_stems(spark, sf_dir):
 @query(f"WITH {v.NODES},{POSTINGS.replace('@nodes', 'nodes')},{ranks([([[('ther', 0)], [('erth', 0)]], [])])} SELECT node_id, ROUND(rank, 6) AS rank FROM ranked")
 def fts_and_match(spark, sf_dir):
     """every node with both terms, whatever their endings, and its cover density."""
-    return ft.search(ft.postings(v.nodes(spark, sf_dir)), "the thers of erthing").select("node_id", F.round("rank", 6).alias("rank"))
+    question = "the thers of erthing"
+    return ft.search(ft.postings(v.nodes(spark, sf_dir), only=ft.asked_terms(question)), question).select("node_id", F.round("rank", 6).alias("rank"))
 
 
 _WEB = 'thatins -erly or "of the orans" anings or "ther" -"as erth" -onings'
@@ -98,7 +99,7 @@ _WEB_SQL = [([[("thatin", 0)]], [[("er", 0)]]), ([[("oran", 0)], [("ane", 0)]],
 @query(f"WITH {v.NODES},{POSTINGS.replace('@nodes', 'nodes')},{ranks(_WEB_SQL)} SELECT node_id, ROUND(rank, 6) AS rank FROM ranked")
 def fts_alternatives(spark, sf_dir):
     """alternatives, phrases and words that must not be there."""
-    return ft.search(ft.postings(v.nodes(spark, sf_dir)), _WEB).select("node_id", F.round("rank", 6).alias("rank"))
+    return ft.search(ft.postings(v.nodes(spark, sf_dir), only=ft.asked_terms(_WEB)), _WEB).select("node_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {v.NODE_ROWS},{POSTINGS.replace('@nodes', 'node_rows')},{ranks([([[('thatin', 0), ('ononst', 3)]], []), ([[('ere', 0)], [('one', 0)], [('oran', 0)]], [[('hehe', 0)]])])} SELECT node_id, ROUND(rank, 6) AS rank FROM ranked")

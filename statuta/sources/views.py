@@ -45,26 +45,25 @@ nodes AS (SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY
 
 def nodes(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """Stored nodes: one a (node_type, reference_code), the first in document order. Without text
-    the bodies are neither read nor shuffled, and what is left is kept for the queries that follow
-    (persist; it goes to disk where memory is short)."""
+    the bodies are neither read nor shuffled."""
     from ..operators.dedup import first_wins
 
     rows = node_rows(spark, sf_dir)
     if text:
         return first_wins(rows, ["node_type", "reference_code"], "pos")
-    return first_wins(rows.drop("content_text", "title"), ["node_type", "reference_code"], "pos").persist()
+    return first_wins(rows.drop("content_text", "title"), ["node_type", "reference_code"], "pos")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_node_id, target_node_id, relation): AMC and GM to their base articles, and each
-    node to the one twenty places before it; kept like the nodes."""
+    node to the one twenty places before it."""
     from ..operators.graph import base_article_edges
 
     n = nodes(spark, sf_dir, text=False)
     typed = base_article_edges(n).select("source_node_id", "target_node_id", "relation")
     back = n.select("node_id", (F.col("pos") - 20).alias("at"))
     refs = back.join(n.select(F.col("pos").alias("at"), F.col("node_id").alias("target_node_id")), "at")
-    return typed.unionByName(refs.select(F.col("node_id").alias("source_node_id"), "target_node_id", F.lit("REFERENCES").alias("relation"))).persist()
+    return typed.unionByName(refs.select(F.col("node_id").alias("source_node_id"), "target_node_id", F.lit("REFERENCES").alias("relation")))
 
 
 EDGES = NODES + """,
