@@ -9,7 +9,7 @@ from ..operators import admin as a
 from ..operators import sequences
 from ..operators.graph import type_rank
 from ..schemas import NODE_TYPES
-from ..sinks import document_tree
+from ..sinks import tree_lines
 from ..sources import views as v
 from . import query
 
@@ -155,8 +155,12 @@ def dash_lists(spark, sf_dir):
     return r.groupBy("doc_id", "run").agg(F.min("pos").alias("p"), F.count("*").alias("items")).select("doc_id", F.expr("p div 4").alias("list"), "items")
 
 
-@query()
+@query(f"""WITH {v.NODES}, t AS (SELECT source_doc_id AS path, split_part(hierarchy_path, ' / ', 3) AS heading, pos, title, content_text FROM nodes),
+f AS (SELECT *, MIN(pos) OVER (PARTITION BY path, heading) AS first FROM t), w AS (SELECT *, LAG(first) OVER o AS b, LEAD(first) OVER o AS a FROM f WINDOW o AS (PARTITION BY path ORDER BY first, pos))
+SELECT path, first, pos, md5(CASE WHEN b IS NULL THEN '{{"path":' || to_json(path) || ',"toc":[' ELSE '' END || CASE WHEN b IS DISTINCT FROM first THEN '{{"heading":' || to_json(heading) || ',"topics":[' ELSE '' END
+  || '{{"pos":' || pos || ',"title":' || to_json(title) || ',"content_text":' || to_json(content_text) || '}}' || CASE WHEN a IS NULL THEN ']}}]}}' WHEN a <> first THEN ']}},' ELSE ',' END) AS line_md5 FROM w""")
 def json_tree(spark, sf_dir):
-    """One JSON text a document; an article stands for a document here."""
+    """Every document as nested JSON, a line a topic."""
     n = v.nodes(spark, sf_dir)
-    return document_tree(n.select(F.concat_ws("/", "source_doc_id", "bare_code").alias("path"), F.split_part("hierarchy_path", F.lit(" / "), F.lit(2)).alias("heading"), "pos", "title", "content_text"))
+    rows = tree_lines(n.select(F.col("source_doc_id").alias("path"), F.split_part("hierarchy_path", F.lit(" / "), F.lit(3)).alias("heading"), "pos", "title", "content_text"))
+    return rows.select("path", "first", "pos", F.md5("line").alias("line_md5"))

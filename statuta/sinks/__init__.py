@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,13 +38,33 @@ def write_paragraphs(topics: DataFrame, path: str) -> None:
 
 
 def write_by_topic(topics: DataFrame, path: str) -> None:
-    """A folder a topic."""
-    topics.write.mode("overwrite").partitionBy("erules_id").json(path)
+    """A folder a topic, each written by one task."""
+    topics.repartition("erules_id").write.mode("overwrite").partitionBy("erules_id").json(path)
 
 
-def document_tree(topics: DataFrame) -> DataFrame:
-    """One JSON text a document: its topics under their headings."""
-    t = F.struct("pos", "title", "content_text")
-    sec = topics.groupBy("path", "heading").agg(F.min("pos").alias("first"), F.sort_array(F.collect_list(t)).alias("topics"))
-    doc = sec.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("first", "heading", "topics"))).alias("toc"))
-    return doc.select("path", F.to_json(F.struct("toc")).alias("json"))
+def tree_lines(topics: DataFrame) -> DataFrame:
+    """(path, first, pos, line): documents (path) as nested JSON, a line a topic.
+
+    A document's lines in the order of (first, pos) are one JSON text: its topics (pos, title,
+    content_text) under their headings, headings in the order of their first topic. A line opens what
+    begins at its topic and closes what ends there, so no row holds more than one topic, whatever the
+    document's length. pos is unique in a document; a null heading is one of its own.
+    """
+    first = topics.groupBy("path", "heading").agg(F.min("pos").alias("first")).select(F.col("path").alias("_p"), F.col("heading").alias("_h"), "first")
+    rows = topics.join(first, F.col("path").eqNullSafe(F.col("_p")) & F.col("heading").eqNullSafe(F.col("_h"))).drop("_p", "_h")
+    w = Window.partitionBy("path").orderBy("first", "pos")
+    rows = rows.select("path", "heading", "pos", "title", "content_text", "first", F.lag("first").over(w).alias("_before"), F.lead("first").over(w).alias("_after"))
+    starts, ends = ~F.col("_before").eqNullSafe(F.col("first")), ~F.col("_after").eqNullSafe(F.col("first"))
+    name = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1), F.lit("null"))
+    known = lambda c: F.when(F.col(c).isNull(), "null").otherwise(name(c))
+    opened = F.concat(F.when(F.col("_before").isNull(), F.concat(F.lit('{"path":'), known("path"), F.lit(',"toc":['))).otherwise(""), F.when(starts, F.concat(F.lit('{"heading":'), known("heading"), F.lit(',"topics":['))).otherwise(""))
+    topic = F.concat(F.lit('{"pos":'), F.col("pos").cast("string"), F.lit(',"title":'), known("title"), F.lit(',"content_text":'), known("content_text"), F.lit("}"))
+    closed = F.when(F.col("_after").isNull(), "]}]}").when(ends, "]},").otherwise(",")
+    return rows.select("path", "first", "pos", F.concat(opened, topic, closed).alias("line"))
+
+
+def write_trees(topics: DataFrame, path: str, files: int = 1) -> None:
+    """The JSON texts of all documents, sorted, in ``files`` text files or fewer: a document
+    follows the other, and one that is cut between two files goes on in the next."""
+    rows = tree_lines(topics)
+    rows.repartitionByRange(files, "path", "first", "pos").sortWithinPartitions("path", "first", "pos").select("line").write.mode("overwrite").text(path)

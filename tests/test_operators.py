@@ -13,7 +13,7 @@ from statuta.operators import admin, catalog, graph, sequences, versions
 from statuta.operators.dedup import keep_unseen
 from statuta.plans import chunking, harvest
 from statuta.schemas import TABLES
-from statuta.sinks import document_tree, write_version
+from statuta.sinks import tree_lines, write_trees, write_version
 from statuta.sources import json_docs, landed
 
 
@@ -166,7 +166,25 @@ def test_archives_and_packages(spark, tmp_path):
     rows = landed.package_rows(members.where("member = 'a.xml'").select("path", F.col("body").alias("content")))
     topics = landed.topics_with_text(rows)
     assert [(r["title"], r["content_text"]) for r in topics.collect()] == [("21.A.1 X", "last")]
-    assert '"21.A.1 X"' in document_tree(topics.withColumn("heading", F.lit("h"))).first()["json"]
+    assert '"21.A.1 X"' in tree_lines(topics.withColumns({"heading": F.lit("h"), "pos": F.lit(0)})).first()["line"]
+
+
+def test_trees_are_json(spark, tmp_path):
+    """Lines of a document, put together, parse to its topics under their headings."""
+    import json
+
+    rows = [("d", h, p, f't"{p}', None if p == 4 else f"a\nb\t\\ \u00e9 \x01 {p}") for p, h in enumerate(["B", "A", "B", None, "A", None, "C"])] + [("e", "A", 9, None, "x"), (None, "A", 1, "t", "y")]
+    df = spark.createDataFrame(rows, "path string, heading string, pos int, title string, content_text string").repartition(4)
+    write_trees(df, str(tmp_path / "out"), files=3)
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    decoder, at, docs = json.JSONDecoder(), 0, {}
+    while at < len(text.rstrip()):
+        doc, end = decoder.raw_decode(text, at)
+        docs[doc["path"]] = [(s["heading"], [tuple(t.values()) for t in s["topics"]]) for s in doc["toc"]]
+        at = end + (len(text[end:]) - len(text[end:].lstrip()))
+    d = lambda p: (p, f't"{p}', None if p == 4 else f"a\nb\t\\ \u00e9 \x01 {p}")
+    assert docs == {"d": [("B", [d(0), d(2)]), ("A", [d(1), d(4)]), (None, [d(3), d(5)]), ("C", [d(6)])], "e": [("A", [(9, None, "x")])], None: [("A", [(1, "t", "y")])]}
 
 
 def test_json_round_trip(spark, tmp_path):
