@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import references as r
 from ..functions import text as t
 from ..operators import sequences as s
+from ..operators.topics import typed_topics
 from ..sources import views as v
 from . import query
 
@@ -104,6 +105,20 @@ def classify_titles(spark, sf_dir):
     return d.select("doc_id", "title", F.col("c.node_type").alias("node_type"), F.col("c.code").alias("code"), r.reference_code(F.col("c.node_type"), F.col("c.code"), F.col("title")).alias("reference_code"), F.col("c.title").alias("clean_title"))
 
 
+@query("""WITH t AS (SELECT source AS doc, doc_id AS pos, upper(lang) AS stack, doc_id % 6 AS k, doc_id % 11 <> 0 AS has_text, (doc_id // 6) % 3 AS said, '25.' || doc_id AS code FROM documents),
+p AS (SELECT *, LAST_VALUE(CASE k WHEN 0 THEN 'CS ' || code WHEN 1 THEN 'AMC ' || code WHEN 2 THEN 'CS ' || code END IGNORE NULLS) OVER (PARTITION BY doc, stack ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM t)
+SELECT doc, pos, CASE WHEN k IN (0, 5) THEN 'CS' WHEN k IN (1, 3) THEN 'AMC' ELSE (['CS', 'GM', 'AMC'])[(said + 1)::INTEGER] END AS node_type,
+CASE k WHEN 0 THEN 'CS ' || code WHEN 1 THEN 'AMC ' || code WHEN 2 THEN (['CS ', 'GM ', 'AMC '])[(said + 1)::INTEGER] || code WHEN 5 THEN 'CS 25J' || pos ELSE 'Appendix ' || pos || CASE WHEN parent IS NOT NULL THEN ' to ' || parent ELSE '' END || ' – Notes' END AS reference_code
+FROM p WHERE k <> 4 AND has_text""")
+def topic_nodes(spark, sf_dir):
+    """topics made from documents to nodes, types overridden, appendices under their articles."""
+    k, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    title = F.when(k == 0, F.concat(F.lit("CS 25."), n, F.lit(" Scope"))).when(k == 1, F.concat(F.lit("AMC 25."), n, F.lit(" Means"))).when(k == 2, F.concat(F.lit("25."), n, F.lit(" Bare"))).when(k == 3, F.concat(F.lit("Appendix "), n, F.lit(" – Notes"))).when(k == 4, "no code").otherwise(F.concat(F.lit("CS 25J"), n, F.lit(" Old")))
+    said = F.when(k == 2, F.get(F.array(F.lit(None), F.lit("gm"), F.lit("AMC")), F.expr("cast(doc_id div 6 % 3 as int)")))
+    d = v.read(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("pos"), title.alias("title"), said.alias("type_of_content"), F.array(F.upper("lang")).alias("heading_stack"), (F.col("doc_id") % 11 != 0).alias("has_text"))
+    return typed_topics(d, "CS").select("doc", "pos", "node_type", "reference_code")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ANNEX I / ' ELSE 'Easy Rules / ' END || upper(lang) || ' / ' || source AS path FROM documents""")
 def hierarchy_paths(spark, sf_dir):
     """F8: paths from heading stacks with gaps and repeats."""

@@ -101,14 +101,32 @@ def chat_provider(spark, sf_dir):
     return v.read(spark, sf_dir, "supplier").select("s_suppkey", provider(url).alias("provider"))
 
 
-@query()
-def xml_topics(spark, sf_dir):
-    """Conversations as flat packages, read back as topics with their text."""
+def _packages(spark, sf_dir):
+    """Conversations as flat packages: a table of contents and a content control a turn, every third in another."""
     w, er = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://www.easa.europa.eu/erules-export"
     safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     topic = F.concat(F.lit('<er:topic sdt-id="'), F.col("turn"), F.lit('" source-title="T '), F.col("turn"), F.lit('" ERulesId="e'), F.col("turn"), F.lit('"/>'))
-    sdt = F.concat(F.lit('<w:sdt><w:sdtPr><w:id w:val="'), F.col("turn"), F.lit('"/></w:sdtPr><w:sdtContent><w:p><w:r><w:t>'), safe, F.lit("</w:t></w:r></w:p></w:sdtContent></w:sdt>"))
+    alias = F.when(F.col("turn") % 2 == 0, "topic").otherwise("other")
+    body = F.concat(F.lit('<w:p><w:r><w:t>'), safe, F.lit("</w:t></w:r></w:p>"))
+    inner = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('<w:sdt><w:sdtPr><w:alias w:val="topic"/><w:id w:val="in'), F.col("turn"), F.lit('"/></w:sdtPr><w:sdtContent><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:sdtContent></w:sdt>'))).otherwise("")
+    sdt = F.concat(F.lit('<w:sdt><w:sdtPr><w:alias w:val="'), alias, F.lit('"/><w:id w:val="'), F.col("turn"), F.lit('"/></w:sdtPr><w:sdtContent>'), body, inner, F.lit("</w:sdtContent></w:sdt>"))
     g = v.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(topic)), "").alias("t"), F.array_join(F.sort_array(F.collect_list(sdt)), "").alias("s"))
     xml = F.concat(F.lit(f'<p xmlns:w="{w}" xmlns:er="{er}"><er:toc><er:heading title="ANNEX I"/>'), F.col("t"), F.lit("</er:toc>"), F.col("s"), F.lit("</p>"))
-    rows = landed.package_rows(g.select(F.concat(F.lit("doc"), F.col("conv_id")).alias("path"), F.encode(xml, "UTF-8").alias("content")))
-    return landed.topics_with_text(rows).select("path", "sdt_id", "title", "erules_id", "content_text")
+    return landed.package_rows(g.select(F.concat(F.lit("doc"), F.col("conv_id")).alias("path"), F.encode(xml, "UTF-8").alias("content")))
+
+
+_NORMAL = r"array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), chr(10))"
+
+
+@query(f"""WITH c AS (SELECT *, {_NORMAL} AS body FROM conversations)
+SELECT 'doc' || conv_id AS path, turn::VARCHAR AS sdt_id, 'T ' || turn AS title, 'e' || turn AS erules_id, CASE WHEN turn % 3 = 0 THEN concat_ws(chr(10), NULLIF(body, ''), 'inner') ELSE body END AS content_text FROM c WHERE turn % 3 = 0 OR body <> ''""")
+def xml_topics(spark, sf_dir):
+    """Conversations as flat packages, read back as topics with their text."""
+    return landed.topics_with_text(_packages(spark, sf_dir)).select("path", "sdt_id", "title", "erules_id", "content_text")
+
+
+@query(r"""WITH c AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM conversations)
+SELECT 'doc' || conv_id AS path, turn::VARCHAR AS sdt_id, 0 AS para, body AS text, 'e' || turn AS erules_id FROM c WHERE turn % 2 = 0 AND body <> '' UNION ALL SELECT 'doc' || conv_id, 'in' || turn, 0, 'inner', NULL FROM c WHERE turn % 3 = 0""")
+def pruned_packages(spark, sf_dir):
+    """Paragraphs of the topics' controls alone, with what the contents say of them."""
+    return landed.pruned(_packages(spark, sf_dir)).select("path", "sdt_id", "para", "text", "erules_id")

@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
+from typing import IO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,6 +37,14 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return df.select("path", "length", F.md5("content").alias("content_hash"), sniffed(F.col("content"), F.lit(None).cast("string")).alias("kind"), "content")
 
 
+def _opened(name: str):
+    """A landed file, opened where the task runs, as something that seeks."""
+    from pyarrow import fs
+
+    store, key = fs.FileSystem.from_uri(quote(name if "://" in name else name.replace(":", "://", 1), safe=":/@"))
+    return store.open_input_file(key)
+
+
 def fingerprints(spark: SparkSession, path: str, glob: str = "*", block: int = BLOCK) -> DataFrame:
     """(path, length, content_hash) of landed files, each read in blocks of a mebibyte: no file is
     ever whole in memory. The listing reads no content; executors open the files themselves, so
@@ -43,14 +52,11 @@ def fingerprints(spark: SparkSession, path: str, glob: str = "*", block: int = B
     listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             found = []
             for name in batch.column(0).to_pylist():
-                at, digest = name if "://" in name else name.replace(":", "://", 1), hashlib.md5()
-                store, key = fs.FileSystem.from_uri(quote(at, safe=":/@"))
-                with store.open_input_stream(key, buffer_size=0) as f:
+                digest = hashlib.md5()
+                with _opened(name) as f:
                     while some := f.read(block):
                         digest.update(some)
                 found.append(digest.hexdigest())
@@ -103,44 +109,125 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+_SAID = {"tab": "\t", "br": "\n", "p": "\n", "cr": "\n"}
+
+
+def _events(source: IO[bytes]) -> Iterator[dict]:
+    """Rows of a package, pulled event by event: what is read is dropped as soon as no open content
+    control holds it, so memory is that of one outermost control. A control's text includes that of
+    the controls in it; the words are held once. pos: where the element starts, in document order."""
+    open_elements: list[ET.Element] = []
+    controls: list[tuple[int, int]] = []  # pos, and the words before it
+    said: list[str] = []
+    pos = -1
+    for event, e in ET.iterparse(source, events=("start", "end")):
+        kind = _local(e.tag)
+        if event == "start":
+            pos += 1
+            open_elements.append(e)
+            if kind == "heading" and e.get("title") is not None:
+                yield {"pos": pos, "kind": kind, "title": e.get("title").strip()}
+            elif kind == "topic":
+                yield {"pos": pos, "kind": kind} | {c: e.get(a) for c, a in TOPIC.items()}
+            elif e.tag == f"{_W}sdt":
+                controls.append((pos, len(said)))
+            if controls and kind in _SAID:
+                said.append(_SAID[kind])
+            continue
+        open_elements.pop()
+        if controls and kind == "t":
+            said.append(e.text or "")
+        if e.tag == f"{_W}sdt":
+            at, begin = controls.pop()
+            pr, content = e.find(f"{_W}sdtPr"), e.find(f"{_W}sdtContent")
+            named = lambda c: next((x.get(f"{_W}val") for x in ([] if pr is None else pr) if _local(x.tag) == c), None)  # noqa: E731, B023
+            paras = [" ".join("".join(p.itertext()).split()) for p in ([] if content is None else content.findall(f"{_W}p"))]
+            yield {"pos": at, "kind": "sdt", "sdt_id": named("id"), "alias": named("alias"), "text": "".join(said[begin:]), "paragraphs": [p for p in paras if p], "xml": ET.tostring(e, encoding="unicode")}
+            if not controls:
+                said.clear()
+        if not controls and open_elements:
+            open_elements[-1].remove(e)
+
+
+def _rows_of(path: str, source: IO[bytes]) -> Iterator[pa.RecordBatch]:
+    """A package's rows, some at a time; a broken one has those before the break."""
+    rows: list[dict] = []
+    try:
+        for r in _events(source):
+            rows.append({"path": path} | r)
+            if len(rows) >= _ROWS_A_BATCH:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
+                rows = []
+    except ET.ParseError:
+        pass
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
+
+
 def _package(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows, pos = [], 0
-            try:
-                root = ET.fromstring(content)
-            except ET.ParseError:
-                continue
-            for e in root.iter():
-                kind = _local(e.tag)
-                if kind == "heading" and e.get("title") is not None:
-                    rows.append({"path": path, "pos": pos, "kind": kind, "title": e.get("title").strip()})
-                elif kind == "topic":
-                    rows.append({"path": path, "pos": pos, "kind": kind} | {c: e.get(a) for c, a in TOPIC.items()})
-                elif e.tag == f"{_W}sdt":
-                    tag = e.find(f"{_W}sdtPr/{_W}id")
-                    text = "".join({"t": x.text or "", "tab": "\t", "br": "\n", "p": "\n", "cr": "\n"}.get(_local(x.tag), "") for x in e.iter())
-                    rows.append({"path": path, "pos": pos, "kind": "sdt", "sdt_id": tag.get(f"{_W}val") if tag is not None else None, "text": text, "xml": ET.tostring(e, encoding="unicode")})
-                pos += 1
-            yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
-
-
-_ROWS = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("kind", pa.string()), *[(c, pa.string()) for c in TOPIC], ("text", pa.string()), ("xml", pa.string())])
-_DDL = "path string, pos long, kind string, " + ", ".join(f"{c} string" for c in TOPIC) + ", text string, xml string"
+            yield from _rows_of(path, io.BytesIO(content or b""))
+
+
+_ROWS_A_BATCH = 256
+_ROWS = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("kind", pa.string()), *[(c, pa.string()) for c in TOPIC], ("alias", pa.string()), ("text", pa.string()), ("paragraphs", pa.list_(pa.string())), ("xml", pa.string())])
+_DDL = "path string, pos long, kind string, " + ", ".join(f"{c} string" for c in TOPIC) + ", alias string, text string, paragraphs array<string>, xml string"
 
 
 def package_rows(landed: DataFrame) -> DataFrame:
-    """Headings, topics and content controls of flat packages in document order, one row each."""
+    """Headings, topics and content controls of flat packages, one row each; pos is their place."""
     return landed.select("path", "content").mapInArrow(_package, _DDL)
 
 
+def archive_members(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
+    """S3: (path, member, size) of every archive's members, from the archives' directories alone."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    with _opened(name) as f, zipfile.ZipFile(f) as z:
+                        info = [i for i in z.infolist() if not i.is_dir()]
+                except (zipfile.BadZipFile, pa.ArrowInvalid):
+                    continue  # not an archive, or too short for one
+                yield pa.record_batch([pa.array([name] * len(info), pa.string()), pa.array([i.filename for i in info], pa.string()), pa.array([i.file_size for i in info], pa.int64())], ["path", "member", "size"])
+
+    return listed.mapInArrow(run, "path string, member string, size long")
+
+
+def archive_rows(members: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Package rows of archive members (path, member), whose path becomes archive!member. Members of
+    one archive are dealt to several tasks; each is inflated and parsed as it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with _opened(name) as f, zipfile.ZipFile(f) as z, z.open(member) as part:
+                    yield from _rows_of(f"{name}!{member}", part)
+
+    n = tasks or members.sparkSession.sparkContext.defaultParallelism
+    return members.select("path", "member").repartition(n, "path", "member").mapInArrow(run, _DDL)
+
+
+def pruned(rows: DataFrame, alias: str = "topic") -> DataFrame:
+    """(path, sdt_id, para, text and the topic's attributes): of a package only the paragraphs that
+    stand directly in content controls of that alias, white space made single, joined to what the
+    table of contents says of the control; controls it does not name keep empty attributes."""
+    attributes = [c for c in TOPIC if c != "sdt_id"]
+    told = rows.where("kind = 'topic' AND sdt_id IS NOT NULL").groupBy("path", "sdt_id").agg(F.min_by(F.struct(*attributes), "pos").alias("t"))
+    kept = rows.where((F.col("kind") == "sdt") & (F.col("alias") == alias)).select("path", "sdt_id", "pos", F.posexplode("paragraphs").alias("para", "text"))
+    return kept.join(told, ["path", "sdt_id"], "left").select("path", "sdt_id", "pos", "para", "text", "t.*")
+
+
 def topics_with_text(rows: DataFrame) -> DataFrame:
     """Topics with the text of their content control; of controls with one id the last counts;
     topics without one, or without text, go."""
     from ..functions.text import normalised
 
     sdt = rows.where("kind = 'sdt' AND sdt_id IS NOT NULL").groupBy("path", "sdt_id").agg(F.max_by(F.struct("text", "xml"), "pos").alias("s"))
-    t = rows.where("kind = 'topic' AND title IS NOT NULL AND trim(title) <> ''").drop("text", "xml", "kind")
+    t = rows.where("kind = 'topic' AND title IS NOT NULL AND trim(title) <> ''").drop("text", "xml", "kind", "alias", "paragraphs")
     return t.join(sdt, ["path", "sdt_id"]).select(*t.columns, normalised(F.col("s.text")).alias("content_text"), F.col("s.xml").alias("xml")).where("content_text <> ''")
 
 

@@ -169,6 +169,33 @@ def test_archives_and_packages(spark, tmp_path):
     assert '"21.A.1 X"' in tree_lines(topics.withColumns({"heading": F.lit("h"), "pos": F.lit(0)})).first()["line"]
 
 
+def test_packages_are_pulled(spark, tmp_path):
+    """Nested controls, tables, broken packages; archives by member, in several tasks."""
+    w, er = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://www.easa.europa.eu/erules-export"
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t><w:tab/><w:t>.</w:t></w:r></w:p>"
+    sdt = lambda i, alias, body: f'<w:sdt><w:sdtPr><w:alias w:val="{alias}"/><w:id w:val="{i}"/></w:sdtPr><w:sdtContent>{body}</w:sdtContent></w:sdt>'
+    body = p("front") + sdt(1, "topic", p("a") + sdt(2, "part", p("b")) + "<w:tbl><w:tr><w:tc>" + p("cell") + "</w:tc></w:tr></w:tbl>" + p(" ")) + sdt(3, "topic", "")
+    xml = f'<pkg xmlns:w="{w}" xmlns:er="{er}"><er:heading title=" A "/><er:topic sdt-id="1" source-title="T1" ERulesId="e1"/>{body}</pkg>'
+    df = spark.createDataFrame([("x", bytearray(xml.encode())), ("broken", bytearray(xml.encode()[:-20])), ("none", bytearray(b"")), ("null", None)], "path string, content binary")
+    rows = landed.package_rows(df)
+    said = {(r["path"], r["sdt_id"]): " ".join(r["text"].split()) for r in rows.where("kind = 'sdt'").collect()}
+    assert said == {(d, i): t for d in ("x", "broken") for i, t in (("1", "a . b . cell . ."), ("2", "b ."))} | {("x", "3"): ""}
+    order = [r["kind"] + (r["sdt_id"] or "") for r in rows.where("path = 'x'").orderBy("pos").collect()]
+    assert order == ["heading", "topic1", "sdt1", "sdt2", "sdt3"]
+    got = landed.pruned(rows.where("path = 'x'")).collect()
+    assert [(r["sdt_id"], r["para"], r["text"], r["erules_id"]) for r in got] == [("1", 0, "a.", "e1"), ("1", 1, ".", "e1")]
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(8):
+            z.writestr(f"m{k}.xml", xml.replace("T1", f"T{k}"))
+    (tmp_path / "in" / "bad.zip").write_bytes(b"no archive")
+    members = landed.archive_members(spark, str(tmp_path / "in"))
+    assert {(r["member"], r["size"]) for r in members.collect()} == {(f"m{k}.xml", len(xml)) for k in range(8)}
+    read = landed.archive_rows(members, tasks=4).withColumn("task", F.spark_partition_id())
+    assert {r["title"] for r in read.where("kind = 'topic'").collect()} == {f"T{k}" for k in range(8)}
+    assert read.select("task").distinct().count() > 1
+
+
 def test_trees_are_json(spark, tmp_path):
     """Lines of a document, put together, parse to its topics under their headings."""
     import json
