@@ -31,13 +31,34 @@ class Kind:
     base: bool = True
 
 
+# Characters of an IBAN by country, of those that have one.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
+
+
+def _iban() -> str:
+    """As many characters as the country's IBANs have, in groups of four that one blank may part;
+    a following word is never taken in."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    rest = lambda n: rf"(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    forms = "|".join(rf"(?:{'|'.join(cs)})[0-9]{{2}}{rest(n)}" for n, cs in sorted(by_length.items()))
+    return rf"(?<![A-Za-z0-9])(?:{forms})(?![A-Za-z0-9])"
+
+
 _LOCAL = "A-Za-z0-9._%+-"
 KINDS = [
     Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|kontakt|contact|correo"),
     Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.8, r"\bip\b|host|server|address"),
     Kind("card", r"[0-9]++(?:[\x20-][0-9]++)*+", "", 0.8, "card|visa|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.8, "phone|call|tel|mobile"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+\b", "", 0.6, "iban|account|konto|compte|cuenta", False),
+    Kind("iban", _iban(), "", 0.6, "iban|account|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.35, r"ssn|social security", False),
     Kind("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "A", 0.9, "key|secret|token|aws", False),
 ]

@@ -355,3 +355,14 @@ def test_split_no_further_than_needed(spark):
     for code in leaves:  # siblings together are above the limit, else they had not been split
         family = sum(b for c, b in leaves.items() if c.startswith(code[:-1]))
         assert family > 2000
+
+
+def test_ibans_beside_other_words(spark):
+    """A country's length ends the span, whatever capital word follows."""
+    texts = {
+        "ES91 2100 0418 4502 0005 1332 BIC X": [(0, 29)], "ES9121000418450200051332 BIC CAIXESBB": [(0, 24)], "BE68 5390 0754 7034 IBAN": [(0, 19)], "AT61 1904 3002 3457 3201 BIC B": [(0, 24)],
+        "to NO93 8601 1117 947 AND MT84MALT011000012345MTLCAST001S": [(3, 21), (26, 57)], "DE89370400440532013000X": [], "xDE89 3704 0044 0532 0130 00": [], "DE89 3704 0044 0532 0130 00 11": [(0, 27)], "ZZ89 3704 0044 0532 0130 00": [], "BE69 5390 0754 7034": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["text"]: [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find(rows).collect()}
+    assert got == texts
