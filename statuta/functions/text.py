@@ -53,6 +53,25 @@ def latest_date(dates: Column) -> Column:
     return F.array_max(F.transform(F.split(dates, ";"), lambda t: F.to_date(F.try_to_timestamp(F.trim(t), F.lit("d MMMM, yyyy")))))
 
 
+# Short names of months in British English and French.
+MONTHS_EN = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec")
+MONTHS_FR = ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")
+
+
+def _month(date: Column, names: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(m) for m in names]), F.month(date))
+
+
+def shown_day(date: Column) -> Column:
+    """``5 Sept 2024``; nothing for no date."""
+    return F.when(date.isNull(), "").otherwise(F.concat_ws(" ", F.dayofmonth(date).cast("string"), _month(date, MONTHS_EN), F.year(date).cast("string")))
+
+
+def shown_month(date: Column) -> Column:
+    """the French ``sept. 2024``; a dash for no date."""
+    return F.when(date.isNull(), "—").otherwise(F.concat_ws(" ", _month(date, MONTHS_FR), F.year(date).cast("string")))
+
+
 def breadcrumb(root: Column, path: Column, ref: Column, title: Column) -> Column:
     """``root > path > ref — title``, empty parts left out."""
     some = lambda c: F.nullif(c, F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import headings as h
@@ -25,6 +25,24 @@ NOTE_START = r"^Note\b"
 SECTION_LINE = r"^\d+\s+[A-Z][^.]{2,60}$"
 
 
+# How far a paragraph is set in, by how it begins; bracketed letters that are Roman numbers.
+LETTERED = (r"^[a-z]\.\s", r"^[a-z]\)", r"^\([a-z]{1,3}\)\s")
+ROMAN = r"(?i)^\((i{1,4}|iv|vi{0,3}|ix|x{1,3})\)\s"
+BRACKETED_NUMBER = r"^\(\d+\)\s"
+
+
+def shown_as(kind: Column, body: Column) -> Column:
+    """How an element is shown: heading, table, note, or a paragraph set in by 0 to 3 steps: letters by
+    one, bracketed numbers by two, bracketed Roman numbers by three."""
+    steps = F.when(body.rlike(r"^\([a-z]{1,3}\)\s") & body.rlike(ROMAN), "indent-3").when(h.like_any(body, LETTERED), "indent-1").when(body.rlike(BRACKETED_NUMBER), "indent-2").when(body.rlike("(?i)" + NOTE_START), "note").otherwise("plain")
+    return F.when(kind == "text", steps).otherwise(kind)
+
+
+def table_cells(kind: Column, body: Column) -> Column:
+    """The rows of a table as arrays of cells; null for other elements."""
+    return F.when(kind == "table", F.transform(F.split(body, "\n"), lambda line: F.split(line, "\t")))
+
+
 def structured(blocks: DataFrame, doc: str, pos: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Blocks (doc, pos, text, size, bold) without page noise, each with its role (structure,
     article, body or null) and with what is in force there: subpart, section, in_toc and article,
@@ -76,7 +94,7 @@ def articles(blocks: DataFrame, doc: str, pos: str, title: str, rows: int = RANG
 
 
 def paragraphs(lines: DataFrame, doc: str, pos: str, text: str, rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc, element, kind, body) of plain lines: wrapped lines joined with blanks, neighbouring
+    """(doc, element, kind, body, shown, cells) of plain lines: wrapped lines joined with blanks, neighbouring
     lines with tabs as one table (rows stay lines), short numbered lines as headings. Blank lines
     and starts of paragraphs part elements; footers of the publisher go."""
     line = lines.select(doc, pos, F.trim(text).alias("line")).where(~F.col("line").rlike(r"(?i)^Powered by EASA\b"))
@@ -87,4 +105,5 @@ def paragraphs(lines: DataFrame, doc: str, pos: str, text: str, rows: int = RANG
     g = numbered.groupBy(doc, "element", "kind").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("line").alias("t")))).alias("_l"))
     body = F.when(F.col("kind") == "table", F.array_join("_l.t", "\n")).otherwise(F.array_join("_l.t", " "))
     shown = F.when((F.col("kind") == "text") & body.rlike(SECTION_LINE), "heading").otherwise(F.col("kind"))
-    return g.select(doc, "element", shown.alias("kind"), body.alias("body"))
+    g = g.select(doc, "element", shown.alias("kind"), body.alias("body"))
+    return g.withColumns({"shown": shown_as(F.col("kind"), F.col("body")), "cells": table_cells(F.col("kind"), F.col("body"))})

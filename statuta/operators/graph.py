@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.references import bare_code, base_bare
@@ -106,6 +106,30 @@ def confident(relations: DataFrame, least: float = 0.7) -> DataFrame:
     return relations.where(F.col("confidence").isNull() | (F.col("confidence") >= least))
 
 
+def memberships(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node_id, reference_code, place, members): every node with its place in its group,
+    in display order, and the group's size. As many rows as nodes: the siblings of one node are the
+    other rows of its group (siblings_of)."""
+    g = Window.partitionBy(*group)
+    place = F.row_number().over(g.orderBy(type_rank(F.col("node_type")), "reference_code", "node_id"))
+    return nodes.select(*group, "node_id", "reference_code", place.alias("place"), F.count("*").over(g).alias("members"))
+
+
+def siblings_of(members: DataFrame, group: list[str], wanted: list[str]) -> DataFrame:
+    """(node_id, sibling_id, sibling_ref, place) for some nodes that were asked for."""
+    some = members.where(F.col("node_id").isin(wanted)).select(*group, F.col("node_id").alias("_of"))
+    return members.join(F.broadcast(some), group).where("node_id <> _of").select(F.col("_of").alias("node_id"), F.col("node_id").alias("sibling_id"), F.col("reference_code").alias("sibling_ref"), "place")
+
+
+def ranked_neighbours(hits: DataFrame) -> DataFrame:
+    """neighbours() of nodes as rows in the order in which they are shown: relations in the fixed
+    order, in each the neighbours by type and reference, with their number. A hub's neighbours
+    stay rows."""
+    one = Window.partitionBy("node_id", "relation")
+    place = F.row_number().over(one.orderBy(type_rank(F.col("neighbour_type")), "neighbour_ref", "neighbour_id"))
+    return hits.select("node_id", "relation", relation_rank(F.col("relation")).alias("relation_rank"), F.count("*").over(one).alias("neighbours"), place.alias("place"), "neighbour_ref", "neighbour_id")
+
+
 def linked(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between all nodes of two references: (source_ref, target_ref, relation) asked for, by
     two equi-joins instead of a product with a filter."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..functions.references import article_code
 from ..operators import admin as a
 from ..operators import sequences
-from ..operators.graph import type_rank
+from ..operators.graph import memberships
 from ..schemas import NODE_TYPES
 from ..sinks import tree_lines
 from ..sources import views as v
@@ -119,10 +120,12 @@ def short_labels(spark, sf_dir):
     return v.read(spark, sf_dir, "part").select("p_partkey", a.short_label(ref).alias("label"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS shown, strftime(o_orderdate, '%d/%m/%Y') AS short FROM orders")
+@query(f"""WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate::DATE END AS d FROM orders)
+SELECT o_orderkey, CASE WHEN d IS NULL THEN '' ELSE day(d) || ' ' || ({list(t.MONTHS_EN)})[month(d)] || ' ' || year(d) END AS shown, CASE WHEN d IS NULL THEN '—' ELSE ({list(t.MONTHS_FR)})[month(d)] || ' ' || year(d) END AS shown_fr FROM d""")
 def display_dates(spark, sf_dir):
-    """dates as they are shown."""
-    return v.read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "d MMMM yyyy").alias("shown"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("short"))
+    """dates as they are shown, in English and in French."""
+    d = F.when(F.col("o_orderkey") % 9 != 0, F.to_date("o_orderdate"))
+    return v.read(spark, sf_dir, "orders").select("o_orderkey", t.shown_day(d).alias("shown"), t.shown_month(d).alias("shown_fr"))
 
 
 @query("""SELECT o_orderkey, COALESCE(MAP {'1-URGENT': 'cs25', '2-HIGH': 'part21'}[o_orderpriority], o_orderpriority) AS harvest_key FROM orders""")
@@ -138,11 +141,12 @@ def type_counts(spark, sf_dir):
     return a.allowed(v.nodes(spark, sf_dir, text=False), "node_type", NODE_TYPES).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {v.NODES} SELECT source_doc_id, bare_code AS article, string_agg(reference_code, ',' ORDER BY CASE node_type WHEN 'IR' THEN 0 WHEN 'CS' THEN 0 WHEN 'AMC' THEN 1 ELSE 2 END, reference_code, node_id) AS refs FROM nodes GROUP BY 1, 2""")
+@query(f"""WITH {v.NODES} SELECT source_doc_id, bare_code AS article, node_id, reference_code, (ROW_NUMBER() OVER (PARTITION BY source_doc_id, bare_code ORDER BY CASE node_type WHEN 'IR' THEN 0 WHEN 'CS' THEN 0 WHEN 'AMC' THEN 1 ELSE 2 END, reference_code, node_id))::INTEGER AS place,
+COUNT(*) OVER (PARTITION BY source_doc_id, bare_code) AS members FROM nodes""")
 def article_groups(spark, sf_dir):
     """An article's nodes in display order."""
-    n = v.nodes(spark, sf_dir, text=False).select("source_doc_id", article_code(F.col("reference_code")).alias("article"), F.struct(type_rank(F.col("node_type")).alias("r"), "reference_code", "node_id").alias("x"))
-    return n.groupBy("source_doc_id", "article").agg(F.array_join(F.sort_array(F.collect_list("x"))["reference_code"], ",").alias("refs"))
+    n = v.nodes(spark, sf_dir, text=False).select("source_doc_id", article_code(F.col("reference_code")).alias("article"), "node_type", "reference_code", "node_id")
+    return memberships(n, ["source_doc_id", "article"])
 
 
 @query("""WITH m AS (SELECT doc_id, UNNEST(range(0, len(string_split(text, chr(10)))))::INTEGER AS pos FROM documents)

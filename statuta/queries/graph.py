@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.references import article_code
+from ..functions.references import CODE, article_code
 from ..operators import graph as g
 from ..operators.dedup import first_wins, last_wins, numbered
 from ..sources import views as v
@@ -44,16 +44,13 @@ def neighbors_in(spark, sf_dir):
     return g.neighbours(v.edges(spark, sf_dir).where("relation <> 'REFERENCES'"), n, n.where("node_type IN ('IR', 'CS')"), "in")
 
 
-@query(f"""WITH {v.EDGES} SELECT e.target_node_id AS node_id, e.relation,
-  CASE e.relation WHEN 'ACCEPTABLE_MEANS' THEN 2 WHEN 'GUIDANCE_FOR' THEN 3 WHEN 'REFERENCES' THEN 4 ELSE 9 END AS relation_rank, COUNT(*) AS neighbours,
-  string_agg(m.reference_code, ',' ORDER BY CASE m.node_type WHEN 'IR' THEN 0 WHEN 'CS' THEN 0 WHEN 'AMC' THEN 1 WHEN 'GM' THEN 2 ELSE 9 END, m.reference_code) AS refs
-FROM edges e JOIN nodes m ON m.node_id = e.source_node_id GROUP BY 1, 2, 3""")
+@query(f"""WITH {v.EDGES} SELECT e.target_node_id AS node_id, e.relation, CASE e.relation WHEN 'ACCEPTABLE_MEANS' THEN 2 WHEN 'GUIDANCE_FOR' THEN 3 WHEN 'REFERENCES' THEN 4 ELSE 9 END AS relation_rank, COUNT(*) OVER (PARTITION BY e.target_node_id, e.relation) AS neighbours,
+  (ROW_NUMBER() OVER (PARTITION BY e.target_node_id, e.relation ORDER BY CASE m.node_type WHEN 'IR' THEN 0 WHEN 'CS' THEN 0 WHEN 'AMC' THEN 1 WHEN 'GM' THEN 2 ELSE 9 END, m.reference_code, m.node_id))::INTEGER AS place, m.reference_code AS neighbour_ref, m.node_id AS neighbour_id
+FROM edges e JOIN nodes m ON m.node_id = e.source_node_id""")
 def neighbors_by_relation(spark, sf_dir):
     """Incoming neighbours by relation in the fixed order, items by type."""
     n = v.nodes(spark, sf_dir, text=False)
-    hit = g.neighbours(v.edges(spark, sf_dir), n, F.lit(True), "in")
-    item = F.struct(g.type_rank(F.col("neighbour_type")).alias("r"), F.col("neighbour_ref").alias("ref"))
-    return hit.groupBy("node_id", "relation").agg(F.count("*").alias("neighbours"), F.sort_array(F.collect_list(item)).alias("i")).select("node_id", "relation", g.relation_rank(F.col("relation")).alias("relation_rank"), "neighbours", F.array_join("i.ref", ",").alias("refs"))
+    return g.ranked_neighbours(g.neighbours(v.edges(spark, sf_dir), n, F.lit(True), "in"))
 
 
 @query(f"WITH {v.EDGES} SELECT source_node_id, source_ref, target_node_id, target_ref, relation FROM typed")
@@ -74,16 +71,17 @@ def edge_resolve(spark, sf_dir):
     return g.resolve(a.unionByName(b).distinct(), v.nodes(spark, sf_dir, text=False)).distinct()
 
 
-@query("""WITH t AS (SELECT 'n' || doc_id AS source_ref, text AS content_text FROM documents),
-f AS (SELECT source_ref, code, COUNT(*) AS n FROM (SELECT source_ref, UNNEST(regexp_extract_all(content_text, '[A-Z][a-z]+ [a-z]+')) AS code FROM t) GROUP BY ALL),
-refs AS (SELECT DISTINCT regexp_extract(text, '[A-Z][a-z]+ [a-z]+') AS ref FROM benchmark)
-SELECT source_ref, code AS target_ref, n AS mentions FROM f JOIN refs ON ref = code WHERE code <> source_ref""")
+@query(f"""WITH {v.NODES}, t AS (SELECT reference_code AS source_ref, content_text || ' See CS ' || (20 + pos * 7 % 20) || '.' || (100 + pos % 13) || ' and ' || (20 + pos % 20) || '.' || (100 + pos % 7) || '(a).' AS x FROM nodes),
+f AS (SELECT source_ref, code, COUNT(*) AS n FROM (SELECT source_ref, UNNEST(regexp_extract_all(x, '{CODE}')) AS code FROM t) GROUP BY ALL),
+refs AS (SELECT DISTINCT reference_code AS ref FROM nodes WHERE node_type IN ('IR', 'CS')),
+hit AS (SELECT f.source_ref, f.code, f.n, ARG_MIN(ref, rank) AS target_ref FROM f, (VALUES (0, ''), (1, 'CS ')) p(rank, prefix), refs WHERE refs.ref = p.prefix || f.code AND refs.ref <> f.source_ref GROUP BY ALL)
+SELECT source_ref, target_ref, SUM(n)::BIGINT AS mentions FROM hit GROUP BY ALL""")
 def crossref_edges(spark, sf_dir):
-    """The opening words of benchmark items, looked for in all texts as references are."""
-    pattern = "[A-Z][a-z]+ [a-z]+"
-    texts = v.read(spark, sf_dir, "documents").select(F.concat(F.lit("n"), F.col("doc_id")).alias("source_ref"), F.col("text").alias("content_text"))
-    refs = v.read(spark, sf_dir, "benchmark").select(F.regexp_extract("text", pattern, 0).alias("ref"))
-    return g.cross_references(texts, refs, pattern)
+    """The article codes in every node's text that name a base article."""
+    n = v.nodes(spark, sf_dir)
+    code = lambda a, b: F.concat((20 + a % 20).cast("string"), F.lit("."), (100 + b).cast("string"))
+    x = F.concat("content_text", F.lit(" See CS "), code(F.col("pos") * 7, F.col("pos") % 13), F.lit(" and "), code(F.col("pos"), F.col("pos") % 7), F.lit("(a)."))
+    return g.cross_references(n.select(F.col("reference_code").alias("source_ref"), x.alias("content_text")), n.where("node_type IN ('IR', 'CS')").select(F.col("reference_code").alias("ref")), CODE)
 
 
 @query(f"WITH {v.EDGES} SELECT source_node_id, target_node_id, COUNT(*) AS relations, MIN(relation) AS relation FROM edges GROUP BY ALL")
@@ -93,12 +91,11 @@ def edges_dedup(spark, sf_dir):
 
 
 @query(f"""WITH {v.NODES}, k AS (SELECT *, split_part(hierarchy_path, ' / ', 1) AS root FROM nodes)
-SELECT a.node_id, b.node_id AS sibling_id, b.reference_code AS sibling_ref FROM k a JOIN k b ON a.bare_code = b.bare_code AND a.root = b.root AND a.node_id <> b.node_id""")
+SELECT root, bare_code AS article, node_id, reference_code, (ROW_NUMBER() OVER (PARTITION BY root, bare_code ORDER BY CASE node_type WHEN 'IR' THEN 0 WHEN 'CS' THEN 0 WHEN 'AMC' THEN 1 ELSE 2 END, reference_code, node_id))::INTEGER AS place, COUNT(*) OVER (PARTITION BY root, bare_code) AS members FROM k""")
 def siblings(spark, sf_dir):
-    """Other nodes of the same article and root; an article has a few nodes."""
-    n = v.nodes(spark, sf_dir, text=False).select("node_id", "reference_code", article_code(F.col("reference_code")).alias("article"), F.split_part("hierarchy_path", F.lit(" / "), F.lit(1)).alias("root"))
-    b = n.select(F.col("node_id").alias("sibling_id"), F.col("reference_code").alias("sibling_ref"), "article", "root")
-    return n.join(b, ["article", "root"]).where("node_id <> sibling_id").select("node_id", "sibling_id", "sibling_ref")
+    """Every node's place among the nodes of its article and root."""
+    n = v.nodes(spark, sf_dir, text=False).select("node_id", "node_type", "reference_code", article_code(F.col("reference_code")).alias("article"), F.split_part("hierarchy_path", F.lit(" / "), F.lit(1)).alias("root"))
+    return g.memberships(n, ["root", "article"])
 
 
 @query(f"""WITH {v.EDGES}, seen AS (SELECT node_id FROM nodes WHERE node_type NOT IN ('GM') AND source_doc_id <> 'src3')

@@ -76,17 +76,20 @@ def numbered_headings(spark, sf_dir):
 
 
 @query(rf"""WITH l AS (SELECT doc_id, i - 1 AS i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, UNNEST(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-t AS (SELECT doc_id, i, trim(CASE WHEN i % 7 = 6 THEN '' WHEN i % 5 IN (2, 3) THEN replace(line, ' ', chr(9)) WHEN i % 4 = 1 THEN '(a) ' || line WHEN i % 11 = 8 THEN (i % 3) || ' General aims' ELSE line END) AS line FROM l),
+t AS (SELECT doc_id, i, trim(CASE WHEN i % 7 = 6 THEN '' WHEN i % 5 IN (2, 3) THEN replace(line, ' ', chr(9)) WHEN i % 4 = 1 THEN (['(a) ', '(iv) ', '(2) ', 'b. ', 'Note: ', '(xyz) '])[(i // 4 % 6 + 1)::INTEGER] || line WHEN i % 11 = 8 THEN (i % 3) || ' General aims' ELSE line END) AS line FROM l),
 k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN contains(line, chr(9)) THEN 'table' ELSE 'text' END AS kind FROM t),
 e AS (SELECT *, SUM((was IS DISTINCT FROM kind OR (kind = 'text' AND (regexp_matches(line, '{'|'.join(b.PARAGRAPH_START)}') OR regexp_matches(line, '{b.NOTE_START}', 'i'))))::BIGINT) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS element FROM (SELECT *, LAG(kind) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM k)),
-p AS (SELECT doc_id, element, kind, CASE kind WHEN 'table' THEN string_agg(line, chr(10) ORDER BY i) ELSE string_agg(line, ' ' ORDER BY i) END AS body FROM e WHERE kind <> 'blank' GROUP BY 1, 2, 3)
-SELECT doc_id, element, CASE WHEN kind = 'text' AND regexp_matches(body, '{b.SECTION_LINE}') THEN 'heading' ELSE kind END AS kind, md5(body) AS body_md5 FROM p""")
+p AS (SELECT doc_id, element, kind, CASE kind WHEN 'table' THEN string_agg(line, chr(10) ORDER BY i) ELSE string_agg(line, ' ' ORDER BY i) END AS body FROM e WHERE kind <> 'blank' GROUP BY 1, 2, 3),
+e2 AS (SELECT doc_id, element, CASE WHEN kind = 'text' AND regexp_matches(body, '{b.SECTION_LINE}') THEN 'heading' ELSE kind END AS kind, body FROM p)
+SELECT doc_id, element, kind, md5(body) AS body_md5, CASE WHEN kind <> 'text' THEN kind WHEN regexp_matches(body, '^\([a-z]{{1,3}}\)\s') AND regexp_matches(body, '^\((i|ii|iii|iiii|iv|v|vi|vii|viii|ix|x|xx|xxx)\)\s') THEN 'indent-3'
+  WHEN regexp_matches(body, '^([a-z]\.\s|[a-z]\)|\([a-z]{{1,3}}\)\s)') THEN 'indent-1' WHEN regexp_matches(body, '^\([0-9]+\)\s') THEN 'indent-2' WHEN regexp_matches(body, '^note\b', 'i') THEN 'note' ELSE 'plain' END AS shown,
+  CASE WHEN kind = 'table' THEN list_sum(list_transform(string_split(body, chr(10)), lambda x: len(string_split(x, chr(9)))))::BIGINT END AS n_cells FROM e2""")
 def plain_paragraphs(spark, sf_dir):
     """Paragraphs, tables and headings of plain lines."""
     i = F.col("i")
-    line = F.when(i % 7 == 6, "").when((i % 5).isin(2, 3), F.translate("line", " ", "\t")).when(i % 4 == 1, F.concat(F.lit("(a) "), "line")).when(i % 11 == 8, F.concat(i % 3, F.lit(" General aims"))).otherwise(F.col("line"))
+    line = F.when(i % 7 == 6, "").when((i % 5).isin(2, 3), F.translate("line", " ", "\t")).when(i % 4 == 1, F.concat(F.element_at(F.array(*[F.lit(x) for x in ("(a) ", "(iv) ", "(2) ", "b. ", "Note: ", "(xyz) ")]), F.expr("cast(i div 4 % 6 + 1 as int)")), "line")).when(i % 11 == 8, F.concat(i % 3, F.lit(" General aims"))).otherwise(F.col("line"))
     d = v.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "i", line.alias("line"))
-    return b.paragraphs(d, "doc_id", "i", "line").select("doc_id", "element", "kind", F.md5("body").alias("body_md5"))
+    return b.paragraphs(d, "doc_id", "i", "line").select("doc_id", "element", "kind", F.md5("body").alias("body_md5"), "shown", F.when(F.col("kind") == "table", F.aggregate("cells", F.lit(0).cast("long"), lambda n, r: n + F.size(r))).alias("n_cells"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, (['cs', 'Draft AMC1', 'gm note', 'CS-25', 'rule', 'IR'])[(o_custkey % 6 + 1)::INTEGER] AS kind FROM orders)
