@@ -150,7 +150,8 @@ def search(rows: DataFrame, question: str) -> DataFrame:
         part = covers(found, at[True], at[False])
         parts = part if parts is None else parts.unionByName(part)
     fields = parts.groupBy("node_id", "field").agg(F.sum(F.lit(WEIGHT) / (1 + F.col("noise"))).alias("rank"))
-    return fields.groupBy("node_id").agg(F.max("rank").alias("rank"))
+    # rounded, so that equal ranks stay equal in whatever order they were summed
+    return fields.groupBy("node_id").agg(F.round(F.max("rank"), 9).alias("rank"))
 
 
 __all__ = ["FIELDS", "TOKEN", "asked_terms", "covers", "parsed", "postings", "read_postings", "search", "write_postings"]

@@ -75,7 +75,7 @@ g{g}c AS (SELECT node_id, field, {least} AS p, MIN(e) AS q, ARG_MIN(filled - {be
     union = " UNION ALL ".join(f"SELECT node_id, field, p, q, inside FROM g{g}c" for g in range(len(groups)))
     return f"""
 occ AS (SELECT node_id, field, k, s, s + wide - 1 AS e FROM ({occ}) GROUP BY node_id, field, k, s, wide, parts HAVING COUNT(DISTINCT term) = parts),{','.join(parts)},
-ranked AS (SELECT node_id, MAX(rank) AS rank FROM (SELECT node_id, field, SUM(0.1::DOUBLE / (1 + GREATEST(0, q - p + 1 - inside))) AS rank FROM ({union}) GROUP BY node_id, field) GROUP BY node_id)"""
+ranked AS (SELECT node_id, ROUND(MAX(rank), 9) AS rank FROM (SELECT node_id, field, SUM(0.1::DOUBLE / (1 + GREATEST(0, q - p + 1 - inside))) AS rank FROM ({union}) GROUP BY node_id, field) GROUP BY node_id)"""
 
 
 @query(rf"""WITH vocabulary AS (SELECT DISTINCT w FROM (SELECT UNNEST(regexp_extract_all(lower(text), '{en.TOKEN}')) AS w FROM documents) WHERE w NOT IN {en.STOP_WORDS}),{STEMS} SELECT w AS word, stem FROM stems""")

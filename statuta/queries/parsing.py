@@ -93,16 +93,22 @@ def outdated(spark, sf_dir):
     return v.read(spark, sf_dir, "events").select("event_id", t.outdated(F.col("event_type"), remote).alias("outdated"))
 
 
-@query()
+@query(rf"""WITH d AS (SELECT doc_id, doc_id % 8 AS k, doc_id::VARCHAR AS n, replace(substring(text, 1, 30), chr(10), ' ') AS w FROM documents),
+f AS (SELECT *, regexp_extract(w, '^\s*({r.CODE})(?:\s|$)', 1) AS own FROM d),
+t AS (SELECT *, CASE k WHEN 0 THEN '21.A.' || n || ' ' || w WHEN 1 THEN 'AMC 1 ACNS.C.' || n || ' ' || w WHEN 2 THEN 'GM No 1 to 21.A.' || n || '(g)' WHEN 3 THEN 'Appendix A to GM 21.A.' || n || ' ' || w WHEN 4 THEN 'CS 25J' || n || ' ' || w WHEN 5 THEN 'AMC2 25.' || n || ' x'
+  WHEN 6 THEN 'Appendix 1 – ' || w ELSE w END AS title FROM f)
+SELECT doc_id, title, CASE k WHEN 0 THEN 'IR' WHEN 1 THEN 'AMC' WHEN 2 THEN 'GM' WHEN 3 THEN 'GM' WHEN 4 THEN 'CS' WHEN 5 THEN 'AMC' WHEN 6 THEN 'AMC' ELSE CASE WHEN own <> '' THEN 'IR' END END AS node_type,
+CASE k WHEN 0 THEN '21.A.' || n WHEN 1 THEN 'ACNS.C.' || n WHEN 2 THEN '21.A.' || n || '(g)' WHEN 3 THEN 'Appendix A to GM 21.A.' || n WHEN 4 THEN '25J' || n WHEN 5 THEN '25.' || n WHEN 6 THEN trim(title) ELSE NULLIF(own, '') END AS code,
+CASE k WHEN 0 THEN '21.A.' || n WHEN 1 THEN 'AMC1 ACNS.C.' || n WHEN 2 THEN 'GM1 21.A.' || n || '(g)' WHEN 3 THEN 'Appendix A to GM 21.A.' || n WHEN 4 THEN 'CS 25J' || n WHEN 5 THEN 'AMC2 25.' || n WHEN 6 THEN trim(title) ELSE NULLIF(own, '') END AS reference_code FROM t""")
 def classify_titles(spark, sf_dir):
-    """titles made from documents; tests hold the worked outcomes."""
+    """type, code and reference of titles made from documents; tests hold the worked outcomes."""
     d = v.read(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 8)
     n = F.col("doc_id").cast("string")
     c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     w = F.translate(F.substring("text", 1, 30), "\n", " ")
     title = F.when(F.col("k") == 0, c("21.A.", n, " ", w)).when(F.col("k") == 1, c("AMC 1 ACNS.C.", n, " ", w)).when(F.col("k") == 2, c("GM No 1 to 21.A.", n, "(g)")).when(F.col("k") == 3, c("Appendix A to GM 21.A.", n, " ", w)).when(F.col("k") == 4, c("CS 25J", n, " ", w)).when(F.col("k") == 5, c("AMC2 25.", n, " x")).when(F.col("k") == 6, c("Appendix 1 – ", w)).otherwise(w)
     d = d.select("doc_id", title.alias("title")).withColumn("c", r.classified(F.col("title")))
-    return d.select("doc_id", "title", F.col("c.node_type").alias("node_type"), F.col("c.code").alias("code"), r.reference_code(F.col("c.node_type"), F.col("c.code"), F.col("title")).alias("reference_code"), F.col("c.title").alias("clean_title"))
+    return d.select("doc_id", "title", F.col("c.node_type").alias("node_type"), F.col("c.code").alias("code"), r.reference_code(F.col("c.node_type"), F.col("c.code"), F.col("title")).alias("reference_code"))
 
 
 @query("""WITH t AS (SELECT source AS doc, doc_id AS pos, upper(lang) AS stack, doc_id % 6 AS k, doc_id % 11 <> 0 AS has_text, (doc_id // 6) % 3 AS said, '25.' || doc_id AS code FROM documents),

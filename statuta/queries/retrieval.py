@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from ..operators import fulltext as ft
 from ..operators import retrieval as r
 from ..operators.dedup import keep_unseen
 from ..plans import ask as plan
@@ -102,13 +103,17 @@ def citations(spark, sf_dir):
     return r.cited(a, h)
 
 
-@query(f"""WITH {v.NODES}, pool AS (SELECT node_id, content_text, pos FROM nodes ORDER BY pos LIMIT 12),
-s AS (SELECT node_id, pos, FLOOR(((contains(lower(content_text), 'the')::INTEGER) + (contains(lower(content_text), 'and')::INTEGER) + (contains(lower(content_text), 'ing')::INTEGER)) * 10 / 3.0)::INTEGER AS score FROM pool),
-k AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, pos) AS place FROM s) SELECT node_id, score, place::INTEGER AS place FROM k WHERE place = 1 OR (score >= 6 AND place <= 4)""")
+@query(f"""WITH {v.NODES},{POSTINGS.replace("@nodes", "nodes")},{ranks([([[("ther", 0)], [("erth", 0)]], [])])},
+pool AS (SELECT r.node_id, n.content_text, ROW_NUMBER() OVER (ORDER BY rank DESC, r.node_id) AS nth FROM ranked r JOIN nodes n ON n.node_id = r.node_id QUALIFY nth <= 12),
+s AS (SELECT node_id, nth, FLOOR(((contains(lower(content_text), 'ther')::INTEGER) + (contains(lower(content_text), 'erth')::INTEGER) + (contains(lower(content_text), 'inging')::INTEGER)) * 10 / 3.0)::INTEGER AS score FROM pool),
+k AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, nth) AS place FROM s) SELECT node_id, score, place::INTEGER AS place FROM k WHERE place = 1 OR (score >= 6 AND place <= 4)""")
 def rerank_topk(spark, sf_dir):
-    """A bounded pool reranked by the lexical stand-in."""
-    pool = v.nodes(spark, sf_dir).select("node_id", "content_text", "pos").orderBy("pos").limit(12)
-    return r.rerank(pool, r.lexical_score(F.col("content_text"), ["the", "and", "ing"])).select("node_id", "score", "place")
+    """The twelve best full-text hits, reranked by the lexical stand-in."""
+    nodes, question = v.nodes(spark, sf_dir), "the thers of erthing"
+    hits = ft.search(ft.postings(nodes, only=ft.asked_terms(question)), question).orderBy(F.col("rank").desc(), "node_id").limit(12)
+    pool = hits.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("rank").desc(), "node_id")))
+    pool = nodes.select("node_id", "content_text").join(F.broadcast(pool), "node_id").select("node_id", "content_text", "pos")
+    return r.rerank(pool, r.lexical_score(F.col("content_text"), ["ther", "erth", "inging"])).select("node_id", "score", "place")
 
 
 @query("""SELECT a.vec_id, b.vec_id AS other_id, ROUND(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10""")
