@@ -10,56 +10,69 @@ from .shared import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and posterior verdict of every text; null texts have no words and fail, repeated rows are judged each."""
     return quality_rules.judged(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row; a null text has size 0, a null source is one of its own."""
     df = mixing.plan(table(spark, sf_dir, "documents"))
     return df.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts, null and empty ones included, learned from the rows that are not held out."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every text, null as empty; base kinds as the contract has them, added kinds above the score."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licence of every row, null and empty texts with none of their own."""
     files = licenses.corpus_files(table(spark, sf_dir, "documents"))
     return licenses.scan(spark, files).select("doc_id", "path", "own_licence", "similarity", "licence", "inherited_from")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every text; a null or empty one is the end token alone."""
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every row; null texts weigh nothing, a text above the limit is a shard of its own."""
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "shard", "shard_depth", "shard_bytes", "doc_bytes")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked passages of the benchmark in all texts; null and empty ones have none."""
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every text, null as empty."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document id; texts without words are linked with nothing."""
     return ngram_join.classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, parts and digests of every row; null and empty texts stay plain."""
     return fill_middle.report(table(spark, sf_dir, "documents"))
 
 
 def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, size and checksum of every document, read back from the shards it was written to."""
     return token_ids.encode(table(spark, sf_dir, "documents"))
 
 
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of a language and their leading terms; null text, lang and source are ''."""
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
