@@ -13,22 +13,27 @@ from statuta.llm.shared import staged, table
 
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; texts that are null or without words are rejected, repeated rows are judged each."""
     return quality_rules.keep_good(docs)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, of rows with one id one row; texts without words are linked with nothing and stay."""
     return ngram_join.one_of_each(docs)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go; null and empty texts stay."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate says, null sources as one source; equal ids draw alike."""
     return mixing.mix(docs)
 
 
 def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard; null texts weigh nothing, texts above the limit are shards of their own."""
     return sharding.shard(docs)
 
 
@@ -39,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and reread."""
+    """All stages over documents; each but the last is written to the shared folder and reread. An empty
+    table gives no rows; extra columns pass through. shared.sweep(spark) removes what was written
+    once the result is stored."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -43,6 +43,22 @@ def test_base_article_order(spark):
     assert got == {("3", "CS 25.101", "ACCEPTABLE_MEANS"), ("4", "CS 25.102", "GUIDANCE_FOR")}
 
 
+def test_members_and_siblings(spark):
+    rows = [("1", "GM", "GM1 25.1", "a"), ("2", "CS", "CS 25.1", "a"), ("3", "AMC", "AMC 25.1", "a"), ("4", "CS", "CS 25.2", "b"), ("5", "CS", "CS 25.3", None), ("6", "CS", "CS 25.1", "a")]
+    m = graph.memberships(spark.createDataFrame(rows, "node_id string, node_type string, reference_code string, article string"), ["article"])
+    assert {(r["node_id"], r["place"], r["members"]) for r in m.collect()} == {("2", 1, 4), ("6", 2, 4), ("3", 3, 4), ("1", 4, 4), ("4", 1, 1), ("5", 1, 1)}
+    assert {(r["node_id"], r["sibling_id"], r["place"]) for r in graph.siblings_of(m, ["article"], ["3", "4", "none"]).collect()} == {("3", "2", 1), ("3", "6", 2), ("3", "1", 4)}
+
+
+def test_shown_paragraphs(spark):
+    from statuta.operators import blocks
+
+    lines = [("(a) one", "indent-1"), ("(iv) two", "indent-3"), ("(2) three", "indent-2"), ("b. four", "indent-1"), ("c) five", "indent-1"), ("NOTE: six", "note"), ("1.1 seven", "plain"), ("3 General aims", "heading"), ("a\tb", "table")]
+    df = spark.createDataFrame([("d", k, t) for k, (t, _) in enumerate(lines)] + [("d", 99, None)], "doc string, pos int, text string")
+    got = blocks.paragraphs(df, "doc", "pos", "text", rows=2).orderBy("element").collect()
+    assert [(r["body"], r["shown"]) for r in got] == lines and got[-1]["cells"] == [["a", "b"]]
+
+
 def test_ancestors(spark):
     s = spark.createDataFrame([("d", 1, "4", "Four"), ("d", 2, "4.1.2", "Deep"), ("d", 3, "4.1", "Late"), ("d", 4, "4.1.3", "x"), ("d", 5, "5.1", "y")], "doc string, pos int, code string, title string")
     got = {r["pos"]: r["ancestors"] for r in sequences.ancestor_paths(s, "doc", "pos", "code", "title").collect()}
