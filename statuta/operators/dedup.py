@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Of the rows of a key the first by pos, which no two rows share. Only keys and positions
+    """Of the rows of a key the first by pos, which no two rows share; rows without a pos go. Only keys and positions
     are aggregated, by hash with a map-side combine; rows then stay by their position."""
     first = df.groupBy(*keys).agg(F.min(pos).alias("_first")).select("_first")
     return df.join(first, df[pos] == first["_first"], "left_semi")

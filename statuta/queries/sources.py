@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import page_kind as kind_of
 from ..functions.text import paragraph_level, provider, sniffed
 from ..sinks import paragraph_rows
+from ..operators.graph import base_article_edges
 from ..sources import json_docs, landed
 from ..sources import views as v
 from . import query
@@ -130,3 +131,13 @@ SELECT 'doc' || conv_id AS path, turn::VARCHAR AS sdt_id, 0 AS para, body AS tex
 def pruned_packages(spark, sf_dir):
     """Paragraphs of the topics' controls alone, with what the contents say of them."""
     return landed.pruned(_packages(spark, sf_dir)).select("path", "sdt_id", "para", "text", "erules_id")
+
+
+@query(f"""WITH {v.EDGES} SELECT n.source_doc_id AS title, COUNT(*) AS n_nodes, md5(string_agg(n.reference_code, ',' ORDER BY n.pos)) AS refs_md5, COALESCE(ANY_VALUE(r.n), 0) AS n_relations
+FROM nodes n LEFT JOIN (SELECT m.source_doc_id, COUNT(*) AS n FROM typed t JOIN nodes m ON m.node_id = t.source_node_id GROUP BY 1) r ON r.source_doc_id = n.source_doc_id GROUP BY 1""")
+def json_documents(spark, sf_dir):
+    """Documents in the intermediate form, their nodes in order, with the relations that leave them."""
+    n = v.nodes(spark, sf_dir)
+    ends = base_article_edges(v.nodes(spark, sf_dir, text=False)).join(n.select(F.col("node_id").alias("source_node_id"), "source_doc_id"), "source_node_id")
+    rows = json_docs.documents(n, ends.withColumn("confidence", F.lit(None).cast("double")))
+    return rows.select("title", F.size("nodes").cast("long").alias("n_nodes"), F.md5(F.array_join(F.transform("nodes", lambda x: x["ref"]), ",")).alias("refs_md5"), F.size("relations").cast("long").alias("n_relations"))

@@ -26,8 +26,31 @@ def relation_rows(docs: DataFrame) -> DataFrame:
     return r.where(F.col("r.from").isNotNull() & F.col("r.to").isNotNull() & (F.col("r.from") != "") & (F.col("r.to") != "")).select(F.col("title").alias("doc_title"), F.col("r.from").alias("source_ref"), F.col("r.to").alias("target_ref"), label.alias("relation"), F.coalesce("r.confidence", F.lit(0.8)).alias("confidence"), F.lit("llm-extracted").alias("notes"))
 
 
-def write(nodes: DataFrame, path: str) -> None:
-    """Documents as JSON lines, one a document, with their nodes; a document's nodes meet in one
-    row, so source_doc_id must name a document and not a collection."""
-    one = F.struct(F.col("node_type").alias("type"), F.col("reference_code").alias("ref"), "title", F.col("hierarchy_path").alias("hierarchy"), F.col("content_text").alias("text"))
-    nodes.groupBy(F.col("source_doc_id").alias("title")).agg(F.collect_list(one).alias("nodes")).write.mode("overwrite").json(path)
+def documents(nodes: DataFrame, relations: DataFrame | None = None, order: str = "pos") -> DataFrame:
+    """(title, version, nodes, relations), a row a document in the intermediate form.
+
+    nodes: with source_doc_id, and ``order`` for their place in it; version_label where there is one.
+    relations: (source_doc_id, source_ref, target_ref, relation, confidence), by their ends; a
+    document without any has an empty array. The form has a document's nodes in one object, so
+    source_doc_id must name a document and not a collection.
+    """
+    has = lambda c: c in nodes.columns
+    value = lambda c: F.col(c) if has(c) else F.lit(None).cast("string")
+    node = F.struct(
+        F.col("node_type").alias("type"), F.col("reference_code").alias("ref"), F.col("title"), F.col("hierarchy_path").alias("hierarchy"), F.col("content_text").alias("text"),
+        value("content_html").alias("html"), value("regulatory_source").alias("source"),
+    )
+    held = nodes.select(F.col("source_doc_id").alias("doc"), value("version_label").alias("version"), F.struct((F.col(order) if has(order) else F.col("reference_code")).alias("at"), node.alias("n")).alias("x"))
+    out = held.groupBy("doc").agg(F.max("version").alias("version"), F.transform(F.sort_array(F.collect_list("x")), lambda x: x["n"]).alias("nodes"))
+    empty = F.array().cast("array<struct<`from`:string,`to`:string,label:string,confidence:double>>")
+    if relations is None:
+        return out.select(F.col("doc").alias("title"), "version", "nodes", empty.alias("relations"))
+    said = F.struct(F.col("source_ref").alias("from"), F.col("target_ref").alias("to"), F.col("relation").alias("label"), F.col("confidence").cast("double").alias("confidence"))
+    ends = relations.groupBy(F.col("source_doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(said)).alias("relations"))
+    joined = out.join(ends, F.col("doc").eqNullSafe(F.col("_doc")), "left")
+    return joined.select(F.col("doc").alias("title"), "version", "nodes", F.coalesce("relations", empty).alias("relations"))
+
+
+def write(nodes: DataFrame, path: str, relations: DataFrame | None = None, order: str = "pos") -> None:
+    """documents() as JSON lines."""
+    documents(nodes, relations, order).write.mode("overwrite").json(path)

@@ -231,10 +231,17 @@ def test_trees_are_json(spark, tmp_path):
 
 
 def test_json_round_trip(spark, tmp_path):
-    n = spark.createDataFrame([("IR", "1", "t", "h", "text", "d")], "node_type string, reference_code string, title string, hierarchy_path string, content_text string, source_doc_id string")
-    json_docs.write(n, str(tmp_path / "j"))
+    rows = [("IR", f"{k}", None if k == 2 else "t", "h", f"text {k}", d, -k, "html", "v1") for d in ("d", "e") for k in range(4)]
+    n = spark.createDataFrame(rows, "node_type string, reference_code string, title string, hierarchy_path string, content_text string, source_doc_id string, pos int, content_html string, version_label string").repartition(3)
+    rel = spark.createDataFrame([("d", "2", "1", "REQUIRES", 0.5), ("d", "1", "2", "SEE_ALSO", None)], "source_doc_id string, source_ref string, target_ref string, relation string, confidence double")
+    json_docs.write(n, str(tmp_path / "j"), rel)
     docs = spark.read.schema(json_docs.SCHEMA).json(str(tmp_path / "j"))
-    assert json_docs.node_rows(docs).first()["reference_code"] == "1"
+    back = json_docs.node_rows(docs).orderBy("doc_title", "pos").collect()
+    assert [(r["doc_title"], r["reference_code"], r["title"]) for r in back] == [(d, f"{k}", None if k == 2 else "t") for d in ("d", "e") for k in (3, 2, 1, 0)]
+    assert [(r["source_ref"], r["target_ref"], r["relation"], r["confidence"]) for r in json_docs.relation_rows(docs).collect()] == [("1", "2", "SEE_ALSO", 0.8), ("2", "1", "REQUIRES", 0.5)]
+    assert {(r["title"], r["version"], len(r["relations"])) for r in docs.collect()} == {("d", "v1", 2), ("e", "v1", 0)}
+    json_docs.write(n.drop("pos", "content_html", "version_label"), str(tmp_path / "k"))
+    assert [r["reference_code"] for r in json_docs.node_rows(spark.read.schema(json_docs.SCHEMA).json(str(tmp_path / "k")).where("title = 'd'")).orderBy("pos").collect()] == ["0", "1", "2", "3"]
     assert write_version(n, str(tmp_path / "t"), 3).endswith("v=00000003")
 
 
