@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,29 +24,43 @@ def like_grams(pattern: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.split(pattern, r"\\.|[%_]"), grams)))
 
 
-def pattern_join(entries: DataFrame, docs: DataFrame, pattern: str = "title_pat", text: str = "title") -> DataFrame:
-    """Docs and the entries (id, ...) whose LIKE pattern names their text, whatever the case.
+def named_texts(entries: DataFrame, docs: DataFrame, pattern: str = "title_pat", text: str = "title") -> DataFrame:
+    """(pattern, text), each pair once: the texts that a LIKE pattern names, whatever the case.
 
-    Patterns are data. Each gets an anchor: of the runs of three characters that it asks for the one in
-    the fewest texts. Texts meet the patterns of their own runs by an equi-join, and are then tried;
-    a pattern meets a text once. Patterns without three characters in a row are tried against
-    every text, in blocks that are broadcast. Null patterns and texts name nothing.
+    Patterns are data. Equal patterns and equal texts are tried once. A pattern gets an anchor: of the
+    runs of three characters that it asks for the one in the fewest texts. Texts meet the patterns of
+    their own runs by an equi-join, and are then tried; a pattern meets a text once. Patterns without
+    three characters in a row are tried against every text, in blocks that are broadcast. Null patterns
+    and texts name nothing.
     """
-    tried = lambda e, d: F.ilike(d[text], e[pattern])
-    asked = entries.withColumn("_grams", like_grams(F.col(pattern)))
-    wanted = asked.select(F.explode("_grams").alias("_gram")).distinct()
-    known = docs.select(F.explode(grams(F.col(text))).alias("_gram")).join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_texts"))
-    anchor = asked.select("id", F.explode("_grams").alias("_gram")).distinct().join(known, "_gram", "left")
-    anchor = anchor.groupBy("id").agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), F.col("_gram"))).alias("_gram"))
-    anchored = entries.join(anchor, "id")
-    near = docs.select("*", F.explode(grams(F.col(text))).alias("_gram")).join(anchored, "_gram")
-    out = near.where(F.ilike(F.col(text), F.col(pattern))).select(*docs.columns, *entries.columns)
-    loose = asked.where(F.size("_grams") == 0).drop("_grams")
+    asked = entries.select(F.col(pattern).alias("_pattern")).where("_pattern IS NOT NULL").distinct().withColumn("_grams", like_grams(F.col("_pattern")))
+    texts = docs.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct()
+    tried = F.ilike(F.col("_text"), F.col("_pattern"))
+    runs = texts.select("_text", F.explode(grams(F.col("_text"))).alias("_gram"))
+    wants = asked.select("_pattern", F.explode("_grams").alias("_gram"))
+    known = runs.join(wants.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_texts"))
+    anchor = wants.join(known, "_gram", "left").groupBy("_pattern").agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), F.col("_gram"))).alias("_gram"))
+    out = runs.join(anchor, "_gram").where(tried).select("_pattern", "_text")
+    loose = asked.where(F.size("_grams") == 0).select("_pattern")
     blocks = -(-loose.count() // PATTERN_ROWS)
     for k in range(blocks):
-        part = loose.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        out = out.unionByName(docs.join(F.broadcast(part), tried(part, docs)))
-    return out
+        part = loose.where(F.pmod(F.xxhash64("_pattern"), F.lit(blocks)) == k)
+        out = out.unionByName(texts.join(F.broadcast(part), tried).select("_pattern", "_text"))
+    return out.select(F.col("_pattern").alias(pattern), F.col("_text").alias(text))
+
+
+def pattern_join(entries: DataFrame, docs: DataFrame, pattern: str = "title_pat", text: str = "title") -> DataFrame:
+    """named_texts() as rows: every document beside every entry (id, ...) whose pattern names its text."""
+    return docs.join(named_texts(entries, docs, pattern, text), text).join(entries, pattern).select(*docs.columns, *entries.columns)
+
+
+def pattern_groups(entries: DataFrame, docs: DataFrame, first: Callable[[], list[Column]], again: Callable[[], list[Column]], pattern: str = "title_pat", text: str = "title") -> DataFrame:
+    """Per entry (id, pattern) the documents that it names, gathered by first() within equal texts, then by again()
+    over the texts of its pattern and over entries of one id, without a row for every document of
+    every entry. An entry that names nothing has no row."""
+    per_text = docs.groupBy(text).agg(*first())
+    per = per_text.join(named_texts(entries, docs, pattern, text), text).groupBy(pattern).agg(*again())
+    return entries.select("id", pattern).join(per, pattern).groupBy("id").agg(*again())
 
 
 def entry_counts(entries: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -68,8 +84,8 @@ def mode_root(nodes: DataFrame) -> DataFrame:
 
 def best_documents(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the documents that an entry's title pattern names the one with most nodes."""
-    hit = pattern_join(entries, docs)
-    return hit.groupBy("id").agg(F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id"))).alias("doc_id"), F.max("n").alias("node_count"))
+    best = lambda: [F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id"))).alias("doc_id"), F.max("n").alias("n")]
+    return pattern_groups(entries, docs, best, best).withColumnRenamed("n", "node_count")
 
 # Categories in the order in which they are shown.
 CATEGORIES = ("basic", "ir", "cs", "amcgm", "other")

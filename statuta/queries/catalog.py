@@ -125,8 +125,11 @@ def facet_filter(spark, sf_dir):
 @query("""WITH e AS (SELECT 'p' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '%' || upper(substring(p_name, 3, 7)) || '%' WHEN p_partkey % 3 = 1 THEN substring(p_name, 1, 4) || '_%' || right(p_name, 3) ELSE '%' || substring(p_type, 1, 3) || '%' END AS title_pat FROM part WHERE p_partkey % 20 = 0)
 SELECT e.id, COUNT(*) AS n, MIN(p.p_partkey) AS first_key FROM e JOIN part p ON p.p_name ILIKE e.title_pat GROUP BY e.id""")
 def title_patterns(spark, sf_dir):
-    """Every name against the patterns made of every twentieth part, by their rarest runs."""
+    """Every name against the patterns made of every twentieth part, by their rarest runs; equal
+    names and equal patterns meet once."""
     p, k = v.read(spark, sf_dir, "part"), F.col("p_partkey")
     kind = F.when(k % 3 == 0, F.concat(F.lit("%"), F.upper(F.substring("p_name", 3, 7)), F.lit("%"))).when(k % 3 == 1, F.concat(F.substring("p_name", 1, 4), F.lit("_%"), F.right("p_name", F.lit(3)))).otherwise(F.concat(F.lit("%"), F.substring("p_type", 1, 3), F.lit("%")))
     e = p.where(k % 20 == 0).select(F.concat(F.lit("p"), "p_partkey").alias("id"), kind.alias("title_pat"))
-    return c.pattern_join(e, p.select("p_partkey", F.col("p_name").alias("title"))).groupBy("id").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
+    count = lambda: [F.count("*").alias("n"), F.min("p_partkey").alias("first_key")]
+    total = lambda: [F.sum("n").alias("n"), F.min("first_key").alias("first_key")]
+    return c.pattern_groups(e, p.select("p_partkey", F.col("p_name").alias("title")), count, total)

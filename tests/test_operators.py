@@ -276,3 +276,12 @@ def test_scores_of_a_model(spark):
     rows = [('```json\n{"1": 9}\n```', 9), ('{"1": 8.9}', 8), ('{"2": 3}', 5), ('{"1": null}', 5), ('{"1": "many", "2": 3}', 5), ("", 5), (None, 5), ("[1]", 5)]
     got = spark.createDataFrame(rows, "a string, n int").select("n", h.score_of(h.model_scores(F.col("a")), F.lit(1)).alias("got")).collect()
     assert [r.got for r in got] == [r.n for r in got]
+
+
+def test_equal_patterns_and_texts_meet_once(spark):
+    e = spark.createDataFrame([(f"e{k}", "%a%" if k % 2 else "%rules%") for k in range(40)] + [("none", None), ("e0", "a")], "id string, title_pat string")
+    d = spark.createDataFrame([(f"d{k}", "Easy Rules", k) for k in range(50)] + [("x", None, 1), ("y", "a", 60)], "doc_id string, title string, n long")
+    assert {tuple(r) for r in catalog.named_texts(e, d).collect()} == {("%rules%", "Easy Rules"), ("%a%", "a"), ("a", "a"), ("%a%", "Easy Rules")}
+    assert catalog.pattern_join(e, d).count() == 40 * 50 + 20 + 1
+    best = {r["id"]: (r["doc_id"], r["node_count"]) for r in catalog.best_documents(e, d).collect()}
+    assert best == {f"e{k}": ("y", 60) if k % 2 or not k else ("d49", 49) for k in range(40)}
