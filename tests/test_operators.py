@@ -285,3 +285,11 @@ def test_equal_patterns_and_texts_meet_once(spark):
     assert catalog.pattern_join(e, d).count() == 40 * 50 + 20 + 1
     best = {r["id"]: (r["doc_id"], r["node_count"]) for r in catalog.best_documents(e, d).collect()}
     assert best == {f"e{k}": ("y", 60) if k % 2 or not k else ("d49", 49) for k in range(40)}
+
+
+def test_siblings_are_all_pairs(spark, sf_dir):
+    from statuta.queries import graph as queries
+
+    pairs = {tuple(r) for r in queries.siblings(spark, sf_dir).select("node_id", "sibling_id").collect()}
+    places = queries.sibling_places(spark, sf_dir).collect()
+    assert pairs and len(pairs) == sum(r["members"] - 1 for r in places) and pairs == {(b, a) for a, b in pairs}
