@@ -148,3 +148,46 @@ def test_sdt_html():
     xml = f"<w:sdt {W}><w:sdtContent>{p('ruletitle', 'R')}{p('none', 'x &lt;')}<w:sdt><w:sdtContent>{p('none', 'in')}</w:sdtContent></w:sdt>{p('heading2', 'H')}{p('ListParagraph', 'i')}</w:sdtContent></w:sdt>"
     assert udfs.content_html(xml) == '<div class="rule"><h3>R</h3><p>x &lt;</p><p>in</p></div><h2>H</h2><ul><li>i</li></ul>'
     assert udfs.content_html("<broken") is None
+
+
+def test_cut_and_exchanged_words_take_one_pass(monkeypatch):
+    from statuta.functions import diff
+
+    def search(*_):
+        raise AssertionError("no search is needed")
+
+    monkeypatch.setattr(diff, "_middle", search)
+    monkeypatch.setattr(diff, "_traced", search)
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 50, 30_000)
+    b = np.where(np.arange(len(a)) % 17 == 16, 99, a)
+    for x, y, kept in ((a, b, len(a) - len(a) // 17), (b, b[np.arange(len(b)) % 23 != 22], len(a) - len(a) // 23), (b, a, len(a) - len(a) // 17), (a, a[:0], 0), (a, a + 1000, 0)):
+        runs = list(diff.matches(x, y))
+        assert sum(n for *_, n in runs) == kept and all((x[i : i + n] == y[p : p + n]).all() for i, p, n in runs)
+        assert all(i + n <= j and p + n <= q for (i, p, n), (j, q, _) in zip(runs, runs[1:], strict=False))
+
+
+def test_long_batches_are_worked_on_piece_by_piece(spark, monkeypatch):
+    from pyspark.sql import functions as f
+
+    from statuta.functions import columns
+
+    held = []
+    real = columns.pa.array
+    x = spark.range(1000, numPartitions=1).select(f.when(f.col("id") % 100 != 7, f.concat(f.lit("# h\n"), f.col("id"))).alias("x"))
+    got = x.select("x", columns.markdown_chunks("x").alias("c"), columns.recursive_split("x").alias("s")).collect()
+    assert all([r["content"] for r in row["c"]] == [row["x"] or ""] and row["s"] == ([row["x"]] if row["x"] else []) for row in got) and len(got) == 1000
+    monkeypatch.setattr(columns.F, "arrow_udf", lambda run, _: lambda *_: run)
+    monkeypatch.setattr(columns.pa, "array", lambda rows, kind: held.append(len(rows)) or real(rows, kind))
+    batch = real(["<a/>"] * 1000)
+    assert sum(len(p) for p in columns.sdt_html("x")(iter([batch]))) == 1000 and max(held) == columns.ROWS
+
+
+def test_pages_of_a_batch_keep_their_spans(spark):
+    from statuta.functions.columns import page_blocks
+
+    span = lambda y, x, text: {"y": y, "x": x, "size": 10.0, "bold": False, "text": text}
+    pages = [[span(1.0, 9.0, "b"), span(0.5, 1.0, "a")], None, [], [span(0.0, 0.0, "x"), span(0.0, 90.0, "7"), span(9.0, 0.0, None)], [span(None, None, "z")]]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, s array<struct<y:double,x:double,size:double,bold:boolean,text:string>>").coalesce(1)
+    got = {r["k"]: [b["text"] for b in r["b"]] for r in df.select("k", page_blocks("s").alias("b")).collect()}
+    assert got == {0: ["a b"], 1: [], 2: [], 3: ["x\t7"], 4: ["z"]}
