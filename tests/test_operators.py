@@ -293,3 +293,14 @@ def test_siblings_are_all_pairs(spark, sf_dir):
     pairs = {tuple(r) for r in queries.siblings(spark, sf_dir).select("node_id", "sibling_id").collect()}
     places = queries.sibling_places(spark, sf_dir).collect()
     assert pairs and len(pairs) == sum(r["members"] - 1 for r in places) and pairs == {(b, a) for a, b in pairs}
+
+
+def test_linked_deals_sources_evenly(spark, monkeypatch):
+    n = spark.createDataFrame([(f"s{k}", "a") for k in range(30)] + [(f"t{k}", "b") for k in range(20)] + [("z", "c"), ("o", None)], "node_id string, reference_code string")
+    w = spark.createDataFrame([("a", "b", "R"), ("a", "gone", "R"), (None, "b", "R"), ("c", "c", "S")], "source_ref string, target_ref string, relation string")
+    want = sorted([(f"s{i}", f"t{j}", "R") for i in range(30) for j in range(20)] + [("z", "z", "S")])
+    few = graph.linked(w, n)
+    assert sorted(map(tuple, few.collect())) == want
+    assert "REPARTITION_BY_NUM" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, graph.linked(w, n).collect())) == want
