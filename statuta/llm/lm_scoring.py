@@ -2,8 +2,8 @@
 
 A base score from add-one unigram counts over the training texts of the whole corpus, and the
 score of a causal self-attention model on subword ids, over overlapping windows that score
-each subword once. Words are counted over all training texts; the model is trained in Spark tasks
-on windows of a share of the training texts which grows with the corpus.
+each subword once. Words are counted over all training texts, and the model is trained in Spark tasks
+on all their windows, each in one of the rounds.
 """
 
 from __future__ import annotations
@@ -29,12 +29,10 @@ from .shared import staged
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY, END = 50_257, 50_256
 HELD = (7, 2)
-#: Of N training words the model learns from sqrt(SAMPLE_WORDS * N), from all where N is less: what it
-#: gathers grows with the corpus, its share of the cost does not.
-SAMPLE_WORDS = 1 << 18
-#: Rounds of training; in each, tasks train on about so many windows apiece, at most TRAINERS of
-#: them, and the next round starts from the mean of their weights.
-ROUNDS, TASK_WINDOWS, TRAINERS = 4, 16_384, 1024
+#: Rounds of training; in each, tasks train on about so many windows apiece (13 MB, and twice the size of the
+#: weights that a task hands on), at most TRAINERS of them, and the next round starts from the mean
+#: of their weights.
+ROUNDS, TASK_WINDOWS, TRAINERS = 4, 131_072, 1024
 RATE = 0.02
 #: Windows in a row of the training table, and pieces in which weights are averaged.
 CHUNK, PIECES = 64, 64
@@ -166,14 +164,17 @@ def _mean(key, table):
     return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
 
 
-def fit_model(train: DataFrame, words: int, path: str, sample_words: int = SAMPLE_WORDS) -> tuple[attention.Weights, attention.Vocabulary]:
+def fit_model(train: DataFrame, words: int, path: str, sample_words: int | None = None) -> tuple[attention.Weights, attention.Vocabulary]:
     """The model and its vocabulary from train (doc_id, text), whose texts have so many words.
 
-    Texts are drawn by a hash of id and text, so that all of a corpus has its part. Only counts of
-    subwords and the weights, whose size is fixed by the vocabulary, come to the driver.
+    All texts are learned from, unless a caller asks for some sqrt(sample_words * words) words of them, drawn
+    by a hash of id and text. Only counts of subwords and the weights, whose size is fixed by the
+    vocabulary, come to the driver.
     """
-    share = min(1.0, math.sqrt(sample_words / max(1, words)))
-    drawn = train.where((F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) & F.col("text").isNotNull())
+    drawn = train.where(F.col("text").isNotNull())
+    if sample_words is not None:
+        share = min(1.0, math.sqrt(sample_words / max(1, words)))
+        drawn = drawn.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     cut = staged(drawn.select("text").mapInArrow(_cut(path), "n long, win binary"), "lm-windows")
     counts = np.zeros(VOCABULARY)
     for r in cut.select("win").mapInArrow(_count_subwords, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # one row a subword at most
@@ -233,7 +234,7 @@ def _score(model: attention.Weights, voc: attention.Vocabulary, hot: np.ndarray,
     return run
 
 
-def score(docs: DataFrame, path: str = TOKENIZER, sample_words: int = SAMPLE_WORDS) -> DataFrame:
+def score(docs: DataFrame, path: str = TOKENIZER, sample_words: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     path: the vocabulary file, which every executor needs too. Null texts count as empty: they are

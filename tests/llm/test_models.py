@@ -410,3 +410,12 @@ def test_lm_awkward(spark):
     assert lm_scoring.score(spark.createDataFrame([], DDL)).count() == 0
     with pytest.raises(FileNotFoundError):
         lm_scoring.score(d, path="/nowhere/vocabulary")
+
+
+def test_language_model_learns_from_every_text(spark):
+    rows = [(k, f"word{k} only{k} here{k}") for k in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    subs = lm_scoring.Subwords(lm_scoring.TOKENIZER)
+    ids = {lm_scoring.END} | {i for _, t in rows for w in t.split() for i in subs.encode(" " + w)}
+    _, voc = lm_scoring.fit_model(train, 10**12, lm_scoring.TOKENIZER)  # as of a corpus of so many words
+    assert lm_scoring.VOCABULARY - voc.unseen == len(ids)
