@@ -108,3 +108,11 @@ def test_covers_of_a_frequent_pair(spark):
     df = spark.createDataFrame(rows, "term string, node_id string, field string, pos int")
     [r] = ft.search(df, "x y").collect()
     assert round(r["rank"], 6) == round(1000 * 0.1 + 999 * 0.1 / 2, 6)
+
+
+def test_stems_are_worked_out_after_words_are_distinct(spark, sf_dir):
+    from statuta.queries.fulltext import word_stems
+
+    plan = word_stems(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    nth = lambda name: [k for k, line in enumerate(plan) if name in line]
+    assert len(nth("ArrowEvalPython")) == 1 and nth("ArrowEvalPython")[0] < min(nth("Aggregate"))
