@@ -116,3 +116,46 @@ def test_stems_are_worked_out_after_words_are_distinct(spark, sf_dir):
     plan = word_stems(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     nth = lambda name: [k for k, line in enumerate(plan) if name in line]
     assert len(nth("ArrowEvalPython")) == 1 and nth("ArrowEvalPython")[0] < min(nth("Aggregate"))
+
+
+def test_words_that_may_have_a_stem(spark):
+    """No word of any form is left out before stems are worked out."""
+    rng, ends = random.Random(2), [s for s, *_ in (*en.STEP2, *en.STEP3, *en.STEP4)] + "ative ed edly ing ingly eed s ies ied sses y e ll".split() + [""]
+    words = ["".join(rng.choice("aeiouybtlrsngc") for _ in range(rng.randint(1, 5))) + rng.choice(ends) + rng.choice(ends) for _ in range(3000)] + [*en.WHOLE, *en.ALONE]
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(en.stem(w), []).append(w)
+    some = sorted(by)[::7] + sorted(set(en.WHOLE.values()))
+    df = spark.createDataFrame([(w,) for t in some for w in by[t]], "w string")
+    assert df.where(~en.may_be(F.col("w"), some)).count() == 0
+    for t in some[::90] + ["die", "idl"]:
+        assert spark.createDataFrame([(w,) for w in by[t]], "w string").where(~en.may_be(F.col("w"), [t])).count() == 0
+
+
+def test_asked_terms_alone_are_made_postings(nodes):
+    df, _ = nodes
+    only = ["engin", "25", "wing"]
+    assert sorted(map(tuple, ft.postings(df, only=only).collect())) == sorted(tuple(r) for r in ft.postings(df).collect() if r["term"] in only)
+
+
+def test_stored_lists_hold_a_term_once_a_batch(spark, nodes, tmp_path, monkeypatch):
+    """Rows of the index are as many as terms and fields of a task's texts, not as occurrences; nothing is grouped for it."""
+    df, _ = nodes
+    lists = ft.listed(df.coalesce(1))
+    assert "Aggregate" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    got = lists.collect()
+    assert len({(r["term"], r["field"]) for r in got}) == len(got)
+    path = f"file://{tmp_path}/lists"
+    ft.write_postings(ft.listed(df), path, buckets=8, files=2)
+    every = sorted({r["term"] for r in got})
+    assert sorted(map(tuple, ft.read_postings(spark, path, every, buckets=8).collect())) == sorted(map(tuple, ft.postings(df).collect()))
+    monkeypatch.setattr(ft, "BLOCK_WORDS", 50)  # in this process alone
+    batch = df.limit(40).select("node_id", F.lit("x").alias("field"), en.words_of(F.col("content_text")).alias("words")).toArrow().combine_chunks().to_batches()[0]
+    blocks = list(ft._lists([batch]))
+    assert len(blocks) > 1 and sorted((t["term"], h["node_id"], p) for b in blocks for t in b.to_pylist() for h in t["held"] for p in h["positions"]) == sorted((t, r["node_id"], p) for r in batch.to_pylist() for t, p in terms(" ".join(r["words"])))
+
+
+def test_alternatives_read_the_postings_once(nodes):
+    df, _ = nodes
+    plan = ft.search(ft.postings(df), 'tank or "red engine" -wing or blue zzz')._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
