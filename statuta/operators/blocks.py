@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import headings as h
-from .sequences import RANGE_ROWS, carried, counted
+from .sequences import RANGE_ROWS, carried, counted, ranged
 
 # Sizes in points from which on a bold block is a subpart, a section, an article's heading;
 # up to which a block belongs to the page; from which on it is an article's text.
@@ -61,18 +61,19 @@ def structured(blocks: DataFrame, doc: str, pos: str, rows: int = RANGE_ROWS) ->
             "_named": F.col("bold") & printed & ~large & (F.col("size") >= ARTICLE_SIZE) & h.heading_type(h.typed_line(text)).isNotNull(),
         }
     )
-    b = carried(b, [doc], pos, {"_opened": F.when(F.col("_opens"), F.lit(True))}, here=False, rows=rows)
+    b = b.withColumn("_name", F.when(large, h.label(text)))  # where the text is: the ends of ranges need no text
+    b = carried(ranged(b, [doc], pos, rows), [doc], pos, {"_opened": F.when(F.col("_opens"), F.lit(True))}, here=False, rows=rows)
     b = b.withColumn("in_toc", F.col("_opened").isNull())
     small = F.col("_small") & ~F.col("in_toc")
     b = b.withColumn("role", F.when(small, "article").when(large, "structure").when(~F.col("in_toc") & F.col("_named"), "article"))
-    b = b.withColumn("_label", F.when(F.col("role") == "structure", F.struct(F.col(pos).alias("p"), h.label(text).alias("t"))))
+    b = b.withColumn("_label", F.when(F.col("role") == "structure", F.struct(F.col(pos).alias("p"), F.col("_name").alias("t"))))
     state = F.when(F.col("role").isNotNull(), F.struct(F.when(F.col("role") == "article", F.col(pos)).alias("article"), small.alias("small")))
     top = F.col("size") >= SUBPART_SIZE
     b = carried(b, [doc], pos, {"_state": state, "_sub": F.when(top, F.col("_label")), "_sec": F.when(~top, F.col("_label"))}, rows=rows)
     section = F.when(F.col("_sub").isNull() | (F.col("_sec.p") > F.col("_sub.p")), F.col("_sec.t"))
     body = F.col("role").isNull() & F.col("_state.article").isNotNull() & printed & (F.col("_state.small") | (F.col("size") >= BODY_SIZE))
     b = b.withColumns({"role": F.when(body, "body").otherwise(F.col("role")), "article": F.col("_state.article"), "subpart": F.col("_sub.t"), "section": section, "small": F.col("_small")})
-    return b.drop("_opens", "_opened", "_small", "_named", "_label", "_state", "_sub", "_sec")
+    return b.drop("_at", "_opens", "_opened", "_small", "_named", "_name", "_label", "_state", "_sub", "_sec")
 
 
 def articles(blocks: DataFrame, doc: str, pos: str, title: str, rows: int = RANGE_ROWS) -> DataFrame:
@@ -99,9 +100,9 @@ def paragraphs(lines: DataFrame, doc: str, pos: str, text: str, rows: int = RANG
     and starts of paragraphs part elements; footers of the publisher go."""
     line = lines.select(doc, pos, F.trim(text).alias("line")).where(~F.col("line").rlike(r"(?i)^Powered by EASA\b"))
     kind = F.when(F.col("line") == "", "blank").when(F.col("line").contains("\t"), "table").otherwise("text")
-    marked = carried(line.withColumn("kind", kind), [doc], pos, {"_was": F.col("kind")}, here=False, rows=rows)
+    marked = carried(ranged(line.withColumn("kind", kind), [doc], pos, rows), [doc], pos, {"_was": F.col("kind")}, here=False, rows=rows)
     begins = ~F.col("_was").eqNullSafe(F.col("kind")) | ((F.col("kind") == "text") & (h.like_any(F.col("line"), PARAGRAPH_START) | F.col("line").rlike("(?i)" + NOTE_START)))
-    numbered = counted(marked, [doc], pos, begins, "element", rows).where("kind <> 'blank'")
+    numbered = counted(marked, [doc], pos, begins, "element", rows).drop("_at").where("kind <> 'blank'")
     g = numbered.groupBy(doc, "element", "kind").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("line").alias("t")))).alias("_l"))
     body = F.when(F.col("kind") == "table", F.array_join("_l.t", "\n")).otherwise(F.array_join("_l.t", " "))
     shown = F.when((F.col("kind") == "text") & body.rlike(SECTION_LINE), "heading").otherwise(F.col("kind"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +13,25 @@ from pyspark.sql import functions as F
 RANGE_ROWS = 1 << 16
 
 
-def _ranged(df: DataFrame, pos: str, rows: int) -> DataFrame:
-    return df.withColumn("_range", F.floor(F.col(pos) / rows))
+def ranged(df: DataFrame, group: list[str], pos: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """df with _at, its group and the range of ``rows`` positions that a row is in, as one value that is never null.
+    Rows are dealt by it once: what carried() and counted() add to a range, and what its earlier ranges hand
+    on, comes where the rows are. Callers that scan several times call this first and drop _at at last."""
+    return df.withColumn("_at", F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.floor(F.col(pos) / rows).alias("r")))
+
+
+def _windows(group: list[str], pos: str, here: bool = True) -> tuple[Window, Window]:
+    """Up to a row within its range; the ranges before one in its group."""
+    within = Window.partitionBy("_at").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if here else -1)
+    return within, Window.partitionBy(*[f"_at.g{i}" for i in range(len(group))]).orderBy("_at.r").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _handed(df: DataFrame, ends: DataFrame, group: list[str], names: list[str]) -> DataFrame:
-    """df, whose rows know their _range, with what ends (group, _range, names) tells of the range."""
-    keys = [*group, "_range"]
-    ends = ends.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(keys)], *names)
-    on = [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(keys)]
-    return df.join(ends, on, "left").drop(*[f"_e{i}" for i in range(len(keys))])
+def _handed(df: DataFrame, ends: DataFrame, names: list[str]) -> DataFrame:
+    """df with what ends (_at, names) tells of the range. The keys are equal as structs, also where a group is null, so
+    rows stay where the window brought them; ranges that are handed nothing have no row."""
+    ends = ends.where(functools.reduce(operator.or_, [F.col(n).isNotNull() for n in names]))
+    ends = ends.select(F.col("_at").alias("_e"), *names)
+    return df.join(ends, F.col("_at") == F.col("_e"), "left").drop("_e")
 
 
 def carried(df: DataFrame, group: list[str], pos: str, values: dict[str, Column], here: bool = True, rows: int = RANGE_ROWS) -> DataFrame:
@@ -30,26 +42,25 @@ def carried(df: DataFrame, group: list[str], pos: str, values: dict[str, Column]
     range handed on to the later ranges of the group, one row a range. Positions are numbers, one
     row a position of a group. A group of any length is many tasks' work.
     """
-    names = list(values)
-    df = _ranged(df, pos, rows).withColumns({f"_v_{n}": c for n, c in values.items()})
-    within = Window.partitionBy(*group, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if here else -1)
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = df.groupBy(*group, "_range").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(pos))).alias(n) for n in names])
-    ends = ends.select(*group, "_range", *[F.last(n, ignorenulls=True).over(earlier).alias(f"_h_{n}") for n in names])
+    names, dealt = list(values), "_at" in df.columns
+    df = (df if dealt else ranged(df, group, pos, rows)).withColumns({f"_v_{n}": c for n, c in values.items()})
+    within, earlier = _windows(group, pos, here)
+    ends = df.groupBy("_at").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(pos))).alias(n) for n in names])
+    ends = ends.select("_at", *[F.last(n, ignorenulls=True).over(earlier).alias(f"_h_{n}") for n in names])
     df = df.withColumns({f"_w_{n}": F.last(f"_v_{n}", ignorenulls=True).over(within) for n in names})
-    df = _handed(df, ends, group, [f"_h_{n}" for n in names])
+    df = _handed(df, ends, [f"_h_{n}" for n in names])
     df = df.withColumns({n: F.coalesce(f"_w_{n}", f"_h_{n}") for n in names})
-    return df.drop("_range", *[f"_{k}_{n}" for k in "vwh" for n in names])
+    return df.drop(*([] if dealt else ["_at"]), *[f"_{k}_{n}" for k in "vwh" for n in names])
 
 
 def counted(df: DataFrame, group: list[str], pos: str, flag: Column, out: str, rows: int = RANGE_ROWS) -> DataFrame:
     """df with how many rows of the group, up to this one, have the flag; in two levels like carried()."""
-    df = _ranged(df, pos, rows).withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
-    within = Window.partitionBy(*group, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = df.groupBy(*group, "_range").agg(F.sum("_flag").alias("_n")).select(*group, "_range", F.sum("_n").over(earlier).alias("_before"))
-    df = _handed(df.withColumn(out, F.sum("_flag").over(within)), ends, group, ["_before"])
-    return df.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_range", "_flag", "_before")
+    dealt = "_at" in df.columns
+    df = (df if dealt else ranged(df, group, pos, rows)).withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
+    within, earlier = _windows(group, pos)
+    ends = df.groupBy("_at").agg(F.sum("_flag").alias("_n")).select("_at", F.sum("_n").over(earlier).alias("_before"))
+    df = _handed(df.withColumn(out, F.sum("_flag").over(within)), ends, ["_before"])
+    return df.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_flag", "_before", *([] if dealt else ["_at"]))
 
 
 def carried_headings(df: DataFrame, doc: str, pos: str, level: Column, title: str, levels: int = 4, rows: int = RANGE_ROWS) -> DataFrame:
@@ -84,9 +95,9 @@ def segments(lines: DataFrame, doc: str, pos: str, starts: Column, text: str, ro
 
 def runs(df: DataFrame, group: list[str], pos: str, value: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Df with run, the number of the stretch of equal neighbouring values (gaps and islands)."""
-    df = carried(df, group, pos, {"_was": F.struct(F.col(value).alias("v"))}, here=False, rows=rows)
+    df = carried(ranged(df, group, pos, rows), group, pos, {"_was": F.struct(F.col(value).alias("v"))}, here=False, rows=rows)
     same = F.col("_was").isNotNull() & F.col("_was.v").eqNullSafe(F.col(value))
-    return counted(df, group, pos, ~same, "run", rows).drop("_was")
+    return counted(df, group, pos, ~same, "run", rows).drop("_was", "_at")
 
 
 def ancestor_paths(sections: DataFrame, doc: str, pos: str, code: str, title: str) -> DataFrame:

@@ -79,3 +79,38 @@ def test_one_long_document_is_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(per) > 1 and max(r["count"] for r in per) < 4000
+
+
+def test_rows_are_dealt_once_for_all_scans(spark):
+    """Both scans of the pages' structure leave rows where one shuffle brought them; a null group is a group too."""
+    from statuta.operators import blocks as b
+    from statuta.operators import sequences as q
+
+    rows = [(None if k % 3 == 0 else f"d{k % 3}", k, "S UBPART A" if k % 50 < 3 else f"CS 25.{k} Scope" if k % 5 == 1 else f"line {k}", 20.0 if k % 50 < 3 else 10.0, k % 5 < 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc string, pos int, text string, size double, bold boolean").repartition(3)
+    got = {rows: sorted(map(repr, b.structured(df, "doc", "pos", rows=rows).collect())) for rows in (7, 1 << 16)}
+    assert got[7] == got[1 << 16]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = b.structured(df, "doc", "pos")._jdf.queryExecution().executedPlan().toString().splitlines()
+        runs = q.runs(df, ["doc"], "pos", "bold")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the joins' left sides have no shuffle of their own: from the last join down, the first child's one is the windows'
+    for p, joins in ((plan, 2), (runs, 2)):
+        left, seen = [], 0
+        for line in p:
+            if "SortMergeJoin" in line:
+                seen += 1
+            if "Exchange" in line:
+                left.append(seen)
+                break
+        assert left == [joins]  # both joins stand above the first shuffle on the way down the left side
+    same = {r["pos"]: r["run"] for r in q.runs(df, ["doc"], "pos", "bold", rows=7).collect()}
+    assert same == {r["pos"]: r["run"] for r in q.runs(df, ["doc"], "pos", "bold").collect()}
+    mine, n, was = [r for r in rows if r[0] is None], 0, None
+    for r in mine:
+        n, was = n + (r[4] is not was), r[4]
+        assert same[r[1]] == n
