@@ -8,6 +8,7 @@ documents back, single tokens, counts or occurrences without encoding anything a
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import uuid
@@ -31,7 +32,7 @@ BITS = 16
 #: Bytes of text that a task gets on average, and tokens after which it closes a shard.
 TASK_BYTES, SHARD_TOKENS = 32 << 20, 1 << 21
 #: Bytes of text encoded at a time; bytes of a string of pieces, and strings in a call.
-SLICE_BYTES, STRING_BYTES, STRINGS = 16 << 20, 4096, 64
+SLICE_BYTES, STRING_BYTES, STRINGS = 8 << 20, 4096, 64
 #: Shards are summed by groups of so many first, then by group.
 GROUP = 1024
 _TASK = 1 << 24
@@ -69,6 +70,8 @@ class Encoder:
         self.bytes = np.zeros(max(names.values(), default=0) + 1, dtype=np.int64)
         for name, i in names.items():
             self.bytes[i] = special.get(i, len(name))  # a name has a character for each byte
+        # distinct pieces of the slice before, where their ids start, how many they are, and the ids
+        self.known = pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def _joined(self, pieces: pa.Array) -> Iterator[np.ndarray]:
         """Ids of consecutive pieces, some strings at a time."""
@@ -97,8 +100,11 @@ class Encoder:
         number = pieces.indices.to_numpy() if len(begins) else np.zeros(0, dtype=np.int64)
         alone[number[np.searchsorted(begins, fresh)]] = True
         alone[number[np.r_[np.searchsorted(begins, first[1:]) - 1, len(begins) - 1]] if len(begins) else number] = True
-        order = np.r_[np.flatnonzero(~alone), np.flatnonzero(alone)]
-        safe = int((~alone).sum())
+        # those of the slice before keep their ids
+        found = pc.fill_null(pc.index_in(names, value_set=self.known[0]), -1).to_numpy(zero_copy_only=False)
+        old = found >= 0
+        order = np.r_[np.flatnonzero(~old & ~alone), np.flatnonzero(~old & alone)]
+        safe = int((~old & ~alone).sum())
         parts = list(self._joined(names.take(pa.array(order[:safe])))) if safe else []
         for a in range(safe, len(order), STRINGS):
             parts.append(self._ids(names.take(pa.array(order[a : a + STRINGS])).to_pylist()))
@@ -106,8 +112,14 @@ class Encoder:
         # ids of each distinct piece, by the bytes they stand for
         size = pc.binary_length(names).to_numpy()[order]
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1
-        start, per_piece = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+        start, per_piece = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
         start[order], per_piece[order] = np.r_[0, ends[:-1]][: len(order)], np.diff(ends, prepend=0)
+        start[old], per_piece[old] = self.known[1][found[old]] + len(ids), self.known[2][found[old]]
+        # brought into the order of the names, so that a slice's pieces alone are remembered
+        begin = np.r_[0, np.cumsum(per_piece)]
+        ids = np.concatenate([ids, self.known[3]])[np.repeat(start - begin[:-1], per_piece) + np.arange(begin[-1])]
+        start = begin[:-1]
+        self.known = names, start, per_piece, ids
         per = per_piece[number]
         # one more piece, the end, behind the last piece of every text
         total = np.r_[0, np.cumsum(per)]
@@ -121,6 +133,12 @@ class Encoder:
         return out, stops
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The tokenizer of a worker, read once for all of its tasks."""
+    return Encoder(path)
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """Mask of the bytes before which a text may be cut without a change of its ids: a point or comma
     after a letter, a blank between two bytes that belong to no white space. Characters of three bytes that start as
@@ -146,7 +164,7 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _shards(path: str, bits: int, shard_tokens: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first, nth = Encoder(path), TaskContext.get().partitionId() * _TASK, 0
+        encoder, first, nth = encoder_of(path), TaskContext.get().partitionId() * _TASK, 0
         ids, keys, lens, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -185,6 +203,7 @@ def _shards(path: str, bits: int, shard_tokens: int, end: int):
                 a = b
         if held:
             yield row()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 

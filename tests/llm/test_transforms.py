@@ -255,3 +255,26 @@ def test_result_types(spark):
     kinds = dict(divergence.audit(d).dtypes)
     assert kinds["value"] == "bigint" and kinds["rank"] == "int"
     assert all(isinstance(f.dataType, LongType) and not isinstance(f.dataType, DoubleType) for f in token_ids.encode(d).schema.fields)
+
+
+def test_pieces_of_the_slice_before_are_not_encoded_again():
+    import numpy as np
+
+    from statuta.llm import token_ids as t
+
+    texts = ["red engines, and wings", "", "of red tanks. wings and", "and wings, red", " new  words"] * 3
+    slices = [texts[k : k + 4] for k in range(0, len(texts), 4)]
+    buffers = lambda some: (np.frombuffer("".join(some).encode(), np.uint8), np.r_[0, np.cumsum([len(x.encode()) for x in some])])
+    one, asked = t.encoder_of(t.default_path()), []
+    assert one is t.encoder_of(t.default_path())
+    for some in slices:
+        got, _ = one.encode(*buffers(some))
+        assert got.tolist() == [i for x in some for i in (*one.codec.encode(x, add_special_tokens=False).ids, t.END)]
+    ids = one._ids
+    one._ids = lambda strings: asked.extend(strings) or ids(strings)
+    try:
+        got, _ = one.encode(*buffers(slices[-1]))
+    finally:
+        del one._ids
+    assert not asked
+    assert got.tolist() == [i for x in slices[-1] for i in (*one.codec.encode(x, add_special_tokens=False).ids, t.END)]
