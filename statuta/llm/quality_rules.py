@@ -118,25 +118,31 @@ def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> tup
     maximisation.
 
     Works on the histogram of vote patterns, at most 3 ** rules rows whatever the input; each
-    step is one aggregation of it. No votes at all give the starting values.
+    step is one aggregation of it by rule and vote. What the last step found stands in the plan
+    as one array a side, so all steps have the same small plan, whose code is made once. No
+    votes at all give the starting values.
     """
-    hist = staged(votes.groupBy(*names).count().coalesce(1), "votes")
+    hist = staged(votes.groupBy(*names).count().coalesce(1), "votes").coalesce(1)
+    # place 3 * rule + (0 abstains, 1 bad, 2 good) of each vote; the last place stands for the pattern itself
+    every = 3 * len(names)
+    hist = hist.select("count", F.array(*[F.coalesce(F.col(f"`{v}`") + 1, F.lit(0)).cast("int") + 3 * k for k, v in enumerate(names)]).alias("at"))
     prior, rates = 0.8, dict.fromkeys(names, START)
     for _ in range(iterations):
-        p = posterior(names, prior, rates) * F.col("count")
-        sums = {"n": F.sum("count"), "good": F.sum(p)}
-        for v in names:
-            for value in (0, 1):
-                sums[f"{v}_{value}_all"] = F.sum(F.when(F.col(v) == value, F.col("count")))
-                sums[f"{v}_{value}_good"] = F.sum(F.when(F.col(v) == value, p))
-        r = hist.agg(*[c.alias(k) for k, c in sums.items()]).first()
-        if not r["n"]:
+
+        def side(good: bool, prior: float = prior, rates: Rates = rates) -> Column:
+            factors = F.lit([x for v in names for x in (1.0, rates[v][1 if good else 0], rates[v][2 if good else 3])])
+            return F.aggregate("at", F.lit([prior if good else 1 - prior])[0], lambda p, i: p * F.get(factors, i))
+
+        rows = hist.select("count", "at", side(True).alias("g"), side(False).alias("b"))
+        rows = rows.select("count", (F.col("g") / (F.col("g") + F.col("b")) * F.col("count")).alias("good"), F.explode(F.concat("at", F.array(F.lit(every)))).alias("at"))
+        sums = {r["at"]: (r["n"], r["good"]) for r in rows.groupBy("at").agg(F.sum("count").alias("n"), F.sum("good").alias("good")).collect()}  # one row a place
+        if every not in sums:
             break
-        was, good, bad = prior, r["good"], r["n"] - r["good"]
-        prior = min(0.98, max(0.02, good / r["n"]))
-        for v in names:
-            n0, n1 = r[f"{v}_0_all"] or 0, r[f"{v}_1_all"] or 0
-            g0, g1 = r[f"{v}_0_good"] or 0.0, r[f"{v}_1_good"] or 0.0
+        n, good = sums[every]
+        was, bad = prior, n - good
+        prior, rates = min(0.98, max(0.02, good / n)), {}
+        for k, v in enumerate(names):
+            (n0, g0), (n1, g1) = (sums.get(3 * k + vote, (0, 0.0)) for vote in (1, 2))
             rate = lambda x, of, start: (x + BELIEF * start) / (of + BELIEF)
             rates[v] = (rate(n0 - g0, bad, START[0]), rate(g0, good, START[1]), rate(g1, good, START[2]), rate(n1 - g1, bad, START[3]))
         if abs(was - prior) < 1e-6:

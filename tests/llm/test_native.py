@@ -366,3 +366,32 @@ def test_ibans_beside_other_words(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["text"]: [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find(rows).collect()}
     assert got == texts
+
+
+def test_steps_of_the_rules_fit_share_their_code(spark):
+    """What a step of the fit has found stands beside the code, so further steps compile nothing."""
+    votes = spark.createDataFrame([(k % 2, None if k % 3 else 1, k % 5 // 4) for k in range(200)], "a int, b int, c int")
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount
+    quality_rules.fit(votes, ["a", "b", "c"], 2)
+    was = compiled()
+    quality_rules.fit(votes, ["a", "b", "c"], 2)
+    two, was = compiled() - was, compiled()
+    prior, rates = quality_rules.fit(votes, ["a", "b", "c"], 7)
+    assert compiled() - was == two
+    # the same steps pattern by pattern
+    want, of = 0.8, dict.fromkeys("abc", quality_rules.START)
+    for _ in range(7):
+        good, rows = [], [r.asDict() for r in votes.collect()]
+        for r in rows:
+            p, q = want, 1 - want
+            for v, x in r.items():
+                bb, bg, gg, gb = of[v]
+                p, q = p * (1 if x is None else gg if x else bg), q * (1 if x is None else gb if x else bb)
+            good.append(p / (p + q))
+        g, n = sum(good), len(rows)
+        part = lambda v, x, w: sum(y for y, r in zip(w, rows, strict=True) if r[v] == x)
+        rate = lambda x, all_, start: (x + quality_rules.BELIEF * start) / (all_ + quality_rules.BELIEF)
+        bad, s = [1 - y for y in good], quality_rules.START
+        of = {v: (rate(part(v, 0, bad), n - g, s[0]), rate(part(v, 0, good), g, s[1]), rate(part(v, 1, good), g, s[2]), rate(part(v, 1, bad), n - g, s[3])) for v in "abc"}
+        want = min(0.98, max(0.02, g / n))
+    assert abs(prior - want) < 1e-9 and all(abs(x - y) < 1e-9 for v in "abc" for x, y in zip(rates[v], of[v], strict=True))
