@@ -29,13 +29,16 @@ from .shared import staged
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY, END = 50_257, 50_256
 HELD = (7, 2)
-#: Rounds of training; in each, tasks train on about so many windows apiece (13 MB, and twice the size of the
+#: Rounds of training; in each, tasks train on about so many windows apiece (7 MB, and twice the size of the
 #: weights that a task hands on), at most TRAINERS of them, and the next round starts from the mean
 #: of their weights.
 ROUNDS, TASK_WINDOWS, TRAINERS = 4, 131_072, 1024
 RATE = 0.02
-#: Windows in a row of the training table, and pieces in which weights are averaged.
-CHUNK, PIECES = 64, 64
+#: Windows in a row of the training table (1.6 KB, so that a batch of rows is 16 MB), and pieces in which
+#: weights are averaged. A window's ids are of 16 bits; NONE is where it has none.
+CHUNK, PIECES, NONE = 32, 64, 65_535
+#: Windows taken at once where subwords are counted, and bytes of text taken at once.
+COUNTED, SLICE = 4096, 1 << 20
 #: A word with more than tokens / FREQUENT occurrences is looked up in a broadcast table, which
 #: has fewer than FREQUENT rows whatever the corpus; the others are joined.
 FREQUENT = 1 << 20
@@ -105,7 +108,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): the words of a batch's training texts by hash, and their ends."""
     for batch in batches:
         words: dict[str, list] = {"h": [], "n": []}
-        for s in slices(batch.column(0)):
+        for s in slices(batch.column(0), SLICE):
             h, c = np.unique(s.hashes(), return_counts=True)
             words["h"].append(np.r_[h, END_HASH])
             words["n"].append(np.r_[c, s.rows])
@@ -124,34 +127,45 @@ def _cut(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subs = subwords(path)
         for batch in batches:
-            for s in slices(batch.column(0)):
+            for s in slices(batch.column(0), SLICE):
                 _, at, first, n = subs.of(s, s.hashes())
                 ids, bounds = subs.sequences(s, at, first, n)
-                seq = attention.gather(ids, bounds, *attention.windows(bounds), END).astype(np.int32)
+                seq = attention.gather(ids, bounds, *attention.windows(bounds), END).astype(np.uint16)  # -1 becomes NONE
                 parts = [seq[k : k + CHUNK] for k in range(0, len(seq), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["n", "win"])
 
     return run
 
 
-def _unpacked(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=np.int32).reshape(-1, attention.WINDOW + 1)
+def _windows(rows: pa.Array) -> np.ndarray:
+    """The windows of packed rows, one after another; a view of the rows' own memory."""
+    rows = rows.cast(pa.large_binary())
+    _, off, data = rows.buffers()
+    if not len(rows) or data is None:
+        return np.zeros((0, attention.WINDOW + 1), dtype=np.uint16)
+    off = np.frombuffer(off, dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]].view(np.uint16).reshape(-1, attention.WINDOW + 1)
 
 
 def _count_subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): the subwords that a task's windows predict."""
+    n = np.zeros(NONE + 1, dtype=np.int64)
     for batch in batches:
-        y = _unpacked(batch.column(0).to_pylist())[:, attention.CONTEXT + 1 :]
-        ids, n = np.unique(y[y >= 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n)], ["key", "n"])
+        seq = _windows(batch.column(0))
+        for k in range(0, len(seq), COUNTED):
+            n += np.bincount(seq[k : k + COUNTED, attention.CONTEXT + 1 :].ravel(), minlength=len(n))
+    ids = np.flatnonzero(n[:NONE])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[ids])], ["key", "n"])
 
 
 def _trained(m: attention.Weights, voc: attention.Vocabulary, rates: tuple[float, float]):
     """(piece, trainer, w) of the weights that one task's windows lead to."""
-    ranks = np.r_[voc.rank, np.int32(-1)]  # -1 stays -1
+    ranks = np.full(NONE + 1, -1, dtype=np.int32)
+    ranks[: len(voc.rank)] = voc.rank
 
     def run(key, table):
         [trainer] = [k.as_py() for k in key]
-        seq = ranks[_unpacked(sorted(table.column("win").to_pylist()))]
+        seq = ranks[np.frombuffer(b"".join(sorted(table.column("win").to_pylist())), dtype=np.uint16).reshape(-1, attention.WINDOW + 1)]
         pieces = np.array_split(attention.train(m, voc, seq, rates, trainer).vector(), PIECES)
         return pa.table({"piece": pa.array(range(PIECES), pa.int32()), "trainer": pa.array([trainer] * PIECES, pa.int64()), "w": pa.array([p.tobytes() for p in pieces], pa.binary())})
 
@@ -205,7 +219,7 @@ def _score(model: attention.Weights, voc: attention.Vocabulary, hot: np.ndarray,
         subs, tables = subwords(path), model.tables()
         rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), SLICE):
                 uniq, at, first, n = subs.of(s, s.hashes())
                 ids, bounds = subs.sequences(s, at, first, n)
                 score = attention.score(model, tables, voc, voc.rank[ids], bounds, int(voc.rank[END])) / np.log(10)

@@ -419,3 +419,26 @@ def test_language_model_learns_from_every_text(spark):
     ids = {lm_scoring.END} | {i for _, t in rows for w in t.split() for i in subs.encode(" " + w)}
     _, voc = lm_scoring.fit_model(train, 10**12, lm_scoring.TOKENIZER)  # as of a corpus of so many words
     assert lm_scoring.VOCABULARY - voc.unseen == len(ids)
+
+
+def test_language_model_counts_subwords_in_little_memory():
+    """A batch of windows is counted where it lies, in less than half of its own size, and a task hands on one row a subword."""
+    import tracemalloc
+
+    cut = list(lm_scoring._cut(lm_scoring.TOKENIZER)(iter([pa.record_batch([pa.array([None, "", *(f"some words {k} " * 800 for k in range(6000, 6400))])], ["text"])])))
+    batches = [b.select(["win"]) for b in pa.Table.from_batches(cut).combine_chunks().to_batches()]
+    [held] = [b.nbytes for b in batches]
+    assert max(b.nbytes / b.num_rows for b in cut) < 2048
+    tracemalloc.start()
+    got = list(lm_scoring._count_subwords(iter([*batches, batches[0].slice(1)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < held / 2 + 1e6 and len(got) == 1
+    subs = lm_scoring.Subwords(lm_scoring.TOKENIZER)
+    once = Counter({lm_scoring.END: 402})
+    for k in range(6000, 6400):
+        for w in ("some", "words", str(k)):
+            once.update({i: 800 * n for i, n in Counter(subs.encode(" " + w)).items()})
+    first = Counter(x for x in np.frombuffer(batches[0].column(0)[0].as_py(), np.uint16).reshape(-1, 25)[:, 9:].ravel().tolist() if x != lm_scoring.NONE)
+    want = once + once - first
+    assert dict(zip(got[0]["key"].to_pylist(), got[0]["n"].to_pylist(), strict=True)) == dict(want)
