@@ -7,6 +7,7 @@ so the frequent ones stand in small classes and a softmax over the whole vocabul
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -17,7 +18,8 @@ CLASS_SHARE, CLASS_MOST = 1 / 32, 256
 #: Subwords that a window scores, and those before them that it only reads.
 SCORED, CONTEXT = 16, 8
 WINDOW = SCORED + CONTEXT
-BATCH = 512
+#: Windows taken at once, at most; training takes fewer where that would make less than STEPS steps.
+BATCH, STEPS = 512, 256
 
 
 @dataclass
@@ -76,15 +78,19 @@ class Weights:
         """All weights one after another."""
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
-    def filled(self, vector: np.ndarray) -> Weights:
-        """Weights of this shape from a vector."""
+    def views(self, vector: np.ndarray) -> Weights:
+        """Weights of this shape that lie in a vector."""
         at, out = 0, {}
         for f in fields(self):
             was = getattr(self, f.name)
-            out[f.name] = vector[at : at + was.size].reshape(was.shape).astype(np.float32)
+            out[f.name] = vector[at : at + was.size].reshape(was.shape)
             at += was.size
         return Weights(**out)
 
+    def filled(self, vector: np.ndarray) -> Weights:
+        """Weights of this shape from a vector."""
+        return self.views(vector.astype(np.float32))
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """(ranks x 4 DIM, WINDOW x 4 DIM): query, key, value and residual parts of each subword and
         place, so that scoring looks them up."""
@@ -92,6 +98,19 @@ class Weights:
         return self.emb @ w, self.pos @ w
 
 
+class Scratch:
+    """Arrays that are used again from batch to batch, so that their memory is asked for once; one a name."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n or self.held[name].dtype != kind:
+            self.held[name] = np.empty(n, dtype=kind)
+        return self.held[name][:n].reshape(shape)
+
+
 _EARLIER = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))[CONTEXT:]
 
 
@@ -116,19 +135,32 @@ def gather(ids: np.ndarray, bounds: np.ndarray, row: np.ndarray, first: np.ndarr
     return out
 
 
-def _members(voc: Vocabulary, y: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(class, places) of the targets in classes of several members."""
+def _by_class(voc: Vocabulary, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(order, cut, several): places of the targets y by class, class k at order[cut[k]:cut[k + 1]],
+    and the classes of several members that some target has."""
     c = voc.cls[y].astype(np.int16)  # sorted by radix
     order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(voc.starts)))
-    some = np.flatnonzero((np.diff(cut) > 0) & (np.diff(voc.starts) > 1))
-    return [(k, order[cut[k] : cut[k + 1]]) for k in some.tolist()]
+    cut = np.r_[0, np.cumsum(np.bincount(c, minlength=len(voc.starts) - 1))]
+    return order, cut, np.flatnonzero((np.diff(cut) > 0) & (np.diff(voc.starts) > 1)).tolist()
 
 
 def _row_sums(a: np.ndarray) -> np.ndarray:
     return a @ np.ones(a.shape[-1], a.dtype)
 
 
+def _exponentials(s: np.ndarray, x: np.ndarray, safe: bool) -> np.ndarray:
+    """exp of the attention scores of windows x in place, 0 for what is later or not there; safe: none is too large to take."""
+    if not safe:
+        s[...] = np.where((x >= 0)[:, None, :] & (_EARLIER > 0), s, s.dtype.type(-1e30))
+        s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    s *= _EARLIER.astype(s.dtype, copy=False)
+    gaps = np.flatnonzero(x[:, :CONTEXT].min(axis=1) < 0)  # behind a text's end nothing is live
+    if len(gaps):
+        s[gaps] *= (x[gaps] >= 0)[:, None, :]
+    return s
+
+
 def _log_sum_exp(z: np.ndarray, safe: bool) -> np.ndarray:
     """ln of the sum of exponentials of each row, in place; safe: none is too large to take."""
     if safe:
@@ -138,6 +170,31 @@ def _log_sum_exp(z: np.ndarray, safe: bool) -> np.ndarray:
     return np.log(_row_sums(np.exp(z, out=z))) + top
 
 
+def _safe(m: Weights) -> bool:
+    """Whether no score of a class or member is too large for an exponential; the state is within -1..1."""
+    return bool(max(np.abs(m.c).sum(axis=0).max() + np.abs(m.cb).max(), _row_sums(np.abs(m.w)).max() + np.abs(m.wb).max()) < 60)
+
+
+def _softmax_less_one(z: np.ndarray, own: np.ndarray, safe: bool) -> np.ndarray:
+    """Rows of z become their softmax, less one at the places own of the flat z, whose probabilities are returned."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / _row_sums(z))[:, None]
+    flat = z.reshape(-1)
+    p = flat[own]
+    flat[own] = p - 1
+    return p
+
+
+def _states(u: np.ndarray, live: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """tanh of the live rows of u, and a one for the biases."""
+    h = scratch("h", u.dtype, len(live), DIM + 1)
+    h[:, DIM] = 1
+    np.tanh(u.take(live, axis=0), out=h[:, :DIM])
+    return h
+
+
 def score(m: Weights, tables: tuple[np.ndarray, np.ndarray], voc: Vocabulary, ids: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
     """ln P of each sequence of ranks ids[bounds[i]:bounds[i + 1]], which starts after an ``end``."""
     row, first = windows(bounds)
@@ -145,114 +202,160 @@ def score(m: Weights, tables: tuple[np.ndarray, np.ndarray], voc: Vocabulary, id
     by_id, by_pos = tables
     longest = lambda j: np.linalg.norm(by_id[:, j], axis=1).max() + np.linalg.norm(by_pos[:, j], axis=1).max()
     safe_s = longest(slice(0, DIM)) * longest(slice(DIM, 2 * DIM)) < 60
-    # the state is within -1..1
-    safe_z = max(np.abs(m.c).sum(axis=0).max() + np.abs(m.cb).max(), np.abs(m.w).sum(axis=1).max() + np.abs(m.wb).max()) < 60
+    safe_z, scratch, kind = _safe(m), Scratch(), by_id.dtype
+    wide_w, wide_c = np.c_[m.w, m.wb], np.r_[m.c, m.cb[None]]
     for a in range(0, len(row), BATCH):
         w = slice(a, a + BATCH)
         seq = gather(ids, bounds, row[w], first[w], end)
         x = seq[:, :WINDOW]
-        t = by_id.take(np.maximum(x, 0), axis=0)
+        t = scratch("t", kind, *x.shape, 4 * DIM)
+        by_id.take(np.maximum(x, 0), axis=0, out=t, mode="clip")
         t += by_pos
-        s = np.matmul(t[:, CONTEXT:, :DIM], t[:, :, DIM : 2 * DIM].transpose(0, 2, 1))
-        if not safe_s:
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s *= _EARLIER
-        gaps = np.flatnonzero(x[:, :CONTEXT].min(axis=1) < 0)
-        if len(gaps):
-            s[gaps] *= (x[gaps] >= 0)[:, None, :]
-        u = np.matmul(s, t[:, :, 2 * DIM : 3 * DIM])
-        u /= _row_sums(s)[:, :, None]
+        s = np.matmul(t[:, CONTEXT:, :DIM], t[:, :, DIM : 2 * DIM].transpose(0, 2, 1), out=scratch("s", kind, len(x), SCORED, WINDOW))
+        _exponentials(s, x, safe_s)
+        u = np.matmul(s, t[:, :, 2 * DIM : 3 * DIM], out=scratch("u", kind, len(x), SCORED, DIM))
+        u *= (1 / _row_sums(s.reshape(-1, WINDOW))).reshape(len(x), SCORED, 1)
         u += t[:, CONTEXT:, 3 * DIM :]
         y = seq[:, CONTEXT + 1 :].ravel()
         live = np.flatnonzero(y >= 0)
+        order, cut, several = _by_class(voc, y[live])
+        live = live[order]
         y = y[live]
-        h = np.tanh(u.reshape(-1, DIM).take(live, axis=0))
-        z = h @ m.c
-        z += m.cb
-        p = z[np.arange(len(y)), voc.cls[y]] - _log_sum_exp(z, safe_z)
-        for k, at in _members(voc, y):
-            lo, hi = voc.starts[k], voc.starts[k + 1]
-            z = h.take(at, axis=0) @ m.w[lo:hi].T
-            z += m.wb[lo:hi]
-            p[at] += z[np.arange(len(at)), y[at] - lo] - _log_sum_exp(z, safe_z)
+        h = _states(u.reshape(-1, DIM), live, scratch)
+        z = np.matmul(h, wide_c, out=scratch("z", kind, len(y), wide_c.shape[1]))
+        at = np.arange(len(y))
+        p = z.reshape(-1)[at * z.shape[1] + voc.cls[y]] - _log_sum_exp(z, safe_z)
+        for k in several:
+            now, lo, hi = slice(cut[k], cut[k + 1]), voc.starts[k], voc.starts[k + 1]
+            z = h[now] @ wide_w[lo:hi].T
+            p[now] += z.reshape(-1)[at[: len(z)] * (hi - lo) + (y[now] - lo)] - _log_sum_exp(z, safe_z)
         if voc.unseen:
-            p[y == len(voc.cls) - 1] -= np.log(voc.unseen)
-        total += np.bincount(np.repeat(row[w], SCORED)[live], p, minlength=len(total))
+            p[cut[-2] :] -= np.log(voc.unseen)
+        total += np.bincount(row[w][live // SCORED], p, minlength=len(total))
     return total
 
 
-def gradients(m: Weights, voc: Vocabulary, seq: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean -ln P of the next subwords of a batch of windows, and its gradients."""
+def _sums(at: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """out[i] is the sum of the rows of values whose at is i."""
+    order = np.argsort(at.astype(np.uint16) if len(out) < 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
+    at = at[order]
+    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    out.fill(0)
+    out[at[begin]] = np.add.reduceat(values.take(order, axis=0), begin, axis=0)
+
+
+def gradients(m: Weights, voc: Vocabulary, seq: np.ndarray, into: Weights | None = None, scratch: Scratch | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean -ln P of the next subwords of a batch of windows, and its gradients, in the arrays of ``into`` if given."""
+    g = vars(into if into is not None else Weights(**{f.name: np.empty_like(getattr(m, f.name)) for f in fields(m)}))
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    root, kind = m.q.dtype.type(DIM**-0.5), m.q.dtype
+    b, kind = len(seq), m.q.dtype
+    root, scratch = kind.type(DIM**-0.5), scratch or Scratch()
+    new = lambda name, *shape: scratch(name, kind, *shape)
     x, y = seq[:, :WINDOW], seq[:, CONTEXT + 1 :].ravel()
     ids = np.maximum(x, 0)
-    e = m.emb[ids] + m.pos
-    eq = e[:, CONTEXT:]
-    q, k, v = eq @ m.q, e @ m.k, e @ m.v
-    s = np.matmul(q, k.transpose(0, 2, 1)) * root + np.where((x >= 0)[:, None, :] & (_EARLIER > 0), 0, -1e4).astype(kind)
-    alpha = np.exp(s - s.max(axis=2, keepdims=True))
-    alpha /= alpha.sum(axis=2, keepdims=True)
-    ctx = np.matmul(alpha, v)
-    h = flat(np.tanh(eq @ m.r + ctx @ m.o))
+    e = new("e", b, WINDOW, DIM)
+    m.emb.take(ids, axis=0, out=e, mode="clip")
+    e += m.pos
+    # queries, keys, values and residuals of all places in one product
+    wide = np.concatenate([m.q * root, m.k, m.v, m.r], axis=1)
+    t = np.matmul(flat(e), wide, out=new("t", b * WINDOW, 4 * DIM)).reshape(b, WINDOW, 4 * DIM)
+    q, k, v = t[:, CONTEXT:, :DIM], t[:, :, DIM : 2 * DIM], t[:, :, 2 * DIM : 3 * DIM]
+    alpha = np.matmul(q, k.transpose(0, 2, 1), out=new("alpha", b, SCORED, WINDOW))
+    _exponentials(alpha, x, -60 < alpha.min() <= alpha.max() < 60)
+    alpha *= (1 / np.maximum(_row_sums(flat(alpha)), kind.type(1e-30))).reshape(b, SCORED, 1)
+    ctx = flat(np.matmul(alpha, v, out=new("ctx", b, SCORED, DIM)))
+    u = np.matmul(ctx, m.o, out=new("u", b * SCORED, DIM))
+    u.reshape(b, SCORED, DIM)[...] += t[:, CONTEXT:, 3 * DIM :]
+    # targets in the order of their classes
     live = np.flatnonzero(y >= 0)
-    y, hl = y[live], h[live]
-    n = max(1, len(y))
-    z = hl @ m.c + m.cb
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    z /= z.sum(axis=1, keepdims=True)
-    at = (np.arange(len(y)), voc.cls[y])
-    loss = -np.log(z[at] + 1e-30).sum()
-    z[at] -= 1
-    z /= n
-    gh = z @ m.c.T
-    g = {"c": hl.T @ z, "cb": z.sum(axis=0), "w": np.zeros_like(m.w), "wb": np.zeros_like(m.wb)}
-    for c, p in _members(voc, y):
-        lo, hi = voc.starts[c], voc.starts[c + 1]
-        z = hl[p] @ m.w[lo:hi].T + m.wb[lo:hi]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        at = (np.arange(len(p)), y[p] - lo)
-        loss -= np.log(z[at] + 1e-30).sum()
-        z[at] -= 1
-        z /= n
-        g["w"][lo:hi], g["wb"][lo:hi] = z.T @ hl[p], z.sum(axis=0)
-        gh[p] += z @ m.w[lo:hi]
-    gu = np.zeros_like(h)
-    gu[live] = gh * (1 - hl * hl)
-    gu = gu.reshape(len(x), SCORED, DIM)
-    gc = gu @ m.o.T
-    ga = np.matmul(gc, v.transpose(0, 2, 1))
-    gs = alpha * (ga - (alpha * ga).sum(axis=2, keepdims=True)) * root
-    gq, gk, gv = np.matmul(gs, k), np.matmul(gs.transpose(0, 2, 1), q), np.matmul(alpha.transpose(0, 2, 1), gc)
-    ge = gk @ m.k.T + gv @ m.v.T
-    ge[:, CONTEXT:] += gq @ m.q.T + gu @ m.r.T
-    g |= {"q": flat(eq).T @ flat(gq), "k": flat(e).T @ flat(gk), "v": flat(e).T @ flat(gv), "r": flat(eq).T @ flat(gu), "o": flat(ctx).T @ flat(gu), "pos": ge.sum(axis=0)}
-    order = np.argsort(ids.ravel(), kind="stable")
-    some, begin = np.unique(ids.ravel()[order], return_index=True)
-    g["emb"] = np.zeros_like(m.emb)
-    g["emb"][some] = np.add.reduceat(flat(ge)[order], begin, axis=0)
+    order, cut, several = _by_class(voc, y[live])
+    live = live[order]
+    y = y[live]
+    h = _states(u, live, scratch)
+    n, safe, at = max(1, len(y)), _safe(m), np.arange(len(y))
+    wide_c, wide_w = np.r_[m.c, m.cb[None]], np.c_[m.w, m.wb]
+    z = np.matmul(h, wide_c, out=new("z", len(y), wide_c.shape[1]))
+    p = _softmax_less_one(z, at * z.shape[1] + voc.cls[y], safe)
+    loss = -np.log(p + 1e-30).sum()
+    gh = np.matmul(z, wide_c[:DIM].T, out=new("gh", len(y), DIM))
+    gc = h.T @ z
+    gw = new("gw", *wide_w.shape)
+    gw.fill(0)
+    p = np.ones_like(p)
+    for c in several:
+        now, lo, hi = slice(cut[c], cut[c + 1]), voc.starts[c], voc.starts[c + 1]
+        z = h[now] @ wide_w[lo:hi].T
+        p[now] = _softmax_less_one(z, at[: len(z)] * (hi - lo) + (y[now] - lo), safe)
+        np.matmul(z.T, h[now], out=gw[lo:hi])
+        gh[now] += z @ m.w[lo:hi]
+    loss -= np.log(p + 1e-30).sum()
+    per = kind.type(1 / n)
+    for name, got in (("c", gc[:DIM]), ("cb", gc[DIM]), ("w", gw[:, :DIM]), ("wb", gw[:, DIM])):
+        np.multiply(got, per, out=g[name])
+    s = h[:, :DIM]
+    s *= s
+    np.subtract(1, s, out=s)
+    gh *= s
+    gh *= per
+    gu = new("gu", b * SCORED, DIM)
+    if len(live) < len(gu):
+        gu.fill(0)
+    gu[live] = gh
+    gc = np.matmul(gu, m.o.T, out=new("gc", b * SCORED, DIM))
+    np.matmul(ctx.T, gu, out=g["o"])
+    ctx *= gc
+    mean = _row_sums(ctx).reshape(b, SCORED, 1)
+    gc = gc.reshape(b, SCORED, DIM)
+    gs = np.matmul(gc, v.transpose(0, 2, 1), out=new("gs", b, SCORED, WINDOW))
+    gs -= mean
+    gs *= alpha
+    gt = new("gt", b, WINDOW, 4 * DIM)
+    gt[:, :CONTEXT, :DIM] = 0
+    gt[:, :CONTEXT, 3 * DIM :] = 0
+    np.matmul(gs, k, out=gt[:, CONTEXT:, :DIM])
+    np.matmul(gs.transpose(0, 2, 1), q, out=gt[:, :, DIM : 2 * DIM])
+    np.matmul(alpha.transpose(0, 2, 1), gc, out=gt[:, :, 2 * DIM : 3 * DIM])
+    gt[:, CONTEXT:, 3 * DIM :] = gu.reshape(b, SCORED, DIM)
+    gw = flat(e).T @ flat(gt)
+    gw[:, :DIM] *= root
+    for j, name in enumerate(("q", "k", "v", "r")):
+        g[name][...] = gw[:, j * DIM : (j + 1) * DIM]
+    ge = np.matmul(flat(gt), wide.T, out=flat(e))
+    np.sum(e, axis=0, out=g["pos"])
+    _sums(ids.ravel(), ge, g["emb"])
     return loss / n, g
 
 
-def train(m: Weights, voc: Vocabulary, seq: np.ndarray, rates: tuple[float, float] = (0.02, 0.0), seed: int = 0, passes: int = 1, batch: int = 128) -> Weights:
-    """Adam over windows in random order, the rate going evenly from the first to the second."""
-    m = Weights(**{f.name: getattr(m, f.name).copy() for f in fields(m)})
-    rng, t = np.random.default_rng(seed), 0
-    one = {f.name: np.zeros_like(getattr(m, f.name)) for f in fields(m)}
-    two = {f.name: np.zeros_like(getattr(m, f.name)) for f in fields(m)}
+def train(m: Weights, voc: Vocabulary, seq: np.ndarray, rates: tuple[float, float] = (0.02, 0.0), seed: int = 0, passes: int = 1, batch: int | None = None) -> Weights:
+    """Adam over windows in random order, the rate going evenly from the first to the second. Batches
+    are of 128 windows unless said; where that is more than STEPS steps, of up to BATCH, with rates that
+    grow by the root of their size."""
+    if batch is None:
+        batch = min(BATCH, max(128, len(seq) // STEPS))
+        rates = (rates[0] * (batch / 128) ** 0.5, rates[1] * (batch / 128) ** 0.5)
+    now = m.vector()
+    m, rng, t = m.views(now), np.random.default_rng(seed), 0
+    one, two, g, root = (np.zeros_like(now) for _ in range(4))
+    into, scratch = m.views(g), Scratch()
     steps = passes * -(-len(seq) // batch)
     for _ in range(passes):
         order = rng.permutation(len(seq))
         for a in range(0, len(order), batch):
-            _, grads = gradients(m, voc, seq[order[a : a + batch]])
+            gradients(m, voc, seq[order[a : a + batch]], into, scratch)
             rate = rates[0] + (rates[1] - rates[0]) * t / steps
             t += 1
-            step = np.float32(rate / (1 - 0.9**t))
-            for name, g in grads.items():
-                u, w, y = one[name], two[name], getattr(m, name)
-                u += 0.1 * (g - u)
-                w += 0.01 * (g * g - w)
-                y -= step * u / (np.sqrt(w / np.float32(1 - 0.99**t)) + np.float32(1e-7))
+            # one += 0.1 * (g - one), two += 0.01 * (g * g - two), in place
+            one *= np.float32(0.9)
+            two *= np.float32(0.99)
+            np.multiply(g, g, out=root)
+            root *= np.float32(0.01)
+            two += root
+            g *= np.float32(0.1)
+            one += g
+            np.sqrt(two, out=root)
+            root *= np.float32((1 - 0.99**t) ** -0.5)
+            root += np.float32(1e-7)
+            np.divide(one, root, out=root)
+            root *= np.float32(rate / (1 - 0.9**t))
+            now -= root
     return m

@@ -58,28 +58,43 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.codec = tiktoken.Encoding("words", pat_str=r" ?[^ ]{1,32}", mergeable_ranks=ranks, special_tokens={})
         self.encode = self.codec.encode_ordinary
+        self.spaced = np.zeros(max(ranks.values()) + 1, dtype=bool)  # subwords that begin with a space
+        self.spaced[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.start, self.ids = array("q", [0]), array("i")
+        """Known words by hash, in order; the first of a word's ids and their number."""
+        self.known, self.first, self.n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = array("i")
+
+    def _encoded(self, low: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, n) of words, encoded in one call: a space stands ahead of each, so no subword crosses words
+        and only a word's first subword begins with one."""
+        end = np.cumsum(lens)
+        text = np.full(end[-1] + len(lens), 0x20, dtype=np.uint8)
+        inner = np.ones(len(text), dtype=bool)
+        inner[end - lens + np.arange(len(lens))] = False
+        text[inner] = low[np.repeat(starts - (end - lens), lens) + np.arange(end[-1])]
+        ids = np.array(self.encode(text.tobytes().decode("utf-8", "replace")), dtype=np.int32)
+        first = np.flatnonzero(self.spaced[ids])
+        base = len(self.ids)
+        self.ids.frombytes(ids.tobytes())
+        return first + base, np.diff(np.r_[first, len(ids)])
 
     def of(self, s: Slice, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct hashes, word -> distinct, first id, number of ids) of a slice's words."""
         uniq, first, at = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.index) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS:
             self.clear()
-        get, low = self.index.get, _LOWER[s.data] if len(s.data) else s.data
-        found = [get(x, -1) for x in uniq.tolist()]
-        for k in [k for k, i in enumerate(found) if i < 0]:
-            a = s.starts[first[k]]
-            word = low[a : a + s.lens[first[k]]].tobytes().decode("utf-8", "replace")
-            self.ids.extend(self.encode(" " + word))
-            self.start.append(len(self.ids))
-            found[k] = self.index[int(uniq[k])] = len(self.start) - 2
-        i = np.array(found, dtype=np.int64)
-        start = np.frombuffer(self.start, dtype=np.int64)
-        return uniq, at, start[i].copy(), (start[i + 1] - start[i]).copy()
+        place = np.searchsorted(self.known, uniq)
+        new = np.ones(len(uniq), dtype=bool)
+        if len(self.known):
+            new = self.known[np.minimum(place, len(self.known) - 1)] != uniq
+        if new.any():
+            begin, n = self._encoded(_LOWER[s.data], s.starts[first[new]], s.lens[first[new]])
+            self.known, self.first, self.n = (np.insert(old, place[new], add) for old, add in ((self.known, uniq[new]), (self.first, begin), (self.n, n)))
+            place += np.cumsum(new) - new
+        return uniq, at, self.first[place], self.n[place]
 
     def sequences(self, s: Slice, at: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): each row's subwords and then END."""

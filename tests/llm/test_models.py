@@ -442,3 +442,49 @@ def test_language_model_counts_subwords_in_little_memory():
     first = Counter(x for x in np.frombuffer(batches[0].column(0)[0].as_py(), np.uint16).reshape(-1, 25)[:, 9:].ravel().tolist() if x != lm_scoring.NONE)
     want = once + once - first
     assert dict(zip(got[0]["key"].to_pylist(), got[0]["n"].to_pylist(), strict=True)) == dict(want)
+
+
+def test_language_model_encodes_a_slice_in_one_call(monkeypatch):
+    """Words that are not known yet are encoded together, to the same ids as alone, also when the memory was emptied."""
+    words = [f"wörd{k}" for k in range(400)] + ["a　b", "\u0085", "x" * 500, "​", "UPPER", "𝒳"]
+    [s] = kernel.slices(pa.array([None, " ".join(words), "", "\t".join(words[::-1]), "wörd1\n new"]))
+    subs, calls = lm_scoring.Subwords(lm_scoring.TOKENIZER), []
+    alone = subs.codec.encode_ordinary
+    subs.encode = lambda text: calls.append(text) or alone(text)
+    for calls_then in (1, 2, 3):  # the second and third find the memory too large
+        _, at, first, n = subs.of(s, s.hashes())
+        got = [subs.ids[first[k] : first[k] + n[k]].tolist() for k in at]
+        assert got == [alone(" " + lower(w)) for w in [*words, *words[::-1], "wörd1", "new"]]
+        assert len(calls) == calls_then
+        monkeypatch.setattr(lm_scoring, "CACHED_WORDS", 100)
+
+
+def test_language_model_takes_larger_batches_of_many_windows(monkeypatch):
+    """Every window is learned from once a pass, in steps that follow the number of windows; arrays are used again."""
+    monkeypatch.setattr(attention, "STEPS", 4)
+    seen, real = [], attention.gradients
+    monkeypatch.setattr(attention, "gradients", lambda m, voc, seq, *more: seen.append(seq) or real(m, voc, seq, *more))
+    ids, bounds = np.arange(2000 * attention.SCORED) % 40, np.array([0, 2000 * attention.SCORED])
+    model_of(ids, bounds, 39, 40)
+    assert [len(s) for s in seen] == [500] * 4
+    flat = lambda seqs: sorted(map(bytes, np.concatenate(seqs)))
+    voc = attention.Vocabulary.of(np.bincount(ids, minlength=40).astype(float))
+    assert flat(seen) == flat([attention.gather(voc.rank[ids], bounds, *attention.windows(bounds), int(voc.rank[39]))])
+    m, scratch = attention.Weights.start(voc, np.ones(40)), attention.Scratch()
+    _, once = real(m, voc, seen[0], None, scratch)
+    held = {k: id(a) for k, a in scratch.held.items()}
+    _, again = real(m, voc, seen[0], None, scratch)
+    assert held == {k: id(a) for k, a in scratch.held.items()} and all((once[k] == again[k]).all() for k in once)
+
+
+def test_lm_scores_large_attention_scores_place_by_place():
+    """Later places, however large their attention scores, leave those before them in their softmax."""
+    rng = np.random.default_rng(5)
+    ids, bounds = rng.integers(0, 50, 400), np.array([0, 1, 100, 100, 400])
+    m, voc = model_of(ids[:300], np.array([0, 300]), 59, 60)
+    m.q *= 400
+    got = attention.score(m, m.tables(), voc, voc.rank[ids], bounds, int(voc.rank[59]))
+    want = [plain_score(m, voc, voc.rank[ids[a:b]].tolist(), int(voc.rank[59])) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert got == pytest.approx(want, rel=1e-3, abs=1e-3)
+    seq = attention.gather(voc.rank[ids], bounds, *attention.windows(bounds), int(voc.rank[59]))
+    assert attention.gradients(m, voc, seq)[0] == pytest.approx(-sum(want) / len(ids), rel=1e-3)
