@@ -35,26 +35,31 @@ def chunks(nodes: DataFrame) -> DataFrame:
     return out.select(name.alias("chunk_id"), F.col("node_id").alias("parent_node_id"), "chunk_index", F.concat(F.col("head"), F.lit("\n\n"), F.col("body")).alias("document"), "source_hash")
 
 
-def surplus(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored chunks of re-chunked nodes that are no longer made."""
-    return stored.join(fresh.select("parent_node_id").distinct(), "parent_node_id", "left_semi").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+def surplus(stored: DataFrame, fresh: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Stored chunks of re-chunked nodes that are no longer made. nodes: those that were re-chunked (node_id);
+    without it the ones that have fresh chunks, which leaves out nodes whose text now makes none."""
+    again = fresh.select("parent_node_id").distinct() if nodes is None else nodes.select(F.col("node_id").alias("parent_node_id"))
+    return stored.join(again, "parent_node_id", "left_semi").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def changed_nodes(nodes: DataFrame, stored: DataFrame) -> DataFrame:
+def changed_nodes(nodes: DataFrame, stored: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """The embeddable nodes of whose present text and place there are no stored chunks. Texts are not
-    shuffled beside the chunks: one row a node meets its digest."""
-    held = stored.groupBy(F.col("parent_node_id").alias("node_id"), "source_hash").agg(F.count("*").alias("_n"))
+    shuffled beside the chunks: one row a node meets its digest. held: (node_id, source_hash) of the nodes that
+    were chunked, where they are known; a text that makes no chunk is then not tried again."""
+    if held is None:
+        held = stored.groupBy(F.col("parent_node_id").alias("node_id"), "source_hash").agg(F.count("*").alias("_n"))
     ids = embeddable(nodes).select("node_id", "source_hash").join(held, ["node_id", "source_hash"], "left_anti")
     return nodes.join(ids.select("node_id"), "node_id", "left_semi")
 
 
-def rechunked(nodes: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rechunked(nodes: DataFrame, stored: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks to make, chunk_ids to remove): chunks of changed nodes alone; stored chunks whose node
-    is gone or no longer has text, and those beyond what a changed node now has."""
-    fresh = chunks(changed_nodes(nodes, stored))
+    is gone or no longer has text, and those beyond what a changed node now has, be it none."""
+    changed = changed_nodes(nodes, stored, held)
+    fresh = chunks(changed)
     alive = embeddable(nodes).select(F.col("node_id").alias("parent_node_id"))
     gone = stored.join(alive, "parent_node_id", "left_anti").select("chunk_id")
-    return fresh, gone.unionByName(surplus(stored, fresh).select("chunk_id")).distinct()
+    return fresh, gone.unionByName(surplus(stored, fresh, changed).select("chunk_id")).distinct()
 
 
 def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:

@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from statuta.catalog_of_queries import ORACLES
 from statuta.operators import admin, catalog, graph, sequences, versions
 from statuta.operators.dedup import keep_unseen
 from statuta.plans import chunking, harvest
@@ -304,3 +305,26 @@ def test_linked_deals_sources_evenly(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in few._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
     assert sorted(map(tuple, graph.linked(w, n).collect())) == want
+
+
+def test_rechunk_of_texts_without_chunks(spark, tmp_path):
+    from statuta.queries import chunks as queries
+    from tests import compare
+
+    texts = (None, "", "   ", "\n\n", ". " * 700, "a", "x" * 1300, " " * 1300, "word " * 400, "\u001f", " \n a")
+    rows = [(k, t, None if k % 11 == 4 else f"src{k % 4}") for k, t in enumerate(t for t in texts for _ in range(70))]
+    rows += [(k, text, f"src{k % 3}") for k in range(0, 700, 9) for text in ("another", "")]  # ids that repeat
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = compare.duckdb.connect()
+    c.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    compare.assert_same(spark, c, str(tmp_path), queries.rechunk, ORACLES["rechunk"])
+
+
+def test_chunks_of_a_node_that_lost_them_go(spark):
+    old = spark.createDataFrame([("1", "IR", "r", "t", "A", "word " * 900), ("2", "IR", "q", "t", "A", " "), ("3", "IR", "p", "t", "A", "same")], NODE)
+    new = spark.createDataFrame([("1", "IR", "r", "t", "A", "\n"), ("2", "IR", "q", "t", "A", " "), ("3", "IR", "p", "t", "A", "same")], NODE)
+    stored = chunking.chunks(old)
+    fresh, removed = chunking.rechunked(new, stored)
+    assert not fresh.count() and {r["chunk_id"] for r in removed.collect()} == {r["chunk_id"] for r in stored.collect()} - {"3"}
+    held = chunking.embeddable(old).select("node_id", "source_hash")
+    assert [r["node_id"] for r in chunking.changed_nodes(new, stored, held).collect()] == ["1"]
