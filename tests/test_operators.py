@@ -328,3 +328,17 @@ def test_chunks_of_a_node_that_lost_them_go(spark):
     assert not fresh.count() and {r["chunk_id"] for r in removed.collect()} == {r["chunk_id"] for r in stored.collect()} - {"3"}
     held = chunking.embeddable(old).select("node_id", "source_hash")
     assert [r["node_id"] for r in chunking.changed_nodes(new, stored, held).collect()] == ["1"]
+
+
+def test_linked_sources_are_shuffled_once_and_targets_come_in_blocks(spark, monkeypatch):
+    n = spark.createDataFrame([(f"s{i}", "a") for i in range(40)] + [(f"t{j}", f"b{j % 3}") for j in range(90)] + [(None, "b0"), ("t1", "b1"), ("u", None)], "node_id string, reference_code string")
+    w = spark.createDataFrame([("a", f"b{k}", r) for k in range(3) for r in ("R", "S", None)] + [("a", "b1", "R"), ("a", "gone", "R"), ("gone", "b1", "R"), (None, "b1", "R")], "source_ref string, target_ref string, relation string")
+    targets = {k: [f"t{j}" for j in range(k, 90, 3)] + [[None], ["t1"], []][k] for k in range(3)}
+    want = sorted(repr((f"s{i}", t, r)) for i in range(40) for k in range(3) for t in targets[k] for r in ["R", "S", None] + ["R"] * (k == 1))
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    got = graph.linked(w, n)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert len(plan) == 2 and "Sort [target_ref" in plan[0] and "Inner" not in plan[1].split("LogicalRDD")[0]
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
+    assert sorted(repr(tuple(r)) for r in graph.linked(w, n).collect()) == want
